@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import quality_rules, sharding, simhash
 from .store import table
 
 
+def op1_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark, sf_dir):
+    found = quality_rules.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        *(F.round(c, 6).alias(c) for c in ("mean_word_chars", "symbol_ratio", "stop_ratio", "dup_line_ratio")))
+
+
 def op7_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op7_simhash": op7_simhash}
+    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
