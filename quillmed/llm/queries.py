@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding, simhash
+from . import mixing, quality_rules, sharding, simhash
 from .store import table
 
 
@@ -18,13 +18,18 @@ def op2_quality_rules(spark, sf_dir):
                         *(F.round(c, 6).alias(c) for c in ("mean_word_chars", "symbol_ratio", "stop_ratio", "dup_line_ratio")))
 
 
+def op6_mixing(spark, sf_dir):
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+
+
 def op7_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op7_simhash": op7_simhash}
+    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
