@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, simhash
+from . import mixing, quality_rules, sharding, simhash, toxicity
 from .store import table
 
 
@@ -28,8 +28,13 @@ def op7_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark, sf_dir):
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_segments")
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash}
+    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
