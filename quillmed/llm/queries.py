@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, simhash, toxicity
+from . import bpe, mixing, quality_rules, sharding, simhash, toxicity
 from .store import table
 
 
@@ -33,8 +33,16 @@ def op9_toxicity(spark, sf_dir):
     return found.select("doc_id", "held_out", "score", "predicted", "n_segments")
 
 
+def op10_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity}
+    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
