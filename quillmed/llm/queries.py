@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, sharding, simhash, toxicity
+from . import bpe, mixing, quality_rules, sharding, simhash, topk, toxicity
 from .store import table
 
 
@@ -18,6 +18,21 @@ def op2_quality_rules(spark, sf_dir):
                         *(F.round(c, 6).alias(c) for c in ("mean_word_chars", "symbol_ratio", "stop_ratio", "dup_line_ratio")))
 
 
+def op5_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+          FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op6_mixing(spark, sf_dir):
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
@@ -42,8 +57,8 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
+    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op5_top_k": op5_top_k, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_top_k": OP5_SQL}
