@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, sharding, simhash, topk, toxicity
+from . import bpe, mixing, quality_cnn, quality_rules, sharding, simhash, token_counts, topk, toxicity
 from .store import table
 
 
@@ -18,6 +18,17 @@ def op2_quality_rules(spark, sf_dir):
                         *(F.round(c, 6).alias(c) for c in ("mean_word_chars", "symbol_ratio", "stop_ratio", "dup_line_ratio")))
 
 
+def op3_token_counts(spark, sf_dir):
+    """Counts before and after an edit in the middle of every text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    trees = token_counts.build(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    middle = (F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    edit = F.struct(middle.alias("start"), (middle + 12).alias("end"), F.concat(F.lit("edit of "), F.col("doc_id").cast("string")).alias("replacement"))
+    return token_counts.recount(trees.withColumn("change", F.array(edit)), "change", path, public_tokenizers.PATTERN)
+
+
 def op5_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -43,6 +54,10 @@ def op7_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_quality_cnn(spark, sf_dir):
+    return quality_cnn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark, sf_dir):
     found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", "n_segments")
@@ -57,7 +72,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op5_top_k": op5_top_k, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
+    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op3_token_counts": op3_token_counts, "op5_top_k": op5_top_k, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_quality_cnn": op8_quality_cnn, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

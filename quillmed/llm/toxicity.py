@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import sample
 from .store import written
 
 #: Bounds of the training sample (labelled rows of each class, lowest hashes first) and of the model.
@@ -83,18 +84,6 @@ def _novelty(words: list[bytes]) -> int:
     return min((xxhash.xxh64_intdigest(b" ".join(words[i:i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int) -> DataFrame:
-    """(doc_id, label, text) of at most per_class labelled rows of each class, lowest hashes first.
-    The sample's ids are bounded, so they are broadcast and no text is shuffled."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where(train & F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
-    picked = None
-    for c in (0, 1):
-        some = known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = some if picked is None else picked.unionAll(some)
-    ids = F.broadcast(written(picked, f"{label}-ids"))
-    return written(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id"), f"{label}-train")
-
-
 def train_rows():
     return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
 
