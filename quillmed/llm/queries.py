@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_cnn, quality_rules, sharding, simhash, token_counts, topk, toxicity
+from . import bpe, mixing, quality_cnn, quality_rules, sharding, simhash, suffix_dedup, token_counts, topk, toxicity
 from .store import table
 
 
@@ -29,6 +29,12 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.recount(trees.withColumn("change", F.array(edit)), "change", path, public_tokenizers.PATTERN)
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -72,7 +78,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op3_token_counts": op3_token_counts, "op5_top_k": op5_top_k, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_quality_cnn": op8_quality_cnn, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
+    return {"op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op3_token_counts": op3_token_counts, "op4_suffix_dedup": op4_suffix_dedup, "op5_top_k": op5_top_k, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_quality_cnn": op8_quality_cnn, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
