@@ -123,8 +123,8 @@ def frequent(docs: DataFrame, vocab: Vocabulary, pattern: str, size: int = DICTI
     return rows.select(F.transform("all", lambda x: F.map_from_entries(x["e"])).alias("d")).scalar()
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (binary), decoded (binary) of every row's whole text.
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids (binary), decoded (binary) of every row's whole text, and the columns of keep.
 
     Words are the pattern's matches. Frequent words come from the table of distinct words that
     were folded once; any other word is folded where it stands, so every text is encoded in
@@ -133,8 +133,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     vocab = Vocabulary(docs.sparkSession, path)
     java = java_pattern(pattern)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    table = frequent(rows, vocab, java)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
+    table, own = frequent(rows, vocab, java), [f"_{c}" for c in keep]
     given, use = constants(rows, **vocab.values, table=table)
 
     def coded(k: Column) -> Column:
@@ -143,6 +143,6 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     part = lambda c, name: F.array_join(F.transform(c, lambda x: x[name]), "").alias(name)
     joined = let(use(coded), lambda c: F.struct(part(c, "ids"), part(c, "bytes")))
-    return (given.select("doc_id", joined.alias("j"))
-            .select("doc_id", F.unhex("j.ids").alias("ids"), F.unhex("j.bytes").alias("decoded"))
-            .select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded"))
+    return (given.select("doc_id", joined.alias("j"), *own)
+            .select("doc_id", F.unhex("j.ids").alias("ids"), F.unhex("j.bytes").alias("decoded"), *own)
+            .select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded", *(F.col(f"_{c}").alias(c) for c in keep)))

@@ -57,7 +57,7 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, keep: list[str] = ()) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, start, first_slot and
     epochs (how many of its first words each pass over its source takes: struct(pass, words)).
 
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     Null texts and texts without words have size 0 and give nothing; null is a source, the last.
     Repeated rows are documents of their own. A table without words has targets of 0.
     """
-    slim = docs.select(F.col("doc_id").cast("long"), word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"))
+    slim = docs.select(F.col("doc_id").cast("long"), word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), *keep)
     slim = written(slim.withColumn("dice", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))), "mix-slim")
     n, words = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     plan = written(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
@@ -113,4 +113,28 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
              .agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.min(F.coalesce("slot", F.lit(slots) + F.col("rank"))).alias("first_slot"),
                   F.sort_array(F.collect_list(F.struct("pass", (F.col("to") - F.col("from")).alias("words")))).alias("epochs")))
     out = placed.join(spans.hint("shuffle_merge"), ["turn", "start", "dice", "doc_id", "size"], "left")
-    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "start", "first_slot", "epochs")
+    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "start", "first_slot", "epochs", *keep)
+
+
+def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each pass that takes words of a
+    document, with the words it takes (whole texts but for a source's last one). Rows alike in
+    doc_id, source and text share their text; a row without words or beyond its source's target goes.
+    """
+    key = ["doc_id", "source", "_hash"]
+    hashed = docs.drop("_hash").withColumn("_hash", F.xxhash64("text"))
+    taken = (mix(hashed, seed, ["_hash"]).where("taken > 0").select(*key, F.explode("epochs").alias("e"), "size")
+             .groupBy(*key).agg(F.collect_list(F.struct("e.words", "size")).alias("takes")))
+    same = lambda c: F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}"))
+    met = docs_once(hashed, key).alias("d").join(taken.alias("t").hint("shuffle_merge"), same("doc_id") & same("source") & (F.col("d._hash") == F.col("t._hash")))
+    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("take.words").cast("int")), "")
+    cut = F.when(F.col("take.words") < F.col("take.size"), some).otherwise(F.col("text"))
+    rows = met.select("d.*", F.explode("t.takes").alias("take")).withColumn("text", cut)
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
+    return rows.select(*docs.columns)
+
+
+def docs_once(docs: DataFrame, key: list[str]) -> DataFrame:
+    """docs without rows that repeat the key; nothing is moved if there are none."""
+    repeated = docs.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return docs.dropDuplicates(key) if repeated else docs

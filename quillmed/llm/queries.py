@@ -65,7 +65,7 @@ def op8_quality_cnn(spark, sf_dir):
 
 
 def op9_toxicity(spark, sf_dir):
-    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", "n_segments")
 
 

@@ -87,3 +87,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = known.groupBy("root").agg(F.min("rep").alias("component_id"))
     comp = written(known.join(names.hint("shuffle_merge"), "root").select("fp", "component_id"), "simhash-comp")
     return prints.join(comp.hint("shuffle_merge"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of its smallest doc_id. Rows that repeat a
+    doc_id count once. Rows without a doc_id can't represent a group; they stay."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_n"))
+    kept = written(kept, "simhash-kept")
+    stay = docs.join(kept.where("_n = 1").select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi")
+    again = docs.join(kept.where("_n > 1").select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if kept.where("_n > 1").limit(1).count() else None
+    out = stay.unionByName(again) if again is not None else stay
+    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)

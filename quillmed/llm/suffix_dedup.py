@@ -277,8 +277,23 @@ def removal(n: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, min(b, n)) for a, b in out]
 
 
-def dedup(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, spans (removed byte ranges), kept (binary), and the columns of keep.
+def whole_chars(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans without the characters of which they hold only some bytes."""
+    part = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    out = []
+    for a, z in spans:
+        while part(a):
+            a += 1
+        while part(z) and z > a:
+            z -= 1
+        if a < z:
+            out.append((a, z))
+    return out
+
+
+def dedup(docs: DataFrame, keep: list[str] = (), chars: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, spans (removed byte ranges), kept (binary), and
+    the columns of keep. With chars, spans leave characters whole and kept is valid UTF-8.
 
     Null and short texts lose nothing. Rows of one doc_id with different texts are different
     documents, ordered by a hash of the text; rows alike in both are one document and get the
@@ -300,6 +315,7 @@ def dedup(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
             for t, r in zip(b.column("text"), b.column("runs")):
                 raw = t.as_py().encode("utf-8", "surrogatepass")
                 gone = removal(len(raw), [(x["lo"], x["hi"]) for x in r.as_py() or []])
+                gone = whole_chars(raw, gone) if chars else gone
                 at, parts = 0, []
                 for a, z in gone:
                     parts.append(raw[at:a])

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sampling import sample
 from .store import written
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, l
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if value(mid) < 1 else (lo, mid)
         model.lam = max(0.05, hi)
-    known = evidence(rows.select("doc_id", "text", "label"), model, keep=["label"]).select("evidence", "n_segments", "label").collect()  # two per_class rows
+    known = evidence(rows, model).select("evidence", "n_segments", "label").collect()  # two per_class rows
     x = np.array([[1.0, r["evidence"], np.log1p(r["n_segments"])] for r in known])
     y = np.array([float(r["label"]) for r in known])
     beta, ridge = np.zeros(3), np.diag([1e-6, 1e-2, 1e-2]) * max(1, len(y) / 100)
@@ -157,10 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, l
     return model
 
 
-def evidence(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
-    """doc_id, evidence, n_segments, passages and the columns of keep, for every row of docs."""
+def evidence(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with evidence, n_segments and passages; columns of docs with these names give way."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON tokens
-    kinds = dict(docs.dtypes)
+    rows = docs.drop("evidence", "n_segments", "passages")
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("evidence", T.DoubleType())]))
+    added = [T.StructField("evidence", T.DoubleType()), T.StructField("n_segments", T.IntegerType()), T.StructField("passages", spans)]
 
     def run(batches):
         import pyarrow as pa
@@ -168,16 +171,16 @@ def evidence(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
         for b in batches:
             got = [passages(t.as_py(), shared.value) for t in b.column("text")]
-            cols = [b.column("doc_id"), pa.array([e for e, _ in got], pa.float64()), pa.array([len(s) for _, s in got], pa.int32()),
+            cols = [pa.array([e for e, _ in got], pa.float64()), pa.array([len(s) for _, s in got], pa.int32()),
                     pa.array([[{"start": a, "end": z, "evidence": e} for a, z, e in s] for _, s in got], span)]
-            yield pa.RecordBatch.from_arrays([*cols, *(b.column(c) for c in keep)], names=["doc_id", "evidence", "n_segments", "passages", *keep])
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "evidence", "n_segments", "passages"])
 
-    schema = "doc_id long, evidence double, n_segments int, passages array<struct<start int, end int, evidence double>>"
-    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(run, schema + "".join(f", {c} {kinds[c]}" for c in keep))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_segments, passages (token ranges) of every row.
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with held_out, score, predicted, n_segments and passages (token ranges); columns of
+    docs with these names give way.
 
     Null and empty texts hold no passage and get the score of no evidence. Rows are scored one
     by one, so repeated rows agree. Without labels of both classes no token is toxic and the
@@ -186,5 +189,5 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] = ()) -> DataFrame
     model = fit(docs, labels)
     b0, b1, b2 = model.fit
     prob = 1 / (1 + F.exp(-(F.lit(b0) + F.lit(b1) * F.col("evidence") + F.lit(b2) * F.log1p("n_segments"))))
-    return (evidence(docs, model, keep).withColumn("score", prob)
+    return (evidence(docs, model).withColumn("score", prob)
             .withColumn("held_out", ~train_rows()).withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0)))
