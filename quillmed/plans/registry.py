@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import findings_plans, lab_plans, span_plans, trend_plans  # noqa: F401
+from . import findings_plans, graph_plans, lab_plans, span_plans, trend_plans  # noqa: F401
 from .base import REGISTRY
 
 
