@@ -123,7 +123,7 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, bucket: int = BUCKET, blo
     n_buckets = max(1, at)
     of_level = lambda f: F.coalesce(*[F.when(F.col("level") == c, F.lit(f(c))) for c in sorted(counts)], F.lit(0))
     dealt = rows.withColumn("level", level).withColumn("bucket", (of_level(first.get) + F.pmod(F.xxhash64("vec_id"), of_level(lambda c: max(1, math.ceil(counts[c] / bucket))))).cast("int"))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    asked = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")), "topk-queries")
     schema = "query_id long, dim int, vec_id long, score long"
 
     def run(key, left, right):
