@@ -12,10 +12,9 @@ from pyspark.sql import types as T
 from .quality_rules import let
 from .store import written
 
-#: Entries of the table of frequent words, their greatest length in bytes, and its hash buckets.
-DICTIONARY = 1 << 17
+#: Entries of the table of frequent words, and their greatest length in bytes.
+DICTIONARY = 1 << 18
 LONGEST = 64
-BUCKETS = 1 << 14
 NONE = (1 << 31) - 1
 
 
@@ -32,61 +31,69 @@ def constants(df: DataFrame, **values: Column):
 
 
 class Vocabulary:
-    """The rank map as one constant value of a plan: buckets of (bytes -> rank), and the pieces
-    by rank. Its size is that of the vocabulary file."""
+    """The rank map as constant values of a plan: buckets of (bytes -> rank), buckets of (pair of
+    ranks -> rank of the two pieces together), and the pieces by rank. Their size is that of the vocabulary file."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 1 << 13):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 1 << 14):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
         table: list[dict] = [{} for _ in range(buckets)]
+        pairs: list[dict] = [{} for _ in range(buckets)]
         pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             table[zlib.crc32(piece) % buckets][piece] = rank
             pieces[rank] = piece
-        schema = T.StructType([T.StructField("ranks", T.ArrayType(T.MapType(T.BinaryType(), T.IntegerType()))), T.StructField("pieces", T.ArrayType(T.BinaryType()))])
-        row = spark.createDataFrame([(table, pieces)], schema, verifySchema=False)
-        self.values = dict(zip(("ranks", "pieces"), (row.select("ranks").scalar(), row.select(F.transform("pieces", lambda p: F.hex(p)).alias("p")).scalar())))
+            for k in range(1, len(piece)):
+                a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if a is not None and b is not None:
+                    pairs[(a * 31 + b) % buckets][(a << 32) + b] = rank
+        schema = T.StructType([T.StructField("ranks", T.ArrayType(T.MapType(T.BinaryType(), T.IntegerType()))),
+                               T.StructField("pairs", T.ArrayType(T.MapType(T.LongType(), T.IntegerType()))), T.StructField("pieces", T.ArrayType(T.BinaryType()))])
+        row = spark.createDataFrame([(table, pairs, pieces)], schema, verifySchema=False)
+        self.values = {"ranks": row.select("ranks").scalar(), "pairs": row.select("pairs").scalar(), "pieces": row.select(F.transform("pieces", lambda p: F.hex(p)).alias("p")).scalar()}
         self.buckets = buckets
 
     def coder(self, given: Column) -> Coder:
-        return Coder(given["ranks"], given["pieces"], self.buckets)
+        return Coder(given["ranks"], given["pairs"], given["pieces"], self.buckets)
 
 
 class Coder:
     """Expressions on one word, given the constants of a vocabulary."""
 
-    def __init__(self, ranks: Column, pieces: Column, buckets: int):
-        self.ranks, self.pieces, self.buckets = ranks, pieces, buckets
+    def __init__(self, ranks: Column, pairs: Column, pieces: Column, buckets: int):
+        self.ranks, self.pairs, self.pieces, self.buckets = ranks, pairs, pieces, buckets
 
     def rank(self, piece: Column) -> Column:
         return F.get(self.ranks, (F.crc32(piece) % self.buckets).cast("int"))[piece]
 
+    def pair(self, a: Column, b: Column) -> Column:
+        """Rank of two neighbouring pieces together, NONE without one."""
+        key = a.cast("long") * (1 << 32) + b
+        return F.coalesce(F.get(self.pairs, (a * 31 + b) % self.buckets)[key], F.lit(NONE))
+
     def encode(self, word: Column) -> Column:
         """The ids of one word given as bytes: ranked merges folded over its byte array. The
-        leftmost pair of lowest rank merges first, until no pair has a rank."""
-        pair = lambda a, b: F.coalesce(self.rank(F.concat(a, b)), F.lit(NONE))
-
-        def merge(s: Column, p: Column) -> Column:
+        leftmost pair of lowest rank merges first, until no pair has a rank. The state holds
+        the ranks t of the pieces and the ranks r of neighbouring pieces together."""
+        def merge(s: Column, m: Column, p: Column) -> Column:
             t, r = s["t"], s["r"]
-            one = F.concat(F.get(t, p - 1), F.get(t, p))
-            left = F.when(p > 1, F.array(pair(F.get(t, p - 2), one))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p + 1 < F.size(t), F.array(pair(one, F.get(t, p + 1)))).otherwise(F.array().cast("array<int>"))
-            return F.struct(F.concat(F.slice(t, F.lit(1), p - 1), F.array(one), F.slice(t, p + 2, F.size(t))).alias("t"),
-                            F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, F.size(t))).alias("r"))
+            gone = F.when(p < F.size(r), p).otherwise(p - 1)
+            pieces = F.transform(t, lambda x, i: F.when(i == p - 1, m).otherwise(x))
+            together = F.transform(r, lambda x, i: F.when(i == p - 2, self.pair(F.get(t, p - 2), m)).when((i == p - 1) & (p < F.size(r)), self.pair(m, F.get(t, p + 1))).otherwise(x))
+            return F.struct(F.filter(pieces, lambda x, i: i != p).alias("t"), F.filter(together, lambda x, i: i != gone).alias("r"))
 
         def step(s: Column, _: Column) -> Column:
-            low = lambda m: F.when(m == NONE, s).otherwise(let(F.array_position(s["r"], m).cast("int"), lambda p: merge(s, p)))
+            low = lambda m: F.when(m == NONE, s).otherwise(let(F.array_position(s["r"], m).cast("int"), lambda p: merge(s, m, p)))
             return let(F.coalesce(F.array_min(s["r"]), F.lit(NONE)), low)
 
         def fold(w: Column) -> Column:
             n = F.length(w)
-            start = F.struct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(w, i, F.lit(1))).alias("t"),
-                             F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.coalesce(self.rank(F.substring(w, i, F.lit(2))), F.lit(NONE))).alias("r"))
-            merged = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda s: s["t"])
-            return F.transform(merged, lambda t: self.rank(t))
+            singles = F.transform(F.sequence(F.lit(1), n), lambda i: self.rank(F.substring(w, i, F.lit(1))))
+            start = lambda t: F.struct(t.alias("t"), F.transform(F.sequence(F.lit(0), n - 2), lambda i: self.pair(F.get(t, i), F.get(t, i + 1))).alias("r"))
+            return F.aggregate(F.sequence(F.lit(1), n - 1), let(singles, start), step, lambda s: s["t"])
 
-        return let(word, lambda w: F.coalesce(F.when(self.rank(w).isNotNull(), F.array(self.rank(w))),
-                                              F.when(F.length(w) > 1, fold(w)), F.array().cast("array<int>")))
+        whole = lambda w, r: F.when(r.isNotNull(), F.array(r)).when(F.length(w) > 1, fold(w)).otherwise(F.array().cast("array<int>"))
+        return let(word, lambda w: let(self.rank(w), lambda r: whole(w, r)))
 
     def decode_hex(self, ids: Column) -> Column:
         """The hex form of the ids' pieces, one after the other."""
@@ -104,9 +111,9 @@ def _coded(vocab: Coder, word: Column) -> Column:
     return let(vocab.encode(F.encode(word, "UTF-8")), lambda ids: F.struct(ids_hex(ids).alias("ids"), vocab.decode_hex(ids).alias("bytes")))
 
 
-def frequent(docs: DataFrame, vocab: Vocabulary, pattern: str, size: int = DICTIONARY) -> Column:
-    """The most frequent distinct words of all texts (at most `size`, by counts over the whole
-    table), encoded and decoded once each, as one constant: buckets of word -> (ids, bytes)."""
+def frequent(docs: DataFrame, vocab: Vocabulary, pattern: str, size: int = DICTIONARY) -> list:
+    """The most frequent distinct words of all texts (at most `size` of at most LONGEST bytes, by
+    counts over the whole table), encoded and decoded once each: rows (word, ids, bytes)."""
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("word"))
     counts = written(words.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)), "bpe-words")
     by_count = counts.groupBy("n").agg(F.count("*").alias("words"))
@@ -114,35 +121,57 @@ def frequent(docs: DataFrame, vocab: Vocabulary, pattern: str, size: int = DICTI
     cut = upto.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
     kept = counts.where(F.col("n") >= (cut or NONE)).select("word").repartition(64, "word")
     given, use = constants(kept, **vocab.values)
-    coded = written(given.select("word", use(lambda k: _coded(vocab.coder(k), F.col("word"))).alias("code")), "bpe-coded")
-    bucket = (F.crc32("word") % BUCKETS).cast("int")
-    filled = coded.groupBy(bucket.alias("b")).agg(F.collect_list(F.struct("word", "code")).alias("e"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(filled.hint("shuffle_hash"), "b", "left")
-    empty = F.array().cast(filled.schema["e"].dataType)
-    rows = every.agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("e", empty).alias("e")))).alias("all"))
-    return rows.select(F.transform("all", lambda x: F.map_from_entries(x["e"])).alias("d")).scalar()
+    coded = given.select("word", use(lambda k: _coded(vocab.coder(k), F.col("word"))).alias("c"))
+    return written(coded.select("word", F.unhex("c.ids").alias("ids"), F.unhex("c.bytes").alias("bytes")), "bpe-coded").collect()
+
+
+def _segments(np, pa, words, index, codes):
+    """Codes of the known words of each document, cut at its other words: a list of binary runs
+    per document, one more than it has other words."""
+    lost = np.flatnonzero(index == len(codes) - 1)
+    starts = words.offsets.to_numpy() - words.offsets[0].as_py()
+    at = np.concatenate((starts[:-1], lost))
+    at = at[np.argsort(at, kind="stable")]  # a document's start goes before its first word
+    taken = codes.take(pa.array(index))
+    offsets = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, taken.offset * 4) if len(taken) else np.zeros(1, np.int32)
+    runs = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(offsets[at], offsets[-1]).astype(np.int32)), taken.buffers()[2] if len(taken) else pa.py_buffer(b"")])
+    before = np.searchsorted(lost, starts)
+    return pa.ListArray.from_arrays(pa.array((before + np.arange(len(starts))).astype(np.int32)), runs), lost, before
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ()) -> DataFrame:
     """doc_id, n_tokens, ids (binary), decoded (binary) of every row's whole text, and the columns of keep.
 
-    Words are the pattern's matches. Frequent words come from the table of distinct words that
-    were folded once; any other word is folded where it stands, so every text is encoded in
-    full and the table's bound only shifts work. Null and empty texts have no ids. A word of n
-    bytes that is not frequent takes n merges of n steps at most.
+    Words are the pattern's matches. The frequent distinct words are folded once; their codes are
+    a table of bounded size, which every task holds to look words up by Arrow's hash index. Any other
+    word is folded where it stands, so every text is encoded in full and the bound only shifts
+    work. Null and empty texts have no ids. A word of n bytes that is not frequent takes n merges of n steps at most.
     """
-    vocab = Vocabulary(docs.sparkSession, path)
-    java = java_pattern(pattern)
+    vocab, java, own = Vocabulary(docs.sparkSession, path), java_pattern(pattern), [f"_{c}" for c in keep]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
-    table, own = frequent(rows, vocab, java), [f"_{c}" for c in keep]
-    given, use = constants(rows, **vocab.values, table=table)
-
-    def coded(k: Column) -> Column:
-        found = lambda w: F.coalesce(F.get(k["table"], (F.crc32(w) % BUCKETS).cast("int"))[w], _coded(vocab.coder(k), w))
-        return F.transform(F.regexp_extract_all("text", F.lit(java), 0), found)
-
-    part = lambda c, name: F.array_join(F.transform(c, lambda x: x[name]), "").alias(name)
-    joined = let(use(coded), lambda c: F.struct(part(c, "ids"), part(c, "bytes")))
-    return (given.select("doc_id", joined.alias("j"), *own)
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in frequent(rows, vocab, java)])
+
+    def look_up(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, ids, pieces = (list(c) for c in zip(*shared.value)) if shared.value else ([], [], [])
+        known, ids, pieces = pa.array(known, pa.string()), pa.array([*ids, b""], pa.binary()), pa.array([*pieces, b""], pa.binary())
+        for b in batches:
+            words = b.column("words")
+            flat = words.flatten()
+            index = pc.fill_null(pc.index_in(flat, known), len(known)).to_numpy(zero_copy_only=False)
+            codes, lost, before = _segments(np, pa, words, index, ids)
+            decoded, _, _ = _segments(np, pa, words, index, pieces)
+            rare = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), flat.take(pa.array(lost)))
+            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(b.schema.names, b.columns) if n != "words"), codes, decoded, rare], names=[*(n for n in b.schema.names if n != "words"), "ids", "bytes", "rare"])
+
+    found = rows.select("doc_id", *own, F.regexp_extract_all("text", F.lit(java), 0).alias("words"))
+    schema = T.StructType([*(f for f in found.schema if f.name != "words"), T.StructField("ids", T.ArrayType(T.BinaryType())), T.StructField("bytes", T.ArrayType(T.BinaryType())), T.StructField("rare", T.ArrayType(T.StringType()))])
+    given, use = constants(found.mapInArrow(look_up, schema), **vocab.values)
+    joined = lambda runs, c, name: F.array_join(F.zip_with(runs, c[name], lambda a, x: F.concat(F.hex(a), F.coalesce(x, F.lit("")))), "").alias(name)
+    coded = use(lambda k: let(F.transform("rare", lambda w: _coded(vocab.coder(k), w)), lambda c: F.struct(joined("ids", c, "ids"), joined("bytes", c, "bytes"))))
+    return (given.select("doc_id", coded.alias("j"), *own)
             .select("doc_id", F.unhex("j.ids").alias("ids"), F.unhex("j.bytes").alias("decoded"), *own)
             .select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded", *(F.col(f"_{c}").alias(c) for c in keep)))
