@@ -107,12 +107,12 @@ def mix(docs: DataFrame, seed: int = 17, keep: list[str] = ()) -> DataFrame:
            .withColumn("from", F.col("pass") * F.col("source_size") + F.col("start"))
            .withColumn("to", F.least(F.col("from") + F.col("size"), "limit")).where("from < to"))
     # the slot of a block: by rank; blocks past the schedule's last slot of the source follow it
-    opened = met.select("doc_id", "dice", "turn", "start", "size", "pass", "from", "to", F.floor(F.col("from") / block).alias("rank"))
+    opened = met.select("turn", "start", "size", "pass", "from", "to", F.floor(F.col("from") / block).alias("rank"))
     timed = opened.join(ranked.hint("shuffle_merge"), ["turn", "rank"], "left")
-    spans = (timed.groupBy("turn", "start", "dice", "doc_id", "size")
+    spans = (timed.groupBy("turn", "start", "size")
              .agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.min(F.coalesce("slot", F.lit(slots) + F.col("rank"))).alias("first_slot"),
                   F.sort_array(F.collect_list(F.struct("pass", (F.col("to") - F.col("from")).alias("words")))).alias("epochs")))
-    out = placed.join(spans.hint("shuffle_merge"), ["turn", "start", "dice", "doc_id", "size"], "left")
+    out = placed.join(spans.hint("shuffle_merge"), ["turn", "start", "size"], "left")  # words of two rows never start at one place
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "start", "first_slot", "epochs", *keep)
 
 
