@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Narrow and non-breaking blanks that reports put between digits.
-THIN_BLANKS = "  "
+THIN_BLANKS = "\u202f\u00a0"
 
 
 def number(c: Column) -> Column:
@@ -43,7 +43,7 @@ def clean_name(c: Column) -> Column:
 
 def plain_hyphens(c: Column) -> Column:
     """Non-breaking hyphens become ASCII ones, so that names join."""
-    return F.translate(c, "‐‑‒", "---")
+    return F.translate(c, "\u2010\u2011\u2012", "---")
 
 
 def bracket_text(c: Column) -> Column:

@@ -72,7 +72,7 @@ DIRTY = """SELECT l_orderkey, l_partkey, l_linenumber, CASE l_linenumber
 def _dirty(spark, sf_dir):
     n, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber")
     raw = (F.when(k == 1, F.concat(n, F.lit(","), k.cast("string"))).when(k == 2, F.concat(F.lit(" "), n, F.lit(".5 ")))
-           .when(k == 3, F.concat(F.lit("1 "), n, F.lit(" "))).when(k == 4, "Negatif (-)").when(k == 5, "").otherwise(n))
+           .when(k == 3, F.concat(F.lit("1\u202f"), n, F.lit("\u00a0"))).when(k == 4, "Negatif (-)").when(k == 5, "").otherwise(n))
     up = (F.col("l_quantity").cast("int") + 3).cast("string")
     rng = (F.when(k == 1, F.concat(F.lit("< "), n, F.lit(",5"))).when(k == 2, ">= 1").when(k == 3, F.concat(n, F.lit(" - "), up))
            .when(k == 4, F.concat(F.lit("<"), n)).when(k == 5, " - 7,25").when(k == 6, "0 - 1.75 IU").otherwise("a - b - c"))
