@@ -246,7 +246,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     3. Anchors with more than HOT distinct surroundings are spread over several shards; the
        strings that are first in their shard meet once more by hash.
     """
-    rows = _anchor_rows(docs.select("doc", "tag", "text"))
+    rows = _anchor_rows(docs.select("doc", "tag", "text")).repartition("key")  # one exchange for all windows
     alike = Window.partitionBy("key", "around").orderBy("doc", "at")
     marked = rows.withColumn("first", (F.rank().over(alike) == 1) & (F.row_number().over(alike) == 1))
     # rank 1 twice means rows of one document: the same place, listed once
