@@ -50,18 +50,20 @@ class Vocabulary:
         schema = T.StructType([T.StructField("ranks", T.ArrayType(T.MapType(T.BinaryType(), T.IntegerType()))),
                                T.StructField("pairs", T.ArrayType(T.MapType(T.LongType(), T.IntegerType()))), T.StructField("pieces", T.ArrayType(T.BinaryType()))])
         row = spark.createDataFrame([(table, pairs, pieces)], schema, verifySchema=False)
-        self.values = {"ranks": row.select("ranks").scalar(), "pairs": row.select("pairs").scalar(), "pieces": row.select(F.transform("pieces", lambda p: F.hex(p)).alias("p")).scalar()}
-        self.buckets = buckets
+        #: What folding needs; ranks of whole words are a constant of their own, as not all plans need them.
+        self.values = {"pairs": row.select("pairs").scalar(), "pieces": row.select(F.transform("pieces", lambda p: F.hex(p)).alias("p")).scalar()}
+        self.ranks, self.buckets, self.pieces = row.select("ranks").scalar(), buckets, pieces
+        self.singles = [ranks[bytes([b])] for b in range(256)]
 
-    def coder(self, given: Column) -> Coder:
-        return Coder(given["ranks"], given["pairs"], given["pieces"], self.buckets)
+    def coder(self, given: Column, whole: bool) -> Coder:
+        return Coder(given["ranks"] if whole else None, given["pairs"], given["pieces"], self.buckets, self.singles)
 
 
 class Coder:
     """Expressions on one word, given the constants of a vocabulary."""
 
-    def __init__(self, ranks: Column, pairs: Column, pieces: Column, buckets: int):
-        self.ranks, self.pairs, self.pieces, self.buckets = ranks, pairs, pieces, buckets
+    def __init__(self, ranks: Column | None, pairs: Column, pieces: Column, buckets: int, singles: list[int]):
+        self.ranks, self.pairs, self.pieces, self.buckets, self.singles = ranks, pairs, pieces, buckets, F.lit(singles).cast("array<int>")
 
     def rank(self, piece: Column) -> Column:
         return F.get(self.ranks, (F.crc32(piece) % self.buckets).cast("int"))[piece]
@@ -72,7 +74,7 @@ class Coder:
         return F.coalesce(F.get(self.pairs, (a * 31 + b) % self.buckets)[key], F.lit(NONE))
 
     def encode(self, word: Column) -> Column:
-        """The ids of one word given as bytes: ranked merges folded over its byte array. The
+        """The ids of one word given as bytes: its own rank, else ranked merges folded over its byte array. The
         leftmost pair of lowest rank merges first, until no pair has a rank. The state holds
         the ranks t of the pieces and the ranks r of neighbouring pieces together."""
         def merge(s: Column, m: Column, p: Column) -> Column:
@@ -88,12 +90,15 @@ class Coder:
 
         def fold(w: Column) -> Column:
             n = F.length(w)
-            singles = F.transform(F.sequence(F.lit(1), n), lambda i: self.rank(F.substring(w, i, F.lit(1))))
+            one = lambda chars: F.transform(F.sequence(F.lit(1), n), lambda i: F.get(self.singles, F.ascii(F.substring(chars, i, F.lit(1)))))
+            singles = let(F.decode(w, "ISO-8859-1"), one)  # a character for each byte
             start = lambda t: F.struct(t.alias("t"), F.transform(F.sequence(F.lit(0), n - 2), lambda i: self.pair(F.get(t, i), F.get(t, i + 1))).alias("r"))
-            return F.aggregate(F.sequence(F.lit(1), n - 1), let(singles, start), step, lambda s: s["t"])
+            merged = F.aggregate(F.sequence(F.lit(1), n - 1), let(singles, start), step, lambda s: s["t"])
+            return F.when(n > 1, merged).when(n == 1, singles).otherwise(F.array().cast("array<int>"))
 
-        whole = lambda w, r: F.when(r.isNotNull(), F.array(r)).when(F.length(w) > 1, fold(w)).otherwise(F.array().cast("array<int>"))
-        return let(word, lambda w: let(self.rank(w), lambda r: whole(w, r)))
+        if self.ranks is None:
+            return let(word, fold)
+        return let(word, lambda w: let(self.rank(w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(w))))
 
     def decode_hex(self, ids: Column) -> Column:
         """The hex form of the ids' pieces, one after the other."""
@@ -111,18 +116,37 @@ def _coded(vocab: Coder, word: Column) -> Column:
     return let(vocab.encode(F.encode(word, "UTF-8")), lambda ids: F.struct(ids_hex(ids).alias("ids"), vocab.decode_hex(ids).alias("bytes")))
 
 
-def frequent(docs: DataFrame, vocab: Vocabulary, pattern: str, size: int = DICTIONARY) -> list:
+def frequent(docs: DataFrame, vocab: Vocabulary, pattern: str, size: int = DICTIONARY):
     """The most frequent distinct words of all texts (at most `size` of at most LONGEST bytes, by
-    counts over the whole table), encoded and decoded once each: rows (word, ids, bytes)."""
+    counts over the whole table), encoded and decoded once each: an Arrow table (word, ids, bytes)."""
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("word"))
     counts = written(words.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)), "bpe-words")
     by_count = counts.groupBy("n").agg(F.count("*").alias("words"))
     upto = by_count.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n"))))
     cut = upto.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
-    kept = counts.where(F.col("n") >= (cut or NONE)).select("word").repartition(64, "word")
-    given, use = constants(kept, **vocab.values)
-    coded = given.select("word", use(lambda k: _coded(vocab.coder(k), F.col("word"))).alias("c"))
-    return written(coded.select("word", F.unhex("c.ids").alias("ids"), F.unhex("c.bytes").alias("bytes")), "bpe-coded").collect()
+    kept = counts.where(F.col("n") >= (cut or NONE)).select("word")
+    sheets = kept.groupBy(F.pmod(F.hash("word"), F.lit(1024)).alias("sheet")).agg(F.collect_list("word").alias("words"))  # at most size / 1024 or so each
+    given, use = constants(sheets.repartition(64, "sheet"), ranks=vocab.ranks, **vocab.values)
+    each = use(lambda k: F.transform("words", lambda w: F.struct(w.alias("word"), _coded(vocab.coder(k, True), w).alias("c"))))
+    coded = given.select(F.explode(each).alias("x"))
+    return written(coded.select("x.word", F.unhex("x.c.ids").alias("ids"), F.unhex("x.c.bytes").alias("bytes")), "bpe-coded").toArrow()
+
+
+def _with_pieces(known, pieces: list[bytes]):
+    """The table of known words and, for each other word that is a piece of the vocabulary, its one id."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words, ids = [], []
+    for rank, piece in enumerate(pieces):
+        try:
+            words.append(piece.decode())
+            ids.append(rank)
+        except UnicodeDecodeError:  # part of a character is never a word
+            continue
+    own = pa.table([pa.array(words, pa.string()), pa.array([i.to_bytes(4, "little") for i in ids], pa.binary()), pa.array([w.encode() for w in words], pa.binary())], names=["word", "ids", "bytes"])
+    known = known.cast(own.schema)
+    return pa.concat_tables([known, own.filter(pc.invert(pc.is_in(own["word"], known["word"])))]).combine_chunks()
 
 
 def _segments(np, pa, words, index, codes):
@@ -142,22 +166,23 @@ def _segments(np, pa, words, index, codes):
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ()) -> DataFrame:
     """doc_id, n_tokens, ids (binary), decoded (binary) of every row's whole text, and the columns of keep.
 
-    Words are the pattern's matches. The frequent distinct words are folded once; their codes are
-    a table of bounded size, which every task holds to look words up by Arrow's hash index. Any other
+    Words are the pattern's matches. The frequent distinct words are folded once; their codes and
+    the vocabulary's pieces are a table of bounded size, which every task holds to look words up by Arrow's hash index. Any other
     word is folded where it stands, so every text is encoded in full and the bound only shifts
     work. Null and empty texts have no ids. A word of n bytes that is not frequent takes n merges of n steps at most.
     """
     vocab, java, own = Vocabulary(docs.sparkSession, path), java_pattern(pattern), [f"_{c}" for c in keep]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in frequent(rows, vocab, java)])
+    shared = docs.sparkSession.sparkContext.broadcast(_with_pieces(frequent(rows, vocab, java), vocab.pieces))
 
     def look_up(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        known, ids, pieces = (list(c) for c in zip(*shared.value)) if shared.value else ([], [], [])
-        known, ids, pieces = pa.array(known, pa.string()), pa.array([*ids, b""], pa.binary()), pa.array([*pieces, b""], pa.binary())
+        none = pa.array([b""], pa.binary())
+        known = shared.value["word"].combine_chunks()
+        ids, pieces = (pa.concat_arrays([*shared.value[c].chunks, none]) for c in ("ids", "bytes"))
         for b in batches:
             words = b.column("words")
             flat = words.flatten()
@@ -171,7 +196,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ()) -> Da
     schema = T.StructType([*(f for f in found.schema if f.name != "words"), T.StructField("ids", T.ArrayType(T.BinaryType())), T.StructField("bytes", T.ArrayType(T.BinaryType())), T.StructField("rare", T.ArrayType(T.StringType()))])
     given, use = constants(found.mapInArrow(look_up, schema), **vocab.values)
     joined = lambda runs, c, name: F.array_join(F.zip_with(runs, c[name], lambda a, x: F.concat(F.hex(a), F.coalesce(x, F.lit("")))), "").alias(name)
-    coded = use(lambda k: let(F.transform("rare", lambda w: _coded(vocab.coder(k), w)), lambda c: F.struct(joined("ids", c, "ids"), joined("bytes", c, "bytes"))))
+    coded = use(lambda k: let(F.transform("rare", lambda w: _coded(vocab.coder(k, False), w)), lambda c: F.struct(joined("ids", c, "ids"), joined("bytes", c, "bytes"))))
     return (given.select("doc_id", coded.alias("j"), *own)
             .select("doc_id", F.unhex("j.ids").alias("ids"), F.unhex("j.bytes").alias("decoded"), *own)
             .select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded", *(F.col(f"_{c}").alias(c) for c in keep)))
