@@ -13,7 +13,7 @@ from .quality_rules import let
 from .store import written
 
 #: Entries of the table of frequent words, and their greatest length in bytes.
-DICTIONARY = 1 << 18
+DICTIONARY = 1 << 19
 LONGEST = 64
 NONE = (1 << 31) - 1
 
@@ -189,13 +189,19 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ()) -> Da
             index = pc.fill_null(pc.index_in(flat, known), len(known)).to_numpy(zero_copy_only=False)
             codes, lost, before = _segments(np, pa, words, index, ids)
             decoded, _, _ = _segments(np, pa, words, index, pieces)
-            rare = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), flat.take(pa.array(lost)))
-            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(b.schema.names, b.columns) if n != "words"), codes, decoded, rare], names=[*(n for n in b.schema.names if n != "words"), "ids", "bytes", "rare"])
+            # each document's other words once, and for each cut which of them stands there
+            coded = flat.take(pa.array(lost)).dictionary_encode()
+            doc = np.repeat(np.arange(len(words)), np.diff(before))
+            pair, which = np.unique(doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+            first = np.searchsorted(pair, np.arange(len(words) + 1) * max(1, len(coded.dictionary)))
+            rare = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), coded.dictionary.take(pa.array(pair % max(1, len(coded.dictionary)))))
+            cuts = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array((which - first[doc]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(b.schema.names, b.columns) if n != "words"), codes, decoded, rare, cuts], names=[*(n for n in b.schema.names if n != "words"), "ids", "bytes", "rare", "cuts"])
 
     found = rows.select("doc_id", *own, F.regexp_extract_all("text", F.lit(java), 0).alias("words"))
-    schema = T.StructType([*(f for f in found.schema if f.name != "words"), T.StructField("ids", T.ArrayType(T.BinaryType())), T.StructField("bytes", T.ArrayType(T.BinaryType())), T.StructField("rare", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*(f for f in found.schema if f.name != "words"), T.StructField("ids", T.ArrayType(T.BinaryType())), T.StructField("bytes", T.ArrayType(T.BinaryType())), T.StructField("rare", T.ArrayType(T.StringType())), T.StructField("cuts", T.ArrayType(T.IntegerType()))])
     given, use = constants(found.mapInArrow(look_up, schema), **vocab.values)
-    joined = lambda runs, c, name: F.array_join(F.zip_with(runs, c[name], lambda a, x: F.concat(F.hex(a), F.coalesce(x, F.lit("")))), "").alias(name)
+    joined = lambda runs, c, name: F.array_join(F.zip_with(runs, F.transform("cuts", lambda i: F.get(c[name], i)), lambda a, x: F.concat(F.hex(a), F.coalesce(x, F.lit("")))), "").alias(name)
     coded = use(lambda k: let(F.transform("rare", lambda w: _coded(vocab.coder(k, False), w)), lambda c: F.struct(joined("ids", c, "ids"), joined("bytes", c, "bytes"))))
     return (given.select("doc_id", coded.alias("j"), *own)
             .select("doc_id", F.unhex("j.ids").alias("ids"), F.unhex("j.bytes").alias("decoded"), *own)

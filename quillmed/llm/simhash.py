@@ -60,7 +60,7 @@ def links(prints: DataFrame) -> DataFrame:
     """
     half = (1 << 32) - 1
     low, high = F.col("fp").bitwiseAND(F.lit(half)), F.shiftrightunsigned("fp", 32)
-    ball = lambda seg: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: seg.bitwiseXOR(F.expr("1L").cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+    ball = lambda seg: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: seg.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
     own = F.array(F.struct(low.alias("lo"), high.alias("hi")))
     keys = F.concat(own, F.transform(ball(low), lambda x: F.struct(x.alias("lo"), high.alias("hi"))),
                     F.transform(ball(high), lambda x: F.struct(low.alias("lo"), x.alias("hi"))))

@@ -101,7 +101,7 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, bucket: int = BUCKET, blo
     bucket, which gives floors, then each other bucket, whose pruning uses them. Blocks meet
     buckets by an equality join on (block, bucket) after both are copied for their partners: a
     stated query set against all rows. Every bucket returns its k best at most; the k best of
-    those are ranked per query. Rows of one vec_id that repeat are separate candidates. Vectors
+    those are ranked per query. Rows that share the query's vec_id are its own, never candidates. Vectors
     whose dimension differs from the query's share no bucket with it. Fewer than k other rows
     give as many as there are.
     """
