@@ -46,9 +46,10 @@ def _found(a: Column, t: Column) -> Column:
 
 def parse_tag(tag: Column) -> tuple[Column, Column]:
     """Label and id of a tag such as LABEL, LABEL[3] or LABEL[3]|OTHER; '_' has no label."""
-    layer = F.get(F.split(tag, r"\|"), 0)
-    label = F.nullif(F.nullif(F.regexp_replace(layer, r"\[\d+\]$", ""), F.lit("_")), F.lit(""))
-    return label, F.regexp_extract(layer, r"\[(\d+)\]$", 1).try_cast("int")
+    layer = F.substring_index(tag, "|", 1)
+    with_id = F.endswith(layer, F.lit("]"))  # most tags have none, and cost no pattern
+    label = F.nullif(F.nullif(F.when(with_id, F.regexp_replace(layer, r"\[\d+\]$", "")).otherwise(layer), F.lit("_")), F.lit(""))
+    return label, F.when(with_id, F.regexp_extract(layer, r"\[(\d+)\]$", 1).try_cast("int"))
 
 
 def tags_to_spans(tokens: DataFrame, tag: str = "tag") -> DataFrame:
