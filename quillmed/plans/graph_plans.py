@@ -10,7 +10,7 @@ from quillmed.sources import files
 
 from .base import query, table
 
-FACTS = """SELECT o_custkey AS doc, l_orderkey AS sent, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fact_id, l_returnflag AS predicate, l_partkey, l_suppkey, l_quantity, l_linenumber, l_linestatus,
+FACTS = """SELECT o_custkey AS doc, l_orderkey AS sent, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER), l_returnflag) AS fact_id, l_returnflag AS predicate, l_partkey, l_suppkey, l_quantity, l_linenumber, l_linestatus,
  l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 ROLES = f"""SELECT doc, sent, fact_id, predicate, 'part' AS role, 'P' || l_partkey AS entity, NULL::VARCHAR AS literal, NULL::VARCHAR AS datatype FROM ({FACTS})
  UNION ALL SELECT doc, sent, fact_id, predicate, 'supplier', 'S' || l_suppkey, NULL, NULL FROM ({FACTS}) UNION ALL SELECT doc, sent, fact_id, predicate, 'quantity', NULL, CAST(l_quantity AS INTEGER)::VARCHAR, CASE WHEN l_linenumber % 2 = 0 THEN 'int' END FROM ({FACTS})"""
@@ -21,7 +21,7 @@ ENTS = f"""SELECT doc, sent, 'P' || l_partkey AS id, p_brand AS name, CASE WHEN
 def facts(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     f = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return f.select(F.col("o_custkey").alias("doc"), F.col("l_orderkey").alias("sent"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"),
+    return f.select(F.col("o_custkey").alias("doc"), F.col("l_orderkey").alias("sent"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag").alias("fact_id"),
                     F.col("l_returnflag").alias("predicate"), "l_partkey", "l_suppkey", "l_quantity", "l_linenumber", "l_linestatus", "l_shipdate")
 
 
