@@ -39,7 +39,7 @@ def validate(cpt: DataFrame, variable: str, parents: list[str], states: int) ->
     return g.agg(F.round(F.sum("p"), 9).alias("total"), F.count(variable).alias("states")).withColumn("valid", (F.abs(F.col("total") - 1) < 1e-6) & (F.col("states") == states))
 
 
-def cycles(edges: DataFrame, depth: int = 8) -> DataFrame:
+def cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Variables that reach themselves along edges(parent, child)."""
     reach = closure(edges, depth)
     return reach.join(edges.select(F.col("parent").alias("node"), F.col("child").alias("root")), ["node", "root"], "left_semi").select(F.col("root").alias("variable")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,23 +112,37 @@ def merge_links(links: DataFrame, order: list[str]) -> DataFrame:
 
 
 # ---- recursion
-def closure(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """edges(parent, child) -> (root, node, depth, path): everything that a root reaches, along each path, cycles cut. Depth is bounded by the parameter."""
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder (spark.checkpoint.dir; a temporary one where it is unset) and read again."""
+    spark = df.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """edges(parent, child) -> (root, node, depth, path): everything that a root reaches, along each path, cycles cut.
+    The frontier is written and followed until it is empty; a depth, where given, ends it sooner."""
     level = edges.select(F.col("parent").alias("root"), F.col("child").alias("node"), F.lit(1).alias("depth"), F.array("parent", "child").alias("path")).where("root <> node")
-    out = level
-    for d in range(2, depth + 1):
+    out = level = _written(level, "closure")
+    d = 1
+    while (depth is None or d < depth) and not level.isEmpty():
+        d += 1
         nxt = level.join(edges, F.col("node") == F.col("parent")).where(~F.array_contains("path", F.col("child")))
-        level = nxt.select("root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.array_append("path", F.col("child")).alias("path"))
+        level = _written(nxt.select("root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.array_append("path", F.col("child")).alias("path")), "closure")
         out = out.unionAll(level)
     return out
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame, depth: int = 8) -> DataFrame:
-    """Level of a fact: longest path to facts it refers to; facts on a cycle, and those above deeper chains, come last (depth + 1)."""
-    deep = closure(edges, depth).groupBy(F.col("root").alias("id")).agg(F.max("depth").alias("level"))
-    on_cycle = closure(edges, depth).join(edges.select(F.col("parent").alias("node"), F.col("child").alias("root")), ["node", "root"], "left_semi").select(F.col("root").alias("id")).distinct().withColumn("cyclic", F.lit(True))
-    m = nodes.select("id").join(deep, "id", "left").join(on_cycle, "id", "left")
-    return m.select("id", F.when(F.col("cyclic"), depth + 1).otherwise(F.coalesce("level", F.lit(0))).alias("level"))
+def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Level of a fact: longest path to facts it refers to; facts on a cycle come last, one level above all others."""
+    reach = closure(edges)
+    deep = reach.groupBy(F.col("root").alias("id")).agg(F.max("depth").alias("level"))
+    on_cycle = reach.join(edges.select(F.col("parent").alias("node"), F.col("child").alias("root")), ["node", "root"], "left_semi").select(F.col("root").alias("id")).distinct().withColumn("cyclic", F.lit(True))
+    last = reach.agg((F.coalesce(F.max("depth"), F.lit(0)) + 1).alias("last"))
+    m = nodes.select("id").join(deep, "id", "left").join(on_cycle, "id", "left").join(F.broadcast(last))
+    return m.select("id", F.when(F.col("cyclic"), F.col("last")).otherwise(F.coalesce("level", F.lit(0))).alias("level"))
 
 
 # ---- flattening
@@ -166,7 +182,7 @@ def provenance(facts: DataFrame) -> DataFrame:
     return t.groupBy("s", "t.p", "t.o").agg(F.count("*").alias("n"))
 
 
-def contexts(members: DataFrame, depth: int = 6) -> DataFrame:
+def contexts(members: DataFrame, depth: int | None = None) -> DataFrame:
     """members(doc, link, pos, member, member_type, name) of context links -> per context link its
     timestamp, its sentence (by type or by form of the name) and the first evaluation among the other members or beneath them."""
     stamp = (F.col("member_type") == "TimestampNode") | F.rlike(F.coalesce("name", F.lit("")), F.lit(r"^\d{4}-\d{2}-\d{2}"))

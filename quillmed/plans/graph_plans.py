@@ -173,7 +173,7 @@ def chain(spark, sf_dir):
 
 @query("k13_closure", f"{CLOSURE} SELECT root, node, depth, array_to_string(path, '/') AS path FROM c")
 def k13(spark, sf_dir):
-    return K.closure(chain(spark, sf_dir), 6).select("root", "node", "depth", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
+    return K.closure(chain(spark, sf_dir)).select("root", "node", "depth", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
 
 
 @query("k14_lookup", f"""
@@ -226,7 +226,7 @@ def k18(spark, sf_dir):
     ms = F.array(row(s("C"), 0, s("T"), F.lit("TimestampNode"), F.date_format("o_orderdate", "yyyy-MM-dd")), row(s("C"), 1, s("S"), F.lit("ConceptNode"), s("SENT_")),
                  row(s("C"), 2, F.when(even, s("A")).otherwise(s("V")), F.when(even, "AndLink").otherwise("EvaluationLink"), none), F.when(even, row(s("A"), 0, s("V"), F.lit("EvaluationLink"), none)))
     m = o.select(F.col("o_custkey").alias("doc"), F.explode(ms).alias("m")).where("m is not null").select("doc", "m.*")
-    return K.contexts(m, 3)
+    return K.contexts(m)
 
 
 @query("k19_truth_scalar", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value / 2 ELSE value END AS second, value AS first FROM events")
@@ -348,7 +348,7 @@ def k31(spark, sf_dir):
 @query("k32_dependency_levels", f"""
 {CLOSURE} SELECT o_orderkey AS id, CASE WHEN EXISTS (SELECT 1 FROM c JOIN e ON c.node = e.parent AND e.child = c.root WHERE c.root = o_orderkey) THEN 7 ELSE coalesce((SELECT max(depth) FROM c WHERE c.root = o_orderkey), 0) END::INTEGER AS level FROM orders""")
 def k32(spark, sf_dir):
-    return K.dependency_levels(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), chain(spark, sf_dir), 6)
+    return K.dependency_levels(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), chain(spark, sf_dir))
 
 
 @query("k33_simplify", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'plain:' || o_orderstatus END AS label FROM orders")
