@@ -31,8 +31,8 @@ def _fingerprint(text: str | None, words: int, h, np) -> int:
     return int(np.packbits(2 * sums > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash of every row's whole text.
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): 64-bit SimHash of every row's whole text; columns of longs in keep go along.
 
     Null and blank texts have fingerprint 0. Fewer than `words` words make one shingle.
     """
@@ -43,9 +43,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         for b in batches:
             fps = [_fingerprint(t.as_py(), words, xxhash.xxh64_intdigest, np) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in keep)]))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -90,12 +90,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id. Rows that repeat a
-    doc_id count once. Rows without a doc_id can't represent a group; they stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = written(kept, "simhash-kept")
-    stay = docs.join(kept.where("_n = 1").select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi")
-    again = docs.join(kept.where("_n > 1").select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if kept.where("_n > 1").limit(1).count() else None
-    out = stay.unionByName(again) if again is not None else stay
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """docs with one row of each component: that of its least (doc_id, text hash), missing doc_ids
+    last; of rows equal in both, the least by all columns."""
+    hashed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("th", F.xxhash64("text"))
+    prints = written(fingerprints(hashed, keep=("th",)), "simhash-rows")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")).alias("own")
+    classes = written(prints.groupBy("fp").agg(own), "simhash-own")
+    roots = connected_components(written(links(classes.select("fp")), "simhash-links")).withColumnRenamed("node", "fp")
+    grouped = classes.join(roots.hint("shuffle_merge"), "fp", "left")
+    kept = written(grouped.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("own").alias("own")).select(F.col("own.doc_id").alias("_d"), F.col("own.th").alias("_t")), "simhash-kept")
+    at = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
+    same = hashed.join(kept.hint("shuffle_merge"), at, "left_semi")
+    return same.groupBy("doc_id", "th").agg(F.min(F.struct(*hashed.columns)).alias("r")).select("r.*").select(*docs.columns)

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as cp
+from quillmed.llm import simhash
 
 
 def shingles(t):
@@ -51,3 +52,13 @@ def test_stage_keeps_one_of_each_group_of_edited_copies(spark):
     kept = [r["doc_id"] for r in cp.one_of_each_group(spark, docs, None).collect()]
     assert sorted(kept) == sorted(set(brute_groups(texts)))
     assert cp.one_of_each_group(spark, docs.limit(0), None).count() == 0
+
+
+def test_representatives_are_rows_not_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a), (2, c), (2, c), (None, d), (None, d), (None, b), (None, None), (7, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(1, a), (1, b), (2, c), (7, " "), (-1, d)])
+    for found in (cp.one_of_each_group(spark, docs, None), simhash.representatives(docs)):
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in found.collect()) == want
