@@ -6,12 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot with more than one in HOT_SHARE of all rows (and LEAST_HOT at least), so at most HOT_SHARE keys are.
+HOT_SHARE, LEAST_HOT = 10_000, 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; in local mode, where it is unset (tests), a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -28,3 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, sizes: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with small (one row per key). sizes(key, n) counts rows per key: a hot key's rows are dealt over
+    tasks of a like number of rows and its row of small is copied for each, so no task holds a whole hot key."""
+    bound = max(LEAST_HOT, total // HOT_SHARE)
+    hot = written(sizes.where(F.col("n") > bound).select(key, F.ceil(F.col("n") / bound).cast("int").alias("_parts")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(small.hint("shuffle_merge"), key, how)
+    salt = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts")).cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts")  # at most HOT_SHARE keys
+    copied = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied.hint("shuffle_merge"), [key, "_salt"], how).drop("_salt")

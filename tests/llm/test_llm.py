@@ -170,10 +170,72 @@ def test_mixing(docs, none):
     assert abs(sum(v[0]["target"] for v in by.values()) - 1.5 * total) < 1e-6 * total
     for v in by.values():
         assert v[0]["target"] <= 2 * v[0]["source_size"] and abs(sum(r["taken"] for r in v) - v[0]["target"]) <= 1
+        assert all(r["taken"] == sum(e["words"] for e in r["epochs"] or []) and (r["taken"] == 0) == (r["first_slot"] is None) for r in v)
     assert Counter((r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect()) == Counter((r["doc_id"], r["taken"]) for r in got)
     assert mixing.mix(none).count() == 0 and mixing.mix(docs.where("size(split(text, ' ')) < 1")).count() == 0
-    mixed = mixing.mixed(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    assert mixed.columns == docs.columns
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and mixing.mixed(none).count() == 0
+    assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in got)
+
+
+def brute_mix(sizes, step):
+    """sizes: (source, [sizes in stream order]) -> taken words by source, from the points one by one."""
+    total = {s: sum(v) for s, v in sizes.items()}
+    target = dict(zip(total, mixing_targets(list(total.values()))))
+    n, words_ = sum(map(len, sizes.values())), sum(total.values())
+    block = max(1, int(1.5 * words_) // (4 * n))
+    slots = max(1, int(1.5 * words_) // block)
+    ends, at = [], 0.0
+    for s in total:
+        at += target[s]
+        ends.append((s, round(at / sum(target.values()) * mixing.SPAN)))
+    drawn = Counter()
+    for t in range(slots):
+        point = t * step % mixing.SPAN
+        drawn[next(s for s, e in ends if point < e)] += 1
+    out = {}
+    for s in total:
+        have = drawn[s] * block
+        out[s] = int(target[s]) if abs(have - int(target[s])) <= mixing.REMAINDER * block else min(have, 2 * total[s])
+    return out
+
+
+def mixing_targets(sizes):
+    weights, most = [(5, 2, 1)[k % 3] for k in range(len(sizes))], [2 * x for x in sizes]
+    low, high = 0.0, float(sum(most)) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(m, level * w) for m, w in zip(most, weights)) < 1.5 * sum(sizes) else (low, level)
+    return [min(m, low * w) for m, w in zip(most, weights)]
+
+
+def test_the_schedule_decides_the_mix(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(["w"] * int(rng.integers(1, 60))), f"s{int(rng.integers(0, 9)) // 2}") for k in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {s: [len(t.split()) for _, t, x in rows if x == s] for s in sorted({s for _, _, s in rows})}
+    total = Counter({s: sum(v) for s, v in sizes.items()})
+    for step in (mixing.GOLDEN, 1, 3):  # the others spread badly
+        got, want = Counter(), brute_mix(sizes, step)
+        for r in mixing.mix(d, step=step).collect():
+            got[r["source"]] += r["taken"]
+            assert 0 <= r["taken"] <= 2 * r["size"]
+        assert all(abs(got[s] - want[s]) <= 1 for s in sizes)
+        off = max(abs(got[s] - t) / t for s, t in zip(sizes, mixing_targets(list(total.values()))))
+        assert off < 0.01 if step == mixing.GOLDEN else off > 0.2
+
+
+def test_mixed_rows_follow_the_slots(spark, tmp_path):
+    rows = [(k, f"text {k} " * (k % 5 + 1), f"s{k % 3}", k) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int")
+    first = {(r["doc_id"], e["pass"]): e["slot"] for r in mixing.mix(d).collect() for e in r["epochs"] or []}
+    at = [r["doc_id"] for r in mixing.mixed(d).collect()]
+    seen, slots = Counter(), []
+    for i in at:  # a document's passes come in order
+        slots.append(first[i, seen[i]])
+        seen[i] += 1
+    assert slots == sorted(slots) and sum(seen.values()) == len(first)
+    assert all(r["slot"] == r["doc_id"] for r in mixing.mixed(d).collect())
 
 
 def brute_simhash(t):
@@ -282,6 +344,24 @@ def test_queries_are_registered():
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
 
 
+def test_pipeline_keeps_all_columns_and_odd_rows(spark, docs, tmp_path):
+    import corpus_pipeline as cp
+
+    clash = ["score", "passages", "kept", "spans", "n_bytes", "doc", "_hash", "row", "th", "tag", "slot", "evidence"]
+    d = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"))
+    d = d.select("*", *(F.concat(F.lit(c + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in clash))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for start in (d, d.limit(0)):
+        now = cp.written(start, "odd")
+        for name, stage in cp.STAGES[:4]:
+            now = cp.written(stage(spark, now, str(tmp_path)), f"odd-{name}")
+            assert now.dtypes == start.dtypes
+            assert all(r[c] == f"{c}:{'none' if r['doc_id'] is None else r['doc_id']}" for r in now.collect() for c in clash)
+        left = now.collect()
+        out = cp.STAGES[4][1](spark, now, str(tmp_path)).collect()
+        assert len(out) == len(left) and (len(left) > 0) == (start is d)
+
+
 def test_pipeline_catches_planted_cases(spark, small, tmp_path):
     import corpus_pipeline as cp
 
@@ -299,3 +379,13 @@ def test_pipeline_catches_planted_cases(spark, small, tmp_path):
         seen[name] = {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert 900002 not in seen["toxicity"] and 900001 in seen["toxicity"] and 900001 not in seen["simhash_near_dedup"]
     assert first["doc_id"] in seen["mixing"]
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coded = Counter((r["doc_id"], bytes(r["ids"]), r["decoded_sha256"]) for r in cp.STAGES[4][1](spark, docs, str(tmp_path)).collect())
+    ids = lambda t: enc.encode_ordinary(t)
+    assert coded == Counter((r["doc_id"], struct.pack(f"<{len(ids(r['text']))}I", *ids(r["text"])), hashlib.sha256(r["text"].encode()).hexdigest()) for r in docs.collect())
