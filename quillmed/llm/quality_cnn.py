@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from .sampling import sample
 
-#: Bounds of the training sample: labelled rows of each class (lowest hashes first), chunks of each.
+#: Bound of the training sample: labelled rows of each class, lowest hashes first. Their whole texts are learnt from.
 SAMPLE_PER_CLASS = 2000
-CHUNKS_PER_DOC = 3
 EPOCHS = 6
 #: Shape: bytes of a filter, step between windows, embedding size, filters; a chunk is two hops, so chunks overlap by half.
 WIDTH, STRIDE, DIM, FILTERS, HOP = 12, 4, 6, 24, 256
@@ -71,17 +70,14 @@ def features(net: Net, texts: list[bytes]):
     return np.stack([np.add.reduceat(z, starts) / sizes, np.maximum.reduceat(z, starts), np.minimum.reduceat(z, starts)], axis=1)
 
 
-def draw_chunks(doc_id: int, text: bytes) -> list[bytes]:
-    """CHUNKS_PER_DOC chunks at most, drawn from the whole text by the document's id."""
-    import numpy as np
-
-    rng = np.random.default_rng([5, abs(doc_id or 0)])
-    places = {int(rng.integers(0, max(1, len(text) - 2 * HOP + 1))) for _ in range(CHUNKS_PER_DOC)}
-    return [text[at:at + 2 * HOP + WIDTH] for at in sorted(places)]
+def training_chunks(text: bytes) -> list[bytes]:
+    """The whole text in chunks laid end to end."""
+    return [text[at:at + 2 * HOP + WIDTH] for at in range(0, max(1, len(text)), 2 * HOP)]
 
 
-def train(chunks: list[bytes], labels: list[int], seed: int = 5) -> Net:
-    """Fit the filters on chunks under their documents' labels."""
+def train(chunks: list[bytes], labels: list[int], shares: list[float], seed: int = 5) -> Net:
+    """Fit the filters on chunks under their documents' labels. A chunk counts by its share of its
+    document, so a document counts once however long it is, and both classes count alike."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
@@ -93,8 +89,9 @@ def train(chunks: list[bytes], labels: list[int], seed: int = 5) -> Net:
         return net
     span, size = 2 * HOP + WIDTH, 2 * HOP
     data, target = np.stack([np.frombuffer(c.ljust(span, b"\0"), np.uint8) for c in chunks]), np.array(labels, np.float32)
-    per_class = np.array([max(1, (target == c).sum()) for c in (0, 1)])
-    weight = (len(target) / (2 * per_class))[target.astype(int)].astype(np.float32)
+    share = np.array(shares)
+    per_class = np.array([share[target == c].sum() for c in (0, 1)])
+    weight = (share * (len(target) / (2 * per_class))[target.astype(int)]).astype(np.float32)
     names, windows = ("embed", "conv", "bias", "out", "shift"), size // STRIDE
     moment = {k: [0.0, 0.0] for k in names}
     offsets, step = np.arange(WIDTH), 0
@@ -147,8 +144,8 @@ def train_rows():
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Net:
-    """Train on at most per_class labelled rows of each class. The driver gets CHUNKS_PER_DOC
-    chunks of each row, then three numbers of each row's whole text."""
+    """Train on at most per_class labelled rows of each class. The driver gets the whole texts of
+    these rows as chunks, then three numbers of each."""
     import numpy as np
 
     rows = sample(docs, labels, "quality", train_rows(), per_class)
@@ -157,12 +154,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         import pyarrow as pa
 
         for b in batches:
-            got = [(d.as_py(), c, y.as_py()) for d, t, y in zip(b.column(0), b.column(1), b.column(2)) for c in draw_chunks(d.as_py(), _bytes(t))]
-            cols = list(zip(*got)) if got else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32())], names=["doc_id", "chunk", "label"])
+            got = [(d.as_py(), k, c, y.as_py(), 1 / len(cs)) for d, t, y in zip(b.column(0), b.column(1), b.column(2)) for cs in [training_chunks(_bytes(t))] for k, c in enumerate(cs)]
+            cols = list(zip(*got)) if got else [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "at", "chunk", "label", "share"])
 
-    chunks = rows.select("doc_id", "text", "label").mapInArrow(drawn, "doc_id long, chunk binary, label int").orderBy("doc_id", "chunk").collect()
-    net = train([bytes(r["chunk"]) for r in chunks], [r["label"] for r in chunks])
+    chunks = rows.select("doc_id", "text", "label").mapInArrow(drawn, "doc_id long, at int, chunk binary, label int, share double").orderBy("doc_id", "at").collect()
+    net = train([bytes(r["chunk"]) for r in chunks], [r["label"] for r in chunks], [r["share"] for r in chunks])
     if len({r["label"] for r in chunks}) == 2:
         found = measured(rows, net, ["label"]).orderBy("doc_id", "mean").collect()
         net.mix = fit_mix(net, np.array([[r["mean"], r["high"], r["low"]] for r in found]), [r["label"] for r in found])

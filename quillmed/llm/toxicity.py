@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 from .sampling import sample
 from .store import written
 
-#: Bounds of the training sample (labelled rows of each class, lowest hashes first) and of the model.
+#: Bound of the training sample: labelled rows of each class, lowest hashes first.
 SAMPLE_PER_CLASS = 10_000
-LEXICON = 50_000
 PRIOR = 500.0
 #: A token is kept if the likelihood ratio (G squared) of its documents by class is above this.
 MIN_G2 = 20.0
@@ -26,9 +25,8 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() el
 
 @dataclass
 class Model:
-    """weights: token -> log-odds; other: score of any other token; rate: parameters of the
-    extreme-value law; fit: logistic coefficients on (best segment, segments); base: used when
-    the labels hold one class only."""
+    """weights: token -> log-odds; other: score of any other token; lam and k: parameters of the
+    extreme-value law; fit: logistic coefficients on (best segment, segments)."""
 
     weights: dict = field(default_factory=dict)
     other: float = -0.01
@@ -63,18 +61,23 @@ def segments(scores, other: float) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi in found]
 
 
+def scored(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
+    """(number of tokens, all maximal-scoring segments) of a whole text."""
+    words = tokens(text)
+    hits = {p: w for p, w in enumerate(map(model.weights.get, words)) if w is not None}
+    return len(words), segments(hits, model.other) if hits else []
+
+
 def passages(text: str | None, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
     """(evidence of the best segment, all significant segments) of a whole text. Evidence is
     lam * score - ln(k * n): minus the log of the expected number of such segments by chance."""
     import math
 
-    words = tokens(text)
-    get = model.weights.get
-    hits = {p: w for p, w in enumerate(map(get, words)) if w is not None}
-    if not hits:
+    n, found = scored(text, model)
+    if not found:
         return 0.0, []
-    floor = math.log(max(1.0, model.k * len(words)))
-    all_found = [(a, b, model.lam * s - floor) for a, b, s in segments(hits, model.other)]
+    floor = math.log(model.k * n)
+    all_found = [(a, b, model.lam * s - floor) for a, b, s in found]
     return max(0.0, max(e for _, _, e in all_found)), [x for x in all_found if x[2] > -math.log(SIGNIFICANT)]
 
 
@@ -89,9 +92,37 @@ def train_rows():
     return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, lexicon: int = LEXICON) -> Model:
-    """Log-odds of tokens in toxic and clean training rows under an informative Dirichlet prior,
-    then a logistic fit of the label on the evidence of the same rows. Near copies count once."""
+def extreme_value_law(clean: DataFrame, model: Model) -> tuple[float, float]:
+    """(lam, k) of P(best score of n tokens < s) = exp(-k * n * exp(-lam * s)), by maximum likelihood over
+    clean rows (a row without a segment says that its best score is under 0). For a given lam the best k is
+    the number of rows with a segment over the sum of n * exp(-lam * s); lam is searched. model.lam stays if no clean row has a segment."""
+    import numpy as np
+
+    shared = clean.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [scored(t.as_py(), shared.value) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([max((s for *_, s in found), default=None) for _, found in got], pa.float64())], names=["n", "s"])
+
+    rows = clean.select("text").mapInArrow(run, "n long, s double").collect()  # two numbers for each row of the sample
+    n, s = np.array([r["n"] for r in rows], float), np.array([r["s"] or 0.0 for r in rows])
+    best = s[s > 0]
+    if not len(best):
+        return model.lam, 0.5 / max(1.0, n.sum())  # half a row stands for none
+    rate = lambda lam: len(best) / max(1e-9, float((n * np.exp(-lam * s)).sum()))
+    likelihood = lambda lam: len(best) * np.log(rate(lam) * lam) - lam * best.sum()
+    lam = max(np.geomspace(0.05, 4, 200), key=likelihood)
+    return float(lam), rate(lam)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+    """Log-odds of tokens in toxic and clean training rows under an informative Dirichlet prior, the
+    parameters of the extreme-value law from clean rows, then a logistic fit of the label on the
+    evidence of the same rows. Near copies count once. The model holds every token that passes
+    MIN_G2; each stands in several of the sample's rows, so the sample's bound bounds it."""
     import numpy as np
 
     rows = sample(docs, labels, "toxic", train_rows(), per_class)
@@ -134,33 +165,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, l
     top = (counts.withColumn("w", odds("n1", n1) - odds("n0", n0))
            .withColumn("g2", 2 * (part("d1", rate) + part("d0", 1 - rate)))
            .where((F.col("g2") > MIN_G2) & (F.col("w") > 1))
-           .orderBy(F.desc("g2"), "token").limit(lexicon).select("token", "w", "n0", "n1").collect())
+           .orderBy(F.desc("g2"), "token").select("token", "w", "n0", "n1").collect())
     model = Model(weights={bytes(r["token"]): r["w"] for r in top})
     share1, share0 = sum(r["n1"] for r in top) / n1, sum(r["n0"] for r in top) / n0
     model.other = min(-1e-3, float(np.log1p(-min(share1, 0.5)) - np.log1p(-min(share0, 0.5))))
-    if top:  # lam solves sum of p * exp(lam * score) = 1 over the clean rows' tokens
-        w = np.array([r["w"] for r in top])
-        p = np.array([(r["n0"] + PRIOR * (r["n0"] + r["n1"]) / (n0 + n1)) / (n0 + PRIOR) for r in top])
-        value = lambda x: float((p * np.exp(x * w)).sum() + (1 - p.sum()) * np.exp(x * model.other))
-        lo, hi = 1e-3, 4.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if value(mid) < 1 else (lo, mid)
-        model.lam = max(0.05, hi)
+    if top:
+        model.lam, model.k = extreme_value_law(distinct.where("label = 0"), model)
     known = evidence(rows, model).select("evidence", "n_segments", "label").collect()  # two per_class rows
     x = np.array([[1.0, r["evidence"], np.log1p(r["n_segments"])] for r in known])
     y = np.array([float(r["label"]) for r in known])
-    beta, ridge = np.zeros(3), np.diag([1e-6, 1e-2, 1e-2]) * max(1, len(y) / 100)
+    model.fit = _logistic(x, y)
+    if model.fit[2] < 0:  # more passages never make a text less toxic
+        model.fit = (*_logistic(x[:, :2], y), 0.0)
+    return model
+
+
+def _logistic(x, y) -> tuple:
+    import numpy as np
+
+    beta, ridge = np.zeros(x.shape[1]), np.diag([1e-6, 1e-2, 1e-2][:x.shape[1]]) * max(1, len(y) / 100)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         beta = beta - np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ beta)
-    model.fit = tuple(float(b) for b in beta)
-    return model
+    return tuple(float(b) for b in beta)
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """docs with evidence, n_segments and passages; columns of docs with these names give way."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON tokens
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # tokens of the bounded sample
     rows = docs.drop("evidence", "n_segments", "passages")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("evidence", T.DoubleType())]))
     added = [T.StructField("evidence", T.DoubleType()), T.StructField("n_segments", T.IntegerType()), T.StructField("passages", spans)]
