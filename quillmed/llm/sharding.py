@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import hot_keys, spread_join, written
 
 #: Bytes that every row costs beside its text.
 ROW_BYTES = 16
@@ -27,7 +27,7 @@ def _per_shard(spark, values: list, name: str, kind: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(enumerate(values)), f"shard int, {name} {kind}"))
 
 
-def _propagate(state: DataFrame, n_shards: int, capacity: float, seed: int) -> DataFrame:
+def _propagate(state: DataFrame, hot: DataFrame | None, n_shards: int, capacity: float, seed: int) -> DataFrame:
     """One round: rows of a group move to the shard where most of its bytes are, as far as that
     shard's quota goes. A group's vote is summed by (group, shard): copies add no pairs. Groups
     larger than an eighth of a shard are let in row by row, others whole."""
@@ -37,7 +37,7 @@ def _propagate(state: DataFrame, n_shards: int, capacity: float, seed: int) -> D
                                     F.sum("bytes").alias("group_bytes"), F.count("*").alias("spread"))
             .where("spread > 1").select("gk", (-F.col("best.s")).alias("wish"), "group_bytes"))
     big = F.col("group_bytes") > capacity / 8
-    asked = (state.join(wish.hint("shuffle_merge"), "gk", "left")
+    asked = (spread_join(state, wish, "gk", hot, "left")
              .withColumn("step", F.when(big, _hash_step("gk", "doc_id", seed=seed)).otherwise(_hash_step("gk", seed=seed)))
              .withColumn("mover", F.coalesce(F.col("wish") != F.col("shard"), F.lit(False))))
     asked = written(asked, "shard-asked")
@@ -101,12 +101,13 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int = 2, passes: int = 6)
     slim = written(slim, "shard-slim")
     n, total = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     capacity = total / n_shards
-    many = slim.groupBy("gk").agg(F.count("*").alias("n")).where("n > 1").select("gk", F.lit(True).alias("grouped"))
-    state = written(slim.join(many.hint("shuffle_merge"), "gk", "left")
+    many = written(slim.groupBy("gk").agg(F.count("*").alias("n")).where("n > 1"), "shard-groups")
+    hot = hot_keys(many, "gk", n)
+    state = written(spread_join(slim, many.select("gk", F.lit(True).alias("grouped")), "gk", hot, "left")
                     .select("doc_id", "size", "crc", "gk", F.coalesce("grouped", F.lit(False)).alias("grouped"),
                             _hash_step("doc_id", "crc", seed=7, steps=n_shards).alias("shard")), "shard-state")
     for k in range(rounds):
-        state = _propagate(state, n_shards, capacity, seed=100 + k)
+        state = _propagate(state, hot, n_shards, capacity, seed=100 + k)
     for k in range(passes):
         loads = _loads(state, n_shards)
         if not n or max(loads) - min(loads) <= 0.005 * capacity:

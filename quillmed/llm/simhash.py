@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import written
+from .store import hot_keys, spread_join, written
 
 #: Fingerprints link at this many differing bits or fewer.
 MAX_DISTANCE = 2
@@ -64,7 +64,8 @@ def links(prints: DataFrame) -> DataFrame:
     own = F.array(F.struct(low.alias("lo"), high.alias("hi")))
     keys = F.concat(own, F.transform(ball(low), lambda x: F.struct(x.alias("lo"), high.alias("hi"))),
                     F.transform(ball(high), lambda x: F.struct(low.alias("lo"), x.alias("hi"))))
-    return (prints.select("fp", F.explode(keys).alias("key"))
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a slim table has few parts, its keys are 65 times as many
+    return (dealt.select("fp", F.explode(keys).alias("key"))
             .groupBy("key").agg(F.collect_list("fp").alias("members"))
             .where(F.size("members") > 1)
             .select(F.array_min("members").alias("u"), F.explode("members").alias("v"))
@@ -80,20 +81,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result.
     """
     prints = written(fingerprints(docs), "simhash-fp")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-class")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-class")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     edges = written(links(classes.select("fp")), "simhash-links")
     roots = connected_components(edges)
     known = classes.join(roots.withColumnRenamed("node", "fp").hint("shuffle_merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     names = known.groupBy("root").agg(F.min("rep").alias("component_id"))
     comp = written(known.join(names.hint("shuffle_merge"), "root").select("fp", "component_id"), "simhash-comp")
-    return prints.join(comp.hint("shuffle_merge"), "fp").select("doc_id", "fp", "component_id")
+    return spread_join(prints, comp, "fp", hot_keys(classes, "fp", total)).select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, words: int = WORDS, similarity: float | None = None) -> DataFrame:
     """docs with one row of each component: that of its least (doc_id, text hash), missing doc_ids
-    last; of rows equal in both, the least by all columns."""
+    last; of rows equal in both, the least by all columns. Other columns of docs pass as they are.
+
+    Without a similarity texts link by their fingerprints alone. With one, a link also needs that
+    Jaccard similarity of the sets of word shingles: fingerprints within MAX_DISTANCE are verified, and
+    so are pairs that share a band of least hashes, as fingerprints of pairs near 0.8 differ in
+    about ten bits, more than balls can reach.
+    """
     hashed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("th", F.xxhash64("text"))
-    prints = written(fingerprints(hashed, keep=("th",)), "simhash-rows")
+    if similarity is not None:
+        from .near_copies import representatives as verified
+
+        return verified(docs, hashed, words, similarity)
+    prints = written(fingerprints(hashed, words, keep=("th",)), "simhash-rows")
     own = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")).alias("own")
     classes = written(prints.groupBy("fp").agg(own), "simhash-own")
     roots = connected_components(written(links(classes.select("fp")), "simhash-links")).withColumnRenamed("node", "fp")

@@ -36,14 +36,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_join(rows: DataFrame, small: DataFrame, key: str, sizes: DataFrame, total: int, how: str = "inner") -> DataFrame:
-    """rows joined with small (one row per key). sizes(key, n) counts rows per key: a hot key's rows are dealt over
-    tasks of a like number of rows and its row of small is copied for each, so no task holds a whole hot key."""
+def hot_keys(sizes: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key, _parts) of the hot keys of sizes(key, n), and over how many tasks their rows are dealt; None if there are none."""
     bound = max(LEAST_HOT, total // HOT_SHARE)
     hot = written(sizes.where(F.col("n") > bound).select(key, F.ceil(F.col("n") / bound).cast("int").alias("_parts")), "hot-keys")
-    if hot.isEmpty():
+    return None if hot.isEmpty() else hot
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with small (one row per key). A hot key's rows are dealt over several tasks and its
+    row of small is copied for each, so no task holds a whole hot key."""
+    if hot is None:
         return rows.join(small.hint("shuffle_merge"), key, how)
+    few = F.broadcast(hot)  # at most HOT_SHARE keys
     salt = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts")).cast("int"), F.lit(0))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts")  # at most HOT_SHARE keys
-    copied = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    dealt = rows.join(few, key, "left").withColumn("_salt", salt).drop("_parts")
+    copied = small.join(few, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(copied.hint("shuffle_merge"), [key, "_salt"], how).drop("_salt")

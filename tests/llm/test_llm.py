@@ -431,3 +431,20 @@ def test_quality_forward_pass_matches_brute_force():
             pooled.append(best)
         z = [np.maximum(pooled[h], pooled[min(h + 1, hops - 1)]) @ net.out + net.shift for h in range(hops)]
         assert got == pytest.approx([np.mean(z), max(z), min(z)], rel=1e-3, abs=1e-3)
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    from quillmed.llm import store
+
+    monkeypatch.setattr(store, "LEAST_HOT", 10)
+    rows = spark.createDataFrame([(k % 3 and k, k) for k in range(300)], "fp long, n long")
+    small = rows.select("fp").distinct().withColumn("name", F.col("fp") * 2)
+    hot = store.hot_keys(rows.groupBy("fp").agg(F.count("*").alias("n")), "fp", 300)
+    assert [(r["fp"], r["_parts"]) for r in hot.collect()] == [(0, 10)]
+    for how in ("inner", "left"):
+        got = store.spread_join(rows, small.where("fp <> 4"), "fp", hot, how).collect()
+        assert Counter((r["fp"], r["n"], r["name"]) for r in got) == Counter((k % 3 and k, k, None if (k % 3 and k) == 4 else 2 * (k % 3 and k)) for k in range(300) if how == "left" or k != 4)
+    copies = spark.createDataFrame([(k, "same text" if k % 3 else f"text {k}") for k in range(300)], "doc_id long, text string")
+    got = sharding.shard(copies, n_shards=4).collect()
+    assert len(got) == 300 and {r["doc_id"] for r in got} == set(range(300))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(copies).collect()}[2] == 1
