@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
@@ -10,6 +12,10 @@ from .store import written
 #: Vectors of a bucket (candidates) and of a block (queries).
 BUCKET = 4096
 BLOCK = 1024
+#: Squared lengths of one level differ by this factor at most.
+LEVEL = 1.05
+#: A table of levels is broadcast up to this many rows (all doubles have 15,000 levels for a dimension).
+FEW_LEVELS = 100_000
 #: Local cosine thresholds from which coordinates prune more than lengths do.
 COORDINATES_FROM = 0.3
 
@@ -44,7 +50,7 @@ def search_bucket(np, ids, vecs, q_ids, qs, floors, k, same_table=True):
     order = np.lexsort((ids, -lengths))
     ids, vecs, lengths = ids[order], vecs[order], lengths[order]
     unit = vecs / np.maximum(lengths, 1e-300)[:, None]
-    exact = float(np.abs(vecs).max(initial=0)) * float(np.abs(qs).max(initial=0)) * vecs.shape[1] < 2.0**52
+    exact = float(np.abs(vecs.astype(np.float64)).max(initial=0)) * float(np.abs(qs.astype(np.float64)).max(initial=0)) * vecs.shape[1] < 2.0**52
     table = vecs.astype(np.float64) if exact else vecs.astype(object)
     sorted_by: dict = {}
     out = []
@@ -53,7 +59,8 @@ def search_bucket(np, ids, vecs, q_ids, qs, floors, k, same_table=True):
         q_len = float(np.sqrt((q.astype(np.float64) ** 2).sum()))
         floor, rows = floors[i], None
         if floor is not None and floor > 0 and q_len > 0:
-            t = (floor - 1e-6) / (q_len * max(lengths[0], 1e-300))
+            safe = floor * (1 - 1e-9) - 1e-6
+            t = safe / (q_len * max(lengths[0], 1e-300))
             if t > 1 + 1e-9:
                 continue
             if t >= COORDINATES_FROM:
@@ -65,10 +72,12 @@ def search_bucket(np, ids, vecs, q_ids, qs, floors, k, same_table=True):
                 low, high = _bounds(np, float(q[f]) / q_len, min(t, 1.0))
                 rows = by[np.searchsorted(values, low):np.searchsorted(values, high, side="right")]
             else:
-                rows = slice(0, int(np.searchsorted(-lengths, -(floor - 1e-6) / q_len, side="right")))
+                rows = slice(0, int(np.searchsorted(-lengths, -safe / q_len, side="right")))
         part = slice(None) if rows is None else rows
         cand = ids[part]
         scores = table[part] @ (q.astype(np.float64) if exact else q.astype(object))
+        if not exact:
+            scores = np.maximum(np.minimum(scores, (1 << 63) - 1), -(1 << 63))
         keep = cand != q_ids[i]
         cand, scores = cand[keep], scores[keep]
         if floor is not None:
@@ -93,65 +102,98 @@ def vectors(embeddings: DataFrame, scale: float = 256.0) -> DataFrame:
     return v.withColumn("len2", F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
 
 
+def _level(len2: Column) -> Column:
+    """The level of a squared length: higher for longer vectors."""
+    return F.floor(F.log(len2 + 1) / math.log(LEVEL)).cast("int")
+
+
+def ahead_of(level: str) -> Column:
+    """The sum of n over higher levels of the dimension."""
+    return F.coalesce(F.sum("n").over(Window.partitionBy("dim").orderBy(F.desc(level)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _near(df: DataFrame) -> DataFrame:
+    """A written table with a row for each level or dimension as the small side of a join: its size is checked."""
+    return F.broadcast(df) if df.count() <= FEW_LEVELS else df.hint("shuffle_merge")
+
+
 def top_k(embeddings: DataFrame, is_query, k: int = 5, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row chosen by is_query the k highest integer
     inner products among all other rows, ties to the smaller vec_id.
 
-    Buckets hold vectors of like length, longest first. Each block of queries first meets one
-    bucket, which gives floors, then each other bucket, whose pruning uses them. Blocks meet
-    buckets by an equality join on (block, bucket) after both are copied for their partners: a
-    stated query set against all rows. Every bucket returns its k best at most; the k best of
-    those are ranked per query. Rows that share the query's vec_id are its own, never candidates. Vectors
-    whose dimension differs from the query's share no bucket with it. Fewer than k other rows
-    give as many as there are.
+    Levels hold vectors of like length and are cut into buckets. Blocks of queries first meet the
+    longest vectors (two buckets' worth at most), which gives every query a score that its k-th best reaches, and so the
+    least length that can still matter to it. Queries are then dealt into blocks by that length, and
+    only buckets of that level or above are copied for a block: pairs are pruned before
+    anything is copied. Inside a pair the bucket's local cosine threshold prunes further. All
+    tables of levels and blocks stay tables; blocks meet buckets by an equality join, each
+    bucket returns its k best at most, and those are ranked per query.
+
+    Rows alike in vec_id and vector are one. A vec_id with several different vectors asks with
+    each, and its answers are ranked together; rows that share the query's vec_id are its own, never
+    candidates. Vectors whose dimension differs from the query's share no bucket with it. Fewer
+    than k other rows give as many as there are. Components beyond the range of a long are cut
+    to it (by floor), and so are scores.
     """
-    import math
-
-    spark = embeddings.sparkSession
-    rows = written(vectors(embeddings), "topk-vectors").withColumn("dim", F.size("v"))
-    n = rows.count()
-    n_buckets, queries = max(1, math.ceil(n / bucket)), rows.where(is_query)
+    rows = written(vectors(embeddings), "topk-vectors")
+    if not rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        rows = written(rows.dropDuplicates(["vec_id", "v"]), "topk-vectors")
+    rows = rows.withColumn("dim", F.size("v")).withColumn("level", _level(F.col("len2")))
+
+    # levels, longest first; `ahead` counts the longer vectors
+    by_level = rows.groupBy("dim", "level").agg(F.count("*").alias("n"))
+    levels = written(by_level.withColumn("ahead", ahead_of("level")).withColumn("parts", F.ceil(F.col("n") / bucket).cast("int")), "topk-levels")
+    whole, some = F.col("ahead") + F.col("n") <= bucket, F.col("ahead") < bucket
+    dealt = (rows.join(_near(levels), ["dim", "level"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+             .withColumn("head", whole | (some & (F.col("part") == 0))).select("vec_id", "v", "dim", "level", "part", "head"))
+    queries = rows.where(is_query)
     n_blocks = max(1, math.ceil(queries.count() / block))
-    # longest first: bounds of the buckets' lengths from a sketch, ties dealt by a hash
-    cuts = rows.agg(F.percentile_approx("len2", [1 - i / n_buckets for i in range(1, n_buckets)] or [0.0], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True) if n_buckets > 1 else []
-    level = F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: F.col("len2") >= c))
-    counts = {r["level"]: r["n"] for r in rows.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # one row per bucket
-    first, at = {}, 0
-    for c in sorted(counts):
-        first[c], at = at, at + max(1, math.ceil(counts[c] / bucket))
-    n_buckets = max(1, at)
-    of_level = lambda f: F.coalesce(*[F.when(F.col("level") == c, F.lit(f(c))) for c in sorted(counts)], F.lit(0))
-    dealt = rows.withColumn("level", level).withColumn("bucket", (of_level(first.get) + F.pmod(F.xxhash64("vec_id"), of_level(lambda c: max(1, math.ceil(counts[c] / bucket))))).cast("int"))
-    asked = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")), "topk-queries")
+    asked = written(queries.select("vec_id", "v", "len2", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block")), "topk-queries")
     schema = "query_id long, dim int, vec_id long, score long"
 
     def run(key, left, right):
         import numpy as np
         import pyarrow as pa
 
-        got = []
-        dim = key[2].as_py()
+        dim = key[0].as_py()
         cand = left.column("vec_id").to_numpy(), _numbers(np, left.column("v").combine_chunks(), dim)
         q = right.column("vec_id").to_numpy(), _numbers(np, right.column("v").combine_chunks(), dim)
-        floors = [None if f is None else int(f) for f in right.column("floor").to_pylist()]
-        got = search_bucket(np, *cand, *q, floors, k)
+        got = search_bucket(np, *cand, *q, right.column("floor").to_pylist(), k)
         cols = list(zip(*got)) if got else [(), (), ()]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array([dim] * len(got), pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["query_id", "dim", "vec_id", "score"])
 
-    def meet(cands: DataFrame, qs: DataFrame, blocks: list[int]) -> DataFrame:
-        copies = cands.select("vec_id", "v", "dim", "bucket", F.explode(F.array(*map(F.lit, blocks))).alias("block"))
-        return copies.groupBy("block", "bucket", "dim").cogroup(qs.groupBy("block", "bucket", "dim")).applyInArrow(run, schema)
-
-    base = F.lit(0)
-    one = asked.select("vec_id", "v", "dim", "block", base.alias("bucket"), F.lit(None).cast("long").alias("floor"))
-    blocks = list(range(n_blocks))
-    head = written(meet(dealt.where("bucket = 0"), one, blocks), "topk-head")
-    if n_buckets > 1:
-        floor = head.groupBy("query_id", "dim").agg(F.count("*").alias("n"), F.min("score").alias("low")).where(F.col("n") >= k)
-        known = asked.join(floor.select(F.col("query_id").alias("vec_id"), "dim", "low").hint("shuffle_merge"), ["vec_id", "dim"], "left")
-        rest = known.select("vec_id", "v", "dim", "block", F.explode(F.sequence(F.lit(1), F.lit(n_buckets - 1))).alias("bucket"), F.col("low").alias("floor"))
-        head = head.unionAll(meet(dealt.where("bucket > 0"), rest, blocks))
+    # every block meets the longest vectors
+    used = written(asked.groupBy("dim").agg(F.collect_set("block").alias("blocks")), "topk-blocks")  # a row for each dimension, a number for `block` queries
+    first = dealt.where("head").join(_near(used), "dim").select("dim", F.explode("blocks").alias("block"), "vec_id", "v")
+    opening = asked.select("dim", "block", "vec_id", "v", F.lit(None).cast("long").alias("floor"))
+    head = written(first.groupBy("dim", "block").cogroup(opening.groupBy("dim", "block")).applyInArrow(run, schema), "topk-head")
+    floors = head.groupBy("query_id", "dim").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+
+    # queries by the least length that matters to them
+    need = F.greatest(F.lit(0.0), F.coalesce(F.col("floor") / F.nullif(F.sqrt("len2"), F.lit(0.0)), F.lit(0.0))) * (1 - 1e-6)
+    known = (asked.drop("block").join(floors.select(F.col("query_id").alias("vec_id"), "dim", "floor").hint("shuffle_merge"), ["vec_id", "dim"], "left")
+             .withColumn("needs", _level(need * need)))
+    known = written(known, "topk-known")
+    wanted = known.groupBy("dim", "needs").agg(F.count("*").alias("n"))
+    wanted = written(wanted.withColumn("ahead", ahead_of("needs")), "topk-needs")
+    spot = F.col("ahead") + F.pmod(F.xxhash64("vec_id"), F.col("n"))
+    blocked = written(known.join(_near(wanted), ["dim", "needs"]).select("dim", "vec_id", "v", "floor", "needs", F.floor(spot / block).cast("int").alias("block")), "topk-blocked")
+    blocks = blocked.groupBy("dim", "block").agg(F.min("needs").alias("level"))
+
+    # a level's blocks are those from `from_block` on, as blocks are numbered by falling needs
+    line = Window.partitionBy("dim").orderBy("level").rangeBetween(Window.unboundedPreceding, 0)
+    both = blocks.select("dim", "level", "block").unionByName(levels.where(~whole).select("dim", "level", F.lit(None).cast("int").alias("block")))
+    met = both.withColumn("from_block", F.min("block").over(line)).where("block is null and from_block is not null").select("dim", "level", "from_block")
+    last = blocks.groupBy("dim").agg(F.max("block").alias("last_block"))
+    meets = written(met.join(last.hint("shuffle_merge"), "dim").join(levels.select("dim", "level", "parts").hint("shuffle_merge"), ["dim", "level"]), "topk-meets")
+    copies = (dealt.where("not head").join(_near(meets.drop("parts")), ["dim", "level"])
+              .select("dim", "level", "part", F.explode(F.sequence("from_block", "last_block")).alias("block"), "vec_id", "v"))
+    table = written(meets.groupBy("dim").agg(F.collect_list(F.struct("level", "from_block", "parts")).alias("levels")), "topk-table")  # a row for each dimension
+    mine = F.filter("levels", lambda x: x["from_block"] <= F.col("block"))
+    asks = (blocked.join(_near(table), "dim").select("dim", "block", "vec_id", "v", "floor", F.explode(mine).alias("l"))
+            .select("dim", F.col("l.level").alias("level"), F.explode(F.sequence(F.lit(0), F.col("l.parts") - 1)).alias("part"), "block", "vec_id", "v", "floor"))
+    pair = ["dim", "level", "part", "block"]
+    rest = copies.groupBy(*pair).cogroup(asks.groupBy(*pair)).applyInArrow(run, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (head.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return (head.unionAll(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
