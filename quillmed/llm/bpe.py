@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from .quality_rules import let
 from .store import written
 
-#: Entries of the table of frequent words, and their greatest length in bytes.
+#: Entries of the table of frequent words.
 DICTIONARY = 1 << 19
+#: Words of more bytes than this are merged by a heap, in n log n steps, where a fold would take n * n.
 LONGEST = 64
 NONE = (1 << 31) - 1
 
@@ -149,6 +150,50 @@ def _with_pieces(known, pieces: list[bytes]):
     return pa.concat_tables([known, own.filter(pc.invert(pc.is_in(own["word"], known["word"])))]).combine_chunks()
 
 
+def merge_by_heap(word: bytes, ranks: dict) -> list[int]:
+    """The ids of one long word: the leftmost pair of lowest rank merges first. Pieces are linked by position; a
+    heap holds the pairs, and entries of pieces that have changed since are passed over."""
+    from heapq import heapify, heappop, heappush
+
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a piece is known by its start; before: start of the one to the left
+    alive = [True] * n
+    pairs = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
+    heapify(pairs)
+
+    def offer(i: int) -> None:
+        j = end[i]
+        if j < n and (r := ranks.get(word[i:end[j]])) is not None:
+            heappush(pairs, (r, i, end[j]))
+
+    while pairs:
+        _, i, to = heappop(pairs)
+        if not alive[i] or end[i] >= to or end[end[i]] != to:
+            continue
+        alive[end[i]], end[i] = False, to
+        if to < n:
+            before[to] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [ranks[word[i:end[i]]] for i in range(n) if alive[i]]
+
+
+def _long_words(pa, pc, flat, index, known: int, pieces: list[bytes]):
+    """The distinct long words among those not known, their ids and their decoded bytes; index of each word in the known, the long and (last) all others."""
+    far = pa.array(index == known)
+    is_long = pc.and_(far, pc.greater(pc.binary_length(flat), LONGEST))
+    words = flat.filter(is_long).dictionary_encode()
+    if not len(words):
+        return index, pa.array([], pa.binary()), pa.array([], pa.binary())
+    ranks = {p: r for r, p in enumerate(pieces) if p}
+    ids = [merge_by_heap(w.encode(), ranks) for w in words.dictionary.to_pylist()]
+    index = index.copy()
+    index[far.to_numpy(zero_copy_only=False)] = known + len(ids)
+    index[is_long.to_numpy(zero_copy_only=False)] = known + words.indices.to_numpy(zero_copy_only=False)
+    return index, pa.array([b"".join(i.to_bytes(4, "little") for i in x) for x in ids], pa.binary()), pa.array([b"".join(pieces[i] for i in x) for x in ids], pa.binary())
+
+
 def _segments(np, pa, words, index, codes):
     """Codes of the known words of each document, cut at its other words: a list of binary runs
     per document, one more than it has other words."""
@@ -168,12 +213,13 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ()) -> Da
 
     Words are the pattern's matches. The frequent distinct words are folded once; their codes and
     the vocabulary's pieces are a table of bounded size, which every task holds to look words up by Arrow's hash index. Any other
-    word is folded where it stands, so every text is encoded in full and the bound only shifts
-    work. Null and empty texts have no ids. A word of n bytes that is not frequent takes n merges of n steps at most.
+    word is folded once for each document, or merged by a heap if it is longer than LONGEST, so every
+    text is encoded in full and the table's bound only shifts work. Null and empty texts have no ids.
     """
     vocab, java, own = Vocabulary(docs.sparkSession, path), java_pattern(pattern), [f"_{c}" for c in keep]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
     shared = docs.sparkSession.sparkContext.broadcast(_with_pieces(frequent(rows, vocab, java), vocab.pieces))
+    pieces_of = docs.sparkSession.sparkContext.broadcast(vocab.pieces)  # of the size of the vocabulary file
 
     def look_up(batches):
         import numpy as np
@@ -182,13 +228,16 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ()) -> Da
 
         none = pa.array([b""], pa.binary())
         known = shared.value["word"].combine_chunks()
-        ids, pieces = (pa.concat_arrays([*shared.value[c].chunks, none]) for c in ("ids", "bytes"))
+        ids, pieces = (shared.value[c].chunks for c in ("ids", "bytes"))
+        plain_ids, plain_pieces = (pa.concat_arrays([*c, none]) for c in (ids, pieces))
         for b in batches:
             words = b.column("words")
             flat = words.flatten()
             index = pc.fill_null(pc.index_in(flat, known), len(known)).to_numpy(zero_copy_only=False)
-            codes, lost, before = _segments(np, pa, words, index, ids)
-            decoded, _, _ = _segments(np, pa, words, index, pieces)
+            index, long_ids, long_bytes = _long_words(pa, pc, flat, index, len(known), pieces_of.value)
+            some = len(long_ids) > 0
+            codes, lost, before = _segments(np, pa, words, index, pa.concat_arrays([*ids, long_ids, none]) if some else plain_ids)
+            decoded, _, _ = _segments(np, pa, words, index, pa.concat_arrays([*pieces, long_bytes, none]) if some else plain_pieces)
             # each document's other words once, and for each cut which of them stands there
             coded = flat.take(pa.array(lost)).dictionary_encode()
             doc = np.repeat(np.arange(len(words)), np.diff(before))
