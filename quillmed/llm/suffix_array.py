@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: A reduced string is sorted by recursion if its names stand this many times on average; each bucket of
+#: names costs numpy calls, so strings of mostly single names are sorted by pairing names instead.
+REPEATED = 16
 
 
 def _types(text):
     """True where a suffix is smaller than the next one (S-type); the last one is S-type."""
     n = len(text)
-    step = np.sign(text[1:].astype(np.int32) - text[:-1].astype(np.int32))
+    step = np.sign(text[1:].astype(np.int64) - text[:-1].astype(np.int64))
     at = np.where(step != 0, np.arange(n - 1), n - 1)
     nearest = np.minimum.accumulate(at[::-1])[::-1]  # the next place where neighbours differ
     small = np.ones(n, bool)
@@ -70,10 +72,11 @@ def _induce(text, small, starts, lms):
 
 
 def _reduced_order(names, reach):
-    """Order of the suffixes of the reduced string: neighbours' names are paired and named
-    again, each round a string of half the depth, until names are unique or `reach` names deep
-    (numpy induces poorly over its large alphabet)."""
-    m, rank, depth = len(names), names.astype(np.int64), 1
+    """Order of the suffixes of the reduced string: by recursion where names repeat, else neighbours' names
+    are paired and named again, each round a string of half the depth, until names are unique or `reach` names deep."""
+    m, kinds, rank, depth = len(names), int(names.max()) + 1, names.astype(np.int64), 1
+    if kinds < m and m >= REPEATED * kinds:
+        return suffix_array(names, reach)
     while True:
         order = np.argsort(rank, kind="stable")
         if depth >= reach or m < 2 or not (rank[order][1:] == rank[order][:-1]).any():
@@ -92,8 +95,8 @@ def suffix_array(text, depth: int = 1 << 40):
     """Order of the suffixes of an array of small numbers that ends with its only 0;
     suffixes that agree in their first `depth` characters may stand in any
     order. Suffixes are classified, the leftmost S-type substrings are sorted by inducing and named,
-    the string of names is sorted, and its order induces that of all suffixes."""
-    text = np.asarray(text, np.uint16)
+    the string of names is sorted in the same way, and its order induces that of all suffixes."""
+    text = np.asarray(text)
     n = len(text)
     if n < 3:
         return np.arange(n)[::-1].copy()
@@ -105,17 +108,18 @@ def suffix_array(text, depth: int = 1 << 40):
     is_lms[lms] = True
     sa = _induce(text, small, starts, rough)
     ordered = sa[is_lms[np.maximum(sa, 0)] & (sa >= 0)]
-    # names: equal substrings get equal names (compared by length and a 64-bit prefix hash)
+    # names: neighbours in the order get one name if they agree character by character
     length = np.diff(np.concatenate((lms, [n - 1]))) + 1
-    with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, _STEP))))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[:n])))
-        place = np.empty(n, np.int64)
-        place[lms] = np.arange(len(lms))
-        a = place[ordered]
-        lo, hi = lms[a], lms[a] + length[a]
-        value = (sums[hi] - sums[lo]) * powers[n - lo]
-    fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (length[a][1:] != length[a][:-1])))
+    place = np.empty(n, np.int64)
+    place[lms] = np.arange(len(lms))
+    a = place[ordered]
+    fresh = np.concatenate(([True], length[a][1:] != length[a][:-1]))
+    at, off = np.flatnonzero(~fresh), 0
+    while len(at):
+        differs = text[lms[a[at]] + off] != text[lms[a[at - 1]] + off]
+        fresh[at[differs]] = True
+        off += 1
+        at = at[~differs & (length[a[at]] > off)]
     names = np.empty(len(lms), np.int64)
     names[a] = np.cumsum(fresh) - 1
     order = _reduced_order(names, max(2, depth // 2 + 2))

@@ -13,7 +13,8 @@ from .store import written
 LENGTH, GRAM = 100, 32
 #: Contexts of a shard (a context is LENGTH to 2 * LENGTH - GRAM bytes), and of one anchor in a shard.
 SHARD, HOT = 8192, 2048
-TAG = 1 << 17
+#: Anchors that this many rows of a sample of so many documents share are dealt by their surroundings too; only the dealing rests on the sample.
+HEAVY, HEAVY_SAMPLE = 16, 1 << 14
 #: Documents are handled in runs of about this many bytes.
 RUN = 1 << 19
 _LOW = -(1 << 63)
@@ -61,8 +62,8 @@ def _sliding_min(np, h, width):
 
 
 def anchors(np, texts, up, down):
-    """For a run of texts: (text, anchor place in it, first and last start it owns, anchor hash,
-    hash of its surroundings). The anchor of a LENGTH-byte string is its GRAM-byte substring of
+    """For a run of texts: (text, anchor place in it, first and last start it owns, anchor hash, two
+    hashes of its surroundings). The anchor of a LENGTH-byte string is its GRAM-byte substring of
     least hash, the leftmost if several; equal strings have equal anchors at equal offsets. The
     surroundings are all bytes that decide or lie in the strings an anchor can own, so where
     they agree, those strings agree one by one."""
@@ -87,20 +88,24 @@ def anchors(np, texts, up, down):
         a, t = own[first], text[first]
         begin = ends[t] - np.array([len(x) for x in texts])[t]
         left, right = np.maximum(a - (LENGTH - GRAM), begin), np.minimum(a + LENGTH, ends[t])
-        around = (sums[right] - sums[left]) * down[left]
-        around = _mix(np, around + (a - left).astype(np.uint64) * np.uint64(1000003) + (right - a).astype(np.uint64))
-    return t, a - begin, a - starts[first], a - starts[last], gram[a].view(np.int64), around.view(np.int64)
+        shape = (a - left).astype(np.uint64) * np.uint64(1000003) + (right - a).astype(np.uint64)
+        around = []
+        for own_sums in (sums, _sums(np, data, up, 4)):
+            around.append(_mix(np, (own_sums[right] - own_sums[left]) * down[left] + shape).view(np.int64))
+    return t, a - begin, a - starts[first], a - starts[last], gram[a].view(np.int64), *around
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc, tag, text): doc_id (null: the lowest number) and a short hash of the text that tells
-    rows of one doc_id apart; rows alike in both are one document."""
+def _doc(docs: DataFrame):
+    """Columns doc and tag, which name a document: doc_id (null: the lowest number), and where ids repeat or
+    are missing a hash of the text, which tells rows of one id apart; rows alike in both are one document."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(TAG)).alias("tag"), text.alias("text"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))
+    repeated = not docs.select(doc.alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).where((F.col("n") > 1) | (F.col("doc") == _LOW)).isEmpty()
+    return doc.alias("doc"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("tag"), text.alias("text")
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """One row per anchor: key, around, doc, at (tag, place and owned starts in one number), sure.
+    """One row per anchor: key, around, around2, doc, tag, at (place and owned starts in one number), sure.
     Within a run of rows the later of equal surroundings are known to repeat; they are `sure`,
     and are dealt by a number of their own, so that a passage in a third of all documents
     sends one row per run to its anchor's task."""
@@ -124,26 +129,24 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                     base, texts, size = i + 1, [], 0
             if not found:
                 continue
-            t, a, lo, hi, key, around = (np.concatenate(c) for c in zip(*found))
-            d = doc[t]
-            at = (tag[t] << 45) | (a << 14) | (lo << 7) | hi
-            order = np.lexsort((at, d, around, key))
-            d, at, key, around = d[order], at[order], key[order], around[order]
-            same = np.concatenate(([False], (key[1:] == key[:-1]) & (around[1:] == around[:-1])))
+            t, a, lo, hi, key, around, other = (np.concatenate(c) for c in zip(*found))
+            d, g, at = doc[t], tag[t], (a << 14) | (lo << 7) | hi
+            order = np.lexsort((at, g, d, other, around, key))
+            d, g, at, key, around, other = d[order], g[order], at[order], key[order], around[order], other[order]
+            same = np.concatenate(([False], (key[1:] == key[:-1]) & (around[1:] == around[:-1]) & (other[1:] == other[:-1])))
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))
-            sure = same & ((d != d[head]) | (at != at[head]))
+            sure = same & ((d != d[head]) | (g != g[head]) | (at != at[head]))
             with np.errstate(over="ignore"):
                 key = np.where(sure, _mix(np, (at ^ (d << 20)).view(np.uint64)).view(np.int64), key)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.where(sure, 0, around), d, at, sure)], names=["key", "around", "doc", "at", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.where(sure, 0, around), np.where(sure, 0, other), d, g, at, sure)], names=["key", "around", "around2", "doc", "tag", "at", "sure"])
 
-    return docs.mapInArrow(run, "key long, around long, doc long, at long, sure boolean")
+    return docs.mapInArrow(run, "key long, around long, around2 long, doc long, tag long, at long, sure boolean")
 
 
-def _spans(lo_at: str = "at"):
-    """doc, tag, first and last start of a row's owned strings."""
-    at = F.col(lo_at)
-    place = F.shiftright(at, 14).bitwiseAND(F.lit((1 << 31) - 1))
-    return (F.shiftright(at, 45).alias("tag"), (place - F.shiftright(at, 7).bitwiseAND(F.lit(127))).alias("lo"), (place - at.bitwiseAND(F.lit(127))).alias("hi"))
+def _spans():
+    """First and last start of a row's owned strings."""
+    place = F.shiftright("at", 14)
+    return ((place - F.shiftright("at", 7).bitwiseAND(F.lit(127))).alias("lo"), (place - F.col("at").bitwiseAND(F.lit(127))).alias("hi"))
 
 
 def _contexts(asked: DataFrame, docs: DataFrame) -> DataFrame:
@@ -235,26 +238,32 @@ def _searched(contexts: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """docs from _keyed -> (doc, tag, lo, hi): runs of starts whose LENGTH-byte string also
+    """docs(doc, tag, text) -> (doc, tag, lo, hi): runs of starts whose LENGTH-byte string also
     starts earlier anywhere in the table.
 
-    1. Every string belongs to its anchor; anchors meet by hash. An occurrence whose whole
-       surroundings have an earlier equal is done: all its strings repeat.
+    1. Every string belongs to its anchor; anchors meet by hash, those that very many rows share also by
+       their surroundings, so that no task holds such a group. An occurrence whose whole
+       surroundings (told apart by 128 bits) have an earlier equal is done: all its strings repeat.
     2. Of each distinct surroundings of an anchor only the first occurrence is left. Where an
        anchor has several, their texts go to the anchor's shard, whose suffix array (induced
        sorting) and permuted common prefixes find the strings that repeat there.
     3. Anchors with more than HOT distinct surroundings are spread over several shards; the
        strings that are first in their shard meet once more by hash.
     """
-    rows = _anchor_rows(docs.select("doc", "tag", "text")).repartition("key")  # one exchange for all windows
-    alike = Window.partitionBy("key", "around").orderBy("doc", "at")
+    share = min(1.0, HEAVY_SAMPLE / max(1, docs.count()))
+    heavy = written(_anchor_rows(docs.sample(share, seed=1)).where("not sure").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY).select("key", F.lit(True).alias("heavy")), "suffix-heavy")
+    # the sample has some 60 anchors a document, so at most 60 * HEAVY_SAMPLE / HEAVY keys
+    rows = (_anchor_rows(docs).join(F.broadcast(heavy), "key", "left")
+            .withColumn("deal", F.when(F.col("heavy"), F.col("around")).otherwise(0)).repartition("key", "deal"))  # one exchange for all windows
+    alike = Window.partitionBy("key", "deal", "around", "around2").orderBy("doc", "tag", "at")
     marked = rows.withColumn("first", (F.rank().over(alike) == 1) & (F.row_number().over(alike) == 1))
     # rank 1 twice means rows of one document: the same place, listed once
-    marked = marked.withColumn("n", F.sum(F.col("first").cast("long")).over(Window.partitionBy("key")))
-    kept = marked.withColumn("again", F.rank().over(alike) > 1).where("sure or again or (first and n > 1)")
-    found = written(kept.select("key", "doc", *_spans(), (F.col("sure") | F.col("again")).alias("repeat"), "n"), "suffix-anchors")
-    asked = found.where("not repeat")
-    total = asked.count()
+    marked = marked.withColumn("n", F.sum(F.col("first").cast("long")).over(Window.partitionBy("key", "deal")))
+    kept = marked.withColumn("again", F.rank().over(alike) > 1).where("sure or again or (first and (n > 1 or heavy))")
+    found = written(kept.select("key", "doc", "tag", *_spans(), (F.col("sure") | F.col("again")).alias("repeat"), "n", "heavy"), "suffix-anchors")
+    whole = written(found.where("heavy and not repeat").groupBy("key").agg(F.count("*").alias("all")), "suffix-heavy-n")
+    asked = found.where("not repeat").join(F.broadcast(whole), "key", "left").withColumn("n", F.coalesce("all", "n"))  # at most the heavy keys
+    total = found.where("not repeat").count()
     shards = max(1, -(-total // SHARD))
     parts = F.ceil(F.col("n") / HOT)
     salt = F.when(F.col("n") > HOT, F.pmod(F.xxhash64("doc", "lo"), parts)).otherwise(F.lit(0))
@@ -299,11 +308,9 @@ def dedup(docs: DataFrame, keep: list[str] = (), chars: bool = False) -> DataFra
     documents, ordered by a hash of the text; rows alike in both are one document and get the
     same result; a null doc_id comes before all others. Other columns pass untouched.
     """
-    keyed = _keyed(docs)
-    runs = (repeats(keyed).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(TAG)).alias("tag"),
-                       text.alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
+    doc, tag, text = _doc(docs)
+    runs = repeats(docs.select(doc, tag, text)).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    rows = docs.select(doc, tag, text, *(F.col(c).alias(f"_{c}") for c in keep))
     kinds = dict(docs.dtypes)
 
     def run(batches):

@@ -107,7 +107,9 @@ def test_token_counts_follow_edits(docs, none, tokenizer):
     assert token_counts.build(none, path, pattern).count() == 0
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("repeated", [suffix_array.REPEATED, 0, 1 << 60])  # as shipped, always by recursion, never
+def test_suffix_arrays(monkeypatch, repeated):
+    monkeypatch.setattr(suffix_array, "REPEATED", repeated)
     rng = np.random.default_rng(1)
     for k in range(120):
         t = np.concatenate((rng.integers(1, int(rng.integers(2, 5)), int(rng.integers(1, 50))) if k % 3 else np.tile(rng.integers(1, 4, 2), 15), [0])).astype(np.uint16)
@@ -131,8 +133,9 @@ def brute_repeats(rows):
 def test_suffix_dedup(spark, docs, none, monkeypatch):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     want = brute_repeats([(r["doc_id"], r["text"] or "") for r in unique.collect()])
-    for hot in (2048, 1):  # the second spreads every anchor over several shards
+    for hot, heavy in ((2048, 16), (1, 16), (2, 1), (2048, 2)):  # a low one spreads anchors over several shards, or deals them by their surroundings
         monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
         monkeypatch.setattr(suffix_dedup, "SHARD", 8192 if hot > 1 else 3)
         assert {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.dedup(unique).collect()} == want
     all_rows = suffix_dedup.dedup(docs).collect()
@@ -159,6 +162,36 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_with_repeated_and_huge_vectors(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(40)]
+    rows += [(0, rows[0][1]), (0, rows[0][1]), (5, rows[5][1]), (10, [3.0, 1.0, 0.0, 0.5]), (60, [1e30, -1e30, 1.0, 2.0]), (61, [1.0, 2.0]), (62, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = sorted({(i, tuple(max(-2**63, min(2**63 - 1, int(np.floor(256.0 * x)))) for x in e)) for i, e in rows})
+    for bucket, block in ((4096, 1024), (4, 2)):
+        got = defaultdict(list)
+        for r in topk.top_k(df, F.col("vec_id") % 10 == 0, bucket=bucket, block=block).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        for q in {i for i, _ in v if i % 10 == 0}:
+            want = [(j, max(-2**63, min(2**63 - 1, sum(x * y for x, y in zip(a, b))))) for i, a in v if i == q for j, b in v if j != q and len(a) == len(b)]
+            assert got[q] == sorted(want, key=lambda t: (-t[1], t[0]))[:5]
+
+
+def test_top_k_prunes_before_copying(spark):
+    """Short vectors meet no block whose queries need longer ones, and nothing is lost."""
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(3000, 8))
+    v *= (np.arange(3000)[::-1, None] + 1) ** 2 / 3000 ** 2 / np.linalg.norm(v, axis=1)[:, None] * 4
+    df = spark.createDataFrame([(k, [float(x) for x in v[k]]) for k in range(3000)], "vec_id long, embedding array<double>")
+    q = np.floor(256.0 * v).astype(np.int64)
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, bucket=100, block=16).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for i in range(0, 3000, 50):
+        s = q @ q[i]
+        assert got[i] == [(j, int(s[j])) for j in sorted((j for j in range(3000) if j != i), key=lambda j: (-s[j], j))[:5]]
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
@@ -339,6 +372,24 @@ def test_bpe(docs, none, tokenizer):
     assert bpe.encode(none, path, pattern).count() == 0
 
 
+def test_long_words_merge_in_n_log_n(spark, tokenizer):
+    import time
+
+    path, pattern, enc = tokenizer
+    rng = np.random.default_rng(14)
+    letters = lambda n: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, n))
+    texts = [letters(200_000), "a" * 70_000, letters(65), letters(64), letters(70) + " " + letters(70), "ü" * 500 + " x", "!" * 3000 + letters(100)]
+    ranks = {p: r for r, p in enumerate(bpe.Vocabulary(spark, path).pieces) if p}
+    for t in texts[2:]:
+        assert [i for w in t.split(" ") for i in bpe.merge_by_heap(w.encode(), ranks)] == [i for w in t.split(" ") for i in enc._encode_single_piece(w)]
+    began = time.time()
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode(d, path, pattern).collect():
+        ids = enc.encode_ordinary(texts[r["doc_id"]])
+        assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and bytes(r["decoded"]) == texts[r["doc_id"]].encode()
+    assert time.time() - began < 60
+
+
 def test_queries_are_registered():
     names = set(Q.queries())
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
