@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 from quillmed.functions.scalars import day_span
 
+from .store import written
+
 SERIES = ("entity", "test")
-#: Theil-Sen meets all pairs of a series: beyond this many points its series is refused, not sampled.
-MAX_POINTS = 5000
+#: Theil-Sen pairs the points of series of so many points at most; slopes of longer ones are counted, not made.
+ALL_PAIRS = 200
+#: Whole days fit into so many binary digits (2800 years).
+DAY_BITS = 20
+#: Guesses of a step of the search for a median slope, and how close to it the search ends, relative to the spread of values.
+GUESSES, CLOSE = 15, 1e-13
+#: Points of one running count.
+RUN = 50_000
 
 
 def in_order(key=SERIES):
@@ -39,22 +47,75 @@ def monotonic(df: DataFrame, key=SERIES) -> DataFrame:
     return steps(df, key).groupBy(*key).agg(F.bool_and(F.col("step") > 0).alias("rising"), F.bool_and(F.col("step") < 0).alias("falling"))
 
 
-def theil_sen(df: DataFrame, key=SERIES, max_points: int = MAX_POINTS) -> DataFrame:
-    """Median of the slopes per day of all pairs of points at different times; 0 without a
-    pair. Pairs are made within a series only; longer series than max_points fail the query with a message."""
-    day = F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000
-    points = df.select(*key, day.alias("day"), "value", F.row_number().over(in_order(key)).alias("i"))
-    checked = points.withColumn("i", F.when(F.col("i") > max_points, F.raise_error(F.lit("series too long for all pairs")).cast("int")).otherwise(F.col("i")))
-    a, b = checked.alias("a"), checked.alias("b")
+def theil_sen(df: DataFrame, key=SERIES, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """Median of the slopes per day of all pairs of points on different days (whole elapsed days since the
+    series' first point); 0 without a pair. Series of up to all_pairs points pair their points; longer ones, however
+    long, get the same median by counting slopes."""
+    key = list(key)
+    shape = df.groupBy(*key).agg(F.count("*").alias("n"), F.min("ts").alias("since"))
+    points = df.join(shape.hint("shuffle_merge"), key).select(*key, "value", "ts", "ord", "n", day_span(F.col("ts"), F.col("since")).alias("day"))
+    short = points.where(F.col("n") <= all_pairs).select(*key, "day", "value", F.row_number().over(in_order(key)).alias("i"))
+    a, b = short.alias("a"), short.alias("b")
     on = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]) & (F.col("a.i") < F.col("b.i"))
-    slope = (F.col("b.value") - F.col("a.value")) / F.nullif(F.col("b.day") - F.col("a.day"), F.lit(0.0))
+    slope = (F.col("b.value") - F.col("a.value")) / F.nullif(F.col("b.day") - F.col("a.day"), F.lit(0))
     pairs = a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in key), slope.alias("slope")).where("slope is not null")
     medians = pairs.groupBy(*key).agg(F.percentile("slope", 0.5).alias("slope"))
-    return df.select(*key).distinct().join(medians, list(key), "left").select(*key, F.coalesce("slope", F.lit(0.0)).alias("slope"))
+    if not shape.where(F.col("n") > all_pairs).isEmpty():
+        medians = medians.unionByName(counted_slopes(points.where(F.col("n") > all_pairs), key))
+    return shape.select(*key).join(medians, key, "left").select(*key, F.coalesce("slope", F.lit(0.0)).alias("slope"))
+
+
+def _slopes_up_to(points: DataFrame, key: list[str]) -> DataFrame:
+    """points(key.., n, last, day, value, guess) -> (key.., guess, c): pairs of different days whose slope is at most the guess.
+
+    A pair has at most that slope where the later point's rest (value - guess * day) is at most the earlier's. At the
+    highest binary digit in which two days differ the earlier has a 0 and the later a 1, under equal higher digits: so the
+    pairs of each digit are a running count of ones in the order of rest, and no pair is made. A running count goes over
+    ranges of rest, of some RUN points each, whose sums are laid end to end; so no task holds a long series."""
+    digit = F.array(*(F.struct(F.lit(k).alias("bit"), F.shiftright("day", k + 1).alias("high"), F.shiftright("day", k).bitwiseAND(F.lit(1)).alias("late")) for k in range(DAY_BITS)))
+    rest = points.withColumn("rest", F.col("value") - F.col("guess") * F.col("day"))
+    reach = rest.groupBy(*key, "guess").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+    placed = rest.join(reach.hint("shuffle_merge"), [*key, "guess"])
+    parts = F.ceil(F.col("n") / RUN)
+    part = F.coalesce(F.least(F.floor((F.col("rest") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * parts), parts - 1), F.lit(0))
+    used = F.filter(digit, lambda x: F.pow(F.lit(2.0), x["bit"]) <= F.col("last"))
+    each = placed.select(*key, "guess", "rest", part.alias("part"), F.explode(used).alias("x")).select(*key, "guess", "rest", "part", "x.*")
+    cell = [*key, "guess", "bit", "high"]
+    sums = each.groupBy(*cell, "part").agg(F.sum("late").alias("late"))
+    earlier = F.coalesce(F.sum("late").over(Window.partitionBy(*cell).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*cell, "part", earlier.alias("earlier"))
+    inner = Window.partitionBy(*cell, "part").orderBy("rest", F.desc("late")).rowsBetween(Window.unboundedPreceding, 0)  # equal rests are pairs: the later day first
+    counted = each.withColumn("inner", F.sum("late").over(inner)).where("late = 0").join(sums.hint("shuffle_merge"), [*cell, "part"])
+    return counted.groupBy(*key, "guess").agg(F.sum(F.col("inner") + F.col("earlier")).alias("c"))
+
+
+def counted_slopes(points: DataFrame, key: list[str]) -> DataFrame:
+    """The median slope of each series of points(key.., n, day, value), for series of any length: the two middle slopes
+    (one, if their number is odd) are enclosed ever more closely, counting the slopes up to GUESSES guesses for all series in a step."""
+    pts = points.where("value is not null").select(*key, "n", F.col("day").cast("long").alias("day"), "value")
+    pts = written(pts, "slopes")
+    days = pts.groupBy(*key, "day").agg(F.count("*").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    size = days.groupBy(*key).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("ties"), F.max("day").alias("last"), (F.max("hi") - F.min("lo")).alias("spread"))
+    pairs = ((F.col("m") * F.col("m") - F.col("ties")) / 2).cast("long")
+    size = size.withColumn("pairs", pairs).where("pairs > 0")
+    middle = F.array_distinct(F.array(F.floor((F.col("pairs") + 1) / 2), F.floor(F.col("pairs") / 2) + 1))
+    edge = F.col("spread") * (1 + 1e-9) + 1e-300
+    state = written(size.select(*key, "last", "spread", F.explode(middle).alias("want"), (-edge).alias("low"), edge.alias("high")), "slopes")
+    moves = F.col("high") - F.col("low") > F.lit(CLOSE) * F.col("spread")
+    while not (open_ := state.where(moves)).isEmpty():
+        between = F.transform(F.sequence(F.lit(1), F.lit(GUESSES)), lambda g: F.col("low") + (F.col("high") - F.col("low")) * g / (GUESSES + 1))
+        guesses = written(open_.select(*key, "last", "want", F.explode(between).alias("guess")), "slopes")
+        asked = guesses.select(*key, "last", "guess").distinct()
+        counts = _slopes_up_to(pts.join(asked.hint("shuffle_merge"), key), key)
+        met = guesses.join(counts.hint("shuffle_merge"), [*key, "guess"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        new = met.groupBy(*key, "want").agg(F.max(F.when(F.col("c") < F.col("want"), F.col("guess"))).alias("_low"), F.min(F.when(F.col("c") >= F.col("want"), F.col("guess"))).alias("_high"))
+        state = written(state.join(new.hint("shuffle_merge"), [*key, "want"], "left")
+                        .select(*key, "last", "spread", "want", F.coalesce("_low", "low").alias("low"), F.coalesce("_high", "high").alias("high")), "slopes")
+    return state.groupBy(*key).agg(F.avg((F.col("low") + F.col("high")) / 2).alias("slope"))
 
 
 def trend(df: DataFrame, bounds: DataFrame | None = None, key=SERIES) -> DataFrame:
-    """No Trend, Trending Up, Trending Down, Stable or Fluctuating. bounds(test, per_day_high) may give the slope's threshold."""
+    """No Trend, Up, Down, Stable or Fluctuating. bounds(test, per_day_high) may give the slope's threshold."""
     shape = df.groupBy(*key).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), day_span(F.max("ts"), F.min("ts")).alias("days"))
     s = shape.join(monotonic(df, key), list(key)).join(theil_sen(df, key), list(key))
     s = s.join(F.broadcast(bounds), "test", "left") if bounds is not None else s.withColumn("per_day_high", F.lit(None).cast("double"))
@@ -62,8 +123,8 @@ def trend(df: DataFrame, bounds: DataFrame | None = None, key=SERIES) -> DataFra
     limit = (F.when(F.coalesce("per_day_high", F.lit(0.0)) != 0, F.col("per_day_high")).when(spread == 0, 0.0)
              .otherwise(0.2 * spread / F.greatest(F.lit(1), F.col("days"))))
     near = F.coalesce(spread / F.nullif(mid, F.lit(0.0)) < 0.05, F.lit(False))
-    label = (F.when(F.col("n") < 2, "No Trend").when(F.col("rising"), "Trending Up").when(F.col("falling"), "Trending Down")
-             .when(F.col("slope") > limit, "Trending Up").when(F.col("slope") < -limit, "Trending Down").when(near, "Stable").otherwise("Fluctuating"))
+    label = (F.when(F.col("n") < 2, "No Trend").when(F.col("rising"), "Up").when(F.col("falling"), "Down")
+             .when(F.col("slope") > limit, "Up").when(F.col("slope") < -limit, "Down").when(near, "Stable").otherwise("Fluctuating"))
     return s.select(*key, "n", "slope", label.alias("trend"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillmed.functions.scalars import label_stem
 
+from .store import written
+
 
 # ---- ingest
 def extract_json(text: Column) -> Column:
@@ -112,25 +112,16 @@ def merge_links(links: DataFrame, order: list[str]) -> DataFrame:
 
 
 # ---- recursion
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder (spark.checkpoint.dir; a temporary one where it is unset) and read again."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """edges(parent, child) -> (root, node, depth, path): everything that a root reaches, along each path, cycles cut.
     The frontier is written and followed until it is empty; a depth, where given, ends it sooner."""
     level = edges.select(F.col("parent").alias("root"), F.col("child").alias("node"), F.lit(1).alias("depth"), F.array("parent", "child").alias("path")).where("root <> node")
-    out = level = _written(level, "closure")
+    out = level = written(level, "closure")
     d = 1
     while (depth is None or d < depth) and not level.isEmpty():
         d += 1
         nxt = level.join(edges, F.col("node") == F.col("parent")).where(~F.array_contains("path", F.col("child")))
-        level = _written(nxt.select("root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.array_append("path", F.col("child")).alias("path")), "closure")
+        level = written(nxt.select("root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.array_append("path", F.col("child")).alias("path")), "closure")
         out = out.unionAll(level)
     return out
 

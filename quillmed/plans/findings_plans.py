@@ -16,14 +16,15 @@ FROM ({SERIES}) GROUP BY entity, test"""
 STEPS = f"""SELECT *, lag(ts) OVER w AS prev_ts, lag(value) OVER w AS prev_value, row_number() OVER w - 1 AS pair_no, value - lag(value) OVER w AS step
 FROM ({SERIES}) WINDOW w AS (PARTITION BY entity, test ORDER BY ts, ord)"""
 MONO = f"SELECT entity, test, bool_and(step > 0) AS rising, bool_and(step < 0) AS falling FROM ({STEPS}) GROUP BY entity, test"
+POINTS = f"""SELECT entity, test, value, {DAYS.format(a='ts', b='min(ts) OVER (PARTITION BY entity, test)')} AS day FROM ({SERIES})"""
 SLOPES = f"""SELECT s.entity, s.test, coalesce(m.slope, 0.0)::DOUBLE AS slope FROM (SELECT DISTINCT entity, test FROM ({SERIES})) s LEFT JOIN (
-  SELECT a.entity, a.test, quantile_cont((b.value - a.value) / ((epoch_us(b.ts) / 86400000000.0) - (epoch_us(a.ts) / 86400000000.0)), 0.5) AS slope
-  FROM ({SERIES}) a JOIN ({SERIES}) b ON a.entity = b.entity AND a.test = b.test AND (a.ts < b.ts) GROUP BY a.entity, a.test) m ON s.entity = m.entity AND s.test = m.test"""
+  SELECT a.entity, a.test, quantile_cont((b.value - a.value) / (b.day - a.day), 0.5) AS slope
+  FROM ({POINTS}) a JOIN ({POINTS}) b ON a.entity = b.entity AND a.test = b.test AND a.day < b.day GROUP BY a.entity, a.test) m ON s.entity = m.entity AND s.test = m.test"""
 
 
 def trend_sql(per_day: str = "NULL::DOUBLE") -> str:
-    return f"""SELECT entity, test, n, slope, CASE WHEN n < 2 THEN 'No Trend' WHEN rising THEN 'Trending Up' WHEN falling THEN 'Trending Down' WHEN slope > lim THEN 'Trending Up'
- WHEN slope < -lim THEN 'Trending Down' WHEN (hi + lo) <> 0 AND (hi - lo) / ((hi + lo) / 2) < 0.05 THEN 'Stable' ELSE 'Fluctuating' END AS trend FROM (
+    return f"""SELECT entity, test, n, slope, CASE WHEN n < 2 THEN 'No Trend' WHEN rising THEN 'Up' WHEN falling THEN 'Down' WHEN slope > lim THEN 'Up'
+ WHEN slope < -lim THEN 'Down' WHEN (hi + lo) <> 0 AND (hi - lo) / ((hi + lo) / 2) < 0.05 THEN 'Stable' ELSE 'Fluctuating' END AS trend FROM (
  SELECT *, CASE WHEN coalesce({per_day}, 0) <> 0 THEN {per_day} WHEN hi = lo THEN 0 ELSE 0.2 * (hi - lo) / greatest(1, days) END AS lim FROM
  (SELECT entity, test, count(*) AS n, min(value) AS lo, max(value) AS hi, {SPAN} AS days FROM ({SERIES}) GROUP BY entity, test) g
  JOIN ({MONO}) m USING (entity, test) JOIN ({SLOPES}) s USING (entity, test))"""

@@ -85,7 +85,7 @@ def test_scores_count_empty_sentences(spark):
 
 def test_trend_labels(spark):
     label = lambda *v: findings.trend(series(spark, *v)).first()["trend"]
-    assert label(1.0) == "No Trend" and label(1.0, 2.0, 3.0) == "Trending Up" and label(3.0, 2.0) == "Trending Down"
+    assert label(1.0) == "No Trend" and label(1.0, 2.0, 3.0) == "Up" and label(3.0, 2.0) == "Down"
     assert label(100.0, 101.0, 101.0, 100.0) == "Stable" and label(1.0, 9.0, 1.0, 9.0, 1.0) == "Fluctuating"
 
 
@@ -96,7 +96,7 @@ def test_rising_series_trend_up(spark, gaps):
     for g in gaps:
         at += g
         values.append(at)
-    assert findings.trend(series(spark, *values)).first()["trend"] == "Trending Up"
+    assert findings.trend(series(spark, *values)).first()["trend"] == "Up"
 
 
 def test_status_without_bounds_is_unknown(spark):
@@ -104,11 +104,39 @@ def test_status_without_bounds_is_unknown(spark):
     assert findings.latest_status(d, spark.createDataFrame([], "test string, low double, high double")).first()["status"] == "Unknown"
 
 
-def test_long_series_is_refused_not_sampled(spark):
-    import pytest
+def slope_by_hand(points):
+    """points: (hours since the first one, value)."""
+    import statistics
 
-    with pytest.raises(Exception, match="too long"):
-        findings.theil_sen(series(spark, *map(float, range(12))), max_points=10).collect()
+    slopes = [(y - x) / (int(b // 24) - int(a // 24)) for k, (a, x) in enumerate(points) for b, y in points[k + 1:] if int(a // 24) != int(b // 24)]
+    return statistics.median(slopes) if slopes else 0.0
+
+
+def test_theil_sen_takes_whole_days_and_series_of_any_length(spark):
+    import random
+
+    rng, made = random.Random(3), {}
+    for e, (n, step) in enumerate(((3, 18), (7, 5), (40, 7), (41, 30), (230, 11), (12, 0), (60, 1))):
+        at = sorted(rng.randrange(max(1, n * step)) for _ in range(n))
+        made[e] = [(h - at[0], float(rng.randrange(20)) if e % 2 else rng.gauss(0, 5) + h / 9) for h in at]
+    rows = [(e, "x", day(0) + dt.timedelta(hours=h), v, k) for e, pts in made.items() for k, (h, v) in enumerate(pts)]
+    d = spark.createDataFrame(rows, "entity long, test string, ts timestamp_ntz, value double, ord long")
+    for limit in (200, 10):
+        for r in findings.theil_sen(d, all_pairs=limit).collect():
+            assert abs(r["slope"] - slope_by_hand(made[r["entity"]])) < 1e-9
+
+
+def test_a_series_of_six_thousand_points_has_a_slope(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(findings, "RUN", 1000)
+    rng = np.random.default_rng(4)
+    days, values = np.arange(6000) // 2, rng.normal(size=6000) + np.arange(6000) * 0.01
+    d = spark.createDataFrame([(1, "x", day(int(a)), float(v), k) for k, (a, v) in enumerate(zip(days, values))], "entity long, test string, ts timestamp_ntz, value double, ord long")
+    i, j = np.triu_indices(6000, 1)
+    apart = days[j] != days[i]
+    want = np.median((values[j] - values[i])[apart] / (days[j] - days[i])[apart])
+    assert abs(findings.theil_sen(d).first()["slope"] - want) < 1e-10
 
 
 def test_ewma_matches_recurrence(spark):
