@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import closure
-
-#: Joints are products of small tables: a joint of more rows than this is refused.
-MAX_JOINT = 1_000_000
+from .store import sized, written
 
 
 def encode(c: Column, codes: dict[str, str]) -> Column:
@@ -18,16 +16,23 @@ def encode(c: Column, codes: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in codes.items() for x in kv)), c)
 
 
+def states_grid(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """Every combination of the columns' states: lists of states are constants of the plan, exploded one after the other."""
+    spark, out = counts.sparkSession, None
+    for c in columns:
+        states = counts.agg(F.array_sort(F.collect_set(c)).alias("s"))  # the states of one variable
+        out = states.select(F.explode("s").alias(c)) if out is None else out.select("*", F.explode(states.scalar()).alias(c)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return out
+
+
 def fit(df: DataFrame, variable: str, parents: list[str] = ()) -> DataFrame:
     """P(variable | parents) by counts over the full grid of observed states; a combination of
     parent states without rows gets the uniform distribution. Counting combines before the shuffle; all that follows has a row per combination of states."""
     parents = list(parents)
     used = df.dropna(subset=[variable, *parents])
-    counts = used.groupBy(*parents, variable).agg(F.count("*").alias("n"))
-    grid = used.select(variable).distinct()
-    for p in parents:
-        grid = grid.join(F.broadcast(used.select(p).distinct()))  # states of one variable
-    full = grid.join(counts, [*parents, variable], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = written(used.groupBy(*parents, variable).agg(F.count("*").alias("n")), "cpt-counts")
+    grid = states_grid(counts, [variable, *parents])
+    full = grid.join(counts.hint("shuffle_merge"), [*parents, variable], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1))
     total = F.sum("n").over(w)
     return full.withColumn("p", F.when(total > 0, F.col("n") / total).otherwise(1 / F.count("*").over(w))).drop("n")
@@ -39,6 +44,15 @@ def validate(cpt: DataFrame, variable: str, parents: list[str], states: int) ->
     return g.agg(F.round(F.sum("p"), 9).alias("total"), F.count(variable).alias("states")).withColumn("valid", (F.abs(F.col("total") - 1) < 1e-6) & (F.col("states") == states))
 
 
+def uncovered(cpt: DataFrame, states: dict[str, DataFrame]) -> DataFrame:
+    """Combinations of the parents' states that the table has no row for. states: each parent's own table, with a column of its name."""
+    grid = None
+    for p, t in states.items():
+        every = t.agg(F.array_sort(F.collect_set(p)).alias("s"))
+        grid = every.select(F.explode("s").alias(p)) if grid is None else grid.select("*", F.explode(every.scalar()).alias(p))
+    return grid.join(cpt.select(*states).distinct().hint("shuffle_merge"), list(states), "left_anti")
+
+
 def cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Variables that reach themselves along edges(parent, child)."""
     reach = closure(edges, depth)
@@ -46,12 +60,19 @@ def cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
 
 
 def joint(cpts: list[DataFrame]) -> DataFrame:
-    """The product of the tables, joined on shared variables: one row per combination of states."""
+    """The product of the tables, joined on shared variables: one row per combination of states. A table that shares
+    none (a root) is a list in the plan, exploded."""
     out = None
     for k, t in enumerate(cpts):
         t = t.withColumnRenamed("p", f"p{k}")
         shared = [c for c in t.columns if out is not None and c in out.columns]
-        out = t if out is None else out.join(F.broadcast(t), shared) if shared else out.join(F.broadcast(t))
+        if out is None:
+            out = t
+        elif shared:
+            out = out.join(sized(t), shared)
+        else:
+            rows = t.agg(F.collect_list(F.struct(*t.columns))).scalar()
+            out = out.select("*", F.explode(rows).alias("_r")).select(*out.columns, "_r.*")
     ps = [f"p{k}" for k in range(len(cpts))]
     return out.withColumn("p", reduce(lambda a, b: a * b, map(F.col, ps))).drop(*ps)
 
@@ -80,31 +101,60 @@ def clean_evidence(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.nullif(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("None")) for c in columns})
 
 
-def score(evidence: DataFrame, key: str, columns: list[str], j: DataFrame) -> DataFrame:
+def _observed(columns: list[str]) -> Column:
+    """Which columns are observed, as a number."""
+    return reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), F.lit(1 << k)).otherwise(0) for k, c in enumerate(columns)], F.lit(0))
+
+
+def score(evidence: DataFrame, key: str, columns: list[str], j: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Evidence rows (null: not observed) -> posterior of every state of every variable of
-    each row; observed ones come out as 1 or 0. Rows of equal evidence are scored once: the patterns
-    meet the joint, whose size is checked before it is broadcast, and the rows meet their pattern's result."""
-    if j.limit(MAX_JOINT + 1).count() > MAX_JOINT:
-        raise ValueError("the joint is too large for this method")
-    cleaned = clean_evidence(evidence, columns)
-    names = [c for c in j.columns if c != "p"]
-    pattern = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
-    patterns = cleaned.select(*columns).distinct().withColumn("_k", pattern)
-    e = patterns.select("_k", *(F.col(c).alias(f"_{c}") for c in columns))
-    on = reduce(lambda a, b: a & b, [F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)) for c in columns])
-    met = e.join(F.broadcast(j), on)
+    each row; observed ones come out as 1 or 0. Rows are grouped by which columns they observe: for each such set
+    the joint is summed up to a table of posteriors by its columns, which the rows meet by equality. Nothing is refused: a large table is joined by a shuffle."""
+    cleaned = written(clean_evidence(evidence, columns).select(key, *columns, *keep).withColumn("_m", _observed(columns)), "evidence")
+    names, j = [c for c in j.columns if c != "p"], written(j, "joint")
     pairs = F.array(*(F.struct(F.lit(n).alias("variable"), F.col(n).alias("state")) for n in names))
-    g = met.select("_k", F.explode(pairs).alias("v"), "p").groupBy("_k", "v.variable", "v.state").agg(F.sum("p").alias("p"))
-    g = g.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("_k", "variable")))
-    return cleaned.select(key, pattern.alias("_k")).join(g, "_k").drop("_k")
+    out = []
+    for m in [r["_m"] for r in cleaned.select("_m").distinct().orderBy("_m").collect()]:  # at most one for each set of columns
+        seen = [c for k, c in enumerate(columns) if m >> k & 1]
+        t = j.select(*(F.col(c).alias(f"_{c}") for c in seen), *(F.col(c).alias(f"_k_{c}") for c in keep), F.explode(pairs).alias("v"), "p").groupBy(*(f"_{c}" for c in seen), *(f"_k_{c}" for c in keep), "v.variable", "v.state").agg(F.sum("p").alias("p"))
+        rows = cleaned.where(F.col("_m") == m)
+        on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in seen], F.col("_m") == F.col("_all"))
+        out.append(rows.join(sized(t.withColumn("_all", F.lit(m))), on).select(key, *keep, *(f"_k_{c}" for c in keep), "variable", "state", "p"))
+    met = reduce(DataFrame.unionByName, out) if out else cleaned.limit(0).select(key, *keep, *(F.lit("").alias(f"_k_{c}") for c in keep), F.lit("").alias("variable"), F.lit("").alias("state"), F.lit(0.0).alias("p"))
+    if keep:
+        return met
+    return met.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(key, "variable")))
+
+
+def score_with_priors(evidence: DataFrame, key: str, columns: list[str], cpts: dict[str, DataFrame], priors: dict[str, str]) -> DataFrame:
+    """G8 for each row: priors names, for a root variable, the column of evidence with the row's own prior (a map of
+    state to probability; null: the table's). The joint leaves the root's factor out, sums are kept by the root's
+    state, and each row weighs them by its prior."""
+    flat = {v: t.withColumn("p", F.lit(1.0)) if v in priors else t for v, t in cpts.items()}
+    marked = joint(list(flat.values()))
+    roots = list(priors)
+    asked = evidence.withColumnsRenamed({c: f"_p_{v}" for v, c in priors.items()})
+    j = marked.withColumns({f"_p_{v}": F.col(v) for v in roots})
+    met = _by_root(asked, key, columns, j, roots)
+    weight = F.lit(1.0)
+    for v in roots:
+        usual = cpts[v].agg(F.map_from_entries(F.collect_list(F.struct(v, "p")))).scalar()
+        weight = weight * F.coalesce(F.try_element_at(F.coalesce(F.col(f"_p_{v}"), usual), F.col(f"_k__p_{v}")), F.lit(0.0))
+    g = met.groupBy(key, "variable", "state").agg(F.sum(F.col("p") * weight).alias("p"))
+    return g.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(key, "variable")))
+
+
+def _by_root(asked: DataFrame, key: str, columns: list[str], j: DataFrame, roots: list[str]) -> DataFrame:
+    got = score(asked, key, columns, j, keep=[f"_p_{v}" for v in roots])
+    return got.where(~F.startswith("variable", F.lit("_p_")))
 
 
 def override_priors(cpts: dict[str, DataFrame], priors: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Root tables replaced by given ones."""
+    """Root tables replaced by given ones, for all rows."""
     return {**cpts, **priors}
 
 
 def present(cpt: DataFrame, variable: str, parents: list[str], combinations: list[str]) -> DataFrame:
     """One row per state, one column per parent combination (states joined by '/'), 3 decimals."""
-    label = F.concat_ws("/", *parents)
-    return cpt.groupBy(variable).pivot("_c", combinations).agg(F.round(F.first("p"), 3)) if "_c" in cpt.columns else cpt.withColumn("_c", label).groupBy(variable).pivot("_c", combinations).agg(F.round(F.first("p"), 3))
+    labelled = cpt if "_c" in cpt.columns else cpt.withColumn("_c", F.concat_ws("/", *parents))
+    return labelled.groupBy(variable).pivot("_c", combinations).agg(F.round(F.first("p"), 3))

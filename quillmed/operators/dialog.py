@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import sized
+
 #: Tags that hold reasoning, in the order in which they are tried, and phrases that end an intake.
 REASONING = ("think", "thinking", "reasoning", "analysis", "thought")
 STOP = ("done", "finished", "no more", "that's all")
@@ -68,10 +70,11 @@ def gate(logic: Column, n: Column, k: Column) -> Column:
 
 
 def evaluate_gates(causes: DataFrame, findings: DataFrame) -> DataFrame:
-    """causes(relation, cause, logic, effect) - a rule list, broadcast - over findings(entity, cause, flag); absent findings are false."""
+    """causes(relation, cause, logic, effect) over findings(entity, cause, flag); absent findings are false. The list of all relations is a constant of the plan."""
     total = causes.groupBy("relation", "logic", "effect").agg(F.count("*").alias("n"))
-    hit = findings.where("flag").select("entity", "cause").distinct().join(F.broadcast(causes), "cause").groupBy("entity", "relation").agg(F.count("*").alias("k"))
-    pairs = findings.select("entity").distinct().select("entity", F.explode(F.lit([r["relation"] for r in total.select("relation").collect()])).alias("relation"))
-    m = pairs.join(hit, ["entity", "relation"], "left").join(F.broadcast(total), "relation")
+    hit = findings.where("flag").select("entity", "cause").distinct().join(sized(causes), "cause").groupBy("entity", "relation").agg(F.count("*").alias("k"))
+    every = total.agg(F.collect_list(F.struct("relation", "logic", "effect", "n"))).scalar()
+    pairs = findings.select("entity").distinct().select("entity", F.explode(every).alias("t")).select("entity", "t.*")
+    m = pairs.join(hit.hint("shuffle_merge"), ["entity", "relation"], "left")
     return m.select("entity", "relation", "effect", gate(F.col("logic"), F.col("n"), F.coalesce("k", F.lit(0))).alias("holds"))
 

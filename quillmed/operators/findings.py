@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmed.functions.scalars import day_span
 
-from .store import written
+from .store import sized, written
 
 SERIES = ("entity", "test")
 #: Theil-Sen pairs the points of series of so many points at most; slopes of longer ones are counted, not made.
@@ -118,7 +118,7 @@ def trend(df: DataFrame, bounds: DataFrame | None = None, key=SERIES) -> DataFra
     """No Trend, Up, Down, Stable or Fluctuating. bounds(test, per_day_high) may give the slope's threshold."""
     shape = df.groupBy(*key).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), day_span(F.max("ts"), F.min("ts")).alias("days"))
     s = shape.join(monotonic(df, key), list(key)).join(theil_sen(df, key), list(key))
-    s = s.join(F.broadcast(bounds), "test", "left") if bounds is not None else s.withColumn("per_day_high", F.lit(None).cast("double"))
+    s = s.join(sized(bounds), "test", "left") if bounds is not None else s.withColumn("per_day_high", F.lit(None).cast("double"))
     spread, mid = F.col("hi") - F.col("lo"), (F.col("hi") + F.col("lo")) / 2
     limit = (F.when(F.coalesce("per_day_high", F.lit(0.0)) != 0, F.col("per_day_high")).when(spread == 0, 0.0)
              .otherwise(0.2 * spread / F.greatest(F.lit(1), F.col("days"))))
@@ -141,7 +141,7 @@ def latest(df: DataFrame, key=SERIES, extra: tuple[str, ...] = ()) -> DataFrame:
 
 def latest_status(df: DataFrame, bounds: DataFrame, key=SERIES) -> DataFrame:
     """bounds(test, low, high) win over the row's own low and high wherever a test has a row there."""
-    p = latest(df, key, ("low", "high")).join(F.broadcast(bounds.select("test", F.col("low").alias("m_low"), F.col("high").alias("m_high"), F.lit(True).alias("known"))), "test", "left")
+    p = latest(df, key, ("low", "high")).join(sized(bounds.select("test", F.col("low").alias("m_low"), F.col("high").alias("m_high"), F.lit(True).alias("known"))), "test", "left")
     pick = lambda c: F.when(F.col("known"), F.col(f"m_{c}")).otherwise(F.col(c))
     return p.select(*key, "value", status(F.col("value"), pick("low"), pick("high")).alias("status"))
 
@@ -179,7 +179,7 @@ def rule_breach(df: DataFrame, rules: DataFrame, key=SERIES) -> DataFrame:
     kind = (F.when(F.col("comp").isin(">", ">=") & (F.col("value") > F.col("r_low") * scale), "High")
             .when(F.col("comp").isin("<", "<=") & (F.col("value") < F.col("r_high") * scale), "Low"))
     r = used.select("test", "rule_no", "comp", F.col("low").alias("r_low"), F.col("high").alias("r_high"), "unit", "upper_normal")
-    hit = df.join(F.broadcast(r), "test").withColumn("kind", kind).where("kind is not null")
+    hit = df.join(sized(r), "test").withColumn("kind", kind).where("kind is not null")
     return hit.groupBy(*key).agg(F.min_by(F.struct("kind", "ts"), F.struct("ts", "ord", "rule_no")).alias("b")).select(*key, F.col("b.kind").alias("kind"), F.col("b.ts").alias("at"))
 
 
@@ -192,7 +192,7 @@ def rate_breach(df: DataFrame, rules: DataFrame, key=SERIES) -> DataFrame:
     unit = F.trim(F.coalesce("unit", F.lit("")))
     rate = F.when(unit == "%", percent).when((unit != "") & (F.lower(unit) != "persistent"), per_day)
     r = rules.where("per_day_low is not null").select("test", "rule_no", "unit", "per_day_low")
-    hit = steps(df, key).where("prev_ts is not null").join(F.broadcast(r), "test").withColumn("rate", rate).where(F.abs("rate") >= F.col("per_day_low"))
+    hit = steps(df, key).where("prev_ts is not null").join(sized(r), "test").withColumn("rate", rate).where(F.abs("rate") >= F.col("per_day_low"))
     first = F.min_by(F.struct(F.when(F.col("rate") > 0, "High").otherwise("Low").alias("kind"), "ts"), F.struct("pair_no", "rule_no"))
     return hit.groupBy(*key).agg(first.alias("b")).select(*key, F.col("b.kind").alias("kind"), F.col("b.ts").alias("at"))
 
@@ -209,7 +209,7 @@ def average_rate(df: DataFrame, bounds: DataFrame, key=SERIES) -> DataFrame:
     rate_low, rate_high, rate_unit): in percent the change is relative to the first value, null if that is 0. One point has no rate."""
     order = F.struct("ts", "ord")
     ends = df.groupBy(*key).agg(F.count("*").alias("n"), F.min_by("value", order).alias("v0"), F.max_by("value", order).alias("v1"), day_span(F.max("ts"), F.min("ts")).alias("d"))
-    m = ends.join(F.broadcast(bounds), "test", "left").withColumn("days", F.greatest(F.lit(1), F.col("d")))
+    m = ends.join(sized(bounds), "test", "left").withColumn("days", F.greatest(F.lit(1), F.col("d")))
     change = (F.col("v1") - F.col("v0")) / F.col("days")
     rate = F.when(F.rlike(F.coalesce("rate_unit", F.lit("")), F.lit("%|percent")), 100 * change / F.nullif(F.abs("v0"), F.lit(0.0))).otherwise(change)
     m = m.withColumn("rate", F.when(F.col("n") > 1, rate))
@@ -243,4 +243,4 @@ def report(df: DataFrame, bounds: DataFrame, key=SERIES) -> DataFrame:
     with_own = df.withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
     parts = [context(df, key), trend(df, bounds.select("test", "per_day_high"), key), latest_status(with_own, b, key), average_rate(df, bounds.select("test", "rate_low", "rate_high", "rate_unit"), key)]
     out = reduce(lambda x, y: x.join(y, list(key)), parts, points)
-    return out.join(F.broadcast(b), "test", "left")
+    return out.join(sized(b), "test", "left")

@@ -33,7 +33,7 @@ def fuzzify(points: DataFrame, sets: DataFrame, key=SERIES) -> DataFrame:
     up = (F.col("value") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0))
     down = (F.col("c") - F.col("value")) / F.nullif(F.col("c") - F.col("b"), F.lit(0.0))
     member = F.greatest(F.lit(0.0), F.when(up.isNotNull() & down.isNotNull(), F.least(up, down)))
-    m = points.join(sets, list(key)).withColumn("m", F.round(F.coalesce(member, F.lit(0.0)), 9))
+    m = points.join(sets.hint("shuffle_merge"), list(key)).withColumn("m", F.round(F.coalesce(member, F.lit(0.0)), 9))
     best = F.max(F.struct("m", (-F.col("idx")).alias("i")))
     return m.groupBy(*key, "ts", "ord", "value").agg((-best["i"]).alias("state"))
 
@@ -57,7 +57,7 @@ def forecast(df: DataFrame, key=SERIES) -> DataFrame:
     sets = fuzzy_sets(uni, key)
     states = fuzzify(train.select(*key, "ts", "ord", "value"), sets, key)
     rules = rule_base(states, key)
-    peaks = rules.join(sets.select(*key, F.col("idx").alias("next"), "b"), [*key, "next"])
+    peaks = rules.join(sets.select(*key, F.col("idx").alias("next"), "b").hint("shuffle_merge"), [*key, "next"])
     means = peaks.groupBy(*key, "state").agg((F.sum(F.col("times") * F.col("b")) / F.sum("times")).alias("guess"))
     now = states.groupBy(*key).agg(F.max_by(F.struct("state", "value"), F.struct("ts", "ord")).alias("p")).select(*key, "p.state", F.col("p.value").alias("known"))
     actual = held.where("back = 1").select(*key, F.col("value").alias("actual"))

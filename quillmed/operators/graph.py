@@ -28,16 +28,22 @@ def parse_responses(df: DataFrame, text: str) -> DataFrame:
 
 
 def clean_roles(roles: DataFrame) -> DataFrame:
-    """K2: literal and datatype from their aliases; a role with neither entity nor literal gets a placeholder."""
-    literal = F.coalesce("literal", "value", "val", "amount")
-    return (roles.withColumn("literal", F.when(F.coalesce("entity", literal).isNull(), "unknown").otherwise(literal))
-            .withColumn("datatype", F.coalesce("datatype", "type")).drop("value", "val", "amount", "type"))
+    """K2: literal and datatype from their aliases, as far as roles has them; a role with neither entity nor literal gets a placeholder."""
+    first = lambda names: F.coalesce(*(c for c in names if c in roles.columns))
+    literals, kinds = ("literal", "value", "val", "amount"), ("datatype", "data_type", "type")
+    literal = first(literals)
+    blank = F.col("entity").isNull() & (F.coalesce(literal, F.lit("")) == "")
+    return roles.withColumn("literal", F.when(blank, "unknown").otherwise(literal)).withColumn("datatype", first(kinds)).drop(*literals[1:], *kinds[1:])
 
 
-def clean_facts(facts: DataFrame, roles: DataFrame, args: DataFrame) -> DataFrame:
-    """K2: facts that have a role or an argument."""
+def clean_facts(facts: DataFrame, roles: DataFrame, args: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
+    """K2: facts that have a role or an argument. A fact without a sentence gets that of its fragment: fragments(doc, fragment, sentence_id)."""
     known = roles.select("doc", "fact_id").unionByName(args.select("doc", "fact_id"))
-    return facts.join(known, ["doc", "fact_id"], "left_semi")
+    kept = facts.join(known.hint("shuffle_merge"), ["doc", "fact_id"], "left_semi")
+    if fragments is None:
+        return kept
+    own = fragments.select("doc", "fragment", F.col("sentence_id").alias("_sent"))
+    return kept.join(own.hint("shuffle_merge"), ["doc", "fragment"], "left").withColumn("sent", F.coalesce("sent", "_sent")).drop("_sent")
 
 
 def default_truth(truth: Column, predicate: Column, defaults: dict[str, float], other: float = 0.5) -> Column:
@@ -48,14 +54,25 @@ def default_truth(truth: Column, predicate: Column, defaults: dict[str, float],
 
 def role_violations(roles: DataFrame) -> DataFrame:
     """K4: rows of broken rules: a role needs an entity or a literal; a datatype needs a literal."""
-    v = F.filter(F.array(F.when(F.col("entity").isNull() & F.col("literal").isNull(), "empty role"), F.when(F.col("datatype").isNotNull() & F.col("literal").isNull(), "datatype without literal")), lambda x: x.isNotNull())
+    blank = F.trim(F.coalesce("literal", F.lit(""))) == ""
+    v = F.array_compact(F.array(F.when(F.col("entity").isNull() & blank, "empty role"), F.when(F.col("datatype").isNotNull() & blank, "datatype without literal")))
     return roles.select("doc", "fact_id", "role", F.explode(v).alias("violation"))
 
 
+#: The fields that a fact may have.
+FACT_FIELDS = ("id", "predicate", "timestamp", "truth_value", "sentence_id", "tuple", "arguments")
+
+
+def unknown_fields(raw: DataFrame, json: str, allowed: tuple[str, ...] = FACT_FIELDS) -> DataFrame:
+    """K4: rows of fields of a JSON object that the model doesn't know: the columns of raw but json, and field."""
+    extra = F.array_except(F.json_object_keys(json), F.array(*map(F.lit, allowed)))
+    return raw.select(*(c for c in raw.columns if c != json), F.explode(extra).alias("field"))
+
+
 def fact_violations(facts: DataFrame, roles: DataFrame, args: DataFrame) -> DataFrame:
     """K4: a fact has roles or arguments, not both and not neither."""
     has = lambda d, n: d.select("doc", "fact_id").distinct().withColumn(n, F.lit(True))
-    m = facts.select("doc", "fact_id").join(has(roles, "r"), ["doc", "fact_id"], "left").join(has(args, "a"), ["doc", "fact_id"], "left")
+    m = facts.select("doc", "fact_id").join(has(roles, "r").hint("shuffle_merge"), ["doc", "fact_id"], "left").join(has(args, "a").hint("shuffle_merge"), ["doc", "fact_id"], "left")
     v = F.when(F.col("r").isNotNull() & F.col("a").isNotNull(), "roles and arguments").when(F.col("r").isNull() & F.col("a").isNull(), "neither")
     return m.withColumn("violation", v).where("violation is not null").select("doc", "fact_id", "violation")
 
@@ -84,31 +101,43 @@ def rekey_facts(facts: DataFrame, order: list[str]) -> DataFrame:
 def rewrite_roles(roles: DataFrame, local: DataFrame, merged: DataFrame) -> DataFrame:
     """K7: role entity by (doc, sentence, local id) -> name -> merged id; unknown ids stay."""
     ids = local.select("doc", "sent", "id", "name").join(merged.select("doc", "name", "new_id"), ["doc", "name"]).select("doc", "sent", F.col("id").alias("entity"), F.col("new_id").alias("_to"))
-    return roles.join(ids, ["doc", "sent", "entity"], "left").withColumn("entity", F.coalesce("_to", "entity")).drop("_to")
+    return roles.join(ids.hint("shuffle_merge"), ["doc", "sent", "entity"], "left").withColumn("entity", F.coalesce("_to", "entity")).drop("_to")
 
 
 def rewrite_args(args: DataFrame, ids: DataFrame) -> DataFrame:
     """Arguments (doc, sent, fact_id, pos, arg) through ids (doc, sent, id, new_id); unknown ones stay."""
     m = ids.select("doc", "sent", F.col("id").alias("arg"), "new_id")
-    return args.join(m, ["doc", "sent", "arg"], "left").withColumn("arg", F.coalesce("new_id", "arg")).drop("new_id")
+    return args.join(m.hint("shuffle_merge"), ["doc", "sent", "arg"], "left").withColumn("arg", F.coalesce("new_id", "arg")).drop("new_id")
+
+
+def string_arguments(json: Column) -> Column:
+    """The strings of a JSON array; numbers, objects and other things that are no strings are dropped. Null for other text."""
+    parsed = F.when(F.startswith(F.ltrim(json), F.lit("[")), F.try_parse_json(json))
+    items = F.filter(parsed.cast("array<variant>"), lambda x: x.isNotNull() & (F.schema_of_variant(x) == "STRING"))
+    return F.transform(items, lambda x: x.cast("string"))
 
 
 def document_metadata(fragments: DataFrame) -> DataFrame:
-    """K9: sentences in numeric order, number of fragments, years in order, per document."""
+    """K9: sentences in numeric order, number of fragments, source ids and years in order, per document."""
     num = F.regexp_extract("sentence_id", r"_(\d+)", 1).try_cast("int")
     s = fragments.withColumn("n", num)
     ids = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("n", "sentence_id"))), lambda x: x["sentence_id"]), ",")
-    return s.groupBy("doc").agg(ids.alias("sentences"), F.count("*").alias("fragments"), F.array_join(F.array_sort(F.collect_set("year")), ",").alias("years"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return s.groupBy("doc").agg(ids.alias("sentences"), F.count("*").alias("fragments"), listed("source_id").alias("sources"), listed("year").alias("years"))
 
 
 def merge_links(links: DataFrame, order: list[str]) -> DataFrame:
-    """Links (doc, id, link_type, predicate, arguments) after node rewriting: rows equal but
-    for their id get one canonical id L1..; returns doc, id, canonical and first (True for the row that stays)."""
-    key = F.md5(F.to_json(F.struct("link_type", "predicate", "arguments")))
+    """Links (doc, sent, id and the fields of a link: type, predicate, arguments, truth value,
+    attributes ..) after node rewriting: rows equal in every field but the id get one canonical id
+    L1..; returns doc, id, canonical and first (True for the row that stays). Attributes are a map or an array of its entries, in any order."""
+    kinds = dict(links.dtypes)
+    entries = lambda c: F.array_sort(F.map_entries(c) if kinds[c].startswith("map") else c)
+    fields = [entries(c).alias(c) if c == "attributes" else F.col(c) for c in sorted(links.columns) if c not in ("doc", "sent", "id")]
+    key = F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
     w = Window.partitionBy("doc", "_key").orderBy(*order)
     m = links.withColumn("_key", key).withColumn("_n", F.row_number().over(w))
     first = m.where("_n = 1").withColumn("canonical", F.concat(F.lit("L"), F.row_number().over(Window.partitionBy("doc").orderBy(*order)).cast("string"))).select("doc", "_key", "canonical")
-    return m.join(first, ["doc", "_key"]).withColumn("first", F.col("_n") == 1).drop("_key", "_n")
+    return m.join(first.hint("shuffle_merge"), ["doc", "_key"]).withColumn("first", F.col("_n") == 1).drop("_key", "_n")
 
 
 # ---- recursion
@@ -120,7 +149,7 @@ def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
     d = 1
     while (depth is None or d < depth) and not level.isEmpty():
         d += 1
-        nxt = level.join(edges, F.col("node") == F.col("parent")).where(~F.array_contains("path", F.col("child")))
+        nxt = level.join(edges.hint("shuffle_merge"), F.col("node") == F.col("parent")).where(~F.array_contains("path", F.col("child")))
         level = written(nxt.select("root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.array_append("path", F.col("child")).alias("path")), "closure")
         out = out.unionAll(level)
     return out
@@ -151,16 +180,47 @@ def literal_label() -> Column:
 
 def role_pairs(roles: DataFrame) -> DataFrame:
     """Per fact every ordered pair of different roles as a triple (s, '[r1]:pred:[r2]', o), with counts. The pairing is within a fact's few roles."""
-    r = roles.select("doc", "fact_id", "predicate", "role", F.coalesce("entity", literal_label()).alias("label"))
+    return _pair_up(roles.select("doc", "fact_id", "predicate", "role", F.coalesce("entity", literal_label()).alias("label")))
+
+
+def _pair_up(r: DataFrame) -> DataFrame:
     both = r.groupBy("doc", "fact_id", "predicate").agg(F.collect_list(F.struct("role", "label")).alias("r"))
-    a = both.select("predicate", "r", F.explode("r").alias("x")).select("predicate", "x", F.explode("r").alias("y")).where("x.role <> y.role")
-    return a.groupBy(F.col("x.label").alias("s"), F.format_string("[%s]:%s:[%s]", F.col("x.role"), F.col("predicate"), F.col("y.role")).alias("p"), F.col("y.label").alias("o")).agg(F.count("*").alias("n"))
+    pairs = F.filter(F.flatten(F.transform("r", lambda x: F.transform("r", lambda y: F.struct(x.alias("x"), y.alias("y"))))), lambda p: p["x"]["role"] != p["y"]["role"])
+    a = both.select("predicate", F.explode(pairs).alias("p"))
+    n = a.groupBy("predicate", "p.x.role", "p.x.label", F.col("p.y.role").alias("role2"), F.col("p.y.label").alias("label2")).agg(F.count("*").alias("n"))
+    # names are put together once for each group; a predicate and roles that read alike may still meet
+    return n.groupBy(F.col("label").alias("s"), F.format_string("[%s]:%s:[%s]", "role", "predicate", "role2").alias("p"), F.col("label2").alias("o")).agg(F.sum("n").alias("n"))
+
+
+def nested_roles(roles: DataFrame, facts: DataFrame, args: DataFrame) -> DataFrame:
+    """Roles (doc, fact_id, predicate, role, label) of facts(doc, fact_id, predicate): their own ones; `fact_arg`
+    for each argument that is a known fact; and of an argument that holds the fact itself (nested), its
+    roles under the prefix `fact_arg->`, to any depth along a path (a written frontier, cycles cut). args(doc, fact_id, arg, nested)."""
+    known = facts.select("doc", F.col("fact_id").alias("arg"), F.col("predicate").alias("label")).distinct()
+    named = args.join(known.hint("shuffle_merge"), ["doc", "arg"]).select("doc", "fact_id", F.lit("fact_arg").alias("role"), "label")
+    own = written(roles.select("doc", "fact_id", "role", F.coalesce("entity", literal_label()).alias("label")).unionByName(named).where("label is not null"), "fact-roles")
+    down = written(args.where("nested").select("doc", F.col("fact_id").alias("node"), F.col("arg").alias("child")).distinct(), "fact-nested")
+    level = down.select("doc", F.col("node").alias("root"), F.col("child").alias("node"), F.lit("fact_arg->").alias("prefix"), F.array("node", "child").alias("path"))
+    out = own
+    while not level.isEmpty():
+        level = written(level, "fact-level")
+        mine = own.withColumnRenamed("fact_id", "node")
+        out = out.unionByName(level.join(mine.hint("shuffle_merge"), ["doc", "node"]).select("doc", F.col("root").alias("fact_id"), F.concat("prefix", "role").alias("role"), "label"))
+        nxt = level.join(down.hint("shuffle_merge"), ["doc", "node"]).where(~F.array_contains("path", F.col("child")))
+        level = nxt.select("doc", "root", F.col("child").alias("node"), F.concat("prefix", F.lit("fact_arg->")).alias("prefix"), F.array_append("path", F.col("child")).alias("path"))
+    names = facts.select("doc", "fact_id", "predicate").distinct()
+    return out.join(names.hint("shuffle_merge"), ["doc", "fact_id"])
+
+
+def nested_role_pairs(roles: DataFrame, facts: DataFrame, args: DataFrame) -> DataFrame:
+    """K15 over nested facts: pairs of nested_roles, with counts."""
+    return _pair_up(nested_roles(roles, facts, args))
 
 
 def argument_pairs(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Links (doc, id, predicate, suffix, arguments) -> ordered pairs of different labelled arguments under predicate and suffix."""
     e = links.select("doc", "id", F.concat("predicate", F.coalesce("suffix", F.lit(""))).alias("p"), F.posexplode("arguments").alias("pos", "node"))
-    named = e.join(labels.select("doc", F.col("id").alias("node"), "label"), ["doc", "node"])
+    named = e.join(labels.select("doc", F.col("id").alias("node"), "label").hint("shuffle_merge"), ["doc", "node"])
     both = named.groupBy("doc", "id", "p").agg(F.collect_list(F.struct("node", "label")).alias("r"))
     a = both.select("p", "r", F.explode("r").alias("x")).select("p", "x", F.explode("r").alias("y")).where("x.node <> y.node")
     return a.groupBy(F.col("x.label").alias("s"), "p", F.col("y.label").alias("o")).agg(F.count("*").alias("n"))
@@ -173,6 +233,16 @@ def provenance(facts: DataFrame) -> DataFrame:
     return t.groupBy("s", "t.p", "t.o").agg(F.count("*").alias("n"))
 
 
+def context_triples(members: DataFrame, evaluations: DataFrame, labels: DataFrame) -> DataFrame:
+    """(s, 'has_context', o) with counts: the predicate of a context link's evaluation (K18), and the labels of its
+    first two members that have one. evaluations(doc, id, predicate), labels(doc, id, label)."""
+    of = contexts(members).where("evaluation is not null").select("doc", "link", F.col("evaluation").alias("node"))
+    named = evaluations.select(F.concat_ws("/", "doc", "id").alias("node"), "predicate")
+    around = members.where("pos < 2").join(labels.select("doc", F.col("id").alias("member"), "label").hint("shuffle_merge"), ["doc", "member"]).select("doc", "link", "label")
+    t = of.join(named.hint("shuffle_merge"), "node").join(around.hint("shuffle_merge"), ["doc", "link"])
+    return t.groupBy(F.col("predicate").alias("s"), F.lit("has_context").alias("p"), F.col("label").alias("o")).agg(F.count("*").alias("n"))
+
+
 def contexts(members: DataFrame, depth: int | None = None) -> DataFrame:
     """members(doc, link, pos, member, member_type, name) of context links -> per context link its
     timestamp, its sentence (by type or by form of the name) and the first evaluation among the other members or beneath them."""
@@ -180,9 +250,9 @@ def contexts(members: DataFrame, depth: int | None = None) -> DataFrame:
     sent = (F.col("member_type") == "SentenceNode") | F.startswith(F.coalesce("name", F.lit("")), F.lit("SENT_"))
     top = members.groupBy("doc", "link").agg(F.min_by("name", F.when(stamp & (F.col("pos") < 2), F.col("pos"))).alias("timestamp"), F.min_by("name", F.when(sent & (F.col("pos") < 2), F.col("pos"))).alias("sentence"))
     edge = members.select(F.concat_ws("/", "doc", "link").alias("parent"), F.concat_ws("/", "doc", "member").alias("child"), "pos", "member_type")
-    reach = closure(edge.select("parent", "child").distinct(), depth).join(edge.where("member_type = 'EvaluationLink'").groupBy(F.col("child").alias("node")).agg(F.min("pos").alias("pos")), "node")
+    reach = closure(edge.select("parent", "child").distinct(), depth).join(edge.where("member_type = 'EvaluationLink'").groupBy(F.col("child").alias("node")).agg(F.min("pos").alias("pos")).hint("shuffle_merge"), "node")
     first = reach.groupBy("root").agg(F.min_by("node", F.struct("depth", "pos", "node")).alias("evaluation"))
-    return top.withColumn("root", F.concat_ws("/", "doc", "link")).join(first, "root", "left").drop("root")
+    return top.withColumn("root", F.concat_ws("/", "doc", "link")).join(first.hint("shuffle_merge"), "root", "left").drop("root")
 
 
 def truth_scalar(truth: Column, pick: str = "second") -> Column:
@@ -205,8 +275,10 @@ def hub_edges(docs: DataFrame, facts: DataFrame, roles: DataFrame, args: DataFra
 
 
 def mentions(sents: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, name) where an entity's name of the same document occurs in a sentence (case-sensitive substring). The document is an equality key."""
-    return sents.join(names, "doc_id").where(F.contains("sentence", F.col("name"))).select("doc_id", "sent_id", "name").distinct()
+    """(doc_id, sent_id, name) where an entity's name of the same document occurs in a sentence (case-sensitive substring). A sentence meets the document's list of names in one row, and only those it holds come out."""
+    lists = names.groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    held = F.filter("names", lambda n: F.contains("sentence", n))
+    return sents.join(lists.hint("shuffle_merge"), "doc_id").select("doc_id", "sent_id", F.explode(held).alias("name"))
 
 
 def clean_sentence_nodes(nodes: DataFrame) -> DataFrame:
@@ -221,7 +293,7 @@ def link_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = nodes.select("doc", F.col("id").alias("dst")).unionByName(links.select("doc", F.col("id").alias("dst")))
     args = links.select("doc", F.col("id").alias("src"), F.explode("arguments").alias("dst"), F.lit("argument").alias("label"))
     preds = links.where("predicate is not null").select("doc", F.col("id").alias("src"), F.col("predicate").alias("dst"), F.lit("predicate").alias("label"))
-    return args.unionByName(preds).join(ends, ["doc", "dst"], "left_semi").join(first, ["doc", "dst"], "left_anti")
+    return args.unionByName(preds).join(ends.hint("shuffle_merge"), ["doc", "dst"], "left_semi").join(first.hint("shuffle_merge"), ["doc", "dst"], "left_anti")
 
 
 def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -244,18 +316,36 @@ def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 # ---- profile
 def schema_profile(roles: DataFrame, entities: DataFrame) -> DataFrame:
     """(type, predicate, role): participation, greatest multiplicity of the role in a fact, and whether it holds literals."""
-    per = roles.withColumn("multi", F.count("*").over(Window.partitionBy("doc", "fact_id", "role")))
-    m = per.join(entities.select("doc", F.col("id").alias("entity"), F.col("type")), ["doc", "entity"], "left")
+    # a fact's few roles stay together, so the multiplicity needs no window
+    once = F.struct("predicate", "entity", F.col("literal").isNotNull().alias("lit"))
+    per = roles.groupBy("doc", "fact_id", "role").agg(F.collect_list(once).alias("r")).select("doc", "role", F.size("r").alias("multi"), F.explode("r").alias("r")).select("doc", "role", "multi", "r.*")
+    m = per.join(entities.select("doc", F.col("id").alias("entity"), F.col("type")).hint("shuffle_merge"), ["doc", "entity"], "left")
     return m.groupBy(F.when(F.col("entity").isNotNull(), F.coalesce("type", F.lit("?"))).otherwise("literal").alias("type"), "predicate", "role").agg(
-        F.count("*").alias("participation"), F.max("multi").alias("max_multiplicity"), F.bool_or(F.col("literal").isNotNull()).alias("literal_role"))
+        F.count("*").alias("participation"), F.max("multi").cast("long").alias("max_multiplicity"), F.bool_or("lit").alias("literal_role"))
 
 
 def unique_labels(df: DataFrame, label: str, order: list[str], reserved: list[str]) -> DataFrame:
-    """Normalised labels made unique: the first keeps its form unless it is reserved, others get a numeric suffix."""
-    stem = label_stem(F.col(label))
-    n = F.row_number().over(Window.partitionBy("stem").orderBy(*order))
-    k = F.when(F.col("stem").isin(*reserved), F.col("n")).otherwise(F.col("n") - 1)
-    return df.withColumn("stem", stem).withColumn("n", n).withColumn("unique_label", F.when(k == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", k.cast("string")))).drop("stem", "n")
+    """Normalised labels made unique, in the given order: a row takes its stem, or the stem with the least number,
+    that no earlier row and no reserved word has.
+
+    Rows of one stem start with numbers by their rank. While a label has several rows the first one keeps it, the others
+    and the later rows of their stems move on; this ends at what taking the rows one by one gives. The order must be unique."""
+    at = F.struct(*order)
+    base = df.withColumn("_stem", label_stem(F.col(label))).withColumn("_at", at)
+    n = F.row_number().over(Window.partitionBy("_stem").orderBy("_at"))
+    state = written(base.select("_stem", "_at").withColumn("_n", n).withColumn("_k", F.when(F.col("_stem").isin(*reserved), F.col("_n")).otherwise(F.col("_n") - 1)), "labels")
+    named = F.when(F.col("_k") == 0, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", F.col("_k").cast("string")))
+    while True:
+        shown = state.withColumn("_label", named)
+        held = shown.groupBy("_label").agg(F.min("_at").alias("_first"), F.count("*").alias("_c")).where((F.col("_c") > 1) | F.col("_label").isin(*reserved))
+        held = written(held, "labels-held")
+        if held.isEmpty():
+            break
+        met = shown.join(held.hint("shuffle_merge"), "_label", "left")
+        moved = F.col("_k") + F.coalesce((F.col("_c").isNotNull() & ((F.col("_at") != F.col("_first")) | F.col("_label").isin(*reserved))).cast("int"), F.lit(0))
+        upto = Window.partitionBy("_stem").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+        state = written(met.withColumn("_k", moved).withColumn("_k", F.max(F.col("_k") - F.col("_n")).over(upto) + F.col("_n")).select("_stem", "_at", "_n", "_k"), "labels")
+    return base.join(state.select("_stem", "_at", named.alias("unique_label")).hint("shuffle_merge"), ["_stem", "_at"]).select(*df.columns, "unique_label")
 
 
 def flatten_attributes(df: DataFrame, sep: str = "_") -> DataFrame:
@@ -289,7 +379,7 @@ def attribute_kinds(attrs: DataFrame) -> DataFrame:
 
 def relation_instances(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """edges(edge, relation, key, value): a value that is a known id makes its key a role, any other an attribute."""
-    m = edges.join(ids.select(F.col("id").alias("value"), F.lit(True).alias("known")), "value", "left")
+    m = edges.join(ids.select(F.col("id").alias("value"), F.lit(True).alias("known")).hint("shuffle_merge"), "value", "left")
     return m.select("edge", "relation", "key", "value", F.when(F.col("known") | F.col("key").isin("subject", "object"), "role").otherwise("attribute").alias("part"))
 
 
@@ -312,25 +402,49 @@ def translation_score(h: Column, r: Column, t: Column) -> Column:
     return -F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def rank_tails(queries: DataFrame, entities: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
-    """queries(query, h, r) against entities(id, v): the k best tails of each. The stated
-    queries are counted first and broadcast only up to most_queries; each task keeps its k best rows of a query before the shuffle."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError("too many queries to rank at once")
-    scored = entities.join(F.broadcast(queries)).select("query", "id", F.round(translation_score(F.col("h"), F.col("r"), F.col("v")), 9).alias("score"))
+#: Queries of a block, and blocks that are broadcast at most (counted first).
+BLOCK, FEW_BLOCKS = 256, 64
+
+
+def _scored(queries: DataFrame, entities: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """(query, .., id, score) of queries(query, h, r, ..) against entities(id, v). Queries are dealt into blocks of some BLOCK; an
+    entity meets each block in one row, by an equality join on the block, and is scored against its queries there."""
+    n = queries.count()
+    blocks = max(1, -(-n // BLOCK))
+    dealt = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query", "h", "r", *extra)).alias("qs"))
+    dealt = written(dealt, "rank-blocks")
+    copied = entities.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = copied.join(F.broadcast(dealt) if blocks <= FEW_BLOCKS else dealt.hint("shuffle_merge"), "block")
+    return met.select("id", "v", F.explode("qs").alias("q")).select("q.query", *(f"q.{c}" for c in extra), "id", F.round(translation_score(F.col("q.h"), F.col("q.r"), F.col("v")), 9).alias("score"))
+
+
+def rank_tails(queries: DataFrame, entities: DataFrame, k: int) -> DataFrame:
+    """queries(query, h, r) against entities(id, v): the k best tails of each, for any number of
+    queries; each task keeps its k best rows of a query before the shuffle."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _scored(queries, entities).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def ranks(scores: DataFrame) -> DataFrame:
-    """scores(query, side, candidate, score, is_true) -> optimistic, pessimistic and realistic rank of each true candidate, and how many there were."""
-    true = scores.where("is_true").select("query", "side", F.col("score").alias("own"))
-    m = scores.join(true, ["query", "side"])
+def true_ranks(queries: DataFrame, entities: DataFrame, digits: int = 9) -> DataFrame:
+    """queries(query, side, h, r, true_id) -> optimistic, pessimistic and realistic rank of the true entity among all
+    entities, scores rounded to `digits`. Only counts of better and equal scores are shuffled, never a ranking."""
+    own = entities.select(F.col("id").alias("true_id"), F.col("v").alias("_t"))
+    asked = queries.join(own.hint("shuffle_merge"), "true_id").withColumn("own", F.round(F.round(translation_score(F.col("h"), F.col("r"), F.col("_t")), 9), digits)).drop("_t")
+    return _from_scores(_scored(asked, entities, ["side", "own"]).withColumn("score", F.round("score", digits)))
+
+
+def _from_scores(m: DataFrame) -> DataFrame:
     g = m.groupBy("query", "side").agg(F.sum((F.col("score") > F.col("own")).cast("long")).alias("above"), F.sum((F.col("score") == F.col("own")).cast("long")).alias("ties"), F.count("*").alias("n"))
     opt, pes = F.col("above") + 1, F.col("above") + F.col("ties")
     return g.select("query", "side", "n", opt.alias("optimistic"), pes.alias("pessimistic"), ((opt + pes) / 2).alias("realistic"))
 
 
+def ranks(scores: DataFrame) -> DataFrame:
+    """scores(query, side, candidate, score, is_true) -> optimistic, pessimistic and realistic rank of each true candidate, and how many there were."""
+    true = scores.where("is_true").select("query", "side", F.col("score").alias("own"))
+    return _from_scores(scores.join(true.hint("shuffle_merge"), ["query", "side"]))
+
+
 def rank_metrics(r: DataFrame, rank: str = "realistic", hits: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Mean rank, mean reciprocal rank, median, hits@k and the chance-adjusted mean-rank index, by side and for both."""
     both = r.unionByName(r.withColumn("side", F.lit("both")))

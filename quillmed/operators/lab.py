@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmed.functions.scalars import bracket_text, clean_name
+from quillmed.functions.scalars import bracket_text, clean_name, plain_hyphens
+
+from .store import sized
 
 #: Report headers in two languages.
 HEADERS = {
@@ -50,9 +52,8 @@ def unpivot_dates(wide: DataFrame, ids: list[str]) -> DataFrame:
 
 def map_names(df: DataFrame, name: str, dictionary: DataFrame, out: str = "mapped") -> DataFrame:
     """A10: dictionary(key, value, ord): exact name, else case-insensitive, else the text of the
-    first bracket pair, else the cleaned name. The earliest entry wins. The dictionary is a fixed
-    list of test names, so it is broadcast."""
-    first = lambda k, n: F.broadcast(dictionary.groupBy(k.alias(n)).agg(F.min_by("value", "ord").alias(f"{n}_value")))
+    first bracket pair, else the cleaned name. The earliest entry wins."""
+    first = lambda k, n: sized(dictionary.groupBy(k.alias(n)).agg(F.min_by("value", "ord").alias(f"{n}_value")))
     key = F.col("key")
     plain = F.lower(F.replace(key, F.lit(" "), F.lit("")))
     cleaned = df.withColumn("_clean", clean_name(F.col(name)))
@@ -69,6 +70,27 @@ def stack_first(parts: list[DataFrame], key: list[str], order: list | None = Non
     return ranked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_source")
 
 
+def strict_mapping(df: DataFrame, name: str, mapping: DataFrame, out: str = "mapped") -> DataFrame:
+    """mapping(key, value): rows whose name is no key are dropped. Names and keys are compared with plain hyphens."""
+    known = mapping.select(plain_hyphens(F.col("key")).alias("_key"), F.col("value").alias(out))
+    return df.join(sized(known), plain_hyphens(F.col(name)) == F.col("_key")).drop("_key")
+
+
+def join_thresholds(results: DataFrame, thresholds: DataFrame, on: Column, columns: dict[str, str]) -> DataFrame:
+    """Results that have a threshold row, projected and renamed by columns (source name -> name). Both sides may be large."""
+    return results.join(thresholds.hint("shuffle_merge"), on).select(*(F.col(a).alias(b) for a, b in columns.items()))
+
+
+RULE = "STRUCT<part: STRING, comp: STRING, low: DOUBLE, high: DOUBLE, unit: STRING, time_days: DOUBLE, per_day_low: DOUBLE, per_day_high: DOUBLE>"
+
+
+def parse_rules(df: DataFrame, text: str) -> DataFrame:
+    """A row for each rule of a JSON list (rule_no from 0, and the fields of the rule); text that is no such list gives none."""
+    others = [c for c in df.columns if c != text]
+    parsed = df.select(*others, F.posexplode(F.from_json(text, f"ARRAY<{RULE}>")).alias("rule_no", "_r"))
+    return parsed.where("_r.comp is not null").select(*others, "rule_no", "_r.*")
+
+
 def convert_unit(value: Column, factor: Column) -> Column:
     """An unknown pair of units leaves the value as it is."""
     return F.coalesce(value * factor, value)
@@ -80,10 +102,10 @@ def unit_key(c: Column) -> Column:
 
 
 def convert_units(df: DataFrame, value: str, unit: str, target: str, factors: DataFrame, out: str) -> DataFrame:
-    """factors(unit_from, unit_to, factor) is a fixed list and is broadcast."""
+    """factors(unit_from, unit_to, factor)."""
     known = factors.select(unit_key(F.col("unit_from")).alias("_from"), unit_key(F.col("unit_to")).alias("_to"), "factor")
     keyed = df.withColumn("_from", unit_key(F.col(unit))).withColumn("_to", unit_key(F.col(target)))
-    return keyed.join(F.broadcast(known), ["_from", "_to"], "left").withColumn(out, convert_unit(F.col(value), F.col("factor"))).drop("_from", "_to", "factor")
+    return keyed.join(sized(known), ["_from", "_to"], "left").withColumn(out, convert_unit(F.col(value), F.col("factor"))).drop("_from", "_to", "factor")
 
 
 def pick_reference(df: DataFrame, dims: DataFrame, key: list[str], sex: str, per: list[str]) -> DataFrame:
@@ -91,7 +113,7 @@ def pick_reference(df: DataFrame, dims: DataFrame, key: list[str], sex: str, per
     first; without a known sex, for both, else the first. dims has ref_sex and ref_ord."""
     fits = F.when(F.col(sex).isNotNull() & (F.lower(sex) == F.lower("ref_sex")), 0).when(F.lower("ref_sex") == "both", 1).otherwise(2)
     best = Window.partitionBy(*per).orderBy(fits, "ref_ord")
-    return df.join(F.broadcast(dims), key).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return df.join(sized(dims), key).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
 def target_units(df: DataFrame, key: list[str], unit: str, ts: str, meta_unit: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmed.functions.scalars import md5_bucket
+
 #: A token is a run of letters, a run of digits, or any other single character but a blank.
 TOKEN = r"\p{L}+|[0-9]+|[^\s\p{L}0-9]"
 SENTENCE = ("doc_id", "sent_id")
@@ -64,6 +66,24 @@ def tags_to_spans(tokens: DataFrame, tag: str = "tag") -> DataFrame:
     return t.groupBy(*SENTENCE, "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.min("label").alias("label"), words.alias("text")).drop("_run")
 
 
+def spans_in_place(tokens: Column, tags: Column) -> Column:
+    """N5 inside a row: arrays of a sentence's tokens and tags -> array of spans, without an exchange. A span starts
+    where the (label, id) differs from the one before, and ends where the next run starts."""
+    parsed = F.transform(tags, lambda t: F.struct(*(c.alias(n) for c, n in zip(parse_tag(t), ("label", "num")))))
+    n, at = F.size(tokens), lambda a, i: F.get(a, i)
+    with_parsed = F.transform(F.array(parsed), lambda p: F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~at(p, i).eqNullSafe(at(p, i - 1))))
+    starts = F.when(n > 0, F.get(with_parsed, 0)).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(F.array(F.struct(starts.alias("s"), parsed.alias("p"))), lambda x: F.transform(x["s"], lambda a, k: F.struct(
+        a.alias("start"), F.coalesce(F.get(x["s"], k + 1), n).alias("end"), F.get(x["p"], a)["label"].alias("label"))))
+    kept = F.filter(F.get(runs, 0), lambda r: r["label"].isNotNull())
+    return F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["label"].alias("label"), F.array_join(F.slice(tokens, r["start"] + 1, r["end"] - r["start"]), " ").alias("text")))
+
+
+def span_rows(sents: DataFrame, spans: str = "spans") -> DataFrame:
+    """A row for each span of an array column."""
+    return sents.select(*SENTENCE, F.explode(spans).alias("s")).select(*SENTENCE, "s.*")
+
+
 def spans_by_id(lines: DataFrame, tag: str = "tag") -> DataFrame:
     """Spans of tags with ids: from the first to the last token that carries the id; tags without an id are ignored."""
     label, num = parse_tag(F.col(tag))
@@ -78,12 +98,12 @@ def spans_to_tags(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     cells = ids.where("end > start").select(*SENTENCE, "n", "label", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
     last = cells.groupBy(*SENTENCE, "pos").agg(F.max(F.struct("n", "label")).alias("s"))
     tag = F.when(F.col("s").isNull(), "_").otherwise(F.format_string("%s[%d]", F.col("s.label"), F.col("s.n")))
-    return tokens.join(last, [*SENTENCE, "pos"], "left").withColumn("tag", tag).drop("s")
+    return tokens.join(last.hint("shuffle_merge"), [*SENTENCE, "pos"], "left").withColumn("tag", tag).drop("s")
 
 
 def validate(spans: DataFrame, sents: DataFrame) -> DataFrame:
     """Errors per span: bounds outside of the sentence's tokens, or a text that is not the joined tokens. sents has tokens."""
-    m = spans.join(sents.select(*SENTENCE, "tokens"), list(SENTENCE))
+    m = spans.join(sents.select(*SENTENCE, "tokens").hint("shuffle_merge"), list(SENTENCE))
     inside = (F.col("start") >= 0) & (F.col("end") <= F.size("tokens")) & (F.col("start") < F.col("end"))
     text = F.when(inside, F.array_join(F.slice("tokens", F.col("start") + 1, F.col("end") - F.col("start")), " "))
     error = F.when(~inside, "bounds").when(text != F.col("text"), "text")
@@ -94,7 +114,7 @@ def _matches(gold: DataFrame, pred: DataFrame) -> DataFrame:
     key = [*SENTENCE, "start", "end", "label"]
     g = gold.select(*key).distinct().withColumn("g", F.lit(1))
     p = pred.select(*key).distinct().withColumn("p", F.lit(1))
-    both = g.join(p, key, "full")
+    both = g.join(p.hint("shuffle_merge"), key, "full")
     flag = lambda c: F.sum(c.cast("long"))
     return both.withColumns({"tp": F.col("g").isNotNull() & F.col("p").isNotNull(), "fp": F.col("g").isNull(), "fn": F.col("p").isNull()}), (flag(F.col("tp")).alias("tp"), flag(F.col("fp")).alias("fp"), flag(F.col("fn")).alias("fn"))
 
@@ -109,7 +129,7 @@ def rates(df: DataFrame) -> DataFrame:
 def sentence_scores(gold: DataFrame, pred: DataFrame, sents: DataFrame) -> DataFrame:
     """Tp, fp, fn (as sets of spans), precision, recall and f1 of every sentence of the gold list."""
     both, sums = _matches(gold, pred)
-    s = sents.select(*SENTENCE).distinct().join(both.groupBy(*SENTENCE).agg(*sums), list(SENTENCE), "left")
+    s = sents.select(*SENTENCE).distinct().join(both.groupBy(*SENTENCE).agg(*sums).hint("shuffle_merge"), list(SENTENCE), "left")
     return rates(s.select(*SENTENCE, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn"))))
 
 
@@ -125,11 +145,20 @@ def label_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return rates(both.groupBy("label").agg(*sums))
 
 
+def label_scores_in_place(sents: DataFrame, gold: str, pred: str) -> DataFrame:
+    """N10 where both lists of spans stand in one row for each sentence: sets are compared inside the row, and only a count for each label is shuffled."""
+    key = lambda c: F.array_distinct(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"], s["label"])))
+    kind = lambda spans, tp, fp, fn: F.transform(spans, lambda x: F.struct(F.get(F.split(x, ":", 3), 2).alias("label"), F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(fn).alias("fn")))
+    both = sents.select(key(gold).alias("g"), key(pred).alias("p"))
+    every = F.concat(kind(F.array_intersect("g", "p"), 1, 0, 0), kind(F.array_except("p", "g"), 0, 1, 0), kind(F.array_except("g", "p"), 0, 0, 1))
+    return rates(both.select(F.explode(every).alias("x")).select("x.*").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
+
+
 def positional_diff(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Spans that differ at equal positions of the two lists, as far as the shorter goes."""
     w = Window.partitionBy(*SENTENCE).orderBy("start", "end", "label")
     side = lambda d, n: d.select(*SENTENCE, F.row_number().over(w).alias("k"), F.concat_ws(":", "start", "end", "label").alias(n))
-    return side(gold, "gold").join(side(pred, "pred"), [*SENTENCE, "k"]).where("gold <> pred")
+    return side(gold, "gold").join(side(pred, "pred").hint("shuffle_merge"), [*SENTENCE, "k"]).where("gold <> pred")
 
 
 def chunk_tokens(sents: DataFrame, budget: int = 150) -> DataFrame:
@@ -159,8 +188,8 @@ def rebuild(tokens: Column) -> Column:
 
 
 def split_rows(key: Column, share: int = 20, seed: int = 42) -> Column:
-    """A deterministic split: True for about `share` percent of keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(100)) < share
+    """A deterministic split, the same in every engine: True for about `share` percent of keys."""
+    return md5_bucket(F.concat_ws(":", F.lit(str(seed)), key.cast("string")), 100) < share
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

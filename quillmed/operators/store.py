@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A caller's table is broadcast up to this many rows.
+MOST_BROADCAST = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +29,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df as the small side of a join: broadcast if its rows, counted first, are few, else merged by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_merge")

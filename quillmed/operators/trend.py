@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .findings import SERIES, in_order
+from .store import sized
 
 
 def range_label(value: Column, low: float, high: float) -> Column:
@@ -40,7 +41,8 @@ def profile(df: DataFrame, low: float, high: float, span: int = 3, most: float =
     """T1-T4 and T7, T8 in one pass over each series: ewma, deviation, spike, status, slope, slope_label."""
     base = df.withColumn("ewma", ewma("value", span, key)).withColumn("deviation", F.col("value") - F.col("ewma"))
     base = base.withColumn("slope", moving_slope(key)).withColumn("slope_label", slope_label(F.col("slope")))
-    out = base.join(spike_limits(base, "deviation", most, key), list(key))
+    q = F.percentile("deviation", [0.25, 0.75]).over(Window.partitionBy(*key))  # on the same partitioning, so no join
+    out = base.withColumn("_q", q).withColumn("spike", F.least(F.lit(most), 1.5 * (F.col("_q")[1] - F.col("_q")[0]))).drop("_q")
     return out.withColumn("status", spike_status(range_label(F.col("value"), low, high), F.col("deviation"), F.col("spike")))
 
 
@@ -120,9 +122,9 @@ def resample(df: DataFrame, width: str, key=SERIES) -> DataFrame:
     start = df.groupBy(*key).agg(F.date_trunc("day", F.min("ts")).cast("timestamp").alias("start"), F.max("ts").cast("timestamp").alias("last"))
     bin_of = lambda t: F.floor((F.unix_micros(t) - F.unix_micros("start")) / (seconds * 1000000)).cast("long")
     spine = start.select(*key, "start", F.explode(F.sequence(F.lit(0).cast("long"), bin_of(F.col("last")))).alias("bin"))
-    means = df.join(start, list(key)).groupBy(*key, bin_of(F.col("ts").cast("timestamp")).alias("bin")).agg(F.avg("value").alias("value"))
+    means = df.join(start.hint("shuffle_merge"), list(key)).groupBy(*key, bin_of(F.col("ts").cast("timestamp")).alias("bin")).agg(F.avg("value").alias("value"))
     at = F.timestamp_micros(F.unix_micros("start") + F.col("bin") * seconds * 1000000).cast("timestamp_ntz")
-    return spine.join(means, [*key, "bin"], "left").select(*key, "bin", at.alias("ts"), "value")
+    return spine.join(means.hint("shuffle_merge"), [*key, "bin"], "left").select(*key, "bin", at.alias("ts"), "value")
 
 
 def _seconds(width: str) -> int:
@@ -151,5 +153,5 @@ def fill(df: DataFrame, key=SERIES) -> DataFrame:
 
 def keep_mapped(df: DataFrame, mapping: DataFrame, key=SERIES) -> DataFrame:
     """mapping(test, name): rename mapped series, drop others and those without any value."""
-    m = df.join(F.broadcast(mapping), "test").withColumn("_known", F.count("value").over(Window.partitionBy(*key))).where("_known > 0")
+    m = df.join(sized(mapping), "test").withColumn("_known", F.count("value").over(Window.partitionBy(*key))).where("_known > 0")
     return m.drop("_known", "test").withColumnRenamed("name", "test")

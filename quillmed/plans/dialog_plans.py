@@ -8,15 +8,15 @@ from quillmed.operators import dialog as I
 
 from .base import query, rows, table
 
-CONV = """SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn > 1 AND conv_id % 3 = 0 THEN 'Done.' WHEN role = 'user' AND conv_id % 7 = 0 AND turn = 0 THEN ' ' WHEN role = 'assistant' AND conv_id % 4 = 0 THEN '<think> a' || turn || ' </think>' || substr(text, 1, 30) || '<think>b</think>'
- WHEN role = 'assistant' AND conv_id % 4 = 1 THEN substr(text, 1, 10) || ' {"turn": ' || turn || CASE WHEN turn % 4 = 1 THEN '' ELSE '}' END ELSE text END AS text FROM conversations"""
+CONV = """SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn > 1 AND conv_id % 3 = 0 THEN 'Done.' WHEN role = 'user' AND conv_id % 7 = 0 AND turn = 0 THEN ' ' WHEN role = 'assistant' AND conv_id % 4 = 0 THEN '<think> a' || turn || ' </think>' || text || '<think>b</think>'
+ WHEN role = 'assistant' AND conv_id % 4 = 1 THEN text || ' {"turn": ' || turn || CASE WHEN turn % 4 = 1 THEN '' ELSE '}' END ELSE text END AS text FROM conversations"""
 
 
 def conversations(spark, sf_dir):
     t, c, r = F.col("turn"), F.col("conv_id"), F.col("role")
     text = (F.when((r == "user") & (t > 1) & (c % 3 == 0), "Done.").when((r == "user") & (c % 7 == 0) & (t == 0), " ")
-            .when((r == "assistant") & (c % 4 == 0), F.concat(F.lit("<think> a"), t.cast("string"), F.lit(" </think>"), F.substring("text", 1, 30), F.lit("<think>b</think>")))
-            .when((r == "assistant") & (c % 4 == 1), F.concat(F.substring("text", 1, 10), F.lit(' {"turn": '), t.cast("string"), F.when(t % 4 == 1, "").otherwise("}"))).otherwise(F.col("text")))
+            .when((r == "assistant") & (c % 4 == 0), F.concat(F.lit("<think> a"), t.cast("string"), F.lit(" </think>"), F.col("text"), F.lit("<think>b</think>")))
+            .when((r == "assistant") & (c % 4 == 1), F.concat(F.col("text"), F.lit(' {"turn": '), t.cast("string"), F.when(t % 4 == 1, "").otherwise("}"))).otherwise(F.col("text")))
     return table(spark, sf_dir, "conversations").withColumn("text", text)
 
 

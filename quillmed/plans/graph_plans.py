@@ -56,15 +56,18 @@ def k01(spark, sf_dir):
 
 
 @query("k02_clean_roles", f"""
-SELECT doc, count(*) AS n, count(*) FILTER (WHERE lit = 'unknown') AS placeholders, count(dt) AS typed FROM (
- SELECT doc, CASE WHEN l_linenumber = 3 THEN 'unknown' ELSE CAST(l_quantity AS INTEGER)::VARCHAR END AS lit, CASE WHEN l_linenumber % 2 = 0 THEN 'int' END AS dt FROM ({FACTS}) WHERE l_linenumber <> 7) GROUP BY doc""")
+SELECT doc, count(*) AS n, count(*) FILTER (WHERE lit = 'unknown') AS placeholders, count(dt) AS typed, sum(sent)::BIGINT AS sentences FROM (
+ SELECT doc, sent, CASE WHEN l_linenumber = 3 THEN 'unknown' ELSE CAST(l_quantity AS INTEGER)::VARCHAR END AS lit, CASE WHEN l_linenumber % 2 = 0 THEN 'int' END AS dt FROM ({FACTS}) WHERE l_linenumber <> 7) GROUP BY doc""")
 def k02(spark, sf_dir):
     f, k = facts(spark, sf_dir), F.col("l_linenumber")
     none, q = F.lit(None).cast("string"), F.col("l_quantity").cast("int").cast("string")
     r = f.where("l_linenumber <> 7").select("doc", "fact_id", none.alias("entity"), F.when(k == 1, q).alias("literal"), F.when(k == 2, q).alias("value"), F.when(k == 4, q).alias("val"), F.when(k > 4, q).alias("amount"), none.alias("datatype"), F.when(k % 2 == 0, "int").alias("type"))
-    kept = K.clean_facts(f.select("doc", "fact_id"), r, r.limit(0))
-    c = K.clean_roles(r).join(kept.distinct(), ["doc", "fact_id"], "left_semi")
-    return c.groupBy("doc").agg(F.count("*").alias("n"), F.sum((F.col("literal") == "unknown").cast("long")).alias("placeholders"), F.count("datatype").alias("typed"))
+    fragments = f.select("doc", F.col("sent").alias("fragment"), F.col("sent").alias("sentence_id")).distinct()
+    own = f.select("doc", F.col("sent").alias("fragment"), "fact_id", F.when(k != 5, F.col("sent")).alias("sent"))  # some facts lack their sentence
+    kept = K.clean_facts(own, r, r.limit(0), fragments)
+    c = K.clean_roles(r).join(kept.select("doc", "fact_id").distinct(), ["doc", "fact_id"], "left_semi")
+    counts = c.groupBy("doc").agg(F.count("*").alias("n"), F.sum((F.col("literal") == "unknown").cast("long")).alias("placeholders"), F.count("datatype").alias("typed"))
+    return counts.join(kept.groupBy("doc").agg(F.sum("sent").alias("sentences")), "doc")
 
 
 @query("k03_default_truth", "SELECT l_returnflag AS predicate, l_linestatus, CASE WHEN l_linenumber = 1 THEN 0.1 WHEN l_returnflag = 'A' THEN 0.9 WHEN l_returnflag = 'R' THEN 0.7 ELSE 0.5 END::DOUBLE AS truth, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -76,6 +79,7 @@ def k03(spark, sf_dir):
 
 @query("k04_integrity", f"""
 SELECT violation, count(*) AS n FROM (SELECT 'empty role' AS violation FROM ({FACTS}) WHERE l_linenumber = 1 UNION ALL SELECT 'datatype without literal' FROM ({FACTS}) WHERE l_linenumber IN (1, 2)) GROUP BY violation
+UNION ALL SELECT 'unknown field ' || f, count(*) FROM (SELECT unnest(CASE WHEN l_linenumber = 5 THEN ['extra'] WHEN l_linenumber = 6 THEN ['Id', 'note'] END) AS f FROM ({FACTS})) GROUP BY f
 UNION ALL SELECT 'roles and arguments', count(DISTINCT fact_id) FROM ({FACTS}) WHERE l_linenumber = 3 UNION ALL SELECT 'neither', count(DISTINCT fact_id) FROM ({FACTS}) WHERE l_linenumber = 4""")
 def k04(spark, sf_dir):
     f, k = facts(spark, sf_dir), F.col("l_linenumber")
@@ -83,7 +87,10 @@ def k04(spark, sf_dir):
     r = r.withColumn("entity", F.when(F.col("k") == 2, "x").otherwise(F.col("entity")))
     bad = K.role_violations(r).select("violation")
     wrong = K.fact_violations(f.select("doc", "fact_id").distinct(), r, f.where("l_linenumber = 3").select("doc", "fact_id")).select("violation")
-    return bad.unionAll(wrong).groupBy("violation").agg(F.count("*").alias("n"))
+    more = F.when(k == 5, ', "extra": 1').when(k == 6, ', "Id": "x", "note": {"tuple": []}').otherwise("")
+    raw = f.select("doc", "fact_id", F.concat(F.lit('{"id": "F1", "predicate": "p", "truth_value": [0.5]'), more, F.lit("}")).alias("json"))
+    odd = K.unknown_fields(raw, "json").select(F.concat(F.lit("unknown field "), "field"))
+    return bad.unionAll(wrong).unionAll(odd).groupBy("violation").agg(F.count("*").alias("n"))
 
 
 @query("k05_default_date", r"SELECT doc_id, make_date(coalesce(TRY_CAST(nullif(regexp_extract(text, '\b((?:19|20)\d{2})\b', 1), '') AS INTEGER), 1900), 1, 1) AS day FROM documents")
@@ -124,9 +131,9 @@ def k08(spark, sf_dir):
 
 
 @query("k09_document_metadata", """
-SELECT doc, string_agg(sentence_id, ',' ORDER BY n) AS sentences, sum(c)::BIGINT AS fragments, (SELECT string_agg(DISTINCT y, ',' ORDER BY y) FROM (SELECT o_custkey, year(o_orderdate)::VARCHAR AS y FROM orders) WHERE o_custkey = doc) AS years FROM (SELECT o_custkey AS doc, 'SENT_' || o_orderkey AS sentence_id, o_orderkey AS n, count(*) AS c FROM orders GROUP BY ALL) GROUP BY doc""")
+SELECT doc, string_agg(sentence_id, ',' ORDER BY n) AS sentences, sum(c)::BIGINT AS fragments, (SELECT string_agg(DISTINCT y, ',' ORDER BY y) FROM (SELECT o_custkey, 'PM' || o_orderkey % 3 AS y FROM orders) WHERE o_custkey = doc) AS sources, (SELECT string_agg(DISTINCT y, ',' ORDER BY y) FROM (SELECT o_custkey, year(o_orderdate)::VARCHAR AS y FROM orders) WHERE o_custkey = doc) AS years FROM (SELECT o_custkey AS doc, 'SENT_' || o_orderkey AS sentence_id, o_orderkey AS n, count(*) AS c FROM orders GROUP BY ALL) GROUP BY doc""")
 def k09(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.concat(F.lit("SENT_"), F.col("o_orderkey")).alias("sentence_id"), F.year("o_orderdate").cast("string").alias("year"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.concat(F.lit("SENT_"), F.col("o_orderkey")).alias("sentence_id"), F.concat(F.lit("PM"), F.col("o_orderkey") % 3).alias("source_id"), F.year("o_orderdate").cast("string").alias("year"))
     return K.document_metadata(o)
 
 
@@ -137,33 +144,36 @@ def k10(spark, sf_dir):
     return K.merge_names(e, F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("id")), "type", ["sent", "fact_id", "type"], "N")
 
 
-LINKS = f"SELECT DISTINCT doc, sent, fact_id AS id, 'EvaluationLink' AS link_type, predicate, 'S' || l_suppkey AS a, 'Q' || CAST(l_quantity AS INTEGER) AS b FROM ({FACTS})"
-CANON = f"SELECT l.*, 'L' || k AS canonical FROM ({LINKS}) l JOIN (SELECT doc, predicate, a, b, row_number() OVER (PARTITION BY doc ORDER BY id) AS k FROM ({LINKS}) QUALIFY row_number() OVER (PARTITION BY doc, predicate, a, b ORDER BY id) = 1) USING (doc, predicate, a, b)"
+LINKS = f"SELECT DISTINCT doc, sent, fact_id AS id, 'EvaluationLink' AS link_type, predicate, 'S' || l_suppkey AS a, 'Q' || CAST(l_quantity AS INTEGER) AS b, CASE WHEN l_linenumber % 2 = 0 THEN 0.9 ELSE 0.5 END AS tv, l_linestatus AS line FROM ({FACTS})"
+#: All fields of a link but its id.
+FIELDS = "doc, predicate, a, b, tv, line"
 
 
 def links(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return f.select("doc", "sent", F.col("fact_id").alias("id"), F.lit("EvaluationLink").alias("link_type"), "predicate", F.array(F.concat(F.lit("S"), F.col("l_suppkey")), F.concat(F.lit("Q"), F.col("l_quantity").cast("int"))).alias("arguments")).distinct()
+    return f.select("doc", "sent", F.col("fact_id").alias("id"), F.lit("EvaluationLink").alias("link_type"), "predicate", F.array(F.concat(F.lit("S"), F.col("l_suppkey")), F.concat(F.lit("Q"), F.col("l_quantity").cast("int"))).alias("arguments"),
+                    F.array(F.when(F.col("l_linenumber") % 2 == 0, 0.9).otherwise(0.5)).alias("truth_value"), F.array(F.struct(F.lit("line").alias("key"), F.col("l_linestatus").alias("value"))).alias("attributes")).distinct()
 
 
 @query("k11_merge_links", f"""
-SELECT l.doc, l.id, 'L' || m.n AS canonical, l.id = m.id AS first FROM ({LINKS}) l JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY id) AS n FROM (SELECT * FROM ({LINKS}) QUALIFY row_number() OVER (PARTITION BY doc, predicate, a, b ORDER BY id) = 1)) m
- ON l.doc = m.doc AND l.predicate = m.predicate AND l.a = m.a AND l.b = m.b""")
+SELECT l.doc, l.id, 'L' || m.n AS canonical, l.id = m.id AS first FROM ({LINKS}) l JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY id) AS n FROM (SELECT * FROM ({LINKS}) QUALIFY row_number() OVER (PARTITION BY {FIELDS} ORDER BY id) = 1)) m
+ ON l.doc = m.doc AND l.predicate = m.predicate AND l.a = m.a AND l.b = m.b AND l.tv = m.tv AND l.line = m.line""")
 def k11(spark, sf_dir):
     return K.merge_links(links(spark, sf_dir), ["id"]).select("doc", "id", "canonical", "first")
 
 
 @query("k12_rewrite_link_arguments", f"""
-WITH m AS (SELECT l.doc, l.sent, l.id, 'L' || k.n AS new_id FROM ({LINKS}) l JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY id) AS n FROM (SELECT * FROM ({LINKS}) QUALIFY row_number() OVER (PARTITION BY doc, predicate, a, b ORDER BY id) = 1)) k ON l.doc = k.doc AND l.predicate = k.predicate AND l.a = k.a AND l.b = k.b)
+WITH m AS (SELECT l.doc, l.sent, l.id, 'L' || k.n AS new_id FROM ({LINKS}) l JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY id) AS n FROM (SELECT * FROM ({LINKS}) QUALIFY row_number() OVER (PARTITION BY {FIELDS} ORDER BY id) = 1)) k ON l.doc = k.doc AND l.predicate = k.predicate AND l.a = k.a AND l.b = k.b AND l.tv = k.tv AND l.line = k.line)
 SELECT doc, id AS fact_id, new_id AS arg FROM m UNION ALL SELECT doc, id, 'missing' FROM m""")
 def k12(spark, sf_dir):
     m = K.merge_links(links(spark, sf_dir), ["id"])
-    a = m.select("doc", "sent", F.col("id").alias("fact_id"), F.posexplode(F.array(F.col("id"), F.lit("missing"))).alias("pos", "arg"))
+    given = F.concat(F.lit('["'), F.col("id"), F.lit('", 7, {"arguments": []}, "missing", null, ["x"], true]'))
+    a = m.select("doc", "sent", F.col("id").alias("fact_id"), F.posexplode(K.string_arguments(given)).alias("pos", "arg"))
     return K.rewrite_args(a, m.select("doc", "sent", "id", F.col("canonical").alias("new_id"))).select("doc", "fact_id", "arg")
 
 
 CHAIN = "SELECT o_orderkey AS parent, o_orderkey // 10 AS child FROM orders WHERE o_orderkey >= 10 UNION ALL SELECT 7, 15 "
-CLOSURE = f"""WITH RECURSIVE e AS ({CHAIN}), c AS (SELECT parent AS root, child AS node, 1 AS depth, [parent, child] AS path FROM e WHERE parent <> child UNION ALL SELECT root, e.child, depth + 1, list_append(path, e.child) FROM c JOIN e ON c.node = e.parent WHERE NOT list_contains(path, e.child) AND depth < 6)"""
+CLOSURE = f"""WITH RECURSIVE e AS ({CHAIN}), c AS (SELECT parent AS root, child AS node, 1 AS depth, [parent, child] AS path FROM e WHERE parent <> child UNION ALL SELECT root, e.child, depth + 1, list_append(path, e.child) FROM c JOIN e ON c.node = e.parent WHERE NOT list_contains(path, e.child))"""
 
 
 def chain(spark, sf_dir):
@@ -193,6 +203,24 @@ def k15(spark, sf_dir):
     return K.role_pairs(roles(spark, sf_dir))
 
 
+#: Arguments: facts 2 and 4 of a sentence refer to the next one, facts 4 and 5 hold the next one itself.
+ARGS = f"SELECT DISTINCT a.doc, a.fact_id, b.fact_id AS arg, a.l_linenumber > 3 AS nested FROM ({FACTS}) a JOIN ({FACTS}) b ON a.doc = b.doc AND a.sent = b.sent AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_linenumber IN (2, 4, 5)"
+NESTED = f"""WITH a AS ({ARGS}), f AS (SELECT DISTINCT doc, fact_id, predicate FROM ({FACTS})),
+o AS (SELECT doc, fact_id, role, {LABEL.format(t='r')} AS label FROM ({ROLES}) r UNION ALL SELECT a.doc, a.fact_id, 'fact_arg', f.predicate FROM a JOIN f ON a.doc = f.doc AND a.arg = f.fact_id),
+d AS (SELECT DISTINCT doc, fact_id, arg FROM a WHERE nested),
+r AS (SELECT * FROM o UNION ALL SELECT d.doc, d.fact_id, 'fact_arg->' || role, label FROM d JOIN o ON d.doc = o.doc AND d.arg = o.fact_id
+ UNION ALL SELECT d.doc, d.fact_id, 'fact_arg->fact_arg->' || role, label FROM d JOIN d e ON d.doc = e.doc AND d.arg = e.fact_id JOIN o ON e.doc = o.doc AND e.arg = o.fact_id)
+SELECT x.label AS s, '[' || x.role || ']:' || f.predicate || ':[' || y.role || ']' AS p, y.label AS o, count(*) AS n FROM r x JOIN r y ON x.doc = y.doc AND x.fact_id = y.fact_id AND x.role <> y.role JOIN f ON x.doc = f.doc AND x.fact_id = f.fact_id GROUP BY ALL"""
+
+
+@query("k15_nested_facts", NESTED)
+def k15_nested(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    nxt = f.select("doc", "sent", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("fact_id").alias("arg"))
+    args = f.where("l_linenumber in (2, 4, 5)").join(nxt.hint("shuffle_merge"), ["doc", "sent", "l_linenumber"]).select("doc", "fact_id", "arg", (F.col("l_linenumber") > 3).alias("nested")).distinct()
+    return K.nested_role_pairs(roles(spark, sf_dir), f, args)
+
+
 @query("k16_argument_pairs", f"""
 WITH p AS (SELECT doc, id, predicate || '#' AS p, a AS s, b AS o FROM ({LINKS}) UNION ALL SELECT doc, id, predicate || '#', b, a FROM ({LINKS})) SELECT s, p, o, count(*) AS n FROM p GROUP BY ALL""")
 def k16(spark, sf_dir):
@@ -204,9 +232,14 @@ def k16(spark, sf_dir):
 PROV = "SELECT predicate AS s, '{p}' AS p, ({c})::VARCHAR AS o, count(*) AS n FROM ({f}) GROUP BY ALL"
 
 
-@query("k17_provenance", " UNION ALL ".join(PROV.format(p=p, c=c, f=FACTS) for p, c in (("has_timestamp", "strftime(l_shipdate, '%Y-%m')"), ("has_sentence", "sent"), ("has_truth_value", "l_linenumber"))))
+@query("k17_provenance", " UNION ALL ".join(PROV.format(p=p, c=c, f=FACTS) for p, c in (("has_timestamp", "strftime(l_shipdate, '%Y-%m')"), ("has_sentence", "sent"), ("has_truth_value", "l_linenumber")))
+       + " UNION ALL SELECT o_orderstatus, 'has_context', strftime(o_orderdate, '%Y-%m'), count(*) FROM orders GROUP BY ALL")
 def k17(spark, sf_dir):
-    return K.provenance(facts(spark, sf_dir).select("predicate", F.date_format("l_shipdate", "yyyy-MM").alias("day"), "sent", F.col("l_linenumber").alias("truth")))
+    own = K.provenance(facts(spark, sf_dir).select("predicate", F.date_format("l_shipdate", "yyyy-MM").alias("day"), "sent", F.col("l_linenumber").alias("truth")))
+    o = table(spark, sf_dir, "orders")
+    evaluations = o.select(F.col("o_custkey").alias("doc"), F.concat(F.lit("V"), "o_orderkey").alias("id"), F.col("o_orderstatus").alias("predicate"))
+    labels = o.select(F.col("o_custkey").alias("doc"), F.concat(F.lit("T"), "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM").alias("label"))  # sentences have none here
+    return own.unionByName(K.context_triples(members(spark, sf_dir), evaluations, labels))
 
 
 MEMBERS = """SELECT o_custkey AS doc, 'C' || o_orderkey AS link, 0 AS pos, 'T' || o_orderkey AS member, 'TimestampNode' AS member_type, strftime(o_orderdate, '%Y-%m-%d') AS name FROM orders
@@ -214,10 +247,7 @@ MEMBERS = """SELECT o_custkey AS doc, 'C' || o_orderkey AS link, 0 AS pos, 'T' |
  UNION ALL SELECT o_custkey, 'A' || o_orderkey, 0, 'V' || o_orderkey, 'EvaluationLink', NULL FROM orders WHERE o_orderkey % 2 = 0"""
 
 
-@query("k18_contexts", """
-SELECT o_custkey AS doc, 'C' || o_orderkey AS link, strftime(o_orderdate, '%Y-%m-%d') AS timestamp, 'SENT_' || o_orderkey AS sentence, o_custkey || '/V' || o_orderkey AS evaluation FROM orders
-UNION ALL SELECT o_custkey, 'A' || o_orderkey, NULL, NULL, o_custkey || '/V' || o_orderkey FROM orders WHERE o_orderkey % 2 = 0""")
-def k18(spark, sf_dir):
+def members(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     s = lambda p: F.concat(p if not isinstance(p, str) else F.lit(p), F.col("o_orderkey"))
     even = F.col("o_orderkey") % 2 == 0
@@ -225,8 +255,14 @@ def k18(spark, sf_dir):
     none = F.lit(None).cast("string")
     ms = F.array(row(s("C"), 0, s("T"), F.lit("TimestampNode"), F.date_format("o_orderdate", "yyyy-MM-dd")), row(s("C"), 1, s("S"), F.lit("ConceptNode"), s("SENT_")),
                  row(s("C"), 2, F.when(even, s("A")).otherwise(s("V")), F.when(even, "AndLink").otherwise("EvaluationLink"), none), F.when(even, row(s("A"), 0, s("V"), F.lit("EvaluationLink"), none)))
-    m = o.select(F.col("o_custkey").alias("doc"), F.explode(ms).alias("m")).where("m is not null").select("doc", "m.*")
-    return K.contexts(m)
+    return o.select(F.col("o_custkey").alias("doc"), F.explode(ms).alias("m")).where("m is not null").select("doc", "m.*")
+
+
+@query("k18_contexts", """
+SELECT o_custkey AS doc, 'C' || o_orderkey AS link, strftime(o_orderdate, '%Y-%m-%d') AS timestamp, 'SENT_' || o_orderkey AS sentence, o_custkey || '/V' || o_orderkey AS evaluation FROM orders
+UNION ALL SELECT o_custkey, 'A' || o_orderkey, NULL, NULL, o_custkey || '/V' || o_orderkey FROM orders WHERE o_orderkey % 2 = 0""")
+def k18(spark, sf_dir):
+    return K.contexts(members(spark, sf_dir))
 
 
 @query("k19_truth_scalar", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value / 2 ELSE value END AS second, value AS first FROM events")
@@ -346,7 +382,7 @@ def k31(spark, sf_dir):
 
 
 @query("k32_dependency_levels", f"""
-{CLOSURE} SELECT o_orderkey AS id, CASE WHEN EXISTS (SELECT 1 FROM c JOIN e ON c.node = e.parent AND e.child = c.root WHERE c.root = o_orderkey) THEN 7 ELSE coalesce((SELECT max(depth) FROM c WHERE c.root = o_orderkey), 0) END::INTEGER AS level FROM orders""")
+{CLOSURE} SELECT o_orderkey AS id, CASE WHEN EXISTS (SELECT 1 FROM c JOIN e ON c.node = e.parent AND e.child = c.root WHERE c.root = o_orderkey) THEN (SELECT max(depth) + 1 FROM c) ELSE coalesce((SELECT max(depth) FROM c WHERE c.root = o_orderkey), 0) END::INTEGER AS level FROM orders""")
 def k32(spark, sf_dir):
     return K.dependency_levels(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), chain(spark, sf_dir))
 
@@ -376,15 +412,15 @@ VEC = "(SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
 @query("k35_rank_tails", f"""
-WITH s AS (SELECT q.id AS query, e.id, {DIST} AS score FROM (SELECT a.id, a.v AS h, b.v AS r FROM {VEC} a JOIN {VEC} b ON b.id = a.id + 1 WHERE a.id < 5) q, {VEC} e)
+WITH s AS (SELECT q.id AS query, e.id, {DIST} AS score FROM (SELECT a.id, a.v AS h, b.v AS r FROM {VEC} a JOIN {VEC} b ON b.id = a.id + 1 WHERE a.id % 100 = 0) q, {VEC} e)
 SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 10""")
 def k35(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = v.where("id < 5").select(F.col("id").alias("query"), F.col("v").alias("h")).join(v.select((F.col("id") - 1).alias("query"), F.col("v").alias("r")), "query")
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("h")).join(v.select((F.col("id") - 1).alias("query"), F.col("v").alias("r")), "query")
     return K.rank_tails(q, v, 10)
 
 
-RANKS = f"""WITH s AS (SELECT q.id AS query, CASE WHEN q.id % 2 = 0 THEN 'head' ELSE 'tail' END AS side, e.id AS candidate, round({DIST}, 2) AS score, e.id = q.id + 2 AS is_true FROM (SELECT a.id, a.v AS h, b.v AS r FROM {VEC} a JOIN {VEC} b ON b.id = a.id + 1 WHERE a.id < 20) q, {VEC} e),
+RANKS = f"""WITH s AS (SELECT q.id AS query, CASE WHEN q.id % 200 = 0 THEN 'head' ELSE 'tail' END AS side, e.id AS candidate, round({DIST}, 2) AS score, e.id = q.id + 2 AS is_true FROM (SELECT a.id, a.v AS h, b.v AS r FROM {VEC} a JOIN {VEC} b ON b.id = a.id + 1 WHERE a.id % 100 = 0) q, {VEC} e),
 r AS (SELECT s.query, s.side, count(*) AS n, count(*) FILTER (WHERE s.score > t.score) AS above, count(*) FILTER (WHERE s.score = t.score) AS ties FROM s JOIN s t ON s.query = t.query AND t.is_true GROUP BY ALL), x AS (SELECT side, n, (above + 1 + above + ties) / 2 AS rank FROM r), b AS (SELECT * FROM x UNION ALL SELECT 'both', n, rank FROM x)"""
 
 
@@ -392,9 +428,9 @@ r AS (SELECT s.query, s.side, count(*) AS n, count(*) FILTER (WHERE s.score > t.
 {RANKS} SELECT side, round(avg(rank), 9) AS mr, round(avg(1 / rank), 9) AS mrr, round(median(rank), 9) AS median, avg((rank <= 1)::INTEGER) AS hits_1, avg((rank <= 3)::INTEGER) AS hits_3, avg((rank <= 5)::INTEGER) AS hits_5, avg((rank <= 10)::INTEGER) AS hits_10, round(1 - (avg(rank) - 1) / avg((n - 1) / 2), 9) AS amri FROM b GROUP BY side""")
 def k36(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = v.where("id < 20").select(F.col("id").alias("query"), F.col("v").alias("h")).join(v.select((F.col("id") - 1).alias("query"), F.col("v").alias("r")), "query")
-    s = K.rank_tails(q, v, 1 << 30).select("query", F.when(F.col("query") % 2 == 0, "head").otherwise("tail").alias("side"), F.col("id").alias("candidate"), F.round("score", 2).alias("score"), (F.col("id") == F.col("query") + 2).alias("is_true"))
-    return K.rank_metrics(K.ranks(s)).withColumns({c: F.round(c, 9) for c in ("mr", "mrr", "median", "amri")})
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("h")).join(v.select((F.col("id") - 1).alias("query"), F.col("v").alias("r")), "query")
+    q = q.select("query", F.when(F.col("query") % 200 == 0, "head").otherwise("tail").alias("side"), "h", "r", (F.col("query") + 2).alias("true_id"))
+    return K.rank_metrics(K.true_ranks(q, v, 2)).withColumns({c: F.round(c, 9) for c in ("mr", "mrr", "median", "amri")})
 
 
 @query("k37_verbalise", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN user_id || ' is shown ' || event_type WHEN 1 THEN 'is shown: ' || user_id || ', ' || event_type || ', x' END AS text FROM events")
@@ -439,6 +475,14 @@ def k42(spark, sf_dir):
     return K.study_metadata(e, docs)
 
 
+@query("s09_export_nodes", "SELECT p_partkey % 10 AS doc, CASE WHEN p_partkey % 4 = 0 THEN 'anon_' || substr(md5('ConceptNode|' || p_brand), 1, 12) ELSE 'P' || p_partkey END AS id, 'ConceptNode' AS type, p_brand AS name, p_size / 50.0 AS tv_strength, CASE WHEN p_partkey % 2 = 0 THEN 0.5 END::DOUBLE AS tv_confidence FROM part")
+def s09_nodes(spark, sf_dir):
+    k = F.col("p_partkey")
+    tv = F.when(k % 2 == 0, F.array(F.col("p_size") / 50.0, F.lit(0.5))).otherwise(F.array(F.col("p_size") / 50.0))
+    n = table(spark, sf_dir, "part").select((k % 10).alias("doc"), F.when(k % 4 != 0, F.concat(F.lit("P"), k)).alias("id"), F.lit("ConceptNode").alias("type"), F.col("p_brand").alias("name"), tv.alias("truth_value"))
+    return files.export_nodes(n)
+
+
 @query("s09_export_links", f"SELECT doc, CASE WHEN length(id) % 2 = 0 THEN id ELSE 'anon_' || substr(md5('EvaluationLink|' || predicate || '|' || a || '|' || b), 1, 12) END AS id, 'EvaluationLink' AS link_type, predicate AS name, a || '|' || b AS children FROM ({LINKS})")
 def s09(spark, sf_dir):
     ls = links(spark, sf_dir)

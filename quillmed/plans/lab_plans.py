@@ -138,7 +138,7 @@ def a11(spark, sf_dir):
 SELECT n_nationkey, v.value AS mapped FROM nation JOIN (VALUES ('NATION_1', 'one'), ('NATION_7', 'seven'), ('NATION_21', 'twenty-one')) AS v(key, value) ON n_name = key""")
 def a12(spark, sf_dir):
     m = rows(spark, "key string, value string", ("NATION_1", "one"), ("NATION_7", "seven"), ("NATION_21", "twenty-one"))
-    return table(spark, sf_dir, "nation").join(F.broadcast(m), F.col("n_name") == F.col("key")).select("n_nationkey", F.col("value").alias("mapped"))
+    return lab.strict_mapping(table(spark, sf_dir, "nation"), "n_name", m).select("n_nationkey", "mapped")
 
 
 @query("a13_stack_catalogues", """
@@ -154,10 +154,7 @@ def a13(spark, sf_dir):
 SELECT o_orderkey AS result_id, o_totalprice AS value, c_acctbal AS threshold FROM orders JOIN customer ON o_custkey = c_custkey""")
 def a14(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("result_id"), F.col("o_totalprice").alias("value"), F.col("c_acctbal").alias("threshold"))
-
-
-RULE = "STRUCT<part: STRING, comp: STRING, low: DOUBLE, high: DOUBLE, unit: STRING, per_day_low: DOUBLE>"
+    return lab.join_thresholds(o, c, F.col("o_custkey") == F.col("c_custkey"), {"o_orderkey": "result_id", "o_totalprice": "value", "c_acctbal": "threshold"})
 
 
 @query("a15_parse_rules", """
@@ -165,8 +162,7 @@ SELECT event_id, i::INTEGER AS rule_no, CASE i WHEN 0 THEN '>' ELSE '<' END AS c
 FROM events, (VALUES (0), (1)) v(i) WHERE event_id % 10 <> 3""")
 def a15(spark, sf_dir):
     text = F.when(F.col("event_id") % 10 == 3, "not json").otherwise(F.format_string('[{"comp": ">", "low": %d, "unit": "%%"}, {"comp": "<", "high": 5.5, "unit": null}]', F.col("event_id") % 50))
-    e = table(spark, sf_dir, "events").select("event_id", F.from_json(text, f"ARRAY<{RULE}>").alias("rules"))
-    return e.select("event_id", F.posexplode("rules").alias("rule_no", "r")).where("r.comp is not null").select("event_id", "rule_no", "r.comp", "r.low", "r.high")
+    return lab.parse_rules(table(spark, sf_dir, "events").select("event_id", text.alias("rules")), "rules").select("event_id", "rule_no", "comp", "low", "high")
 
 
 FACTORS = (("mg/dL", "g/L", 0.01), ("g/L", "mg/dL", 100.0), ("ng/mL", "mg/dL", 0.0001), ("U/L", "kU/L", 0.001))

@@ -10,12 +10,12 @@ from .base import query, table
 
 
 @query("p01_flatten_articles", """
-SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'NA' ELSE source END AS title, CASE WHEN doc_id % 4 = 0 THEN 'NA' ELSE substr(text, 1, 20) END AS abstract, lang AS language, CASE WHEN doc_id % 2 = 0 THEN 'PMC' || doc_id ELSE 'NA' END AS pmc, CASE WHEN doc_id % 5 = 0 THEN 'NA' ELSE '10.1/' || doc_id END AS doi FROM documents""")
+SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'NA' ELSE source END AS title, CASE WHEN doc_id % 4 = 0 THEN 'NA' ELSE text END AS abstract, lang AS language, CASE WHEN doc_id % 2 = 0 THEN 'PMC' || doc_id ELSE 'NA' END AS pmc, CASE WHEN doc_id % 5 = 0 THEN 'NA' ELSE '10.1/' || doc_id END AS doi FROM documents""")
 def p01(spark, sf_dir):
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     one = lambda t, v: F.struct(F.lit(t).alias("type"), v.alias("value"))
     ids = F.filter(F.array(F.when(k % 2 == 0, one("pmc", F.concat(F.lit("PMC"), k))), F.when(k % 5 != 0, one("doi", F.concat(F.lit("10.1/"), k)))), lambda x: x.isNotNull())
-    a = d.select(k.alias("id"), F.when(k % 3 != 0, F.col("source")).alias("title"), F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.substring("text", 1, 20), F.lit("second"))).alias("abstracts"), F.array("lang").alias("languages"), ids.alias("ids"))
+    a = d.select(k.alias("id"), F.when(k % 3 != 0, F.col("source")).alias("title"), F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("text"), F.lit("second"))).alias("abstracts"), F.array("lang").alias("languages"), ids.alias("ids"))
     return P.flatten_articles(a)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quillmed.functions.scalars import md5_bucket
 from quillmed.operators import spans as N
+from quillmed.operators.store import shared_dir
 from quillmed.sources import files
 
 from .base import query, table
@@ -38,17 +40,37 @@ def tagged(spark, sf_dir, sql: str):
     return tokens(spark, sf_dir).withColumn("tag", F.expr(sql.replace("regexp_matches", "rlike")))
 
 
+def gold_tag(token, pos):
+    """GOLD_TAG as an expression."""
+    number = F.concat(F.lit("NUM["), (pos % 3).cast("string"), F.lit("]|X"))
+    return F.when(F.length(token) >= 9, "LONG").when(F.rlike(token, F.lit("^[0-9]+$")), number).when(token.isin("the", "de", "der"), "ART").otherwise("_")
+
+
+def pred_tag(token, pos):
+    return F.when(F.length(token) >= 10, "LONG").when(token.isin("the", "of", "der", "la"), "ART").otherwise("_")
+
+
+def annotated(spark, sf_dir):
+    """Sentences, tokenised once, with the spans of both taggers."""
+    s = sents(spark, sf_dir).withColumn("tokens", N.tokenise(F.col("sentence")))
+    return s.select(*N.SENTENCE, "tokens", *(N.spans_in_place(F.col("tokens"), F.transform("tokens", tag)).alias(n) for n, tag in (("gold", gold_tag), ("pred", pred_tag))))
+
+
 def gold(spark, sf_dir):
-    return N.tags_to_spans(tagged(spark, sf_dir, GOLD_TAG))
+    return N.span_rows(annotated(spark, sf_dir), "gold")
 
 
 def pred(spark, sf_dir):
-    return N.tags_to_spans(tagged(spark, sf_dir, PRED_TAG))
+    return N.span_rows(annotated(spark, sf_dir), "pred")
 
 
-@query("s04_documents", "SELECT doc_id, length(text) AS n FROM documents")
+@query("s04_documents", "SELECT doc_id, length(text) AS n, md5(text) AS digest FROM documents")
 def s04(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
+    """Every document is written as a file of its own and read back whole."""
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").write.option("lineSep", "\x00").partitionBy("doc_id").text(path)
+    text = F.regexp_replace("text", "\x00$", "")  # the line end that the writer adds
+    return files.read_documents(spark, path).select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), F.md5(text).alias("digest"))
 
 
 @query("n01_sentences", SENTS)
@@ -128,7 +150,7 @@ def n09(spark, sf_dir):
 
 @query("n10_label_scores", "SELECT label, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM (" + rates_sql(f"SELECT label, {SUMS} FROM ({MATCH}) GROUP BY label") + ")")
 def n10(spark, sf_dir):
-    return N.label_scores(gold(spark, sf_dir), pred(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+    return N.label_scores_in_place(annotated(spark, sf_dir), "gold", "pred").withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
 NUMBERED = """SELECT doc_id, sent_id, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY start, "end", label)::INTEGER AS k, start || ':' || "end" || ':' || label AS {n} FROM ({s})"""
@@ -141,7 +163,7 @@ def n11(spark, sf_dir):
 
 @query("n12_split_rows", "SELECT doc_id, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % 100 < 20 AS is_test FROM documents")
 def n12(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (md5_bucket(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 100) < 20).alias("is_test"))
+    return table(spark, sf_dir, "documents").select("doc_id", N.split_rows(F.col("doc_id")).alias("is_test"))
 
 
 @query("n13_chunk_tokens", f"""
@@ -165,10 +187,10 @@ def n15(spark, sf_dir):
 @query("s05_s08_annotation_round_trip", f"""SELECT doc_id, sent_id + 1 AS sent_no, count(*) AS n, count(*) FILTER (WHERE tag <> '_') AS marked, md5(string_agg(token, ' ' ORDER BY pos)) AS tokens FROM (SELECT *, {PRED_TAG} AS tag FROM ({TOKENS})) GROUP BY doc_id, sent_id""")
 def s05(spark, sf_dir):
     s = sents(spark, sf_dir).where("size(regexp_extract_all(sentence, '[^\\\\s]', 0)) > 0")
-    t = N.token_table(sents(spark, sf_dir)).withColumn("tag", F.expr(PRED_TAG)).join(s, ["doc_id", "sent_id"])
+    t = N.token_table(sents(spark, sf_dir)).withColumn("tag", F.expr(PRED_TAG)).join(s.hint("shuffle_merge"), ["doc_id", "sent_id"])
     lines = files.tsv_lines(t).withColumn("n", F.col("sent_id").cast("long") * (1 << 31) + F.col("k"))
     back = files.parse_tsv(lines, ["doc_id"], "n").withColumn("sent_id", F.split(F.col("span"), "-")[0])
     first = s.select("doc_id", "sent_id", (F.row_number().over(N.Window.partitionBy("doc_id").orderBy("sent_id"))).alias("sent_no"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
     got = back.groupBy("doc_id", "sent_no").agg(F.count("*").alias("n"), F.sum((F.col("tag") != "_").cast("long")).alias("marked"), F.md5(text).alias("tokens"))
-    return got.join(first, ["doc_id", "sent_no"]).select("doc_id", (F.col("sent_id") + 1).alias("sent_no"), "n", "marked", "tokens")
+    return got.join(first.hint("shuffle_merge"), ["doc_id", "sent_no"]).select("doc_id", (F.col("sent_id") + 1).alias("sent_no"), "n", "marked", "tokens")

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quillmed.operators.dialog import STOP
+from quillmed.operators.store import shared_dir
 from quillmed.streaming import jobs
 
 from .base import query, table
 
 
 def _run(spark, stream):
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     jobs.run_available(stream, f"{base}/out", f"{base}/state")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def _stream(spark, sf_dir, name):
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)  # bounds a batch; state carries on
 
 
 def _events(spark, sf_dir):
@@ -37,11 +36,13 @@ def x01(spark, sf_dir):
 
 
 @query("x02_conversation_outcomes", """
-SELECT conv_id, count(*)::INTEGER AS turns, min_by(trim(text), turn) FILTER (WHERE role = 'user' AND trim(text) <> '') AS complaint, 'stop' AS ended FROM (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn > 1 AND conv_id % 3 = 0 THEN 'Done.' ELSE text END AS text FROM conversations) GROUP BY conv_id HAVING bool_or(text = 'Done.')""")
+WITH c AS (SELECT conv_id, turn, role, 1704067200 + conv_id * 60 + turn AS sec, CASE WHEN role = 'user' AND turn > 1 AND conv_id % 3 = 0 THEN 'Done.' ELSE text END AS text FROM conversations),
+g AS (SELECT conv_id, count(*)::INTEGER AS turns, min_by(trim(text), turn) FILTER (WHERE role = 'user' AND trim(text) <> '') AS complaint, bool_or(role = 'user' AND text = 'Done.') AS stopped, max(sec) AS last FROM c GROUP BY conv_id)
+SELECT conv_id, turns, complaint, CASE WHEN stopped THEN 'stop' ELSE 'timeout' END AS ended FROM g WHERE stopped OR last + 3600 < (SELECT max(sec) FROM c) - 600""")
 def x02(spark, sf_dir):
     text = F.when((F.col("role") == "user") & (F.col("turn") > 1) & (F.col("conv_id") % 3 == 0), "Done.").otherwise(F.col("text"))
     s = _stream(spark, sf_dir, "conversations").withColumn("text", text).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")))
-    return _run(spark, jobs.conversation_outcomes(s, STOP)).where("ended = 'stop'")
+    return _run(spark, jobs.conversation_outcomes(s, STOP))
 
 
 @query("x03_tumbling_means", """

@@ -59,10 +59,10 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="head STRING, relation STRING, tail STRING", quote="")
 
 
-def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] = ()) -> None:
-    """Csv, tsv, json or parquet, by partition columns if given."""
+def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] = (), header: bool = True) -> None:
+    """Csv, tsv, json or parquet, by partition columns if given. Cells of csv may hold quotes and line breaks, cells of tsv none."""
     w = df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")
-    {"csv": lambda: w.csv(path, header=True), "tsv": lambda: w.csv(path, header=True, sep="\t"), "json": lambda: w.json(path), "parquet": lambda: w.parquet(path)}[kind]()
+    {"csv": lambda: w.csv(path, header=header, escape='"'), "tsv": lambda: w.csv(path, header=header, sep="\t", quote=""), "json": lambda: w.json(path), "parquet": lambda: w.parquet(path)}[kind]()
 
 
 def tsv_lines(tokens: DataFrame) -> DataFrame:
@@ -86,6 +86,17 @@ def child_key(*cols: Column) -> Column:
     return F.concat(F.lit("anon_"), F.substring(F.md5(F.concat_ws("|", *cols)), 1, 12))
 
 
+def write_graph_json(fragments: DataFrame, path: str, key: str) -> None:
+    """One file for each fragment, as S3 reads them."""
+    body = F.to_json(F.struct(*(c for c in fragments.columns if c != key)))
+    fragments.select(key, body.alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def export_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes(doc, id, type, name, truth_value) as table rows with the truth value's strength and confidence; a node without an id gets one from its content."""
+    return nodes.select("doc", F.coalesce("id", child_key(F.col("type"), F.coalesce("name", F.lit("")))).alias("id"), "type", "name", F.get("truth_value", F.lit(0)).alias("tv_strength"), F.get("truth_value", F.lit(1)).alias("tv_confidence"))
+
+
 def export_links(links: DataFrame, sep: str = "|") -> DataFrame:
     """links(doc, id, link_type, name, children) as table rows with joined child ids; a link without an id gets one from its content."""
     joined = F.array_join("children", sep)

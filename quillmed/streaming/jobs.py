@@ -16,26 +16,25 @@ CHAT = "turns int, complaint string"
 
 def critical_alerts(df: DataFrame, low: float, high: float, per_day: float, late: str = "1 hour") -> DataFrame:
     """Alerts for values beyond bounds and for changes per day of per_day or more since the
-    series' last value, which is the state. Rows later than the watermark are dropped. Rows of one
-    series within a batch are taken in time order, in slices as they arrive."""
+    series' last value, which is the state. Rows later than the watermark are dropped. A batch's rows of one
+    series are put in time order and compared with their neighbours at once; the source bounds the batch (maxFilesPerTrigger)."""
     def step(key, slices, state: GroupState) -> Iterator:
+        import numpy as np
         import pandas as pd
 
-        rows = pd.concat(list(slices)).sort_values("ts")
-        last = state.get if state.exists else None
-        out = []
-        for ts, value in zip(rows["ts"], rows["value"]):
-            kind = "Low" if value < low else "High" if value > high else None
-            if kind:
-                out.append((key[0], key[1], ts, kind, "bounds"))
-            if last is not None:
-                rate = (value - last[1]) / max(1, (ts - pd.Timestamp(last[0])).days)
-                if abs(rate) >= per_day:
-                    out.append((key[0], key[1], ts, "High" if rate > 0 else "Low", "rate"))
-            last = (ts.to_pydatetime(), float(value))
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=["entity", "test", "ts", "kind", "rule"])
+        rows = pd.concat(list(slices), ignore_index=True).sort_values("ts", kind="stable", ignore_index=True)
+        ts, value = rows["ts"], rows["value"].to_numpy(float)
+        last = state.get if state.exists else (None, float("nan"))
+        before, known = ts.shift(1), np.concatenate(([last[1]], value[:-1]))
+        if len(rows) and last[0] is not None:
+            before.iloc[0] = pd.Timestamp(last[0])
+        days = np.maximum(1, ((ts - before) // pd.Timedelta(days=1)).fillna(1).to_numpy(float))
+        rate = (value - known) / days
+        kinds = np.where(value < low, "Low", np.where(value > high, "High", None)), np.where(np.abs(rate) >= per_day, np.where(rate > 0, "High", "Low"), None)
+        found = [pd.DataFrame({"entity": key[0], "test": key[1], "ts": ts, "kind": k, "rule": rule}).dropna(subset=["kind"]) for k, rule in zip(kinds, ("bounds", "rate"))]
+        if len(rows):
+            state.update((ts.iloc[-1].to_pydatetime(), float(value[-1])))
+        yield from (f for f in found if len(f))
 
     timed = df.select("entity", "test", F.col("ts").cast("timestamp").alias("ts"), "value").withWatermark("ts", late)
     return timed.groupBy("entity", "test").applyInPandasWithState(step, ALERT, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -52,14 +51,13 @@ def conversation_outcomes(df: DataFrame, stop: tuple[str, ...], late: str = "10
             state.remove()
             yield pd.DataFrame([(key[0], turns, complaint, "timeout")], columns=columns)
             return
-        ended = False
-        rows = pd.concat(list(slices)).sort_values("turn")
-        for role, text in zip(rows["role"], rows["text"]):
-            said = (text or "").strip()
-            turns += 1
-            if role == "user" and said:
-                complaint = complaint or said
-                ended = ended or said.lower().rstrip(".!") in stop
+        rows = pd.concat(list(slices), ignore_index=True).sort_values("turn", kind="stable")
+        said = rows["text"].fillna("").str.strip()
+        spoke = (rows["role"] == "user") & (said != "")
+        turns += len(rows)
+        if complaint is None and spoke.any():
+            complaint = said[spoke].iloc[0]
+        ended = bool(said[spoke].str.lower().str.rstrip(".!").isin(stop).any())
         if ended:
             if state.exists:
                 state.remove()

@@ -203,3 +203,80 @@ def test_row_order_never_matters(spark):
     d = series(spark, 5.0, 3.0, 8.0, 2.0, 9.0)
     a, b = (trend.profile(x, 4.0, 7.0).orderBy("ord").collect() for x in (d, d.orderBy(F.desc("value"))))
     assert a == b
+
+
+def label_by_hand(names, reserved):
+    used, out = set(reserved), []
+    for n in names:
+        stem = n.strip().lower().replace(" ", "_").replace("-", "_")
+        k, label = 0, stem
+        while label in used:
+            k += 1
+            label = f"{stem}_{k}"
+        used.add(label)
+        out.append(label)
+    return out
+
+
+def test_labels_are_unique_in_order(spark):
+    import random
+
+    rng = random.Random(2)
+    for names in (["a", "a", "a_1"], ["a_1", "a", "a", "A"], ["rule", "rule_1", "Rule", "x"], [rng.choice(["a", "a_1", "a_1_1", "b", "b_2", "rule", "a 2"]) for _ in range(60)]):
+        d = spark.createDataFrame(list(enumerate(names)), "k int, name string")
+        got = [r["unique_label"] for r in graph.unique_labels(d, "name", ["k"], ["rule"]).orderBy("k").collect()]
+        assert got == label_by_hand(names, ["rule"]) and len(set(got)) == len(got)
+
+
+def test_links_differ_in_any_field(spark):
+    schema = "doc int, id string, link_type string, predicate string, arguments array<string>, truth_value array<double>, attributes map<string,string>"
+    one = ["E", "p", ["a", "b"], [0.5], {"k": "1", "m": "2"}]
+    rows = [(1, "x1", *one), (1, "x2", *one[:4], {"m": "2", "k": "1"}), (1, "x3", *one[:3], [0.9], one[4]), (1, "x4", *one[:4], {"k": "2"}), (1, "x5", *one[:3], None, one[4]), (2, "x1", *one)]
+    got = {(r["doc"], r["id"]): (r["canonical"], r["first"]) for r in graph.merge_links(spark.createDataFrame(rows, schema), ["id"]).collect()}
+    assert got == {(1, "x1"): ("L1", True), (1, "x2"): ("L1", False), (1, "x3"): ("L2", True), (1, "x4"): ("L3", True), (1, "x5"): ("L4", True), (2, "x1"): ("L1", True)}
+
+
+def test_arguments_that_are_no_strings_go(spark):
+    d = spark.createDataFrame([('["a", 1, {"b": "c"}, null, "2", ["x"], true]',), ("[]",), ("nothing",), (None,)], "j string")
+    assert [r["a"] for r in d.select(graph.string_arguments(F.col("j")).alias("a")).collect()] == [["a", "2"], [], None, None]
+
+
+def test_nested_facts_lend_their_roles(spark):
+    facts = spark.createDataFrame([(1, "f", "p"), (1, "g", "q"), (1, "h", "r")], "doc int, fact_id string, predicate string")
+    roles = spark.createDataFrame([(1, "f", "p", "who", "A", None, None), (1, "g", "q", "what", None, "5", "int"), (1, "h", "r", "who", "C", None, None)], "doc int, fact_id string, predicate string, role string, entity string, literal string, datatype string")
+    args = spark.createDataFrame([(1, "f", "g", True), (1, "g", "h", True), (1, "h", "f", True), (1, "f", "lost", False)], "doc int, fact_id string, arg string, nested boolean")
+    of_f = {(r["role"], r["label"]) for r in graph.nested_roles(roles, facts, args).where("fact_id = 'f'").collect()}
+    assert of_f == {("who", "A"), ("fact_arg", "q"), ("fact_arg->what", "5/int"), ("fact_arg->fact_arg", "r"), ("fact_arg->fact_arg->who", "C"), ("fact_arg->fact_arg->fact_arg", "p")}
+    triples = {(r["s"], r["p"], r["o"]) for r in graph.nested_role_pairs(roles, facts, args).collect()}
+    assert ("A", "[who]:p:[fact_arg->what]", "5/int") in triples and ("q", "[fact_arg]:p:[who]", "A") in triples
+
+
+def test_span_arrays_agree_with_span_rows(spark):
+    tags = ["X[1]", "X[1]", "_", "Y|Z", "X[2]", "X", "X", "_", "", "Y"]
+    d = spark.createDataFrame([(1, 0, [f"t{k}" for k in range(10)], tags), (1, 1, [], []), (2, 0, ["a"], ["_"])], "doc_id int, sent_id int, tokens array<string>, tags array<string>")
+    inside = spans.span_rows(d.withColumn("spans", spans.spans_in_place(F.col("tokens"), F.col("tags"))))
+    t = d.select("doc_id", "sent_id", F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "z")).select("doc_id", "sent_id", "pos", F.col("z.tokens").alias("token"), F.col("z.tags").alias("tag"))
+    rows = spans.tags_to_spans(t)
+    assert {tuple(r) for r in inside.collect()} == {tuple(r) for r in rows.select(*inside.columns).collect()} and inside.count() == 5
+
+
+def test_row_priors_replace_the_root(spark):
+    age = spark.createDataFrame([("young", 0.6), ("old", 0.4)], "age string, p double")
+    ill = spark.createDataFrame([("young", "yes", 0.1), ("young", "no", 0.9), ("old", "yes", 0.5), ("old", "no", 0.5)], "age string, ill string, p double")
+    e = spark.createDataFrame([(1, None, "yes", None), (2, None, "yes", {"young": 0.2, "old": 0.8}), (3, None, None, {"young": 1.0, "old": 0.0}), (4, "old", None, {"young": 0.2, "old": 0.8})], "k int, age string, ill string, prior map<string,double>")
+    got = {(r["k"], r["variable"], r["state"]): r["p"] for r in bayes.score_with_priors(e, "k", ["age", "ill"], {"age": age, "ill": ill}, {"age": "prior"}).collect()}
+    assert abs(got[1, "age", "old"] - 0.2 / 0.26) < 1e-12 and abs(got[2, "age", "old"] - 0.4 / 0.42) < 1e-12
+    assert abs(got[3, "ill", "yes"] - 0.1) < 1e-12 and got[4, "ill", "no"] == 0.5 and got[4, "age", "old"] == 1.0
+
+
+def test_any_number_of_queries_is_ranked(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1300, 3))
+    e = spark.createDataFrame([(k, [float(x) for x in v[k]]) for k in range(1300)], "id int, v array<double>")
+    q = e.select(F.col("id").alias("query"), F.col("v").alias("h"), F.array(*(F.lit(0.0),) * 3).alias("r"))
+    top = graph.rank_tails(q, e, 1).collect()
+    assert len(top) == 1300 and all(r["id"] == r["query"] for r in top)
+    r = graph.true_ranks(q.withColumn("side", F.lit("tail")).withColumn("true_id", F.col("query")), e)
+    assert r.where("optimistic = 1 and pessimistic = 1 and n = 1300").count() == 1300
