@@ -1,4 +1,9 @@
-"""Edit-aware token counts: segment trees over runs of pre-tokens."""
+"""Edit-aware token counts: segment trees over runs of pre-tokens.
+
+The cut rule fits patterns in which no match goes on from a non-space to a blank, as the usual byte-level ones
+(`PATTERN` of the tokenizers here); for another pattern it must be checked. A text without blanks is one leaf, so an
+edit there encodes it whole. An edit copies the text (a string) but encodes only the leaves around it.
+"""
 
 from __future__ import annotations
 
@@ -49,11 +54,12 @@ def set_leaf(tree: list[int], k: int, value: int) -> None:
         i //= 2
 
 
-def apply_edit(text: str, lens: list[int], tree: list[int], start: int, end: int, new: str, count) -> tuple[str, int]:
+def apply_edit(text: str, lens: list[int], tree: list[int], start: int, end: int, new: str, count, leaf: int = LEAF) -> tuple[str, int]:
     """Replace text[start:end] by new; lens and tree are brought up to date in place. Only the
     leaves from that of the character before the edit to that of the character after it are
-    encoded again: the leaf bounds beyond them keep both their neighbours. The run goes to its
-    first leaf, and the other leaves of the run become empty. Returns the text and the characters encoded."""
+    encoded again: the leaf bounds beyond them keep both their neighbours. The run is cut into
+    leaves anew; where their number stays, only the sums above them change, else the sums are
+    added up again. Returns the text and the characters encoded."""
     start = max(0, min(start, len(text)))
     end = max(start, min(end, len(text)))
     at, first, last, lo, hi = 0, None, 0, 0, 0
@@ -67,9 +73,18 @@ def apply_edit(text: str, lens: list[int], tree: list[int], start: int, end: int
                 break
     edited = text[:start] + new + text[end:]
     run = edited[lo:hi + len(new) - (end - start)]
-    for k in range(first, last + 1):
-        lens[k] = len(run) if k == first else 0
-        set_leaf(tree, k, count(run) if k == first else 0)
+    own, counts, at = leaves(run, leaf), [], 0
+    for n in own:
+        counts.append(count(run[at:at + n]))
+        at += n
+    old, n_old = tree[len(lens):], last + 1 - first
+    lens[first:last + 1] = own
+    if len(own) == n_old:
+        for k, c in enumerate(counts):
+            set_leaf(tree, first + k, c)
+    else:
+        old[first:last + 1] = counts
+        tree[:] = tree_of(old)
     return edited, len(run)
 
 
@@ -114,7 +129,7 @@ def build(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFra
     return rows.mapInArrow(run, schema)
 
 
-def recount(trees: DataFrame, edits: str, path: str, pattern: str) -> DataFrame:
+def recount(trees: DataFrame, edits: str, path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
     """(doc_id, n_tokens, n_leaves, edited_tokens, encoded_chars, edited_chars) from rows with
     text, lens, tree and a column `edits` of (start, end, replacement) in characters, applied in
     order, each to the result of the last. Null edits or a null replacement change or insert
@@ -131,7 +146,7 @@ def recount(trees: DataFrame, edits: str, path: str, pattern: str) -> DataFrame:
                 text, lens, tree, done = t.as_py() or "", ls.as_py(), tr.as_py(), 0
                 before, n_leaves = total(tree), len(lens)
                 for e in es.as_py() or []:
-                    text, n = apply_edit(text, lens, tree, e["start"], e["end"], e["replacement"] or "", count)
+                    text, n = apply_edit(text, lens, tree, e["start"], e["end"], e["replacement"] or "", count, leaf)
                     done += n
                 out.append((before, n_leaves, total(tree), done, len(text)))
             cols = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5)]

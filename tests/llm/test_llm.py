@@ -97,7 +97,7 @@ def test_token_counts_follow_edits(docs, none, tokenizer):
     edits = [(0, 0, "start "), (5, 9, " café's 12\n"), (40, 700, "x"), (10_000_000, 10_000_001, " end"), (3, 3, None)]
     e = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).cast("string").alias("replacement")) for a, b, c in edits))
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    for r in token_counts.recount(token_counts.build(docs, path, pattern, leaf=64).withColumn("e", e), "e", path, pattern).collect():
+    for r in token_counts.recount(token_counts.build(docs, path, pattern, leaf=64).withColumn("e", e), "e", path, pattern, leaf=64).collect():
         t = texts[r["doc_id"]]
         assert r["n_tokens"] == len(enc.encode_ordinary(t))
         for a, b, c in edits:
@@ -107,6 +107,21 @@ def test_token_counts_follow_edits(docs, none, tokenizer):
     assert token_counts.build(none, path, pattern).count() == 0
 
 
+def test_leaves_are_cut_anew_after_edits(tokenizer):
+    _, _, enc = tokenizer
+    count = lambda t: len(enc.encode_ordinary(t))
+    rng, text = np.random.default_rng(7), "some words of a text that goes on " * 40
+    lens = token_counts.leaves(text, 64)
+    ends = np.cumsum(lens).tolist()
+    tree = token_counts.tree_of([count(text[e - n:e]) for e, n in zip(ends, lens)])
+    for k in range(40):
+        at = int(rng.integers(0, len(text) + 1))
+        new = ["", "x", " more words of another text" * 12, "\n\n"][k % 4]
+        text, _ = token_counts.apply_edit(text, lens, tree, at, at + int(rng.integers(0, 200)), new, count, 64)
+        assert token_counts.total(tree) == count(text) and sum(lens) == len(text) and len(tree) == 2 * len(lens)
+        assert max(lens) < 64 + 64
+
+
 @pytest.mark.parametrize("repeated", [suffix_array.REPEATED, 0, 1 << 60])  # as shipped, always by recursion, never
 def test_suffix_arrays(monkeypatch, repeated):
     monkeypatch.setattr(suffix_array, "REPEATED", repeated)
