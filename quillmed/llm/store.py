@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot with more than one in HOT_SHARE of all rows (and LEAST_HOT at least), so at most HOT_SHARE keys are.
 HOT_SHARE, LEAST_HOT = 10_000, 500
+#: Paths that written() has made in this process, in order.
+made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more, wherever the shared folder lies."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        made.remove(p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
