@@ -186,7 +186,7 @@ def role_pairs(roles: DataFrame) -> DataFrame:
 def _pair_up(r: DataFrame) -> DataFrame:
     both = r.groupBy("doc", "fact_id", "predicate").agg(F.collect_list(F.struct("role", "label")).alias("r"))
     pairs = F.filter(F.flatten(F.transform("r", lambda x: F.transform("r", lambda y: F.struct(x.alias("x"), y.alias("y"))))), lambda p: p["x"]["role"] != p["y"]["role"])
-    a = both.select("predicate", F.explode(pairs).alias("p"))
+    a = both.select("predicate", F.explode_outer(pairs).alias("p")).where("p is not null")  # a plain explode would make the pairs twice
     n = a.groupBy("predicate", "p.x.role", "p.x.label", F.col("p.y.role").alias("role2"), F.col("p.y.label").alias("label2")).agg(F.count("*").alias("n"))
     # names are put together once for each group; a predicate and roles that read alike may still meet
     return n.groupBy(F.col("label").alias("s"), F.format_string("[%s]:%s:[%s]", "role", "predicate", "role2").alias("p"), F.col("label2").alias("o")).agg(F.sum("n").alias("n"))
@@ -278,7 +278,7 @@ def mentions(sents: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, sent_id, name) where an entity's name of the same document occurs in a sentence (case-sensitive substring). A sentence meets the document's list of names in one row, and only those it holds come out."""
     lists = names.groupBy("doc_id").agg(F.collect_set("name").alias("names"))
     held = F.filter("names", lambda n: F.contains("sentence", n))
-    return sents.join(lists.hint("shuffle_merge"), "doc_id").select("doc_id", "sent_id", F.explode(held).alias("name"))
+    return sents.join(lists.hint("shuffle_merge"), "doc_id").select("doc_id", "sent_id", F.explode_outer(held).alias("name")).where("name is not null")
 
 
 def clean_sentence_nodes(nodes: DataFrame) -> DataFrame:

@@ -67,21 +67,19 @@ def tags_to_spans(tokens: DataFrame, tag: str = "tag") -> DataFrame:
 
 
 def spans_in_place(tokens: Column, tags: Column) -> Column:
-    """N5 inside a row: arrays of a sentence's tokens and tags -> array of spans, without an exchange. A span starts
-    where the (label, id) differs from the one before, and ends where the next run starts."""
-    parsed = F.transform(tags, lambda t: F.struct(*(c.alias(n) for c, n in zip(parse_tag(t), ("label", "num")))))
-    n, at = F.size(tokens), lambda a, i: F.get(a, i)
-    with_parsed = F.transform(F.array(parsed), lambda p: F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~at(p, i).eqNullSafe(at(p, i - 1))))
-    starts = F.when(n > 0, F.get(with_parsed, 0)).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(F.array(F.struct(starts.alias("s"), parsed.alias("p"))), lambda x: F.transform(x["s"], lambda a, k: F.struct(
-        a.alias("start"), F.coalesce(F.get(x["s"], k + 1), n).alias("end"), F.get(x["p"], a)["label"].alias("label"))))
-    kept = F.filter(F.get(runs, 0), lambda r: r["label"].isNotNull())
-    return F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["label"].alias("label"), F.array_join(F.slice(tokens, r["start"] + 1, r["end"] - r["start"]), " ").alias("text")))
+    """N5 inside a row: arrays of a sentence's tokens and tags -> array of spans, without an exchange. A span starts where the
+    tag's first layer (label and id, compared as written) differs from the one before, and ends where the next run starts; its label is parsed once."""
+    n, box = F.size(tokens), lambda c, body: F.get(F.transform(F.array(c), body), 0)  # noqa: E731  (box: computed once)
+    begins = lambda layers: F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~F.get(layers, i).eqNullSafe(F.get(layers, i - 1)))
+    span = lambda layers, starts: F.transform(starts, lambda a, k: F.struct(a.alias("start"), F.coalesce(F.get(starts, k + 1), n).alias("end"), parse_tag(F.get(layers, a))[0].alias("label")))
+    kept = box(F.transform(tags, lambda t: F.substring_index(t, "|", 1)), lambda layers: box(begins(layers), lambda starts: F.filter(span(layers, starts), lambda r: r["label"].isNotNull())))
+    with_text = F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["label"].alias("label"), F.array_join(F.slice(tokens, r["start"] + 1, r["end"] - r["start"]), " ").alias("text")))
+    return F.when(n > 0, with_text)
 
 
 def span_rows(sents: DataFrame, spans: str = "spans") -> DataFrame:
-    """A row for each span of an array column."""
-    return sents.select(*SENTENCE, F.explode(spans).alias("s")).select(*SENTENCE, "s.*")
+    """A row for each span of an array column. (A plain explode would have the array made once more, for a filter on its size.)"""
+    return sents.select(*SENTENCE, F.explode_outer(spans).alias("s")).where("s is not null").select(*SENTENCE, "s.*")
 
 
 def spans_by_id(lines: DataFrame, tag: str = "tag") -> DataFrame:
@@ -147,11 +145,11 @@ def label_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def label_scores_in_place(sents: DataFrame, gold: str, pred: str) -> DataFrame:
     """N10 where both lists of spans stand in one row for each sentence: sets are compared inside the row, and only a count for each label is shuffled."""
-    key = lambda c: F.array_distinct(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"], s["label"])))
+    key = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast(dict(sents.dtypes)[c])), lambda s: F.concat_ws(":", s["start"], s["end"], s["label"])))
     kind = lambda spans, tp, fp, fn: F.transform(spans, lambda x: F.struct(F.get(F.split(x, ":", 3), 2).alias("label"), F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(fn).alias("fn")))
     both = sents.select(key(gold).alias("g"), key(pred).alias("p"))
     every = F.concat(kind(F.array_intersect("g", "p"), 1, 0, 0), kind(F.array_except("p", "g"), 0, 1, 0), kind(F.array_except("g", "p"), 0, 0, 1))
-    return rates(both.select(F.explode(every).alias("x")).select("x.*").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
+    return rates(both.select(F.explode_outer(every).alias("x")).where("x is not null").select("x.*").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
 
 
 def positional_diff(gold: DataFrame, pred: DataFrame) -> DataFrame:

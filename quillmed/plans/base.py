@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """df itself, or, if its files make fewer tasks than the cluster runs at once, its rows dealt over that many."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, by)
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as measurements: entity, test, ts, value, ord."""
     return table(spark, sf_dir, "events").select(

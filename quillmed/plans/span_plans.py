@@ -10,7 +10,7 @@ from quillmed.operators import spans as N
 from quillmed.operators.store import shared_dir
 from quillmed.sources import files
 
-from .base import query, table
+from .base import dealt, query, table
 
 TOK = r"\p{L}+|[0-9]+|[^\s\p{L}0-9]"
 SENTS = "SELECT doc_id, (i - 1)::INTEGER AS sent_id, s[i] AS sentence FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS r(i)"
@@ -29,7 +29,7 @@ GOLD, PRED = spans_sql(GOLD_TAG), spans_sql(PRED_TAG)
 
 
 def sents(spark, sf_dir):
-    return N.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return N.sentences(dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def tokens(spark, sf_dir):
