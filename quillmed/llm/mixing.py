@@ -16,7 +16,7 @@ SPAN = 1 << 31
 GOLDEN = 1327217885
 #: A table of one row per source is broadcast up to this many sources; beyond, rows are shuffled to it.
 FEW_SOURCES = 10_000
-ROWS_A_PART = 4000
+ROWS_A_PART = 1000
 #: Where the schedule misses a target by so many blocks at most, the last blocks are cut or the next ones added.
 REMAINDER = 4
 WORD = r"[^\x20\x09-\x0D]+"
