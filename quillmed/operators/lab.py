@@ -38,10 +38,17 @@ def first_seen(df: DataFrame, key: str, values: list[str], order: Column) -> Dat
     return got.select(key, *(F.col(f"v.{c}").alias(c) for c in values))
 
 
-def pivot_dates(df: DataFrame, keys: list[str], header: Column, headers: list[str], value: str, order: Column) -> DataFrame:
-    """A4: one row per key, one column per header, holding the first non-null value."""
-    return (df.where(F.col(value).isNotNull()).withColumn("_h", header).groupBy(*keys)
-            .pivot("_h", sorted(headers)).agg(F.min_by(value, order)))
+#: A pivot makes a column for each header: more than this are refused, as no table can be so wide.
+MOST_HEADERS = 10_000
+
+
+def pivot_dates(df: DataFrame, keys: list[str], header: Column, value: str, order: Column) -> DataFrame:
+    """A4: one row per key, one column per header that the rows hold, with the first non-null value."""
+    given = df.where(F.col(value).isNotNull()).withColumn("_h", header)
+    headers = [r["_h"] for r in given.select("_h").distinct().orderBy("_h").limit(MOST_HEADERS + 1).collect()]  # names of columns
+    if len(headers) > MOST_HEADERS:
+        raise ValueError("too many headers for columns")
+    return given.groupBy(*keys).pivot("_h", headers).agg(F.min_by(value, order))
 
 
 def unpivot_dates(wide: DataFrame, ids: list[str]) -> DataFrame:
