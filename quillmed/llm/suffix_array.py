@@ -34,7 +34,7 @@ def _put(sa, preds, chars, ends, direction):
 
 def _induce(text, small, starts, lms):
     """The order of all suffixes from that of the leftmost S-type ones (lms, in order)."""
-    sa = np.full(len(text), -1, np.int64)
+    sa = np.full(len(text), -1, np.int32)
     sigma = len(starts) - 1
     heads, tails = starts[:-1].copy(), starts[1:].copy()
     lms_at = np.searchsorted(text[lms], np.arange(sigma + 1))
@@ -110,7 +110,7 @@ def suffix_array(text, depth: int = 1 << 40):
     ordered = sa[is_lms[np.maximum(sa, 0)] & (sa >= 0)]
     # names: neighbours in the order get one name if they agree character by character
     length = np.diff(np.concatenate((lms, [n - 1]))) + 1
-    place = np.empty(n, np.int64)
+    place = np.empty(n, np.int32)
     place[lms] = np.arange(len(lms))
     a = place[ordered]
     fresh = np.concatenate(([True], length[a][1:] != length[a][:-1]))
@@ -130,7 +130,7 @@ def common_prefixes(data, sa, left, most: int):
     """Permuted common prefixes: at text position j, the length (up to `most`) that suffix j
     shares with the suffix before it in the order; positions with fewer than `most` bytes left
     in their piece, or whose predecessor has, get 0. data: bytes, with `most` spare at its end."""
-    before = np.full(len(sa), -1, np.int64)
+    before = np.full(len(sa), -1, np.int32)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(len(sa), np.int16)
     j = np.flatnonzero((left >= most) & (before >= 0))

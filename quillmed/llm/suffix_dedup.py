@@ -12,7 +12,7 @@ from .store import written
 #: Length of the strings, and of the anchors by which equal strings meet.
 LENGTH, GRAM = 100, 32
 #: Contexts of a shard (a context is LENGTH to 2 * LENGTH - GRAM bytes), and of one anchor in a shard.
-SHARD, HOT = 8192, 2048
+SHARD, HOT = 4096, 2048
 #: Anchors that this many rows of a sample of so many documents share are dealt by their surroundings too; only the dealing rests on the sample.
 HEAVY, HEAVY_SAMPLE = 16, 1 << 14
 #: Documents are handled in runs of about this many bytes.
@@ -171,9 +171,8 @@ def _contexts(asked: DataFrame, docs: DataFrame) -> DataFrame:
 def search_shard(doc, tag, lo, hot, pieces):
     """Repeats within one shard, by its suffix array and common prefixes.
 
-    Returns (marks, open): marks are (piece, first start, last start) runs of starts whose
-    string also starts earlier in the shard; open are the other starts of hot pieces, whose
-    anchor has pieces in other shards too, with two hashes of their strings."""
+    Returns arrays (piece, first start, last start) of the runs of starts whose string also starts earlier in the
+    shard, and (piece, start, two hashes of the string) of the other starts of hot pieces, whose anchor has pieces in other shards too."""
     import numpy as np
 
     from .suffix_array import common_prefixes, suffix_array
@@ -184,9 +183,9 @@ def search_shard(doc, tag, lo, hot, pieces):
     text = joined.astype(np.uint16) + 2
     text[ends] = 1
     text = np.concatenate((text, np.zeros(1, np.uint16)))
-    piece = np.repeat(np.arange(len(pieces)), sizes + 1)
-    offset = np.arange(len(joined)) - np.repeat(ends - sizes, sizes + 1)
-    left = np.concatenate((ends[piece] - np.arange(len(joined)), [0]))
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes + 1)
+    offset = (np.arange(len(joined)) - np.repeat(ends - sizes, sizes + 1)).astype(np.int32)
+    left = np.concatenate((ends[piece] - np.arange(len(joined)), [0])).astype(np.int32)
     sa = suffix_array(text, LENGTH)
     shared = common_prefixes(np.concatenate((joined, np.zeros(LENGTH + 9, np.uint8))), sa, left, LENGTH)
     order = np.lexsort((tag, doc))
@@ -196,28 +195,29 @@ def search_shard(doc, tag, lo, hot, pieces):
     use = sa[left[sa] >= LENGTH]
     group = np.cumsum(shared[use] < LENGTH)
     where = (rank[piece[use]] << 32) | (lo[piece[use]] + offset[use])
+    nothing = np.zeros(0, np.int64)
     if not len(use):
-        return [], []
+        return (nothing,) * 3, (nothing,) * 4
     cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     least = np.repeat(np.minimum.reduceat(where, cut), np.diff(np.concatenate((cut, [len(use)]))))
     repeat = np.zeros(len(text), bool)
     repeat[use] = where > least
     at = np.flatnonzero(repeat)
-    marks = []
+    marks = (nothing,) * 3
     if len(at):
         head = np.concatenate(([True], (at[1:] != at[:-1] + 1)))
         first, last = at[head], at[np.concatenate((head[1:], [True]))]
-        marks = list(zip(piece[first].tolist(), (lo[piece[first]] + offset[first]).tolist(), (lo[piece[last]] + offset[last]).tolist()))
+        marks = piece[first], lo[piece[first]] + offset[first], lo[piece[last]] + offset[last]
     rest = np.flatnonzero((left[:-1] >= LENGTH) & ~repeat[:-1] & hot[piece]) if hot.any() else at[:0]
-    opened = []
+    opened = (nothing,) * 4
     if len(rest):
         up, down = _tables(np, len(joined) + 1)
         with np.errstate(over="ignore"):
             both = []
             for salt in (2, 3):
                 s = _sums(np, joined, up, salt)
-                both.append(_mix(np, (s[rest + LENGTH] - s[rest]) * down[rest]).view(np.int64).tolist())
-        opened = list(zip(piece[rest].tolist(), (lo[piece[rest]] + offset[rest]).tolist(), *both))
+                both.append(_mix(np, (s[rest + LENGTH] - s[rest]) * down[rest]).view(np.int64))
+        opened = piece[rest], lo[piece[rest]] + offset[rest], *both
     return marks, opened
 
 
@@ -228,11 +228,11 @@ def _searched(contexts: DataFrame) -> DataFrame:
 
         doc, tag, lo = (shard.column(c).to_numpy() for c in ("doc", "tag", "lo"))
         hot = np.array(shard.column("hot").to_pylist(), bool)
-        marks, opened = search_shard(doc, tag, lo, hot, shard.column("bytes").to_pylist())
-        rows = [(p, a, z, None, None) for p, a, z in marks] + [(p, a, a, x, y) for p, a, x, y in opened]
-        cols = list(zip(*rows)) if rows else [()] * 5
-        p = np.array(cols[0], np.int64)
-        return pa.table([pa.array(doc[p]), pa.array(tag[p]), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc", "tag", "lo", "hi", "h1", "h2"])
+        (p, a, z), (q, b, *hashes) = search_shard(doc, tag, lo, hot, shard.column("bytes").to_pylist())
+        at = np.concatenate((p, q)).astype(np.int64)
+        none = pa.nulls(len(p), pa.int64())
+        cols = [pa.array(doc[at]), pa.array(tag[at]), *(pa.array(np.concatenate(c).astype(np.int64)) for c in ((a, b), (z, b))), *(pa.concat_arrays([none, pa.array(h, pa.int64())]) for h in hashes)]
+        return pa.table(cols, names=["doc", "tag", "lo", "hi", "h1", "h2"])
 
     return contexts.groupBy("shard").applyInArrow(run, "doc long, tag long, lo long, hi long, h1 long, h2 long")
 
