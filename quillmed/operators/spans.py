@@ -30,20 +30,16 @@ def tokenise(sentence: Column) -> Column:
 
 
 def token_table(sents: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, pos, token, start, end): offsets in the document. Each token is
-    searched from the end of the one before; a token that isn't found stands at the running position."""
-    step = lambda a, t: F.struct(
-        F.concat(a["out"], F.array(F.struct(t.alias("token"), _found(a, t).alias("at")))).alias("out"), (_found(a, t) + F.length(t)).alias("to"), a["s"].alias("s"))
-    zero = F.struct(F.array().cast("array<struct<token:string,at:int>>").alias("out"), F.lit(0).alias("to"), F.col("sentence").alias("s"))
-    before = F.coalesce(F.sum(F.length("sentence") + 1).over(Window.partitionBy("doc_id").orderBy("sent_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    based = sents.withColumn("base", before)
-    out = based.select("doc_id", "sent_id", "base", F.posexplode(F.aggregate(tokenise(F.col("sentence")), zero, step, lambda a: a["out"])).alias("pos", "t"))
-    return out.select("doc_id", "sent_id", "pos", "t.token", (F.col("base") + F.col("t.at")).alias("start"), (F.col("base") + F.col("t.at") + F.length("t.token")).alias("end"))
-
-
-def _found(a: Column, t: Column) -> Column:
-    at = F.call_function("locate", t, a["s"], a["to"] + 1)
-    return F.when(at > 0, at - 1).otherwise(a["to"])
+    """(doc_id, sent_id, pos, token, start, end): offsets in the document. A sentence is cut into tokens and
+    blanks that together make it up, so a token starts after the lengths of all pieces before it. One exchange by document serves all windows."""
+    line = Window.partitionBy("doc_id").orderBy("sent_id").rowsBetween(Window.unboundedPreceding, -1)
+    based = sents.withColumn("base", F.coalesce(F.sum(F.length("sentence") + 1).over(line), F.lit(0)))
+    pieces = F.regexp_extract_all("sentence", F.lit(r"\s+|" + TOKEN), 0)
+    cut = based.select(*SENTENCE, "base", F.posexplode_outer(pieces).alias("k", "token")).where("token is not null")
+    before = Window.partitionBy(*SENTENCE).orderBy("k")
+    at = F.col("base") + F.coalesce(F.sum(F.length("token")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = cut.withColumn("start", at.cast("int")).where(~F.rlike("token", F.lit(r"^\s")))
+    return kept.select(*SENTENCE, (F.row_number().over(before) - 1).alias("pos"), "token", "start", (F.col("start") + F.length("token")).alias("end"))
 
 
 def parse_tag(tag: Column) -> tuple[Column, Column]:
