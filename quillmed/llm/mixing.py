@@ -121,7 +121,7 @@ def mix(docs: DataFrame, seed: int = 17, keep: list[str] = (), step: int = GOLDE
     placed = written(_running(deal, "turn", ["dice", "doc_id", "size"], "size", n, "start"), "mix-placed")
 
     # blocks that a document meets in each pass, and the slots that take them
-    passes = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("quota") / F.col("source_size")) - 1)
+    passes = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("quota") / F.greatest(F.col("source_size"), F.lit(1))) - 1)
     met = (placed.where("size > 0 and quota > 0").select("turn", "start", "size", "quota", "source_size", F.explode(passes).alias("pass"))
            .withColumn("from", F.col("pass") * F.col("source_size") + F.col("start"))
            .withColumn("to", F.least(F.col("from") + F.col("size"), "quota")).where("from < to"))
