@@ -120,7 +120,8 @@ def _coded(vocab: Coder, word: Column) -> Column:
 def frequent(docs: DataFrame, vocab: Vocabulary, pattern: str, size: int = DICTIONARY):
     """The most frequent distinct words of all texts (at most `size` of at most LONGEST bytes, by
     counts over the whole table), encoded and decoded once each: an Arrow table (word, ids, bytes)."""
-    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("word"))
+    # a plain explode would have its array made once more, for a filter on its size
+    words = docs.select(F.explode_outer(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("word")).where("word is not null")
     counts = written(words.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)), "bpe-words")
     by_count = counts.groupBy("n").agg(F.count("*").alias("words"))
     upto = by_count.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n"))))
@@ -129,7 +130,7 @@ def frequent(docs: DataFrame, vocab: Vocabulary, pattern: str, size: int = DICTI
     sheets = kept.groupBy(F.pmod(F.hash("word"), F.lit(1024)).alias("sheet")).agg(F.collect_list("word").alias("words"))  # at most size / 1024 or so each
     given, use = constants(sheets.repartition(64, "sheet"), ranks=vocab.ranks, **vocab.values)
     each = use(lambda k: F.transform("words", lambda w: F.struct(w.alias("word"), _coded(vocab.coder(k, True), w).alias("c"))))
-    coded = given.select(F.explode(each).alias("x"))
+    coded = given.select(F.explode_outer(each).alias("x"))
     return written(coded.select("x.word", F.unhex("x.c.ids").alias("ids"), F.unhex("x.c.bytes").alias("bytes")), "bpe-coded").toArrow()
 
 
