@@ -65,7 +65,7 @@ def links(prints: DataFrame) -> DataFrame:
     keys = F.concat(own, F.transform(ball(low), lambda x: F.struct(x.alias("lo"), high.alias("hi"))),
                     F.transform(ball(high), lambda x: F.struct(low.alias("lo"), x.alias("hi"))))
     dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a slim table has few parts, its keys are 65 times as many
-    return (dealt.select("fp", F.explode(keys).alias("key"))
+    return (dealt.select("fp", F.explode_outer(keys).alias("key"))
             .groupBy("key").agg(F.collect_list("fp").alias("members"))
             .where(F.size("members") > 1)
             .select(F.array_min("members").alias("u"), F.explode("members").alias("v"))
