@@ -59,7 +59,7 @@ def parse_relations(df: DataFrame, text: str) -> DataFrame:
 
 def explode_causes(df: DataFrame, key: str) -> DataFrame:
     """R2: (key, relation, pos, cause, effect, logic, term)."""
-    r = df.select(key, F.posexplode("relations").alias("relation", "r"))
+    r = df.select(key, F.posexplode_outer("relations").alias("relation", "r")).where("r is not null")
     return r.select(key, "relation", F.posexplode("r.causes").alias("pos", "cause"), F.col("r.effect").alias("effect"), F.col("r.logic").alias("logic"), F.col("r.linguistic_probability_reference").alias("term"))
 
 

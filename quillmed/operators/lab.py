@@ -94,7 +94,7 @@ RULE = "STRUCT<part: STRING, comp: STRING, low: DOUBLE, high: DOUBLE, unit: STRI
 def parse_rules(df: DataFrame, text: str) -> DataFrame:
     """A row for each rule of a JSON list (rule_no from 0, and the fields of the rule); text that is no such list gives none."""
     others = [c for c in df.columns if c != text]
-    parsed = df.select(*others, F.posexplode(F.from_json(text, f"ARRAY<{RULE}>")).alias("rule_no", "_r"))
+    parsed = df.select(*others, F.posexplode_outer(F.from_json(text, f"ARRAY<{RULE}>")).alias("rule_no", "_r"))
     return parsed.where("_r.comp is not null").select(*others, "rule_no", "_r.*")
 
 

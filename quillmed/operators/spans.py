@@ -15,8 +15,8 @@ SENTENCE = ("doc_id", "sent_id")
 
 
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, sent_id, sentence), one row per line; null texts have none."""
-    return docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("sent_id", "sentence"))
+    """(doc_id, sent_id, sentence), one row per line; null texts have none. (A plain explode would split each text twice, for a filter on the size.)"""
+    return docs.select("doc_id", F.posexplode_outer(F.split(text, "\n")).alias("sent_id", "sentence")).where("sentence is not null")
 
 
 def normalise(text: Column) -> Column:
@@ -157,7 +157,7 @@ def positional_diff(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def chunk_tokens(sents: DataFrame, budget: int = 150) -> DataFrame:
     """SENT_i chunks of `budget` tokens of a document, without overlap."""
-    flat = sents.select("doc_id", "sent_id", F.posexplode(tokenise(F.col("sentence"))).alias("pos", "token"))
+    flat = sents.select("doc_id", "sent_id", F.posexplode_outer(tokenise(F.col("sentence"))).alias("pos", "token")).where("token is not null")
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id", "pos")) - 1
     c = flat.withColumn("n", n).withColumn("chunk", F.floor(F.col("n") / budget).cast("int"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]), " ")

@@ -33,7 +33,7 @@ def sents(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    return sents(spark, sf_dir).select("doc_id", "sent_id", F.posexplode(N.tokenise(F.col("sentence"))).alias("pos", "token"))
+    return sents(spark, sf_dir).select("doc_id", "sent_id", F.posexplode_outer(N.tokenise(F.col("sentence"))).alias("pos", "token")).where("token is not null")
 
 
 def tagged(spark, sf_dir, sql: str):
