@@ -369,12 +369,13 @@ def _encode_parts(rows: DataFrame, path_a: str, path_b: str, chunk: int, final:
     """rows with text (its blank in front left out) replaced by the columns of a fragment, or of a whole text where final."""
     own = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
     ddl = ", ".join([*own, "ok boolean", RESULT if final else FRAGMENT])
+    schema = _schema(ddl)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        enc, schema = encoders(path_a, path_b), _schema(ddl)
+        enc = encoders(path_a, path_b)
         for b in batches:
             data = [b" " + t.encode() for t in b.column("text").to_pylist()]
             others = b.drop_columns(["text"]).to_pylist()
@@ -390,11 +391,11 @@ def _encode_parts(rows: DataFrame, path_a: str, path_b: str, chunk: int, final:
 def _compose_parts(parts: DataFrame, path_a: str, path_b: str, levels: int, texts: bool) -> DataFrame:
     """One row for each text of parts(_row, doc_id, part, ok and a fragment's columns): levels of FAN neighbours are composed, each level spread over all tasks."""
     kept = "_row long, doc_id long, part long, ok boolean, "
-    for level in range(levels):
-        last = level == levels - 1
-        ddl = kept + (RESULT if last else FRAGMENT)
 
-        def meet(table, ddl=ddl, last=last):
+    def composed(last: bool):
+        schema = _schema(kept + (RESULT if last else FRAGMENT))
+
+        def meet(table):
             import numpy as np
             import pyarrow as pa
 
@@ -403,9 +404,13 @@ def _compose_parts(parts: DataFrame, path_a: str, path_b: str, levels: int, text
             good = all(r["ok"] for r in rows)
             f = tree(np, names, [_from_row(np, r) for r in rows]) if good else identity(np)
             own = {"_row": rows[0]["_row"], "doc_id": rows[0]["doc_id"], "part": rows[0]["part"] // FAN, "ok": good}
-            return pa.Table.from_batches([_batch(pa, [own | (_result(np, names, f, texts) if last else _as_row(f))], _schema(ddl))])
+            return pa.Table.from_batches([_batch(pa, [own | (_result(np, names, f, texts) if last else _as_row(f))], schema)])
 
-        parts = parts.groupBy("_row", F.floor(F.col("part") / FAN).alias("_up")).applyInArrow(meet, ddl)
+        return meet
+
+    for level in range(levels):
+        last = level == levels - 1
+        parts = parts.groupBy("_row", F.floor(F.col("part") / FAN).alias("_up")).applyInArrow(composed(last), kept + (RESULT if last else FRAGMENT))
     return parts.drop("part")
 
 
