@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import closure
+from .reach import on_cycles
 from .store import sized, written
 
 
@@ -53,10 +53,9 @@ def uncovered(cpt: DataFrame, states: dict[str, DataFrame]) -> DataFrame:
     return grid.join(cpt.select(*states).distinct().hint("shuffle_merge"), list(states), "left_anti")
 
 
-def cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """Variables that reach themselves along edges(parent, child)."""
-    reach = closure(edges, depth)
-    return reach.join(edges.select(F.col("parent").alias("node"), F.col("child").alias("root")), ["node", "root"], "left_semi").select(F.col("root").alias("variable")).distinct()
+def cycles(edges: DataFrame) -> DataFrame:
+    """(variable) of each variable that reaches itself along edges(parent, child): those of strongly connected components, and those that name themselves as a parent."""
+    return on_cycles(edges).select(F.col("node").alias("variable"))
 
 
 def joint(cpts: list[DataFrame]) -> DataFrame:

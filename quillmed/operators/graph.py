@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmed.functions.scalars import label_stem
 
+from .reach import dependency_levels, reach  # noqa: F401  K32 is one of them
 from .store import written
 
 
@@ -141,28 +142,10 @@ def merge_links(links: DataFrame, order: list[str]) -> DataFrame:
 
 
 # ---- recursion
-def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """edges(parent, child) -> (root, node, depth, path): everything that a root reaches, along each path, cycles cut.
-    The frontier is written and followed until it is empty; a depth, where given, ends it sooner."""
-    level = edges.select(F.col("parent").alias("root"), F.col("child").alias("node"), F.lit(1).alias("depth"), F.array("parent", "child").alias("path")).where("root <> node")
-    out = level = written(level, "closure")
-    d = 1
-    while (depth is None or d < depth) and not level.isEmpty():
-        d += 1
-        nxt = level.join(edges.hint("shuffle_merge"), F.col("node") == F.col("parent")).where(~F.array_contains("path", F.col("child")))
-        level = written(nxt.select("root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.array_append("path", F.col("child")).alias("path")), "closure")
-        out = out.unionAll(level)
-    return out
-
-
-def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Level of a fact: longest path to facts it refers to; facts on a cycle come last, one level above all others."""
-    reach = closure(edges)
-    deep = reach.groupBy(F.col("root").alias("id")).agg(F.max("depth").alias("level"))
-    on_cycle = reach.join(edges.select(F.col("parent").alias("node"), F.col("child").alias("root")), ["node", "root"], "left_semi").select(F.col("root").alias("id")).distinct().withColumn("cyclic", F.lit(True))
-    last = reach.agg((F.coalesce(F.max("depth"), F.lit(0)) + 1).alias("last"))
-    m = nodes.select("id").join(deep, "id", "left").join(on_cycle, "id", "left").join(F.broadcast(last))
-    return m.select("id", F.when(F.col("cyclic"), F.col("last")).otherwise(F.coalesce("level", F.lit(0))).alias("level"))
+def closure(edges: DataFrame, depth: int | None = None, paths: bool = False) -> DataFrame:
+    """edges(parent, child) -> (root, node, depth): everything that a root reaches, once, at its least depth; with paths also the least
+    of the shortest paths. As in nested copies of a reference that is shown where it is first met, a graph of many paths stays small."""
+    return reach(edges, depth, paths)
 
 
 # ---- flattening

@@ -31,6 +31,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys and checkpointed in the shared folder: lineage ends there, and a join on these keys doesn't shuffle it again."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan doesn't hand its partitioning on to the checkpoint
+    try:
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """df as the small side of a join: broadcast if its rows, counted first, are few, else merged by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_merge")
