@@ -17,7 +17,7 @@ PART, CHUNK = 1 << 16, 1 << 13
 #: Fragments that one task composes at a time.
 FAN = 16
 #: Bytes of text whose words are encoded together, and distinct words that a task remembers.
-SLICE, REMEMBERED = 4 << 20, 1 << 19
+SLICE, REMEMBERED = 1 << 20, 1 << 18
 #: Words that are handed to a tokenizer in one run.
 RUN = 256
 #: Pairs of ids whose counts are broadcast.
@@ -374,14 +374,14 @@ def _encode_parts(rows: DataFrame, path_a: str, path_b: str, chunk: int, final:
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         enc = encoders(path_a, path_b)
         for b in batches:
-            data = [b" " + t.encode() for t in b.column("text").to_pylist()]
-            others = b.drop_columns(["text"]).to_pylist()
-            for i, j in _groups_of([len(t) for t in data], SLICE):
+            data, others = b.column("text").cast(pa.binary()), b.drop_columns(["text"]).to_pylist()
+            for i, j in _groups_of(pc.binary_length(data).to_pylist(), SLICE):
                 out = []
-                for row, f in zip(others[i:j], fragments(enc, data[i:j], chunk)):
+                for row, f in zip(others[i:j], fragments(enc, [b" " + t for t in data.slice(i, j - i).to_pylist()], chunk)):
                     out.append(row | {"ok": f is not None} | (_result(np, enc.names, f, texts) if final else _as_row(f or identity(np))))
                 yield _batch(pa, out, schema)
 
