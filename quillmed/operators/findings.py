@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmed.functions.scalars import day_span
 
+from .scan import LONG, carried, over_ranges, with_edges
 from .store import sized, written
 
 SERIES = ("entity", "test")
@@ -35,11 +36,21 @@ def context(df: DataFrame, key=SERIES) -> DataFrame:
     return df.groupBy(*key).agg(label.alias("context"))
 
 
-def steps(df: DataFrame, key=SERIES) -> DataFrame:
-    """Successive differences: prev_ts, prev_value, step and pair_no (1 for the first pair)."""
-    w = in_order(key)
-    return (df.withColumn("prev_ts", F.lag("ts").over(w)).withColumn("prev_value", F.lag("value").over(w))
-            .withColumn("pair_no", F.row_number().over(w) - 1).withColumn("step", F.col("value") - F.col("prev_value")))
+def steps(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
+    """Successive differences: prev_ts, prev_value, step and pair_no (1 for the first pair), for series of any length."""
+    key = list(key)
+
+    def add(d: DataFrame, k, counted: Column) -> DataFrame:
+        w = in_order(k)
+        return d.withColumn("prev_ts", F.lag("ts").over(w)).withColumn("prev_value", F.lag("value").over(w)).withColumn("pair_no", (counted - 1).cast("long")).withColumn("step", F.col("value") - F.col("prev_value"))
+
+    def ranged(r: DataFrame) -> DataFrame:
+        c = carried(r, key, {"n": F.count("*")}, {"_upto": lambda s, before, after: F.coalesce(F.sum(s).over(before), F.lit(0))}, {"_upto": "n"})
+        k = [*key, "_range"]
+        own = F.sum((~F.col("_edge")).cast("int")).over(in_order(k).rowsBetween(Window.unboundedPreceding, 0))
+        return add(with_edges(c, key, ("ts", "ord"), 1), k, own + F.col("_upto")).where("not _edge")
+
+    return over_ranges(df, lambda d: add(d, key, F.row_number().over(in_order(key))), ranged, key, long=long)
 
 
 def monotonic(df: DataFrame, key=SERIES) -> DataFrame:

@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .findings import SERIES, in_order
+from .scan import LONG, carried, over_ranges, over_series
 
 
-def hold_out(df: DataFrame, key=SERIES) -> DataFrame:
-    """Rows with back = 1 for the last point (held out), 2 for the last known, and so on."""
-    return df.withColumn("back", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ts"), F.desc("ord"))))
+def hold_out(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
+    """Rows with back = 1 for the last point (held out), 2 for the last known, and so on. A range of a long series counts on from the rows after it."""
+    key = list(key)
+    place = lambda k: F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("ts"), F.desc("ord"))).cast("long")
+
+    def ranged(r: DataFrame) -> DataFrame:
+        c = carried(r, key, {"n": F.count("*")}, {"_later": lambda s, before, after: F.coalesce(F.sum(s).over(after), F.lit(0))}, {"_later": "n"})
+        return c.withColumn("back", place([*key, "_range"]) + F.col("_later"))
+
+    return over_ranges(df, lambda d: d.withColumn("back", place(key)), ranged, key, long=long)
 
 
 def universe(train: DataFrame, key=SERIES) -> DataFrame:
@@ -38,9 +46,9 @@ def fuzzify(points: DataFrame, sets: DataFrame, key=SERIES) -> DataFrame:
     return m.groupBy(*key, "ts", "ord", "value").agg((-best["i"]).alias("state"))
 
 
-def rule_base(states: DataFrame, key=SERIES) -> DataFrame:
+def rule_base(states: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
     """How often a state is followed by another."""
-    nxt = states.withColumn("next", F.lead("state").over(in_order(key))).where("next is not null")
+    nxt = over_series(states, lambda d, k: d.withColumn("next", F.lead("state").over(in_order(k))), key, ahead=1, long=long).where("next is not null")
     return nxt.groupBy(*key, "state", "next").agg(F.count("*").alias("times"))
 
 

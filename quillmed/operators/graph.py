@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmed.functions.scalars import label_stem
 
 from .reach import dependency_levels, reach  # noqa: F401  K32 is one of them
+from .scan import quantiles
 from .store import written
 
 
@@ -432,8 +433,9 @@ def rank_metrics(r: DataFrame, rank: str = "realistic", hits: tuple[int, ...] =
     """Mean rank, mean reciprocal rank, median, hits@k and the chance-adjusted mean-rank index, by side and for both."""
     both = r.unionByName(r.withColumn("side", F.lit("both")))
     x = F.col(rank)
-    aggs = [F.avg(x).alias("mr"), F.avg(1 / x).alias("mrr"), F.percentile(x, 0.5).alias("median"), *(F.avg((x <= k).cast("double")).alias(f"hits_{k}") for k in hits)]
-    return both.groupBy("side").agg(*aggs, (1 - (F.avg(x) - 1) / F.avg((F.col("n") - 1) / 2)).alias("amri"))
+    aggs = [F.avg(x).alias("mr"), F.avg(1 / x).alias("mrr"), *(F.avg((x <= k).cast("double")).alias(f"hits_{k}") for k in hits)]
+    middle = quantiles(both, ["side"], rank, [0.5]).select("side", F.col("q")[0].alias("median"))  # a side has as many rows as there are queries
+    return both.groupBy("side").agg(*aggs, (1 - (F.avg(x) - 1) / F.avg((F.col("n") - 1) / 2)).alias("amri")).join(middle, "side")
 
 
 # ---- text forms

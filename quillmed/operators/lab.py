@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmed.functions.scalars import bracket_text, clean_name, plain_hyphens
 
+from .scan import LONG, carried, over_ranges
 from .store import sized
 
 #: Report headers in two languages.
@@ -26,10 +27,17 @@ def harmonise(tables: list[DataFrame], headers: dict[str, str] = HEADERS) -> Dat
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), renamed)
 
 
-def fill_dates(df: DataFrame, report: str, order: list[str], date: str = "Date") -> DataFrame:
-    """A2: a date that is '-' or blank is that of the line above it in the same report."""
+def fill_dates(df: DataFrame, report: str, order: list[str], date: str = "Date", long: int = LONG) -> DataFrame:
+    """A2: a date that is '-' or blank is that of the line above it in the same report. A range of a long report takes the last date of the ranges before it where it has none."""
     given = F.nullif(F.nullif(F.trim(date), F.lit("-")), F.lit(""))
-    return df.withColumn(date, F.last(given, ignorenulls=True).over(Window.partitionBy(report).orderBy(*order)))
+    above = lambda *k: F.last(given, ignorenulls=True).over(Window.partitionBy(*k).orderBy(*order))
+
+    def ranged(r: DataFrame) -> DataFrame:
+        last = F.max_by(given, F.when(given.isNotNull(), F.struct(*order)))
+        c = carried(r, [report], {"last": last}, {"_before": lambda s, before, after: F.last(s, ignorenulls=True).over(before)}, {"_before": "last"})
+        return c.withColumn(date, F.coalesce(above(report, "_range"), F.col("_before"))).drop("_before")
+
+    return over_ranges(df, lambda d: d.withColumn(date, above(report)), ranged, [report], order, long)
 
 
 def first_seen(df: DataFrame, key: str, values: list[str], order: Column) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Trend analysis of series (T1-T17). All windows of a series share one partitioning and order, so they share one exchange and sort."""
+"""Trend analysis of series (T1-T17). All windows of a series share one partitioning, so they share one exchange; long series are cut into ranges (scan.py)."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .findings import SERIES, in_order
-from .store import sized
+from .scan import LONG, carried, null_safe, over_ranges, over_series, quantiles, with_edges
+from .store import sized, written
 
 
 def range_label(value: Column, low: float, high: float) -> Column:
@@ -16,19 +18,39 @@ def range_label(value: Column, low: float, high: float) -> Column:
     return F.when(value < low, "LOW").when(value > high, "HIGH").otherwise("NORMAL")
 
 
-def ewma(value: str, span: int = 3, key=SERIES) -> Column:
-    """Bias-adjusted exponentially weighted mean. The frame ends where weights fall below 2**-53 of the first."""
-    decay = 1 - 2 / (span + 1)
-    depth = math.ceil(53 * math.log(2) / -math.log(decay))
-    past = F.reverse(F.collect_list(value).over(in_order(key).rowsBetween(-depth, 0)))
-    sums = F.aggregate(past, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"), F.lit(1.0).alias("w")),
-                       lambda a, x: F.struct((a["s"] + a["w"] * x).alias("s"), (a["n"] + a["w"]).alias("n"), (a["w"] * decay).alias("w")))
-    return sums["s"] / sums["n"]
+def ewma_depth(span: int) -> int:
+    """Rows after which a weight falls below 2**-53 of the first."""
+    return math.ceil(53 * math.log(2) / -math.log(1 - 2 / (span + 1)))
+
 
+def add_ewma(df: DataFrame, value: str = "value", span: int = 3, key=SERIES) -> DataFrame:
+    """T2 within one window: adds ewma. Null values take no weight; it is null before the first value.
 
-def spike_limits(df: DataFrame, deviation: str = "deviation", most: float = 108.0, key=SERIES) -> DataFrame:
+    Weighted sums run on from row to row: rows are counted into blocks, in which weights grow instead of falling, so that one running sum serves
+    all rows; a block is as long as weights stay within doubles, so of the blocks before only the last one matters."""
+    decay = 1 - 2 / (span + 1)
+    block = max(1, int(150 * math.log(10) / -math.log(decay)))
+    so_far = in_order(key).rowsBetween(Window.unboundedPreceding, 0)
+    c = df.withColumn("_c", F.count(value).over(so_far)).withColumn("_r", F.pmod(F.col("_c") - 1, F.lit(block))).withColumn("_b", F.floor((F.col("_c") - 1) / block))
+    own = F.sum(F.col(value) * F.pow(F.lit(1 / decay), F.col("_r"))).over(Window.partitionBy(*key, "_b").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumn("_s", own * F.pow(F.lit(decay), F.col("_r")))
+    before = F.last(F.when(F.col("_r") == block - 1, F.struct("_s", "_b")), ignorenulls=True).over(so_far)
+    c = c.withColumn("_p", F.when(F.col("_c") > block, before))
+    # a block's last row sees itself; what it lacks of the block before weighs 1e-150
+    c = c.withColumn("_q", F.when(F.col("_p._b") < F.col("_b"), F.col("_p._s")).otherwise(0.0))
+    s = F.col("_s") + F.coalesce("_q", F.lit(0.0)) * F.pow(F.lit(decay), F.col("_r") + 1)
+    return c.withColumn("ewma", F.when(F.col("_c") > 0, s * (1 - decay) / (1 - F.pow(F.lit(decay), F.col("_c"))))).drop("_c", "_r", "_b", "_s", "_p", "_q")
+
+
+def with_ewma(df: DataFrame, span: int = 3, key=SERIES, long: int = LONG) -> DataFrame:
+    """Adds ewma, the bias-adjusted exponentially weighted mean, for series of any length. A range of a long series looks
+    back so many rows that what lies before them weighs less than 2**-53."""
+    return over_series(df, lambda d, k: add_ewma(d, "value", span, k), key, back=ewma_depth(span), long=long)
+
+
+def spike_limits(df: DataFrame, deviation: str = "deviation", most: float = 108.0, key=SERIES, long: int = LONG) -> DataFrame:
     """Per series the smaller of `most` and 1.5 times the inter-quartile range of deviations."""
-    q = df.groupBy(*key).agg(F.percentile(deviation, [0.25, 0.75]).alias("q"))
+    q = quantiles(df, key, deviation, [0.25, 0.75], long)
     return q.select(*key, F.least(F.lit(most), 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("spike"))
 
 
@@ -37,20 +59,31 @@ def spike_status(status: Column, deviation: Column, spike: Column) -> Column:
     return F.when(deviation > spike, "SHARP_RISE").when(deviation < -spike, "SHARP_DROP").otherwise(status)
 
 
-def profile(df: DataFrame, low: float, high: float, span: int = 3, most: float = 108.0, key=SERIES) -> DataFrame:
+def profile(df: DataFrame, low: float, high: float, span: int = 3, most: float = 108.0, key=SERIES, long: int = LONG) -> DataFrame:
     """T1-T4 and T7, T8 in one pass over each series: ewma, deviation, spike, status, slope, slope_label."""
-    base = df.withColumn("ewma", ewma("value", span, key)).withColumn("deviation", F.col("value") - F.col("ewma"))
-    base = base.withColumn("slope", moving_slope(key)).withColumn("slope_label", slope_label(F.col("slope")))
-    q = F.percentile("deviation", [0.25, 0.75]).over(Window.partitionBy(*key))  # on the same partitioning, so no join
-    out = base.withColumn("_q", q).withColumn("spike", F.least(F.lit(most), 1.5 * (F.col("_q")[1] - F.col("_q")[0]))).drop("_q")
-    return out.withColumn("status", spike_status(range_label(F.col("value"), low, high), F.col("deviation"), F.col("spike")))
+    def base(d: DataFrame, k) -> DataFrame:
+        d = add_ewma(d, "value", span, k).withColumn("deviation", F.col("value") - F.col("ewma"))
+        return d.withColumn("slope", moving_slope(k)).withColumn("slope_label", slope_label(F.col("slope")))
+
+    def labelled(d: DataFrame) -> DataFrame:
+        return d.withColumn("status", spike_status(range_label(F.col("value"), low, high), F.col("deviation"), F.col("spike")))
+
+    def plain(d: DataFrame) -> DataFrame:
+        q = F.percentile("deviation", [0.25, 0.75]).over(Window.partitionBy(*key))  # on the same partitioning, so no join
+        return labelled(base(d, key).withColumn("_q", q).withColumn("spike", F.least(F.lit(most), 1.5 * (F.col("_q")[1] - F.col("_q")[0]))).drop("_q"))
+
+    def ranged(r: DataFrame) -> DataFrame:
+        known = written(base(with_edges(r, key, ("ts", "ord"), ewma_depth(span)), [*key, "_range"]).where("not _edge"), "profile")
+        return labelled(null_safe(known, spike_limits(known, "deviation", most, key, 0), list(key)))
+
+    return over_ranges(df, plain, ranged, key, long=long)
 
 
 def dickey_fuller(df: DataFrame, critical: float = -2.86, least: int = 5, key=SERIES) -> DataFrame:
     """Regression of the change on the previous value with intercept and no lags; its t-ratio
     against the published 5 % value. Null for fewer than `least` changes or no variation."""
-    prev = F.lag("value").over(in_order(key))
-    d = df.withColumn("x", prev).withColumn("y", F.col("value") - prev).where("x is not null")
+    prev = lambda d, k: d.withColumn("x", F.lag("value").over(in_order(k)))
+    d = over_series(df, prev, key, back=1).withColumn("y", F.col("value") - F.col("x")).where("x is not null")
     g = d.groupBy(*key).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"))
     rest = (F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("n") - 2)
     t = F.when((F.col("n") >= least) & (F.col("sxx") > 0) & (rest > 0), F.col("b") / F.sqrt(rest / F.col("sxx")))
@@ -68,17 +101,33 @@ def moving_slope(key=SERIES, rows: int = 3) -> Column:
     return F.when((F.count("value").over(w) >= rows) & ~flat, F.regr_slope("value", day_number()).over(w))
 
 
+def with_slope(df: DataFrame, rows: int = 3, key=SERIES, long: int = LONG) -> DataFrame:
+    """Adds slope, for series of any length."""
+    return over_series(df, lambda d, k: d.withColumn("slope", moving_slope(k, rows)), key, back=rows - 1, long=long)
+
+
 def slope_label(slope: Column, flat: float = 0.1) -> Column:
     """T8."""
     return F.when(slope.isNull(), "UNKNOWN").when(F.abs(slope) < flat, "STABLE").when(slope >= flat, "UP").otherwise("DOWN")
 
 
-def segments(df: DataFrame, key=SERIES) -> DataFrame:
-    """Runs of equal slope_label (UNKNOWN left out): start, rows, counts of each status."""
-    w = in_order(key)
-    known = df.where("slope_label <> 'UNKNOWN'")
-    new = F.coalesce((F.lag("slope_label").over(w) != F.col("slope_label")).cast("int"), F.lit(1))
-    runs = known.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def segments(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
+    """Runs of equal slope_label (UNKNOWN left out): start, rows, counts of each status. Of a long series each range counts its runs from the
+    number of runs before it; a run may go over several ranges."""
+    key = list(key)
+
+    def marked(d: DataFrame, k) -> DataFrame:
+        return d.withColumn("_new", F.coalesce((F.lag("slope_label").over(in_order(k)) != F.col("slope_label")).cast("int"), F.lit(1)))
+
+    def numbered(d: DataFrame, k) -> DataFrame:
+        return d.withColumn("run", F.sum("_new").over(in_order(k).rowsBetween(Window.unboundedPreceding, 0)))
+
+    def ranged(r: DataFrame) -> DataFrame:
+        m = written(marked(with_edges(r, key, ("ts", "ord"), 1), [*key, "_range"]).where("not _edge").drop("_edge"), "segments")
+        n = carried(m, key, {"runs": F.sum("_new")}, {"_upto": lambda s, before, after: F.coalesce(F.sum(s).over(before), F.lit(0))}, {"_upto": "runs"})
+        return numbered(n, [*key, "_range"]).withColumn("run", F.col("run") + F.col("_upto"))
+
+    runs = over_ranges(df.where("slope_label <> 'UNKNOWN'"), lambda d: numbered(marked(d, key), key), ranged, key, long=long)
     counts = {s: F.sum((F.col("status") == s).cast("long")) for s in ("NORMAL", "LOW", "HIGH", "SHARP_RISE", "SHARP_DROP")}
     return runs.groupBy(*key, "run").agg(F.first("slope_label").alias("label"), F.min("ts").alias("start"), F.count("*").alias("steps"), F.array_sort(F.collect_set("status")).alias("statuses"), *(v.alias(s.lower()) for s, v in counts.items()))
 
@@ -101,10 +150,15 @@ def fluctuation(limit: float, rows: int = 3, key=SERIES) -> Column:
     return F.when(sd > limit, "FLUCTUATING").when(sd.isNotNull(), "STABLE")
 
 
+def with_fluctuation(df: DataFrame, limit: float, rows: int = 3, key=SERIES, long: int = LONG) -> DataFrame:
+    """Adds fluctuation, for series of any length."""
+    return over_series(df, lambda d, k: d.withColumn("fluctuation", fluctuation(limit, rows, k)), key, back=rows - 1, long=long)
+
+
 def recent(df: DataFrame, interval: str = "INTERVAL 3 MONTHS", key=SERIES) -> DataFrame:
-    """Rows later than the series' last time less the interval."""
-    last = F.max("ts").over(Window.partitionBy(*key))
-    return df.withColumn("_last", last).where(F.col("ts") > F.col("_last") - F.expr(interval)).drop("_last")
+    """Rows later than the series' last time less the interval. Last times are one row a series, so a long series isn't brought together."""
+    last = df.groupBy(*key).agg(F.max("ts").alias("_last"))
+    return null_safe(df, last, list(key)).where(F.col("ts") > F.col("_last") - F.expr(interval)).drop("_last")
 
 
 def period_summary(df: DataFrame, name: str, key=SERIES) -> DataFrame:
@@ -132,26 +186,41 @@ def _seconds(width: str) -> int:
     return int(n) * {"hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
-def interpolate(df: DataFrame, key=SERIES) -> DataFrame:
+def _beside(df: DataFrame, key, known: Column, long: int) -> DataFrame:
+    """Adds _p, the last known at or before a bin, and _n, the first known at or after it. A range of a long series takes those of the ranges beside it where it has none."""
+    key = list(key)
+
+    def add(d: DataFrame, k) -> DataFrame:
+        w = Window.partitionBy(*k).orderBy("bin")
+        back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        return d.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn("_n", F.first(known, ignorenulls=True).over(ahead))
+
+    def ranged(r: DataFrame) -> DataFrame:
+        least, most = F.min_by(known, F.when(known.isNotNull(), F.col("bin"))), F.max_by(known, F.when(known.isNotNull(), F.col("bin")))
+        take = {"_before": lambda s, before, after: F.last(s, ignorenulls=True).over(before), "_after": lambda s, before, after: F.first(s, ignorenulls=True).over(after)}
+        c = carried(r, key, {"last": most, "first": least}, take, {"_before": "last", "_after": "first"})
+        return add(c, [*key, "_range"]).withColumn("_p", F.coalesce("_p", "_before")).withColumn("_n", F.coalesce("_n", "_after"))
+
+    return over_ranges(df, lambda d: add(d, key), ranged, key, ("bin",), long)
+
+
+def interpolate(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
     """Linear by bin between known bins; after the last known one its value; before the first null."""
-    back = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*key).orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("value").isNotNull(), F.struct("bin", "value"))
-    m = df.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn("_n", F.first(known, ignorenulls=True).over(ahead))
+    m = _beside(df, key, F.when(F.col("value").isNotNull(), F.struct("bin", "value")), long)
     p, n = F.col("_p"), F.col("_n")
     line = p["value"] + (n["value"] - p["value"]) * (F.col("bin") - p["bin"]) / F.nullif(n["bin"] - p["bin"], F.lit(0).cast("long"))
-    return m.withColumn("value", F.coalesce("value", F.when(p.isNotNull(), F.coalesce(line, p["value"])))).drop("_p", "_n")
+    return m.withColumn("value", F.coalesce("value", F.when(p.isNotNull(), F.coalesce(line, p["value"])))).select(df.columns)
 
 
-def fill(df: DataFrame, key=SERIES) -> DataFrame:
+def fill(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
     """Forward, then backward."""
-    w = Window.partitionBy(*key).orderBy("bin")
-    before = F.last("value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("value", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn("value", F.coalesce(before, after))
+    m = _beside(df, key, F.when(F.col("value").isNotNull(), F.struct("bin", "value")), long)
+    return m.withColumn("value", F.coalesce("_p.value", "_n.value")).select(df.columns)
 
 
 def keep_mapped(df: DataFrame, mapping: DataFrame, key=SERIES) -> DataFrame:
     """mapping(test, name): rename mapped series, drop others and those without any value."""
-    m = df.join(sized(mapping), "test").withColumn("_known", F.count("value").over(Window.partitionBy(*key))).where("_known > 0")
-    return m.drop("_known", "test").withColumnRenamed("name", "test")
+    m = df.join(sized(mapping), "test")
+    known = m.where("value is not null").select(*key).distinct()
+    same = reduce(lambda a, b: a & b, (m[k].eqNullSafe(known[k]) for k in key))
+    return m.join(known.hint("shuffle_merge"), same, "left_semi").drop("test").withColumnRenamed("name", "test")

@@ -32,13 +32,13 @@ def t01(spark, sf_dir):
 
 @query("t02_ewma", f"SELECT ord, round(ewma, 6) AS ewma, round(value - ewma, 6) AS deviation FROM ({EWMA})")
 def t02(spark, sf_dir):
-    p = series(spark, sf_dir).withColumn("e", T.ewma("value"))
-    return p.select("ord", F.round("e", 6).alias("ewma"), F.round(F.col("value") - F.col("e"), 6).alias("deviation"))
+    p = T.with_ewma(series(spark, sf_dir))
+    return p.select("ord", F.round("ewma", 6).alias("ewma"), F.round(F.col("value") - F.col("ewma"), 6).alias("deviation"))
 
 
 @query("t03_spike_limits", f"SELECT DISTINCT entity, test, round(spike, 6) AS spike FROM ({PROFILE})")
 def t03(spark, sf_dir):
-    d = series(spark, sf_dir).withColumn("deviation", F.col("value") - T.ewma("value"))
+    d = T.with_ewma(series(spark, sf_dir)).withColumn("deviation", F.col("value") - F.col("ewma"))
     return T.spike_limits(d).withColumn("spike", F.round("spike", 6))
 
 
@@ -62,12 +62,12 @@ def t06(spark, sf_dir):
 
 @query("t07_moving_slope", f"SELECT ord, round(slope, 9) AS slope FROM ({SLOPE})")
 def t07(spark, sf_dir):
-    return series(spark, sf_dir).withColumn("slope", F.round(T.moving_slope(), 9)).select("ord", "slope")
+    return T.with_slope(series(spark, sf_dir)).select("ord", F.round("slope", 9).alias("slope"))
 
 
 @query("t08_slope_label", f"SELECT ord, slope_label FROM ({SLOPE})")
 def t08(spark, sf_dir):
-    return series(spark, sf_dir).withColumn("slope", T.moving_slope()).select("ord", T.slope_label(F.col("slope")).alias("slope_label"))
+    return T.with_slope(series(spark, sf_dir)).select("ord", T.slope_label(F.col("slope")).alias("slope_label"))
 
 
 RUNS = f"""SELECT entity, test, run, min(slope_label) AS label, min(ts) AS start, count(*) AS steps, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses, count(*) FILTER (WHERE status = 'HIGH') AS high, count(*) FILTER (WHERE status = 'LOW') AS low
@@ -92,7 +92,7 @@ FLUCT = f"""SELECT *, CASE WHEN sd > 30 THEN 'FLUCTUATING' WHEN sd IS NOT NULL T
 
 @query("t11_fluctuation", f"SELECT ord, fluctuation FROM ({FLUCT})")
 def t11(spark, sf_dir):
-    return series(spark, sf_dir).withColumn("fluctuation", T.fluctuation(30.0)).select("ord", "fluctuation")
+    return T.with_fluctuation(series(spark, sf_dir), 30.0).select("ord", "fluctuation")
 
 
 @query("t12_recent", f"SELECT ord FROM (SELECT *, max(ts) OVER (PARTITION BY entity, test) AS last FROM ({SERIES})) WHERE ts > last - INTERVAL 7 DAYS")
@@ -106,7 +106,7 @@ SUMMARY = """SELECT '{name}' AS period, entity, test, count(*) FILTER (WHERE slo
 
 @query("t13_period_summary", SUMMARY.format(name="all", src=FLUCT) + " UNION ALL " + SUMMARY.format(name="recent", src=f"SELECT * FROM (SELECT *, max(ts) OVER (PARTITION BY entity, test) AS last FROM ({FLUCT})) WHERE ts > last - INTERVAL 7 DAYS"))
 def t13(spark, sf_dir):
-    f = series(spark, sf_dir).withColumn("fluctuation", T.fluctuation(30.0)).withColumn("slope", T.moving_slope()).withColumn("slope_label", T.slope_label(F.col("slope")))
+    f = T.with_slope(T.with_fluctuation(series(spark, sf_dir), 30.0)).withColumn("slope_label", T.slope_label(F.col("slope")))
     both = T.period_summary(f, "all").unionByName(T.period_summary(T.recent(f, "INTERVAL 7 DAYS"), "recent"))
     return both.withColumn("rate", F.round("rate", 6))
 

@@ -145,7 +145,7 @@ def test_a_series_of_six_thousand_points_has_a_slope(spark, monkeypatch):
 
 def test_ewma_matches_recurrence(spark):
     values = [3.0, 1.0, 4.0, 1.0, 5.0]
-    got = [r["e"] for r in series(spark, *values).withColumn("e", trend.ewma("value")).orderBy("ts").collect()]
+    got = [r["e"] for r in trend.with_ewma(series(spark, *values)).withColumnRenamed("ewma", "e").orderBy("ts").collect()]
     num = den = 0.0
     for v, e in zip(values, got):
         num, den = v + 0.5 * num, 1 + 0.5 * den
