@@ -105,24 +105,30 @@ def _observed(columns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), F.lit(1 << k)).otherwise(0) for k, c in enumerate(columns)], F.lit(0))
 
 
+def posteriors(j: DataFrame, columns: list[str], masks: Column, keep: list[str] = ()) -> DataFrame:
+    """Sums of the joint for every set of observed columns in masks, by what they show: _m, a column _c for each of columns (null where the set
+    leaves it out), _k_c for each of keep, variable, state, p. All sets are summed up in one aggregation, as grouping sets are."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("variable"), F.col(n).alias("state")) for n in j.columns if n != "p"))
+    sets = j.select("*", F.explode_outer(masks).alias("_m")).where("_m is not null")
+    shown = [F.when(F.shiftright("_m", k).bitwiseAND(F.lit(1)) == 1, F.col(c)).alias(f"_{c}") for k, c in enumerate(columns)]
+    named = [F.col(c).alias(f"_k_{c}") for c in keep]
+    by = ["_m", *(f"_{c}" for c in columns), *(f"_k_{c}" for c in keep), "variable", "state"]
+    return sets.select("_m", *shown, *named, F.explode(pairs).alias("v"), "p").select("_m", *(f"_{c}" for c in columns), *(f"_k_{c}" for c in keep), "v.variable", "v.state", "p").groupBy(*by).agg(F.sum("p").alias("p"))
+
+
 def score(evidence: DataFrame, key: str, columns: list[str], j: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Evidence rows (null: not observed) -> posterior of every state of every variable of
-    each row; observed ones come out as 1 or 0. Rows are grouped by which columns they observe: for each such set
-    the joint is summed up to a table of posteriors by its columns, which the rows meet by equality. Nothing is refused: a large table is joined by a shuffle."""
+    each row; observed ones come out as 1 or 0. Whatever sets of columns the rows observe, the evidence is read once, the joint is summed up for all
+    these sets at once, and rows meet the sums by one equality join on the set and what they show, nulls included. Posteriors are
+    normalised before the join, so nothing is shuffled after it. Nothing is refused: a large table is joined by a shuffle."""
     cleaned = written(clean_evidence(evidence, columns).select(key, *columns, *keep).withColumn("_m", _observed(columns)), "evidence")
-    names, j = [c for c in j.columns if c != "p"], written(j, "joint")
-    pairs = F.array(*(F.struct(F.lit(n).alias("variable"), F.col(n).alias("state")) for n in names))
-    out = []
-    for m in [r["_m"] for r in cleaned.select("_m").distinct().orderBy("_m").collect()]:  # at most one for each set of columns
-        seen = [c for k, c in enumerate(columns) if m >> k & 1]
-        t = j.select(*(F.col(c).alias(f"_{c}") for c in seen), *(F.col(c).alias(f"_k_{c}") for c in keep), F.explode(pairs).alias("v"), "p").groupBy(*(f"_{c}" for c in seen), *(f"_k_{c}" for c in keep), "v.variable", "v.state").agg(F.sum("p").alias("p"))
-        rows = cleaned.where(F.col("_m") == m)
-        on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in seen], F.col("_m") == F.col("_all"))
-        out.append(rows.join(sized(t.withColumn("_all", F.lit(m))), on).select(key, *keep, *(f"_k_{c}" for c in keep), "variable", "state", "p"))
-    met = reduce(DataFrame.unionByName, out) if out else cleaned.limit(0).select(key, *keep, *(F.lit("").alias(f"_k_{c}") for c in keep), F.lit("").alias("variable"), F.lit("").alias("state"), F.lit(0.0).alias("p"))
-    if keep:
-        return met
-    return met.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(key, "variable")))
+    masks = cleaned.agg(F.collect_set("_m")).scalar()  # one for each set of columns at most
+    t = posteriors(j, columns, masks, keep)
+    if not keep:
+        t = t.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("_m", *(f"_{c}" for c in columns), "variable")))
+    t = written(t.withColumnRenamed("_m", "_set"), "posteriors")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns], F.col("_m") == F.col("_set"))
+    return cleaned.join(sized(t), on).select(key, *keep, *(f"_k_{c}" for c in keep), "variable", "state", "p")
 
 
 def score_with_priors(evidence: DataFrame, key: str, columns: list[str], cpts: dict[str, DataFrame], priors: dict[str, str]) -> DataFrame:

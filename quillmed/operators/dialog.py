@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import sized
+from .store import in_blocks, sized, written
 
 #: Tags that hold reasoning, in the order in which they are tried, and phrases that end an intake.
 REASONING = ("think", "thinking", "reasoning", "analysis", "thought")
@@ -69,12 +69,19 @@ def gate(logic: Column, n: Column, k: Column) -> Column:
             .when(logic == "NAND", k < n).when(logic == "NOR", k == 0).when(logic == "NXOR", (k == 0) | (k == n)))
 
 
-def evaluate_gates(causes: DataFrame, findings: DataFrame) -> DataFrame:
-    """causes(relation, cause, logic, effect) over findings(entity, cause, flag); absent findings are false. The list of all relations is a constant of the plan."""
-    total = causes.groupBy("relation", "logic", "effect").agg(F.count("*").alias("n"))
-    hit = findings.where("flag").select("entity", "cause").distinct().join(sized(causes), "cause").groupBy("entity", "relation").agg(F.count("*").alias("k"))
-    every = total.agg(F.collect_list(F.struct("relation", "logic", "effect", "n"))).scalar()
-    pairs = findings.select("entity").distinct().select("entity", F.explode(every).alias("t")).select("entity", "t.*")
-    m = pairs.join(hit.hint("shuffle_merge"), ["entity", "relation"], "left")
-    return m.select("entity", "relation", "effect", gate(F.col("logic"), F.col("n"), F.coalesce("k", F.lit(0))).alias("holds"))
+#: Gates that hold where none of their causes is found.
+ABSENT = ("NOT", "NAND", "NOR", "NXOR")
+
 
+def evaluate_gates(causes: DataFrame, findings: DataFrame) -> DataFrame:
+    """causes(relation, cause, logic, effect) over findings(entity, cause, flag) -> (entity, relation, effect, holds): whether a relation's gate
+    holds, for each relation of which the entity shows a cause, and, of the other relations, those whose gate holds without any. Absent findings are false.
+
+    Causes meet findings by an equality join; only relations that hold without findings meet every entity, in blocks."""
+    total = written(causes.groupBy("relation", "logic", "effect").agg(F.count("*").alias("n")), "relations")
+    hit = findings.where("flag").select("entity", "cause").distinct().join(sized(causes.select("cause", "relation", "logic", "effect")), "cause").groupBy("entity", "relation", "logic", "effect").agg(F.count("*").alias("k"))
+    hit = written(hit, "relations-hit")
+    met = hit.join(sized(total), ["relation", "logic", "effect"]).select("entity", "relation", "effect", gate(F.col("logic"), F.col("n"), F.col("k")).alias("holds"))
+    none = in_blocks(findings.select("entity").distinct(), total.where(F.col("logic").isin(*ABSENT) & gate(F.col("logic"), F.col("n"), F.lit(0))))
+    rest = none.join(hit.select("entity", "relation", "logic", "effect").hint("shuffle_merge"), ["entity", "relation", "logic", "effect"], "left_anti")
+    return met.unionByName(rest.select("entity", "relation", "effect", F.lit(True).alias("holds")))

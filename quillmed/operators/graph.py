@@ -258,11 +258,47 @@ def hub_edges(docs: DataFrame, facts: DataFrame, roles: DataFrame, args: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def mentions(sents: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, name) where an entity's name of the same document occurs in a sentence (case-sensitive substring). A sentence meets the document's list of names in one row, and only those it holds come out."""
-    lists = names.groupBy("doc_id").agg(F.collect_set("name").alias("names"))
-    held = F.filter("names", lambda n: F.contains("sentence", n))
-    return sents.join(lists.hint("shuffle_merge"), "doc_id").select("doc_id", "sent_id", F.explode_outer(held).alias("name")).where("name is not null")
+#: Sentences of a document, and names of a document, that one automaton meets at most, by expectation.
+SENTENCES, NAMES = 2000, 20_000
+
+
+def mentions(sents: DataFrame, names: DataFrame, sentences: int = SENTENCES, most: int = NAMES) -> DataFrame:
+    """(doc_id, sent_id, name) where an entity's name of the same document occurs in a sentence (case-sensitive substring), once each. Null
+    sentences and names don't count; an empty name is in every sentence.
+
+    A document's names make one automaton, which reads each sentence once: the cost is the length of texts and names plus the hits, not their product.
+    Sentences and names of a long document are dealt into blocks, and each pair of blocks is a row of its own."""
+    known = names.where("name is not null").select("doc_id", "name").distinct()
+    n = known.groupBy("doc_id").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    dealt = known.join(n.hint("shuffle_merge"), "doc_id").withColumn("_part", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int"))
+    lists = dealt.groupBy("doc_id", "_part").agg(F.collect_list("name").alias("names"))
+    asked = sents.where("sentence is not null").join(n.hint("shuffle_merge"), "doc_id").withColumn("_block", F.floor(F.col("sent_id") / sentences))
+    blocks = asked.groupBy("doc_id", "_block", "_parts").agg(F.collect_list(F.struct("sent_id", "sentence")).alias("sents"))
+    copied = blocks.select("doc_id", "sents", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+
+    def find(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        for b in batches:
+            docs, at, found = [], [], []
+            for doc, own, listed in zip(b.column("doc_id").to_pylist(), b.column("sents").to_pylist(), b.column("names").to_pylist()):
+                a = ahocorasick.Automaton()
+                for name in listed:
+                    if name:
+                        a.add_word(name, name)
+                a.make_automaton()
+                for s in own:
+                    hits = {name for _, name in a.iter(s["sentence"])} if len(a) else set()
+                    hits |= {""} & set(listed)
+                    docs += [doc] * len(hits)
+                    at += [s["sent_id"]] * len(hits)
+                    found += sorted(hits)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, b.schema.field("doc_id").type), "sent_id": pa.array(at, b.schema.field("sents").type.value_type.field("sent_id").type), "name": pa.array(found, pa.string())})
+
+    met = copied.join(lists.hint("shuffle_merge"), ["doc_id", "_part"]).select("doc_id", "sents", "names")
+    kinds = dict(sents.dtypes)
+    return met.mapInArrow(find, f"doc_id {kinds['doc_id']}, sent_id {kinds['sent_id']}, name string").distinct()
 
 
 def clean_sentence_nodes(nodes: DataFrame) -> DataFrame:
@@ -299,13 +335,15 @@ def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 # ---- profile
 def schema_profile(roles: DataFrame, entities: DataFrame) -> DataFrame:
-    """(type, predicate, role): participation, greatest multiplicity of the role in a fact, and whether it holds literals."""
-    # a fact's few roles stay together, so the multiplicity needs no window
-    once = F.struct("predicate", "entity", F.col("literal").isNotNull().alias("lit"))
-    per = roles.groupBy("doc", "fact_id", "role").agg(F.collect_list(once).alias("r")).select("doc", "role", F.size("r").alias("multi"), F.explode("r").alias("r")).select("doc", "role", "multi", "r.*")
+    """(type, predicate, role): participation, greatest multiplicity of the role in a fact, and whether it holds literals.
+
+    Rows are counted by fact, role and entity, then by entity, before entities' types are looked up; so what meets the types is a row for each entity, predicate and role."""
+    multi = F.count("*").over(Window.partitionBy("doc", "fact_id", "role"))
+    each = roles.select("doc", "fact_id", "role", "predicate", "entity", F.col("literal").isNotNull().alias("lit")).withColumn("multi", multi)
+    per = each.groupBy("doc", "entity", "predicate", "role").agg(F.count("*").alias("c"), F.max("multi").alias("multi"), F.bool_or("lit").alias("lit"))
     m = per.join(entities.select("doc", F.col("id").alias("entity"), F.col("type")).hint("shuffle_merge"), ["doc", "entity"], "left")
     return m.groupBy(F.when(F.col("entity").isNotNull(), F.coalesce("type", F.lit("?"))).otherwise("literal").alias("type"), "predicate", "role").agg(
-        F.count("*").alias("participation"), F.max("multi").cast("long").alias("max_multiplicity"), F.bool_or("lit").alias("literal_role"))
+        F.sum("c").alias("participation"), F.max("multi").alias("max_multiplicity"), F.bool_or("lit").alias("literal_role"))
 
 
 def unique_labels(df: DataFrame, label: str, order: list[str], reserved: list[str]) -> DataFrame:
@@ -361,10 +399,30 @@ def attribute_kinds(attrs: DataFrame) -> DataFrame:
     return g.select("owner", "key", F.get(F.array(*map(F.lit, KINDS)), rank).alias("kind"))
 
 
-def relation_instances(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """edges(edge, relation, key, value): a value that is a known id makes its key a role, any other an attribute."""
-    m = edges.join(ids.select(F.col("id").alias("value"), F.lit(True).alias("known")).hint("shuffle_merge"), "value", "left")
-    return m.select("edge", "relation", "key", "value", F.when(F.col("known") | F.col("key").isin("subject", "object"), "role").otherwise("attribute").alias("part"))
+def relation_parts(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """edges(edge, relation, key, value) -> the same with part and type: a value that is a known id of ids(id, type) makes its key a role, played
+    by that id's type; subject and object always are roles ('Unknown' if the id isn't known); any other key is an attribute. Null values go."""
+    known = ids.groupBy(F.col("id").alias("value")).agg(F.min("type").alias("_type"), F.lit(True).alias("_known"))
+    m = edges.where("value is not null").select("edge", "relation", "key", "value").join(known.hint("shuffle_merge"), "value", "left")
+    role = F.coalesce("_known", F.lit(False)) | F.col("key").isin("subject", "object")
+    return m.select("edge", "relation", "key", "value", F.when(role, "role").otherwise("attribute").alias("part"), F.when(role, F.coalesce("_type", F.lit("Unknown"))).alias("type"))
+
+
+def relation_schema(parts: DataFrame) -> DataFrame:
+    """K31 over the table: (relation, key, part, types, kind, n): each role of a relation with the sorted types of its players, each attribute with the kind of its values (K30). A key may be both."""
+    roles = parts.where("part = 'role'").groupBy("relation", "key").agg(F.array_sort(F.collect_set("type")).alias("types"), F.count("*").alias("n"))
+    own = parts.where("part = 'attribute'").select(F.col("relation").alias("owner"), "key", "value")
+    counts = own.groupBy("owner", "key").agg(F.count("*").alias("n"))
+    kinds = attribute_kinds(own).join(counts.hint("shuffle_merge"), ["owner", "key"])
+    return (roles.select("relation", "key", F.lit("role").alias("part"), "types", F.lit(None).cast("string").alias("kind"), "n")
+            .unionByName(kinds.select(F.col("owner").alias("relation"), "key", F.lit("attribute").alias("part"), F.lit(None).cast("array<string>").alias("types"), "kind", "n")))
+
+
+def relation_instances(parts: DataFrame) -> DataFrame:
+    """One row for each edge: (edge, relation, roles, attributes), maps of a key to its sorted values; empty without any."""
+    each = parts.groupBy("edge", "relation", "part", "key").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    entry = lambda p: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("part") == p, F.struct("key", "values")))))
+    return each.groupBy("edge", "relation").agg(entry("role").alias("roles"), entry("attribute").alias("attributes"))
 
 
 # ---- triples and ranking

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A caller's table is broadcast up to this many rows.
 MOST_BROADCAST = 100_000
+#: And up to so many bytes of JSON.
+MOST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,19 @@ def placed(df: DataFrame, *keys: str) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """df as the small side of a join: broadcast if its rows, counted first, are few, else merged by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_merge")
+def sized(df: DataFrame, most: int = MOST_BROADCAST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """df as the small side of a join: broadcast if its rows are few and their bytes, too, both counted over the first rows; else merged by a shuffle."""
+    text = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    n, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= most_bytes else df.hint("shuffle_merge")
+
+
+def in_blocks(rows: DataFrame, items: DataFrame, size: int = 1000) -> DataFrame:
+    """Every row of rows with every row of a stated set of items, by an equality join on blocks of some `size` items: a row is copied once for each block."""
+    n = items.count()
+    blocks = max(1, -(-n // size))
+    dealt = items.withColumn("_block", F.pmod(F.xxhash64(*items.columns), F.lit(blocks)).cast("int")).groupBy("_block").agg(F.collect_list(F.struct(*items.columns)).alias("_items"))
+    dealt = written(dealt, "blocks")
+    copied = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = copied.join(sized(dealt), "_block").select(*rows.columns, F.explode("_items").alias("_i"))
+    return met.select(*rows.columns, "_i.*")

@@ -373,14 +373,39 @@ def k30(spark, sf_dir):
     return K.attribute_kinds(attrs(spark, sf_dir))
 
 
-@query("k31_relation_instances", """
-SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS edge, l_returnflag AS relation, key, value, CASE WHEN key = 'subject' OR (key = 'tag' AND l_suppkey % 2 = 0) THEN 'role' ELSE 'attribute' END AS part FROM lineitem, (VALUES ('subject'), ('tag'), ('note')) k(key), LATERAL (SELECT CASE key WHEN 'subject' THEN 'P' || l_partkey WHEN 'tag' THEN 'S' || l_suppkey ELSE 'n' || l_tax END AS value)""")
+#: Keys of an edge: subject, tag (a supplier of even number is known) and note (a part number on every third line, which is known, else a tax).
+PARTS31 = """SELECT edge, relation, key, value, CASE WHEN key = 'subject' OR known THEN 'role' ELSE 'attribute' END AS part, CASE WHEN known THEN type WHEN key = 'subject' THEN 'Unknown' END AS type FROM (
+ SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS edge, l_returnflag AS relation, k.key, k.value, s.s_suppkey IS NOT NULL OR p.p_partkey IS NOT NULL AS known, CASE WHEN s.s_suppkey IS NOT NULL THEN 'Supplier' ELSE 'Part' END AS type
+ FROM lineitem, LATERAL (VALUES ('subject', 'P' || l_partkey), ('tag', 'S' || l_suppkey), ('note', CASE WHEN l_linenumber % 3 = 0 THEN 'P' || l_partkey ELSE 'n' || l_tax END)) k(key, value)
+ LEFT JOIN supplier s ON k.value = 'S' || s.s_suppkey AND s.s_suppkey % 2 = 0 LEFT JOIN part p ON k.value = 'P' || p.p_partkey AND p.p_partkey % 5 <> 0)"""
+
+
+def relation_parts(spark, sf_dir):
+    note = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("P"), F.col("l_partkey"))).otherwise(F.concat(F.lit("n"), F.col("l_tax")))
+    kv = F.map_from_arrays(F.array(*map(F.lit, ("subject", "tag", "note"))), F.array(F.concat(F.lit("P"), F.col("l_partkey")), F.concat(F.lit("S"), F.col("l_suppkey")), note))
+    e = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("edge"), F.col("l_returnflag").alias("relation"), F.explode(kv).alias("key", "value"))
+    ids = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("id"), F.lit("Supplier").alias("type"))
+    return K.relation_parts(e, ids.unionAll(table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.concat(F.lit("P"), F.col("p_partkey")), F.lit("Part"))))
+
+
+@query("k31_relation_parts", PARTS31)
+def k31_parts(spark, sf_dir):
+    return relation_parts(spark, sf_dir)
+
+
+@query("k31_relation_schema", f"""
+SELECT relation, key, part, string_agg(DISTINCT type, ',' ORDER BY type) AS types, CASE WHEN part = 'attribute' THEN 'string' END AS kind, count(*) AS n FROM ({PARTS31}) GROUP BY relation, key, part""")
+def k31_schema(spark, sf_dir):
+    return K.relation_schema(relation_parts(spark, sf_dir)).withColumn("types", F.array_join("types", ","))
+
+
+#: A duplicated line makes one edge.
+@query("k31_relation_instances", f"""
+SELECT edge, relation, coalesce(string_agg(key || '=' || v, ';' ORDER BY key) FILTER (WHERE part = 'role'), '') AS roles, coalesce(string_agg(key || '=' || v, ';' ORDER BY key) FILTER (WHERE part = 'attribute'), '') AS attributes
+FROM (SELECT edge, relation, part, key, string_agg(DISTINCT value, ',' ORDER BY value) AS v FROM ({PARTS31}) GROUP BY ALL) GROUP BY edge, relation""")
 def k31(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    kv = F.map_from_arrays(F.array(*map(F.lit, ("subject", "tag", "note"))), F.array(F.concat(F.lit("P"), F.col("l_partkey")), F.concat(F.lit("S"), F.col("l_suppkey")), F.concat(F.lit("n"), F.col("l_tax"))))
-    e = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("edge"), F.col("l_returnflag").alias("relation"), F.explode(kv).alias("key", "value"))
-    ids = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("id"))
-    return K.relation_instances(e, ids)
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], ","))), ";").alias(c)
+    return K.relation_instances(relation_parts(spark, sf_dir)).select("edge", "relation", shown("roles"), shown("attributes"))
 
 
 @query("k32_dependency_levels", f"""
