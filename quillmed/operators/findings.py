@@ -36,7 +36,7 @@ def context(df: DataFrame, key=SERIES) -> DataFrame:
     return df.groupBy(*key).agg(label.alias("context"))
 
 
-def steps(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
+def steps(df: DataFrame, key=SERIES, long: int | None = LONG) -> DataFrame:
     """Successive differences: prev_ts, prev_value, step and pair_no (1 for the first pair), for series of any length."""
     key = list(key)
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .findings import SERIES, in_order
-from .scan import LONG, carried, over_ranges, over_series
+from .scan import LONG, bound, carried, over_ranges, over_series
 
 
-def hold_out(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
+def hold_out(df: DataFrame, key=SERIES, long: int | None = LONG) -> DataFrame:
     """Rows with back = 1 for the last point (held out), 2 for the last known, and so on. A range of a long series counts on from the rows after it."""
     key = list(key)
     place = lambda k: F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("ts"), F.desc("ord"))).cast("long")
@@ -46,25 +46,26 @@ def fuzzify(points: DataFrame, sets: DataFrame, key=SERIES) -> DataFrame:
     return m.groupBy(*key, "ts", "ord", "value").agg((-best["i"]).alias("state"))
 
 
-def rule_base(states: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
+def rule_base(states: DataFrame, key=SERIES, long: int | None = LONG) -> DataFrame:
     """How often a state is followed by another."""
     nxt = over_series(states, lambda d, k: d.withColumn("next", F.lead("state").over(in_order(k))), key, ahead=1, long=long).where("next is not null")
     return nxt.groupBy(*key, "state", "next").agg(F.count("*").alias("times"))
 
 
-def forecast(df: DataFrame, key=SERIES) -> DataFrame:
+def forecast(df: DataFrame, key=SERIES, long: int | None = LONG) -> DataFrame:
     """A row per series of two points or more: state, forecast, direction, abnormal, abs_error, ape.
 
     The forecast is the mean of the successors' peaks, weighted by their counts, null without a
     rule; a constant series forecasts its value. abnormal: error above twice the deviation of
     the training points. ape is in percent, infinite for an actual value of 0.
     """
-    held = hold_out(df, key)
+    long = bound(df, key, long)
+    held = hold_out(df, key, long)
     train = held.where("back > 1")
     uni = universe(train, key)
     sets = fuzzy_sets(uni, key)
     states = fuzzify(train.select(*key, "ts", "ord", "value"), sets, key)
-    rules = rule_base(states, key)
+    rules = rule_base(states, key, long)
     peaks = rules.join(sets.select(*key, F.col("idx").alias("next"), "b").hint("shuffle_merge"), [*key, "next"])
     means = peaks.groupBy(*key, "state").agg((F.sum(F.col("times") * F.col("b")) / F.sum("times")).alias("guess"))
     now = states.groupBy(*key).agg(F.max_by(F.struct("state", "value"), F.struct("ts", "ord")).alias("p")).select(*key, "p.state", F.col("p.value").alias("known"))

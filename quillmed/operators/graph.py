@@ -489,6 +489,7 @@ def ranks(scores: DataFrame) -> DataFrame:
 
 def rank_metrics(r: DataFrame, rank: str = "realistic", hits: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Mean rank, mean reciprocal rank, median, hits@k and the chance-adjusted mean-rank index, by side and for both."""
+    r = written(r, "ranks")
     both = r.unionByName(r.withColumn("side", F.lit("both")))
     x = F.col(rank)
     aggs = [F.avg(x).alias("mr"), F.avg(1 / x).alias("mrr"), *(F.avg((x <= k).cast("double")).alias(f"hits_{k}") for k in hits)]

@@ -27,7 +27,7 @@ def harmonise(tables: list[DataFrame], headers: dict[str, str] = HEADERS) -> Dat
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), renamed)
 
 
-def fill_dates(df: DataFrame, report: str, order: list[str], date: str = "Date", long: int = LONG) -> DataFrame:
+def fill_dates(df: DataFrame, report: str, order: list[str], date: str = "Date", long: int | None = LONG) -> DataFrame:
     """A2: a date that is '-' or blank is that of the line above it in the same report. A range of a long report takes the last date of the ranges before it where it has none."""
     given = F.nullif(F.nullif(F.trim(date), F.lit("-")), F.lit(""))
     above = lambda *k: F.last(given, ignorenulls=True).over(Window.partitionBy(*k).orderBy(*order))

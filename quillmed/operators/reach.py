@@ -22,22 +22,23 @@ def reach(edges: DataFrame, depth: int | None = None, paths: bool = False) -> Da
     """(root, node, depth): every node that a root reaches, once, with the least number of steps; with paths also the least of the shortest paths, as
     an array. A root isn't listed under itself. A depth ends the search sooner. Self references and rows with a null end don't count.
 
-    Semi-naive: a round joins only what the round before found, and drops pairs that are known; so there are at most
-    nodes times nodes rows, however many paths the graph has."""
-    out_of = placed(_plain(edges), "parent")
-    first = out_of.select(F.col("parent").alias("root"), F.col("child").alias("node"), F.lit(1).alias("depth"), *([F.array("parent", "child").alias("path")] if paths else []))
-    known = level = written(first, "reach")
-    d = 1
-    while (depth is None or d < depth) and not level.isEmpty():
-        d += 1
-        met = level.withColumnRenamed("node", "parent").join(out_of.hint("shuffle_merge"), "parent").where("child <> root")
-        if paths:
-            met = met.groupBy("root", F.col("child").alias("node")).agg(F.min(F.array_append("path", F.col("child"))).alias("path"))
-        else:
-            met = met.select("root", F.col("child").alias("node")).distinct()
-        new = met.join(known.select("root", "node").hint("shuffle_merge"), ["root", "node"], "left_anti")
-        level = written(new.withColumn("depth", F.lit(d)).select(known.columns), "reach")
-        known = known.unionAll(level)
+    Each round doubles the depth: with all pairs of up to L steps known, a pair of L + 1 to 2 L steps has a node at exactly L steps on its way. So the
+    frontier of pairs at L steps is joined with the pairs known, and pairs that are known go; rounds grow with the logarithm of the depth,
+    and there are at most nodes times nodes rows, however many paths the graph has."""
+    first = _plain(edges).select(F.col("parent").alias("root"), F.col("child").alias("node"), F.lit(1).alias("depth"), *([F.array("parent", "child").alias("path")] if paths else []))
+    known, far = written(first, "reach"), 1
+    while depth is None or far < depth:
+        edge = known.where(F.col("depth") == far)
+        if edge.isEmpty():
+            break
+        ahead = known.select(F.col("root").alias("_mid"), F.col("node").alias("_to"), F.col("depth").alias("_more"), *([F.col("path").alias("_rest")] if paths else []))
+        met = edge.withColumnRenamed("node", "_mid").join(ahead.hint("shuffle_merge"), "_mid").where("_to <> root")
+        if depth is not None:
+            met = met.where(F.col("_more") <= depth - far)
+        met = met.select("root", F.col("_to").alias("node"), (F.col("_more") + far).alias("depth"), *([F.concat("path", F.slice("_rest", F.lit(2), F.size("_rest"))).alias("path")] if paths else []))
+        least = met.groupBy("root", "node").agg(*([F.min(F.struct("depth", "path")).alias("m")] if paths else [F.min("depth").alias("depth")]))
+        new = (least.select("root", "node", "m.*") if paths else least).join(known.select("root", "node").hint("shuffle_merge"), ["root", "node"], "left_anti")
+        known, far = known.unionAll(written(new.select(known.columns), "reach")), 2 * far
     return known
 
 
@@ -45,16 +46,17 @@ def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, level), rest): nodes that refer to nothing have level 0, the others one more than the greatest level they refer to; rest are
     the edges of nodes that have no level because they are on a cycle or rest on one. Only nodes of edges are listed.
 
-    A round takes the references to the last level away, and only what is left goes into the next round."""
-    left = written(_plain(edges), "peel-edges")
-    ends = lambda e, c: e.select(F.col(c).alias("id")).distinct()
-    ready = written(ends(left, "child").join(ends(left, "parent").hint("shuffle_merge"), "id", "left_anti"), "peel-level")
-    levels = [ready.withColumn("level", F.lit(0))]
+    A round takes the references to the last level away, and only what is left goes into the next round; nodes that lose their last reference are the next level."""
+    left = written(_plain(edges), "peel")
+    ready = left.select(F.col("child").alias("id")).distinct().join(left.select(F.col("parent").alias("id")).distinct().hint("shuffle_merge"), "id", "left_anti")
+    levels = [written(ready.withColumn("level", F.lit(0)), "peel-level")]
+    ready = levels[0].select("id")
     while not ready.isEmpty():
-        fewer = written(left.join(ready.withColumnRenamed("id", "child").hint("shuffle_merge"), "child", "left_anti").select("parent", "child"), "peel-edges")
-        ready = written(ends(left, "parent").join(ends(fewer, "parent").hint("shuffle_merge"), "id", "left_anti"), "peel-level")
+        met = ready.select(F.col("id").alias("child"), F.lit(True).alias("_met"))
+        done = written(left.join(met.hint("shuffle_merge"), "child", "left").withColumn("_met", F.coalesce("_met", F.lit(False))), "peel")
+        ready = done.groupBy(F.col("parent").alias("id")).agg(F.bool_and("_met").alias("_done")).where("_done").select("id")
         levels.append(ready.withColumn("level", F.lit(len(levels))))
-        left = fewer
+        left = done.where("not _met").select("parent", "child")
     return reduce(DataFrame.unionAll, levels), left
 
 

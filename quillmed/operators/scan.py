@@ -22,13 +22,17 @@ LONG = 200_000
 RANGE = 50_000
 
 
-def apart(df: DataFrame, key, long: int = LONG) -> tuple[DataFrame, DataFrame | None, int]:
-    """(rows of the other series, rows of the long ones or None, rows of the long ones counted)."""
+def bound(df: DataFrame, key, long: int | None = LONG) -> int | None:
+    """long, or None if no series of df has more rows: then nothing made of these rows needs to look again."""
+    return None if long is None or df.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > long).isEmpty() else long
+
+
+def apart(df: DataFrame, key, long: int | None = LONG) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows of the other series, rows of the long ones or None, rows of the long ones counted). long None: it is known that no series is long."""
     key = list(key)
-    sizes = df.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > long)
-    if sizes.isEmpty():
+    if bound(df, key, long) is None:
         return df, None, 0
-    sizes = written(sizes, "long-series")
+    sizes = written(df.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > long), "long-series")
     total = sizes.agg(F.sum("_n")).first()[0]
     same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(sizes[k]) for k in key))
     few = sized(sizes)  # at most rows / long
@@ -59,7 +63,7 @@ def with_edges(ranges: DataFrame, key, order, back: int = 0, ahead: int = 0) ->
     return reduce(DataFrame.unionByName, out)
 
 
-def over_series(df: DataFrame, add: Callable[[DataFrame, list[str]], DataFrame], key, order=("ts", "ord"), back: int = 0, ahead: int = 0, long: int = LONG, size: int = RANGE) -> DataFrame:
+def over_series(df: DataFrame, add: Callable[[DataFrame, list[str]], DataFrame], key, order=("ts", "ord"), back: int = 0, ahead: int = 0, long: int | None = LONG, size: int = RANGE) -> DataFrame:
     """add(df, key) for windows by key whose frames reach at most `back` rows back and `ahead` rows ahead. add keeps rows and columns and adds columns."""
     key = list(key)
     rest, hot, total = apart(df, key, long)
@@ -81,7 +85,7 @@ def carried(ranges: DataFrame, key, states: dict[str, Column], take: dict[str, C
     return null_safe(ranges, known, [*key, "_range"])
 
 
-def over_ranges(df: DataFrame, plain: Callable[[DataFrame], DataFrame], ranged: Callable[[DataFrame], DataFrame], key, order=("ts", "ord"), long: int = LONG, size: int = RANGE) -> DataFrame:
+def over_ranges(df: DataFrame, plain: Callable[[DataFrame], DataFrame], ranged: Callable[[DataFrame], DataFrame], key, order=("ts", "ord"), long: int | None = LONG, size: int = RANGE) -> DataFrame:
     """plain(rows of short series) and ranged(ranges of long ones) together."""
     rest, hot, total = apart(df, key, long)
     if hot is None:
@@ -90,7 +94,7 @@ def over_ranges(df: DataFrame, plain: Callable[[DataFrame], DataFrame], ranged:
     return short.unionByName(ranged(cut(hot, key, order, total, size)).select(short.columns))
 
 
-def quantiles(df: DataFrame, key, value: str, shares: list[float], long: int = LONG, size: int = RANGE) -> DataFrame:
+def quantiles(df: DataFrame, key, value: str, shares: list[float], long: int | None = LONG, size: int = RANGE) -> DataFrame:
     """(key.., q): the exact quantiles of value at shares, between two values by their distance; nulls don't count.
 
     For a long series no task holds all its values: equal values are counted first, the distinct ones dealt by ranges, and the running count of the

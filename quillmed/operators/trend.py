@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .findings import SERIES, in_order
-from .scan import LONG, carried, null_safe, over_ranges, over_series, quantiles, with_edges
+from .scan import LONG, bound, carried, null_safe, over_ranges, over_series, quantiles, with_edges
 from .store import sized, written
 
 
@@ -23,32 +23,42 @@ def ewma_depth(span: int) -> int:
     return math.ceil(53 * math.log(2) / -math.log(1 - 2 / (span + 1)))
 
 
-def add_ewma(df: DataFrame, value: str = "value", span: int = 3, key=SERIES) -> DataFrame:
+def ewma_block(span: int) -> int:
+    """Rows over which weights of a running sum stay within doubles."""
+    return max(1, int(150 * math.log(10) / -math.log(1 - 2 / (span + 1))))
+
+
+def add_ewma(df: DataFrame, value: str = "value", span: int = 3, key=SERIES, blocks: bool = True) -> DataFrame:
     """T2 within one window: adds ewma. Null values take no weight; it is null before the first value.
 
-    Weighted sums run on from row to row: rows are counted into blocks, in which weights grow instead of falling, so that one running sum serves
-    all rows; a block is as long as weights stay within doubles, so of the blocks before only the last one matters."""
-    decay = 1 - 2 / (span + 1)
-    block = max(1, int(150 * math.log(10) / -math.log(decay)))
+    Weighted sums run on from row to row: weights grow instead of falling, so that one running sum serves all rows. Rows are
+    counted into blocks in which the weights stay within doubles, so of the blocks before only the last one matters; blocks False: no series is longer than a block."""
+    decay, block = 1 - 2 / (span + 1), ewma_block(span)
     so_far = in_order(key).rowsBetween(Window.unboundedPreceding, 0)
-    c = df.withColumn("_c", F.count(value).over(so_far)).withColumn("_r", F.pmod(F.col("_c") - 1, F.lit(block))).withColumn("_b", F.floor((F.col("_c") - 1) / block))
+    c = df.withColumn("_c", F.count(value).over(so_far))
+    total = (1 - F.pow(F.lit(decay), F.col("_c"))) / (1 - decay)
+    if not blocks:
+        s = F.sum(F.col(value) * F.pow(F.lit(1 / decay), F.col("_c") - 1)).over(so_far) * F.pow(F.lit(decay), F.col("_c") - 1)
+        return c.withColumn("ewma", F.when(F.col("_c") > 0, s / total)).drop("_c")
+    c = c.withColumn("_r", F.pmod(F.col("_c") - 1, F.lit(block))).withColumn("_b", F.floor((F.col("_c") - 1) / block))
     own = F.sum(F.col(value) * F.pow(F.lit(1 / decay), F.col("_r"))).over(Window.partitionBy(*key, "_b").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0))
     c = c.withColumn("_s", own * F.pow(F.lit(decay), F.col("_r")))
-    before = F.last(F.when(F.col("_r") == block - 1, F.struct("_s", "_b")), ignorenulls=True).over(so_far)
-    c = c.withColumn("_p", F.when(F.col("_c") > block, before))
+    c = c.withColumn("_p", F.when(F.col("_c") > block, F.last(F.when(F.col("_r") == block - 1, F.struct("_s", "_b")), ignorenulls=True).over(so_far)))
     # a block's last row sees itself; what it lacks of the block before weighs 1e-150
     c = c.withColumn("_q", F.when(F.col("_p._b") < F.col("_b"), F.col("_p._s")).otherwise(0.0))
     s = F.col("_s") + F.coalesce("_q", F.lit(0.0)) * F.pow(F.lit(decay), F.col("_r") + 1)
-    return c.withColumn("ewma", F.when(F.col("_c") > 0, s * (1 - decay) / (1 - F.pow(F.lit(decay), F.col("_c"))))).drop("_c", "_r", "_b", "_s", "_p", "_q")
+    return c.withColumn("ewma", F.when(F.col("_c") > 0, s / total)).drop("_c", "_r", "_b", "_s", "_p", "_q")
 
 
-def with_ewma(df: DataFrame, span: int = 3, key=SERIES, long: int = LONG) -> DataFrame:
+def with_ewma(df: DataFrame, span: int = 3, key=SERIES, long: int | None = LONG) -> DataFrame:
     """Adds ewma, the bias-adjusted exponentially weighted mean, for series of any length. A range of a long series looks
     back so many rows that what lies before them weighs less than 2**-53."""
+    if bound(df, key, ewma_block(span) if long is None else min(long, ewma_block(span))) is None:
+        return add_ewma(df, "value", span, key, blocks=False)
     return over_series(df, lambda d, k: add_ewma(d, "value", span, k), key, back=ewma_depth(span), long=long)
 
 
-def spike_limits(df: DataFrame, deviation: str = "deviation", most: float = 108.0, key=SERIES, long: int = LONG) -> DataFrame:
+def spike_limits(df: DataFrame, deviation: str = "deviation", most: float = 108.0, key=SERIES, long: int | None = LONG) -> DataFrame:
     """Per series the smaller of `most` and 1.5 times the inter-quartile range of deviations."""
     q = quantiles(df, key, deviation, [0.25, 0.75], long)
     return q.select(*key, F.least(F.lit(most), 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("spike"))
@@ -59,10 +69,12 @@ def spike_status(status: Column, deviation: Column, spike: Column) -> Column:
     return F.when(deviation > spike, "SHARP_RISE").when(deviation < -spike, "SHARP_DROP").otherwise(status)
 
 
-def profile(df: DataFrame, low: float, high: float, span: int = 3, most: float = 108.0, key=SERIES, long: int = LONG) -> DataFrame:
+def profile(df: DataFrame, low: float, high: float, span: int = 3, most: float = 108.0, key=SERIES, long: int | None = LONG) -> DataFrame:
     """T1-T4 and T7, T8 in one pass over each series: ewma, deviation, spike, status, slope, slope_label."""
+    short = bound(df, key, ewma_block(span) if long is None else min(long, ewma_block(span))) is None
+
     def base(d: DataFrame, k) -> DataFrame:
-        d = add_ewma(d, "value", span, k).withColumn("deviation", F.col("value") - F.col("ewma"))
+        d = add_ewma(d, "value", span, k, not short).withColumn("deviation", F.col("value") - F.col("ewma"))
         return d.withColumn("slope", moving_slope(k)).withColumn("slope_label", slope_label(F.col("slope")))
 
     def labelled(d: DataFrame) -> DataFrame:
@@ -76,7 +88,7 @@ def profile(df: DataFrame, low: float, high: float, span: int = 3, most: float =
         known = written(base(with_edges(r, key, ("ts", "ord"), ewma_depth(span)), [*key, "_range"]).where("not _edge"), "profile")
         return labelled(null_safe(known, spike_limits(known, "deviation", most, key, 0), list(key)))
 
-    return over_ranges(df, plain, ranged, key, long=long)
+    return over_ranges(df, plain, ranged, key, long=None if short else long)
 
 
 def dickey_fuller(df: DataFrame, critical: float = -2.86, least: int = 5, key=SERIES) -> DataFrame:
@@ -101,7 +113,7 @@ def moving_slope(key=SERIES, rows: int = 3) -> Column:
     return F.when((F.count("value").over(w) >= rows) & ~flat, F.regr_slope("value", day_number()).over(w))
 
 
-def with_slope(df: DataFrame, rows: int = 3, key=SERIES, long: int = LONG) -> DataFrame:
+def with_slope(df: DataFrame, rows: int = 3, key=SERIES, long: int | None = LONG) -> DataFrame:
     """Adds slope, for series of any length."""
     return over_series(df, lambda d, k: d.withColumn("slope", moving_slope(k, rows)), key, back=rows - 1, long=long)
 
@@ -111,7 +123,7 @@ def slope_label(slope: Column, flat: float = 0.1) -> Column:
     return F.when(slope.isNull(), "UNKNOWN").when(F.abs(slope) < flat, "STABLE").when(slope >= flat, "UP").otherwise("DOWN")
 
 
-def segments(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
+def segments(df: DataFrame, key=SERIES, long: int | None = LONG) -> DataFrame:
     """Runs of equal slope_label (UNKNOWN left out): start, rows, counts of each status. Of a long series each range counts its runs from the
     number of runs before it; a run may go over several ranges."""
     key = list(key)
@@ -150,7 +162,7 @@ def fluctuation(limit: float, rows: int = 3, key=SERIES) -> Column:
     return F.when(sd > limit, "FLUCTUATING").when(sd.isNotNull(), "STABLE")
 
 
-def with_fluctuation(df: DataFrame, limit: float, rows: int = 3, key=SERIES, long: int = LONG) -> DataFrame:
+def with_fluctuation(df: DataFrame, limit: float, rows: int = 3, key=SERIES, long: int | None = LONG) -> DataFrame:
     """Adds fluctuation, for series of any length."""
     return over_series(df, lambda d, k: d.withColumn("fluctuation", fluctuation(limit, rows, k)), key, back=rows - 1, long=long)
 
@@ -186,7 +198,7 @@ def _seconds(width: str) -> int:
     return int(n) * {"hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
-def _beside(df: DataFrame, key, known: Column, long: int) -> DataFrame:
+def _beside(df: DataFrame, key, known: Column, long: int | None) -> DataFrame:
     """Adds _p, the last known at or before a bin, and _n, the first known at or after it. A range of a long series takes those of the ranges beside it where it has none."""
     key = list(key)
 
@@ -204,7 +216,7 @@ def _beside(df: DataFrame, key, known: Column, long: int) -> DataFrame:
     return over_ranges(df, lambda d: add(d, key), ranged, key, ("bin",), long)
 
 
-def interpolate(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
+def interpolate(df: DataFrame, key=SERIES, long: int | None = LONG) -> DataFrame:
     """Linear by bin between known bins; after the last known one its value; before the first null."""
     m = _beside(df, key, F.when(F.col("value").isNotNull(), F.struct("bin", "value")), long)
     p, n = F.col("_p"), F.col("_n")
@@ -212,7 +224,7 @@ def interpolate(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
     return m.withColumn("value", F.coalesce("value", F.when(p.isNotNull(), F.coalesce(line, p["value"])))).select(df.columns)
 
 
-def fill(df: DataFrame, key=SERIES, long: int = LONG) -> DataFrame:
+def fill(df: DataFrame, key=SERIES, long: int | None = LONG) -> DataFrame:
     """Forward, then backward."""
     m = _beside(df, key, F.when(F.col("value").isNotNull(), F.struct("bin", "value")), long)
     return m.withColumn("value", F.coalesce("_p.value", "_n.value")).select(df.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmed.operators import fuzzy as D
 from quillmed.operators import trend as T
+from quillmed.operators.scan import LONG, bound
 
 from .base import SERIES, query, rows, series
 
@@ -25,6 +26,11 @@ def profile(spark, sf_dir):
     return T.profile(series(spark, sf_dir), 20.0, 80.0)
 
 
+def _long(spark, sf_dir):
+    """Whether any series is long, seen from the table, not from what is made of it."""
+    return bound(series(spark, sf_dir), ("entity", "test"))
+
+
 @query("t01_range_label", f"SELECT ord, {LABEL} AS label FROM ({SERIES})")
 def t01(spark, sf_dir):
     return series(spark, sf_dir).select("ord", T.range_label(F.col("value"), 20.0, 80.0).alias("label"))
@@ -39,7 +45,7 @@ def t02(spark, sf_dir):
 @query("t03_spike_limits", f"SELECT DISTINCT entity, test, round(spike, 6) AS spike FROM ({PROFILE})")
 def t03(spark, sf_dir):
     d = T.with_ewma(series(spark, sf_dir)).withColumn("deviation", F.col("value") - F.col("ewma"))
-    return T.spike_limits(d).withColumn("spike", F.round("spike", 6))
+    return T.spike_limits(d, long=_long(spark, sf_dir)).withColumn("spike", F.round("spike", 6))
 
 
 @query("t04_spike_status", f"SELECT ord, status FROM ({PROFILE})")
@@ -76,14 +82,14 @@ RUNS = f"""SELECT entity, test, run, min(slope_label) AS label, min(ts) AS start
 
 @query("t09_segments", RUNS)
 def t09(spark, sf_dir):
-    return T.segments(profile(spark, sf_dir)).select("entity", "test", "run", "label", "start", "steps", F.array_join("statuses", ",").alias("statuses"), "high", "low")
+    return T.segments(profile(spark, sf_dir), long=_long(spark, sf_dir)).select("entity", "test", "run", "label", "start", "steps", F.array_join("statuses", ",").alias("statuses"), "high", "low")
 
 
 @query("t10_commentary", f"""
 SELECT entity, test, run, concat_ws(' ', 'From ' || strftime(start, '%Y-%m-%d') || ' ' || label || ' for ' || steps || ' steps.', CASE WHEN label = 'UP' AND statuses LIKE '%SHARP_RISE%' THEN 'Rising with sharp jumps.'
  WHEN label = 'DOWN' AND statuses NOT LIKE '%SHARP_DROP%' THEN 'Steady decline.' WHEN label = 'STABLE' AND high > 0 THEN 'Stable but high.' WHEN label = 'DOWN' AND low > 0 THEN 'Falling to low values.' WHEN label = 'UP' AND high > 0 THEN 'Rising to high values.' END) AS comment FROM ({RUNS})""")
 def t10(spark, sf_dir):
-    return T.commentary(T.segments(profile(spark, sf_dir))).select("entity", "test", "run", "comment")
+    return T.commentary(T.segments(profile(spark, sf_dir), long=_long(spark, sf_dir))).select("entity", "test", "run", "comment")
 
 
 FLUCT = f"""SELECT *, CASE WHEN sd > 30 THEN 'FLUCTUATING' WHEN sd IS NOT NULL THEN 'STABLE' END AS fluctuation FROM (
@@ -106,7 +112,7 @@ SUMMARY = """SELECT '{name}' AS period, entity, test, count(*) FILTER (WHERE slo
 
 @query("t13_period_summary", SUMMARY.format(name="all", src=FLUCT) + " UNION ALL " + SUMMARY.format(name="recent", src=f"SELECT * FROM (SELECT *, max(ts) OVER (PARTITION BY entity, test) AS last FROM ({FLUCT})) WHERE ts > last - INTERVAL 7 DAYS"))
 def t13(spark, sf_dir):
-    f = T.with_slope(T.with_fluctuation(series(spark, sf_dir), 30.0)).withColumn("slope_label", T.slope_label(F.col("slope")))
+    f = T.with_slope(T.with_fluctuation(series(spark, sf_dir), 30.0, long=(n := _long(spark, sf_dir))), long=n).withColumn("slope_label", T.slope_label(F.col("slope")))
     both = T.period_summary(f, "all").unionByName(T.period_summary(T.recent(f, "INTERVAL 7 DAYS"), "recent"))
     return both.withColumn("rate", F.round("rate", 6))
 
@@ -131,14 +137,20 @@ def _holes(spark, sf_dir):
     return T.resample(series(spark, sf_dir), "48 hours").withColumn("value", F.when(F.col("bin") % 4 != 0, F.col("value"))).drop("ts")
 
 
+def _bins(spark, sf_dir):
+    """Whether any series has many bins: seen from its first and last time."""
+    days = series(spark, sf_dir).groupBy("entity", "test").agg(F.datediff(F.max("ts"), F.min("ts")).alias("n"))
+    return None if days.where(F.col("n") / 2 > LONG - 2).isEmpty() else LONG
+
+
 @query("t15_interpolate", f"SELECT entity, test, bin, round(coalesce(value, CASE WHEN pb IS NOT NULL THEN coalesce(pv + (nv - pv) * (bin - pb) / nullif(nb - pb, 0), pv) END), 6) AS value FROM ({KNOWN.format(src=HOLES)})")
 def t15(spark, sf_dir):
-    return T.interpolate(_holes(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return T.interpolate(_holes(spark, sf_dir), long=_bins(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
 @query("t16_fill", f"SELECT entity, test, bin, round(coalesce(pv, nv), 6) AS value FROM ({KNOWN.format(src=HOLES)})")
 def t16(spark, sf_dir):
-    return T.fill(_holes(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return T.fill(_holes(spark, sf_dir), long=_bins(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
 @query("t17_keep_mapped", f"""
@@ -199,7 +211,7 @@ def d05(spark, sf_dir):
 
 @query("d06_rule_base", BASE)
 def d06(spark, sf_dir):
-    return D.rule_base(_states(spark, sf_dir))
+    return D.rule_base(_states(spark, sf_dir), long=_long(spark, sf_dir))
 
 
 @query("d07_forecast", f"SELECT entity, test, state, round(forecast, 6) AS forecast FROM ({FORECAST})")
