@@ -12,6 +12,7 @@ from quillmed.functions.scalars import label_stem
 from .reach import dependency_levels, reach  # noqa: F401  K32 is one of them
 from .scan import quantiles
 from .store import written
+from .translation import rank_tails, translation_score, true_ranks  # noqa: F401  K35, K36
 
 
 # ---- ingest
@@ -438,43 +439,6 @@ def split_triples(triples: DataFrame, bucket: Column) -> DataFrame:
     return t.select("s", "p", "o", "part").unionByName(back)
 
 
-def translation_score(h: Column, r: Column, t: Column) -> Column:
-    """-|h + r - t| for vectors of doubles."""
-    d = F.zip_with(F.zip_with(h, r, lambda a, b: a + b), t, lambda a, b: a - b)
-    return -F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
-
-
-#: Queries of a block, and blocks that are broadcast at most (counted first).
-BLOCK, FEW_BLOCKS = 256, 64
-
-
-def _scored(queries: DataFrame, entities: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """(query, .., id, score) of queries(query, h, r, ..) against entities(id, v). Queries are dealt into blocks of some BLOCK; an
-    entity meets each block in one row, by an equality join on the block, and is scored against its queries there."""
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    dealt = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query", "h", "r", *extra)).alias("qs"))
-    dealt = written(dealt, "rank-blocks")
-    copied = entities.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = copied.join(F.broadcast(dealt) if blocks <= FEW_BLOCKS else dealt.hint("shuffle_merge"), "block")
-    return met.select("id", "v", F.explode("qs").alias("q")).select("q.query", *(f"q.{c}" for c in extra), "id", F.round(translation_score(F.col("q.h"), F.col("q.r"), F.col("v")), 9).alias("score"))
-
-
-def rank_tails(queries: DataFrame, entities: DataFrame, k: int) -> DataFrame:
-    """queries(query, h, r) against entities(id, v): the k best tails of each, for any number of
-    queries; each task keeps its k best rows of a query before the shuffle."""
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return _scored(queries, entities).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def true_ranks(queries: DataFrame, entities: DataFrame, digits: int = 9) -> DataFrame:
-    """queries(query, side, h, r, true_id) -> optimistic, pessimistic and realistic rank of the true entity among all
-    entities, scores rounded to `digits`. Only counts of better and equal scores are shuffled, never a ranking."""
-    own = entities.select(F.col("id").alias("true_id"), F.col("v").alias("_t"))
-    asked = queries.join(own.hint("shuffle_merge"), "true_id").withColumn("own", F.round(F.round(translation_score(F.col("h"), F.col("r"), F.col("_t")), 9), digits)).drop("_t")
-    return _from_scores(_scored(asked, entities, ["side", "own"]).withColumn("score", F.round("score", digits)))
-
-
 def _from_scores(m: DataFrame) -> DataFrame:
     g = m.groupBy("query", "side").agg(F.sum((F.col("score") > F.col("own")).cast("long")).alias("above"), F.sum((F.col("score") == F.col("own")).cast("long")).alias("ties"), F.count("*").alias("n"))
     opt, pes = F.col("above") + 1, F.col("above") + F.col("ties")
