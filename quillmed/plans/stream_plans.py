@@ -40,9 +40,20 @@ WITH c AS (SELECT conv_id, turn, role, 1704067200 + conv_id * 60 + turn AS sec,
 g AS (SELECT conv_id, count(*)::INTEGER AS turns, min_by(trim(text), turn) FILTER (WHERE role = 'user' AND trim(text) <> '') AS complaint, bool_or(role = 'user' AND text = 'Done.') AS stopped, max(sec) AS last FROM c GROUP BY conv_id)
 SELECT conv_id, turns, complaint, CASE WHEN stopped THEN 'stop' ELSE 'timeout' END AS ended FROM g WHERE stopped OR last + 3600 < (SELECT max(sec) FROM c) - 600""")
 def x02(spark, sf_dir):
+    return _run(spark, jobs.conversation_outcomes(_chat(spark, sf_dir), STOP))
+
+
+def _chat(spark, sf_dir):
     text = F.when((F.col("role") == "user") & (F.col("turn") > 1) & (F.col("conv_id") % 3 == 0), "Done.").otherwise(F.col("text"))
-    s = _stream(spark, sf_dir, "conversations").withColumn("text", text).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")))
-    return _run(spark, jobs.conversation_outcomes(s, STOP))
+    return _stream(spark, sf_dir, "conversations").withColumn("text", text).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")))
+
+
+@query("x02_kept_turns", """
+WITH c AS (SELECT conv_id, turn::INTEGER AS turn, role, 1704067200 + conv_id * 60 + turn AS sec, CASE WHEN role = 'user' AND turn > 1 AND conv_id % 3 = 0 THEN 'Done.' ELSE text END AS text FROM conversations),
+g AS (SELECT conv_id, bool_or(role = 'user' AND text = 'Done.') AS stopped, max(sec) AS last FROM c GROUP BY conv_id)
+SELECT conv_id, turn, role, text, CASE WHEN stopped THEN 'stop' ELSE 'timeout' END AS ended FROM c JOIN g USING (conv_id) WHERE stopped OR last + 3600 < (SELECT max(sec) FROM c) - 600""")
+def x02_turns(spark, sf_dir):
+    return _run(spark, jobs.conversation_outcomes(_chat(spark, sf_dir), STOP, turns=True))
 
 
 @query("x03_tumbling_means", """
