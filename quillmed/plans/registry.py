@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_plans, dialog_plans, findings_plans, graph_plans, lab_plans, page_plans, source_plans, span_plans, stream_plans, trend_plans  # noqa: F401
+from . import bayes_plans, dialog_plans, findings_plans, graph_plans, ingest_plans, lab_plans, page_plans, source_plans, span_plans, stream_plans, trend_plans  # noqa: F401
 from .base import REGISTRY
 
 
