@@ -41,24 +41,26 @@ def tokens(text: str | None) -> list[bytes]:
 
 def segments(scores, other: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) of a sequence in which position p scores
-    scores[p], or `other` < 0 where p is absent; linear in the number of positive positions."""
-    found: list[list] = []  # start, end, sum before, sum after
+    scores[p], or `other` < 0 where p is absent; linear in the number of positive positions. Each open segment knows the
+    last one before it with a smaller sum on its left, so that those between are never looked at again."""
+    found: list[list] = []  # start, end, sum before, sum after, place of the last one with a smaller sum before
     total, last = 0.0, 0
     for p in sorted(scores):
         total += (p - last) * other
         last = p + 1
         cell = [p, p + 1, total, total + scores[p]]
         total += scores[p]
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= cell[2]:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= cell[3]:
-                found.append(cell)
+                found.append([*cell, j])
                 break
-            cell = [found[j][0], cell[1], found[j][2], cell[3]]
+            cell, before = [found[j][0], cell[1], found[j][2], cell[3]], found[j][4]
             del found[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+            j = before
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
 def scored(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
