@@ -383,6 +383,28 @@ def flatten_attributes(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*(F.col(".".join(f"`{x}`" for x in p)).alias(sep.join(p)) for p in walk(df.schema, [])))
 
 
+def flatten_json(df: DataFrame, key: str, text: str, sep: str = "_", arrays: bool = False) -> DataFrame:
+    """K29 without a schema: (key, path, kind, value) for every leaf of the JSON objects in text, path being the names on its way; value is the leaf as text, null for a JSON
+    null. Arrays are leaves, as JSON, or with arrays are walked, too, by position. Kinds may differ from row to row: BOOLEAN, BIGINT,
+    DOUBLE or DECIMAL, STRING, VOID, ARRAY. Text that is no JSON, or no object (or array, if they are walked), gives no rows; nor do empty objects.
+
+    A level of all rows is exploded at a time, until no objects are left: so there are as many rounds as the deepest text has levels."""
+    spark = df.sparkSession
+    inner = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")) | F.lit(arrays) & F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
+    level, out = df.select(F.col(key), F.lit(None).cast("string").alias("path"), F.try_parse_json(text).alias("v")).where(inner), None
+    while True:
+        kids = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value"))
+        path = F.concat_ws(sep, "path", F.coalesce("_key", F.col("_pos").cast("string")))
+        level = written(kids.select(key, path.alias("path"), F.col("_value").alias("v")), "json-level")
+        leaves = level.where(~F.coalesce(inner, F.lit(False)))
+        kind = F.regexp_extract(F.schema_of_variant("v"), r"^(\w+)", 1)
+        leaf = leaves.select(key, "path", kind.alias("kind"), F.when(kind == "STRING", F.col("v").cast("string")).when(kind != "VOID", F.to_json("v")).alias("value"))
+        out = leaf if out is None else out.unionAll(leaf)
+        level = level.where(inner)
+        if level.isEmpty():
+            return out
+
+
 #: Attribute types from the narrowest to the widest.
 KINDS = ("boolean", "long", "double", "datetime", "string")
 

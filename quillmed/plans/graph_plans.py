@@ -358,6 +358,18 @@ def k29(spark, sf_dir):
     return K.flatten_attributes(e)
 
 
+@query("k29_flatten_json", """
+SELECT event_id, path, kind, value FROM (SELECT event_id, unnest(['m_value', 'm_who_user', 'm_who_kind', 'tags', 'mixed', 'none']) AS path,
+ unnest(['BIGINT', 'BIGINT', 'STRING', 'ARRAY', CASE event_id % 3 WHEN 0 THEN 'BOOLEAN' WHEN 1 THEN 'STRING' ELSE 'BIGINT' END, 'VOID']) AS kind,
+ unnest([floor(value)::BIGINT::VARCHAR, user_id::VARCHAR, event_type, '[1,"a"]', CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'x' ELSE '7' END, NULL]) AS value FROM events WHERE event_id % 10 <> 0)""")
+def k29_json(spark, sf_dir):
+    k = F.col("event_id") % 3
+    mixed = F.when(k == 0, "true").when(k == 1, '"x"').otherwise("7")
+    text = F.format_string('{"m": {"value": %d, "who": {"user": %d, "kind": "%s", "more": {}}}, "tags": [1, "a"], "mixed": %s, "none": null}', F.floor("value"), "user_id", "event_type", mixed)
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, "no {json").otherwise(text).alias("text"))
+    return K.flatten_json(e, "event_id", "text")
+
+
 ATTRS = """SELECT event_type AS owner, 'k' AS key, props AS value FROM events UNION ALL SELECT event_type, 'id', event_id::VARCHAR FROM events UNION ALL SELECT event_type, 'mixed', CASE WHEN event_id % 2 = 0 THEN '1.5' ELSE '2' END FROM events
  UNION ALL SELECT event_type, 'day', strftime(ts, '%Y-%m-%d') FROM events UNION ALL SELECT event_type, 'odd', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'FALSE' END FROM events UNION ALL SELECT event_type, 'any', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '7' END FROM events"""
 
