@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from .store import placed, written
 
 
+#: A core of so few edges has at most a million pairs of nodes, so its components are read off what reaches what, in fewer rounds.
+SMALL_CORE = 1000
+
+
 def _plain(edges: DataFrame) -> DataFrame:
     return edges.select("parent", "child").where("parent is not null and child is not null and parent <> child").distinct()
 
@@ -76,10 +80,16 @@ def _trim(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes on cycles of several nodes: component is the least node of those that reach each other.
 
-    What can be on no cycle is trimmed. Then every node takes the least node that reaches it as its colour; of a
+    What can be on no cycle is trimmed. If little is left, nodes that reach each other are paired. Else every node takes the least node that reaches it as its colour; of a
     colour, the nodes that reach the one it is named after are a component. Each time at least one component for each colour goes."""
     left, found = _trim(written(_plain(edges), "components")), []
     while not left.isEmpty():
+        if left.count() <= SMALL_CORE:
+            to = written(reach(left).select("root", "node"), "core")
+            back = to.select(F.col("node").alias("root"), F.col("root").alias("node")).hint("shuffle_merge")
+            mutual = to.join(back, ["root", "node"]).groupBy("root").agg(F.min("node").alias("least"))
+            found.append(mutual.select(F.col("root").alias("node"), F.least("root", "least").alias("colour")))
+            break
         out_of = placed(left, "parent")
         nodes = left.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
         colour = written(nodes.withColumn("colour", F.col("node")), "colours")

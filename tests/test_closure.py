@@ -51,9 +51,14 @@ def test_many_paths_make_no_more_rows(spark):
     assert graph.closure(edges(spark, pairs)).count() == sum(3 * 3 * k for k in range(7))
 
 
-def test_components_and_cycles(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_and_cycles(spark, monkeypatch, small):
+    monkeypatch.setattr(reach, "SMALL_CORE", small)
     got = {r["node"]: r["component"] for r in reach.strong_components(edges(spark, ODD)).collect()}
     assert got == {2: 2, 3: 2, 7: 7, 8: 7, 9: 7}
+
+
+def test_cycles_of_a_network(spark):
     assert {r["variable"] for r in bayes.cycles(edges(spark, ODD)).collect()} == {2, 3, 6, 7, 8, 9}
     assert bayes.cycles(edges(spark, [(1, 2)])).count() == 0 == bayes.cycles(edges(spark, [])).count()
 
