@@ -63,7 +63,8 @@ def score(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, the base counts, the ratios of the rules, base_failed and kept; one row per row.
 
     Null texts count as empty; an empty text has 0 words, null ratios, and fails the base rule.
-    Lines that hold no word are never duplicates. Other columns are not read.
+    Lines that hold no word are never duplicates. Other columns are not read. A very long text is
+    one row of one task, with an array of all its words.
     """
     text = F.coalesce("text", F.lit(""))
     counts = lambda t: let(F.regexp_extract_all(t, F.lit(WORD), 0), lambda w: F.struct(

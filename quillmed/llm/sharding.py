@@ -93,7 +93,9 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int = 2, passes: int = 6)
     quotas; then at most `passes` of levelling even the bytes to within half a percent or as far
     as whole rows allow. Null texts count as empty ones and are a group with them. A group that
     is larger than a shard spreads over several. Fewer rows than shards leave shards empty, an
-    empty table gives an empty result, and repeated rows are rows of their own.
+    empty table gives an empty result, and repeated rows are rows of their own. A very long text
+    counts with all its bytes; one that alone is larger than a shard makes its shard that large.
+    Only doc_id and text are read, so other columns may have any names.
     """
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),

@@ -78,7 +78,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Work on links is done once for each distinct fingerprint, so copies of a text add nothing.
     Rows whose doc_id is null keep their row; they don't name a component unless alone in it.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Very long texts are hashed in pieces, whole. Only doc_id
+    and text are read, so other columns may have any names.
     """
     prints = written(fingerprints(docs), "simhash-fp")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-class")

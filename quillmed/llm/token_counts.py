@@ -104,7 +104,7 @@ def _ranks(spark, path: str):
 
 def build(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
     """docs with lens and tree: the segment tree of each row's whole text. Null texts count as
-    empty; an empty text has one leaf of 0 tokens. Other columns pass through."""
+    empty; an empty text has one leaf of 0 tokens. Other columns pass through, but for columns that are named lens and tree already: these are replaced."""
     ranks = _ranks(docs.sparkSession, path)
     rows = docs.drop("lens", "tree")
 
