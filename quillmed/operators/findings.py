@@ -73,7 +73,7 @@ def theil_sen(df: DataFrame, key=SERIES, all_pairs: int = ALL_PAIRS) -> DataFram
     medians = pairs.groupBy(*key).agg(F.percentile("slope", 0.5).alias("slope"))
     if not shape.where(F.col("n") > all_pairs).isEmpty():
         medians = medians.unionByName(counted_slopes(points.where(F.col("n") > all_pairs), key))
-    return shape.select(*key).join(medians, key, "left").select(*key, F.coalesce("slope", F.lit(0.0)).alias("slope"))
+    return shape.select(*key).join(medians.hint("shuffle_merge"), key, "left").select(*key, F.coalesce("slope", F.lit(0.0)).alias("slope"))
 
 
 def _slopes_up_to(points: DataFrame, key: list[str]) -> DataFrame:

@@ -70,7 +70,7 @@ def forecast(df: DataFrame, key=SERIES, long: int | None = LONG) -> DataFrame:
     means = peaks.groupBy(*key, "state").agg((F.sum(F.col("times") * F.col("b")) / F.sum("times")).alias("guess"))
     now = states.groupBy(*key).agg(F.max_by(F.struct("state", "value"), F.struct("ts", "ord")).alias("p")).select(*key, "p.state", F.col("p.value").alias("known"))
     actual = held.where("back = 1").select(*key, F.col("value").alias("actual"))
-    m = now.join(means, [*key, "state"], "left").join(uni.select(*key, "sd", "spread"), list(key)).join(actual, list(key))
+    m = now.join(means.hint("shuffle_merge"), [*key, "state"], "left").join(uni.select(*key, "sd", "spread"), list(key)).join(actual, list(key))
     m = m.withColumn("forecast", F.when(F.col("spread") == 0, F.col("known")).otherwise(F.col("guess")))
     err = F.abs(F.col("actual") - F.col("forecast"))
     way = F.when(F.col("forecast") > F.col("known"), "Upward").when(F.col("forecast") < F.col("known"), "Downward").when(F.col("forecast").isNotNull(), "Unchanged")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmed.functions.scalars import label_stem
 
 from .reach import dependency_levels, reach  # noqa: F401  K32 is one of them
-from .scan import quantiles
+from .scan import LONG, bound, carried, over_ranges, quantiles
 from .store import written
 from .translation import rank_tails, translation_score, true_ranks  # noqa: F401  K35, K36
 
@@ -254,8 +254,8 @@ def hub_edges(docs: DataFrame, facts: DataFrame, roles: DataFrame, args: DataFra
     v = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     known = f.select(F.col("doc"), F.col("fact_id").alias("arg"))
     parts = [edge(f.select("doc", "sent").distinct(), v("D", "doc"), v("S", "sent"), F.lit("has_sentence")), edge(f, v("S", "sent"), v("F", "fact_id"), F.lit("has_fact")),
-             edge(roles.where("entity is not null").join(f, ["doc", "fact_id"], "left_semi"), v("F", "fact_id"), v("E", "entity"), F.col("role")),
-             edge(args.join(known, ["doc", "arg"], "left_semi"), v("F", "fact_id"), v("F", "arg"), F.lit("argument"))]
+             edge(roles.where("entity is not null").join(f.hint("shuffle_merge"), ["doc", "fact_id"], "left_semi"), v("F", "fact_id"), v("E", "entity"), F.col("role")),
+             edge(args.join(known.hint("shuffle_merge"), ["doc", "arg"], "left_semi"), v("F", "fact_id"), v("F", "arg"), F.lit("argument"))]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -347,16 +347,32 @@ def schema_profile(roles: DataFrame, entities: DataFrame) -> DataFrame:
         F.sum("c").alias("participation"), F.max("multi").alias("max_multiplicity"), F.bool_or("lit").alias("literal_role"))
 
 
-def unique_labels(df: DataFrame, label: str, order: list[str], reserved: list[str]) -> DataFrame:
+def unique_labels(df: DataFrame, label: str, order: list[str], reserved: list[str], long: int | None = LONG) -> DataFrame:
     """Normalised labels made unique, in the given order: a row takes its stem, or the stem with the least number,
     that no earlier row and no reserved word has.
 
     Rows of one stem start with numbers by their rank. While a label has several rows the first one keeps it, the others
-    and the later rows of their stems move on; this ends at what taking the rows one by one gives. The order must be unique."""
-    at = F.struct(*order)
-    base = df.withColumn("_stem", label_stem(F.col(label))).withColumn("_at", at)
-    n = F.row_number().over(Window.partitionBy("_stem").orderBy("_at"))
-    state = written(base.select("_stem", "_at").withColumn("_n", n).withColumn("_k", F.when(F.col("_stem").isin(*reserved), F.col("_n")).otherwise(F.col("_n") - 1)), "labels")
+    and the later rows of their stems move on; this ends at what taking the rows one by one gives. The order must be unique. A stem of very many
+    rows is numbered by ranges of the order, from the number of rows before each."""
+    base = df.withColumn("_stem", label_stem(F.col(label))).withColumn("_at", F.struct(*order))
+    long, key = bound(base, ["_stem"], long), ["_stem"]
+
+    def place(d: DataFrame, k: list[str], before: Column) -> DataFrame:
+        return d.withColumn("_n", F.row_number().over(Window.partitionBy(*k).orderBy("_at")) + before)
+
+    def placed_after(r: DataFrame) -> DataFrame:
+        c = carried(r, key, {"n": F.count("*")}, {"_upto": lambda s, before, after: F.coalesce(F.sum(s).over(before), F.lit(0))}, {"_upto": "n"})
+        return place(c, [*key, "_range"], F.col("_upto"))
+
+    def follow(d: DataFrame, k: list[str]) -> DataFrame:
+        return d.withColumn("_k", F.max(F.col("_k") - F.col("_n")).over(Window.partitionBy(*k).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n"))
+
+    def followed_after(r: DataFrame) -> DataFrame:
+        c = carried(r, key, {"m": F.max(F.col("_k") - F.col("_n"))}, {"_most": lambda s, before, after: F.max(s).over(before)}, {"_most": "m"})
+        return follow(c, [*key, "_range"]).withColumn("_k", F.greatest("_k", F.col("_most") + F.col("_n")))
+
+    first = over_ranges(base.select("_stem", "_at"), lambda d: place(d, key, F.lit(0).cast("long")), placed_after, key, ["_at"], long)
+    state = written(first.withColumn("_k", F.when(F.col("_stem").isin(*reserved), F.col("_n")).otherwise(F.col("_n") - 1)), "labels")
     named = F.when(F.col("_k") == 0, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", F.col("_k").cast("string")))
     while True:
         shown = state.withColumn("_label", named)
@@ -366,8 +382,7 @@ def unique_labels(df: DataFrame, label: str, order: list[str], reserved: list[st
             break
         met = shown.join(held.hint("shuffle_merge"), "_label", "left")
         moved = F.col("_k") + F.coalesce((F.col("_c").isNotNull() & ((F.col("_at") != F.col("_first")) | F.col("_label").isin(*reserved))).cast("int"), F.lit(0))
-        upto = Window.partitionBy("_stem").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-        state = written(met.withColumn("_k", moved).withColumn("_k", F.max(F.col("_k") - F.col("_n")).over(upto) + F.col("_n")).select("_stem", "_at", "_n", "_k"), "labels")
+        state = written(over_ranges(met.withColumn("_k", moved).select("_stem", "_at", "_n", "_k"), lambda d: follow(d, key), followed_after, key, ["_n"], long), "labels")
     return base.join(state.select("_stem", "_at", named.alias("unique_label")).hint("shuffle_merge"), ["_stem", "_at"]).select(*df.columns, "unique_label")
 
 

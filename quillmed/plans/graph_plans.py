@@ -117,7 +117,7 @@ def k07(spark, sf_dir):
     f = K.rekey_facts(facts(spark, sf_dir).select("doc", "sent", "fact_id").distinct(), ["sent", "fact_id"])
     local = entities(spark, sf_dir).select("doc", "sent", "id", "name").distinct()
     r = K.rewrite_roles(roles(spark, sf_dir), local, merged(spark, sf_dir))
-    return r.join(f.select("doc", "fact_id", "new_id"), ["doc", "fact_id"]).groupBy("doc", "new_id").agg(F.sum(F.startswith("entity", F.lit("E")).cast("long")).alias("renamed"), F.min("entity").alias("least"))
+    return r.join(f.select("doc", "fact_id", "new_id").hint("shuffle_merge"), ["doc", "fact_id"]).groupBy("doc", "new_id").agg(F.sum(F.startswith("entity", F.lit("E")).cast("long")).alias("renamed"), F.min("entity").alias("least"))
 
 
 @query("k08_rewrite_arguments", f"""
@@ -215,12 +215,15 @@ r AS (SELECT * FROM o UNION ALL SELECT d.doc, d.fact_id, 'fact_arg->' || role, l
 SELECT x.label AS s, '[' || x.role || ']:' || f.predicate || ':[' || y.role || ']' AS p, y.label AS o, count(*) AS n FROM r x JOIN r y ON x.doc = y.doc AND x.fact_id = y.fact_id AND x.role <> y.role JOIN f ON x.doc = f.doc AND x.fact_id = f.fact_id GROUP BY ALL"""
 
 
+def fact_args(f):
+    nxt = f.select("doc", "sent", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("fact_id").alias("arg"))
+    return f.where("l_linenumber in (2, 4, 5)").join(nxt.hint("shuffle_merge"), ["doc", "sent", "l_linenumber"]).select("doc", "fact_id", "arg", (F.col("l_linenumber") > 3).alias("nested")).distinct()
+
+
 @query("k15_nested_facts", NESTED)
 def k15_nested(spark, sf_dir):
     f = facts(spark, sf_dir)
-    nxt = f.select("doc", "sent", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("fact_id").alias("arg"))
-    args = f.where("l_linenumber in (2, 4, 5)").join(nxt.hint("shuffle_merge"), ["doc", "sent", "l_linenumber"]).select("doc", "fact_id", "arg", (F.col("l_linenumber") > 3).alias("nested")).distinct()
-    return K.nested_role_pairs(roles(spark, sf_dir), f, args)
+    return K.nested_role_pairs(roles(spark, sf_dir), f, fact_args(f))
 
 
 @query("k16_argument_pairs", f"""
@@ -273,12 +276,14 @@ def k19(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", K.truth_scalar(tv).alias("second"), K.truth_scalar(tv, "first").alias("first"))
 
 
-HUB = f"""SELECT DISTINCT 'D' || doc AS src, 'S' || sent AS dst, 'has_sentence' AS label FROM ({FACTS}) UNION ALL SELECT 'S' || sent, 'F' || fact_id, 'has_fact' FROM ({FACTS}) UNION ALL SELECT 'F' || fact_id, 'E' || entity, role FROM ({ROLES}) WHERE entity IS NOT NULL"""
+HUB = f"""SELECT DISTINCT 'D' || doc AS src, 'S' || sent AS dst, 'has_sentence' AS label FROM ({FACTS}) UNION ALL SELECT 'S' || sent, 'F' || fact_id, 'has_fact' FROM ({FACTS}) UNION ALL SELECT 'F' || fact_id, 'E' || entity, role FROM ({ROLES}) WHERE entity IS NOT NULL
+ UNION ALL SELECT 'F' || fact_id, 'F' || arg, 'argument' FROM ({ARGS})"""
 
 
 def hub(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return K.hub_edges(f.select("doc").distinct(), f, roles(spark, sf_dir), f.select("doc", "fact_id", F.lit("gone").alias("arg")))
+    args = fact_args(f).select("doc", "fact_id", "arg").unionAll(f.select("doc", "fact_id", F.lit("gone")))  # some exist, some don't
+    return K.hub_edges(f.select("doc").distinct(), f, roles(spark, sf_dir), args)
 
 
 @query("k20_hub_edges", f"SELECT label, src, count(*) AS n, min(dst) AS least FROM ({HUB}) GROUP BY label, src")

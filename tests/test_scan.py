@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmed.operators import findings, fuzzy, lab, scan, trend
+from quillmed.operators import findings, fuzzy, graph, lab, scan, trend
 from quillmed.operators.fuzzy import fuzzify, fuzzy_sets, universe
 
 HUGE = 1 << 40
@@ -49,6 +49,7 @@ CASES = {
     "spikes": lambda d, n: trend.spike_limits(d, "value", 50.0, long=n), "profile": profiled, "segments": lambda d, n: trend.segments(profiled(d, HUGE), long=n), "steps": lambda d, n: findings.steps(d, long=n),
     "hold out": lambda d, n: fuzzy.hold_out(d, long=n), "rules": lambda d, n: fuzzy.rule_base(fuzzify(d, fuzzy_sets(universe(d))), long=n),
     "interpolate": lambda d, n: trend.interpolate(BINS(d), long=min(n, 5) if n < HUGE else n), "fill": lambda d, n: trend.fill(BINS(d), long=min(n, 5) if n < HUGE else n),
+    "labels": lambda d, n: graph.unique_labels(d.select("ord", F.concat(F.coalesce("test", F.lit("-")), F.when(F.col("ord") % 40 == 0, "_3").otherwise("")).alias("name")), "name", ["ord"], ["a", "hot_2"], n),
     "dates": lambda d, n: lab.fill_dates(d.select("test", "ord", F.when(F.col("ord") % 45 == 0, F.col("ts").cast("string")).otherwise("-").alias("Date")), "test", ["ord"], long=n)}
 
 
