@@ -183,13 +183,14 @@ def n15(spark, sf_dir):
     return sents(spark, sf_dir).select("doc_id", "sent_id", N.rebuild(N.tokenise(F.col("sentence"))).alias("text")).where("text <> ''")
 
 
-#: S5 and S8 on the same rows: annotation lines of every document are made, read back and counted.
+#: S5 and S8 on the same rows: annotation files of all documents are written, read back and counted.
 @query("s05_s08_annotation_round_trip", f"""SELECT doc_id, sent_id + 1 AS sent_no, count(*) AS n, count(*) FILTER (WHERE tag <> '_') AS marked, md5(string_agg(token, ' ' ORDER BY pos)) AS tokens FROM (SELECT *, {PRED_TAG} AS tag FROM ({TOKENS})) GROUP BY doc_id, sent_id""")
 def s05(spark, sf_dir):
     s = sents(spark, sf_dir).where("size(regexp_extract_all(sentence, '[^\\\\s]', 0)) > 0")
     t = N.token_table(sents(spark, sf_dir)).withColumn("tag", F.expr(PRED_TAG)).join(s.hint("shuffle_merge"), ["doc_id", "sent_id"])
-    lines = files.tsv_lines(t).withColumn("n", F.col("sent_id").cast("long") * (1 << 31) + F.col("k"))
-    back = files.parse_tsv(lines, ["doc_id"], "n").withColumn("sent_id", F.split(F.col("span"), "-")[0])
+    path = f"{shared_dir(spark)}/annotations-{uuid.uuid4().hex}"
+    files.write_tsv(t, path)
+    back = files.read_tsv(spark, path).withColumn("doc_id", F.col("doc").cast("long"))
     first = s.select("doc_id", "sent_id", (F.row_number().over(N.Window.partitionBy("doc_id").orderBy("sent_id"))).alias("sent_no"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
     got = back.groupBy("doc_id", "sent_no").agg(F.count("*").alias("n"), F.sum((F.col("tag") != "_").cast("long")).alias("marked"), F.md5(text).alias("tokens"))

@@ -48,10 +48,12 @@ def parse_tsv(lines: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """S5 over files: whole files are split into numbered lines, so order never rests on how a file is read."""
+    """S5 over files: path, doc (of the '#Doc=' line above, null without one) and the columns of parse_tsv. Whole files are split into numbered lines, so order never rests on how a file is read."""
     files = read_documents(spark, path)
     lines = files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
-    return parse_tsv(lines, ["path"], "n")
+    named = F.when(F.startswith(F.col("line"), F.lit("#Doc=")), F.substring("line", 6, 1 << 30))
+    lines = lines.withColumn("doc", F.last(named, ignorenulls=True).over(Window.partitionBy("path").orderBy("n")))
+    return parse_tsv(lines, ["path", "doc"], "n")
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
@@ -74,11 +76,16 @@ def tsv_lines(tokens: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [head, body, tail])
 
 
-def write_tsv(tokens: DataFrame, path: str) -> None:
-    """One folder per document, its lines in order."""
-    lines = tsv_lines(tokens)
-    ordered = lines.repartition("doc_id").sortWithinPartitions("doc_id", "sent_id", "k").select("doc_id", "line")
-    ordered.write.mode("overwrite").partitionBy("doc_id").text(path)
+#: Documents of an annotation file, by expectation: a file is read whole.
+DOCUMENTS = 500
+
+
+def write_tsv(tokens: DataFrame, path: str, documents: int = DOCUMENTS) -> None:
+    """Files of some `documents` documents, in order; a document lies in one file, under a line '#Doc=' with its id."""
+    names = tokens.select("doc_id").distinct().select("doc_id", F.lit(-1).alias("sent_id"), F.lit(0).alias("k"), F.concat(F.lit("#Doc="), F.col("doc_id").cast("string")).alias("line"))
+    lines = tsv_lines(tokens).unionByName(names)
+    files = max(1, -(-tokens.select(F.approx_count_distinct("doc_id")).first()[0] // documents))
+    lines.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "sent_id", "k").select("line").write.mode("overwrite").text(path)
 
 
 def child_key(*cols: Column) -> Column:

@@ -67,10 +67,16 @@ def test_annotation_files_round_trip(spark, tmp_path):
     t = spans.token_table(s).withColumn("tag", F.when(F.col("token").isin("Fever", "cough"), "SYM").otherwise("_")).join(s, ["doc_id", "sent_id"])
     files.write_tsv(t, str(tmp_path / "out"))
     text = "\n".join(p.read_text() for p in (tmp_path / "out").rglob("*.txt"))
-    assert text.splitlines()[:3] == ["#Text=Fever and cough.", "1-1\t0-5\tFever\tSYM", "1-2\t6-9\tand\t_"]
+    assert text.splitlines()[:4] == ["#Doc=7", "#Text=Fever and cough.", "1-1\t0-5\tFever\tSYM", "1-2\t6-9\tand\t_"]
     (tmp_path / "one.tsv").write_text("#FORMAT=WebAnno TSV 3.3\n\n" + text + "\nbad line\n")
     back = files.read_tsv(spark, str(tmp_path / "one.tsv"))
-    assert back.count() == 6 and {r["token"] for r in back.where("tag = 'SYM'").collect()} == {"Fever", "cough"}
+    assert back.count() == 6 and {r["token"] for r in back.where("tag = 'SYM'").collect()} == {"Fever", "cough"} and {r["doc"] for r in back.collect()} == {"7"}
+    many = t.unionAll(t.withColumn("doc_id", F.lit(8))).unionAll(t.withColumn("doc_id", F.lit(30)))
+    files.write_tsv(many, str(tmp_path / "many"), documents=1)
+    again = files.read_tsv(spark, str(tmp_path / "many"))
+    assert {(r["doc"], r["n"]) for r in again.groupBy("doc").agg(F.count("*").alias("n")).collect()} == {("7", 6), ("8", 6), ("30", 6)} and again.select("path").distinct().count() > 1
+    (tmp_path / "bare.tsv").write_text("#Text=No pain\n1-1\t0-2\tNo\t_\n")
+    assert files.read_tsv(spark, str(tmp_path / "bare.tsv")).first()["doc"] is None
 
 
 def test_scores_count_empty_sentences(spark):
