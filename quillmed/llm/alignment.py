@@ -505,7 +505,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, part: int = PART, chunk: in
 
     ddl = "_row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long, rare array<struct<pair: long, times: long>>"
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
-    done = aligned.select("_row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times").mapInArrow(look_up, ddl)
+    # rows are numbered anew, in the written table, as the numbers above come from several reads of docs
+    done = aligned.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times").mapInArrow(look_up, ddl)
     if counts.count() == known.num_rows:
         return done.select(columns)
     done = written(done, "align-looked-up")
