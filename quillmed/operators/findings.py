@@ -27,13 +27,17 @@ def in_order(key=SERIES):
     return Window.partitionBy(*key).orderBy("ts", "ord")
 
 
-def context(df: DataFrame, key=SERIES) -> DataFrame:
-    """B1: 'Unknown' without rows, 'Current' for one, else 'Last N Months' of 30 days, N at least
+def context_label() -> Column:
+    """B1 as an aggregate: 'Unknown' without rows, 'Current' for one, else 'Last N Months' of 30 days, N at least
     1 and rounded half to even."""
     days = day_span(F.max("ts"), F.min("ts"))
-    label = (F.when(F.count("ts") == 0, "Unknown").when(F.count("ts") == 1, "Current")
-             .otherwise(F.concat(F.lit("Last "), F.greatest(F.lit(1), F.bround(days / 30).cast("int")).cast("string"), F.lit(" Months"))))
-    return df.groupBy(*key).agg(label.alias("context"))
+    return (F.when(F.count("ts") == 0, "Unknown").when(F.count("ts") == 1, "Current")
+            .otherwise(F.concat(F.lit("Last "), F.greatest(F.lit(1), F.bround(days / 30).cast("int")).cast("string"), F.lit(" Months"))))
+
+
+def context(df: DataFrame, key=SERIES) -> DataFrame:
+    """B1."""
+    return df.groupBy(*key).agg(context_label().alias("context"))
 
 
 def steps(df: DataFrame, key=SERIES, long: int | None = LONG) -> DataFrame:
@@ -126,18 +130,37 @@ def counted_slopes(points: DataFrame, key: list[str]) -> DataFrame:
     return state.groupBy(*key).agg(F.avg((F.col("low") + F.col("high")) / 2).alias("slope"))
 
 
-def trend(df: DataFrame, bounds: DataFrame | None = None, key=SERIES) -> DataFrame:
-    """No Trend, Up, Down, Stable or Fluctuating. bounds(test, per_day_high) may give the slope's threshold."""
-    shape = df.groupBy(*key).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), day_span(F.max("ts"), F.min("ts")).alias("days"))
-    s = shape.join(monotonic(df, key), list(key)).join(theil_sen(df, key), list(key))
-    s = s.join(sized(bounds), "test", "left") if bounds is not None else s.withColumn("per_day_high", F.lit(None).cast("double"))
+#: What a row of bounds may say of a test.
+BOUNDS = {"per_day_high": "double", "rate_low": "double", "rate_high": "double", "rate_unit": "string", "low": "double", "high": "double"}
+
+
+def summary(df: DataFrame, bounds: DataFrame | None = None, key=SERIES, **also: Column) -> DataFrame:
+    """B1-B4, B11 and the last point of each series together: key, n, context, slope, trend, rate, rate_status, value and ts of the last point, the
+    columns of BOUNDS that bounds(test, ..) gives (null for the others), and the aggregates of also. One grouped pass over the steps of the series; only the slopes are joined."""
+    at = F.struct("ts", "ord")
+    one = steps(df, key).groupBy(*key).agg(
+        context_label().alias("context"), F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), day_span(F.max("ts"), F.min("ts")).alias("d"), F.bool_and(F.col("step") > 0).alias("rising"),
+        F.bool_and(F.col("step") < 0).alias("falling"), F.min_by("value", at).alias("v0"), F.max_by(F.struct("value", "ts"), at).alias("p"), *(c.alias(k) for k, c in also.items()))
+    s = one.join(theil_sen(df, key), list(key)).withColumn("v1", F.col("p.value"))
+    s = s.join(sized(bounds), "test", "left") if bounds is not None else s
+    s = s.withColumns({c: F.lit(None).cast(t) for c, t in BOUNDS.items() if c not in s.columns})
+    s = with_rate(s.withColumn("trend", trend_label()))
+    return s.select(*key, "n", "context", "slope", "trend", "rate", "rate_status", F.col("p.value").alias("value"), F.col("p.ts").alias("ts"), *BOUNDS, *also)
+
+
+def trend_label() -> Column:
+    """No Trend, Up, Down, Stable or Fluctuating, from n, rising, falling, slope, lo, hi, d (days) and per_day_high."""
     spread, mid = F.col("hi") - F.col("lo"), (F.col("hi") + F.col("lo")) / 2
     limit = (F.when(F.coalesce("per_day_high", F.lit(0.0)) != 0, F.col("per_day_high")).when(spread == 0, 0.0)
-             .otherwise(0.2 * spread / F.greatest(F.lit(1), F.col("days"))))
+             .otherwise(0.2 * spread / F.greatest(F.lit(1), F.col("d"))))
     near = F.coalesce(spread / F.nullif(mid, F.lit(0.0)) < 0.05, F.lit(False))
-    label = (F.when(F.col("n") < 2, "No Trend").when(F.col("rising"), "Up").when(F.col("falling"), "Down")
-             .when(F.col("slope") > limit, "Up").when(F.col("slope") < -limit, "Down").when(near, "Stable").otherwise("Fluctuating"))
-    return s.select(*key, "n", "slope", label.alias("trend"))
+    return (F.when(F.col("n") < 2, "No Trend").when(F.col("rising"), "Up").when(F.col("falling"), "Down")
+            .when(F.col("slope") > limit, "Up").when(F.col("slope") < -limit, "Down").when(near, "Stable").otherwise("Fluctuating"))
+
+
+def trend(df: DataFrame, bounds: DataFrame | None = None, key=SERIES) -> DataFrame:
+    """B4. bounds(test, per_day_high) may give the slope's threshold."""
+    return summary(df, bounds, key).select(*key, "n", "slope", "trend")
 
 
 def status(value: Column, low: Column, high: Column) -> Column:
@@ -216,17 +239,21 @@ def critical_status(df: DataFrame, rules: DataFrame, key=SERIES) -> DataFrame:
     return best.select(*key, F.col("b.kind").alias("kind"), F.col("b.at").alias("at"))
 
 
+def with_rate(m: DataFrame) -> DataFrame:
+    """B11 on rows with n, v0, v1, d (days), rate_low, rate_high and rate_unit: adds rate and rate_status."""
+    change = (F.col("v1") - F.col("v0")) / F.greatest(F.lit(1), F.col("d"))
+    rate = F.when(F.rlike(F.coalesce("rate_unit", F.lit("")), F.lit("%|percent")), 100 * change / F.nullif(F.abs("v0"), F.lit(0.0))).otherwise(change)
+    m = m.withColumn("rate", F.when(F.col("n") > 1, rate))
+    s = F.when(F.col("rate").isNotNull() & (F.col("rate_low").isNotNull() | F.col("rate_high").isNotNull()), status(F.abs("rate"), F.col("rate_low"), F.col("rate_high")))
+    return m.withColumn("rate_status", s)
+
+
 def average_rate(df: DataFrame, bounds: DataFrame, key=SERIES) -> DataFrame:
     """Change per day from the first to the last point and its status. bounds(test,
     rate_low, rate_high, rate_unit): in percent the change is relative to the first value, null if that is 0. One point has no rate."""
     order = F.struct("ts", "ord")
     ends = df.groupBy(*key).agg(F.count("*").alias("n"), F.min_by("value", order).alias("v0"), F.max_by("value", order).alias("v1"), day_span(F.max("ts"), F.min("ts")).alias("d"))
-    m = ends.join(sized(bounds), "test", "left").withColumn("days", F.greatest(F.lit(1), F.col("d")))
-    change = (F.col("v1") - F.col("v0")) / F.col("days")
-    rate = F.when(F.rlike(F.coalesce("rate_unit", F.lit("")), F.lit("%|percent")), 100 * change / F.nullif(F.abs("v0"), F.lit(0.0))).otherwise(change)
-    m = m.withColumn("rate", F.when(F.col("n") > 1, rate))
-    s = F.when(F.col("rate").isNotNull() & (F.col("rate_low").isNotNull() | F.col("rate_high").isNotNull()), status(F.abs("rate"), F.col("rate_low"), F.col("rate_high")))
-    return m.select(*key, "rate", s.alias("rate_status"))
+    return with_rate(ends.join(sized(bounds), "test", "left")).select(*key, "rate", "rate_status")
 
 
 #: Ratio, numerator, denominator, and what the numerator is taken from the denominator (or null).
@@ -250,9 +277,6 @@ def ratios(df: DataFrame, definitions=RATIOS, entity: str = "entity") -> DataFra
 
 def report(df: DataFrame, bounds: DataFrame, key=SERIES) -> DataFrame:
     """One row per series: its points in order, context, trend, status, rate and bounds."""
-    points = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ts", "ord", "value"))).alias("points"))
-    b = bounds.select("test", "low", "high")
-    with_own = df.withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
-    parts = [context(df, key), trend(df, bounds.select("test", "per_day_high"), key), latest_status(with_own, b, key), average_rate(df, bounds.select("test", "rate_low", "rate_high", "rate_unit"), key)]
-    out = reduce(lambda x, y: x.join(y, list(key)), parts, points)
-    return out.join(sized(b), "test", "left")
+    points = F.array_sort(F.collect_list(F.struct("ts", "ord", "value")))
+    s = summary(df, bounds.select("test", *(c for c in BOUNDS if c in bounds.columns)), key, points=points)
+    return s.select(*key, "points", "context", "n", "slope", "trend", "value", status(F.col("value"), F.col("low"), F.col("high")).alias("status"), "rate", "rate_status", "low", "high")

@@ -178,8 +178,5 @@ SELECT t.entity, t.test, t.n, c.context, round(t.slope, 6) AS slope, t.trend, ro
  JOIN ({CONTEXT}) c USING (entity, test) JOIN ({RATE}) a USING (entity, test) JOIN ({LAST}) l USING (entity, test)""")
 def flagship(spark, sf_dir):
     """One row per series: context, trend, rate and the label of the last value."""
-    s = series(spark, sf_dir)
-    none = rows(spark, "test string, rate_low double, rate_high double, rate_unit string")
     label = F.when(F.col("value") < 20, "LOW").when(F.col("value") > 80, "HIGH").otherwise("NORMAL")
-    out = B.trend(s).join(B.context(s), ["entity", "test"]).join(B.average_rate(s, none), ["entity", "test"]).join(B.latest(s), ["entity", "test"])
-    return out.select("entity", "test", "n", "context", F.round("slope", 6).alias("slope"), "trend", F.round("rate", 6).alias("rate"), F.col("value").alias("last_value"), label.alias("last_label"))
+    return B.summary(series(spark, sf_dir)).select("entity", "test", "n", "context", F.round("slope", 6).alias("slope"), "trend", F.round("rate", 6).alias("rate"), F.col("value").alias("last_value"), label.alias("last_label"))
