@@ -73,15 +73,16 @@ def gate(logic: Column, n: Column, k: Column) -> Column:
 ABSENT = ("NOT", "NAND", "NOR", "NXOR")
 
 
-def evaluate_gates(causes: DataFrame, findings: DataFrame) -> DataFrame:
+def evaluate_gates(causes: DataFrame, findings: DataFrame, every: bool = False) -> DataFrame:
     """causes(relation, cause, logic, effect) over findings(entity, cause, flag) -> (entity, relation, effect, holds): whether a relation's gate
-    holds, for each relation of which the entity shows a cause, and, of the other relations, those whose gate holds without any. Absent findings are false.
+    holds, for each relation of which the entity shows a cause, and, of the other relations, those whose gate holds without any; with every, each relation for each entity. Absent findings are false.
 
-    Causes meet findings by an equality join; only relations that hold without findings meet every entity, in blocks."""
+    Causes meet findings by an equality join; only relations that hold without findings (with every, all) meet every entity, in blocks."""
     total = written(causes.groupBy("relation", "logic", "effect").agg(F.count("*").alias("n")), "relations")
     hit = findings.where("flag").select("entity", "cause").distinct().join(sized(causes.select("cause", "relation", "logic", "effect")), "cause").groupBy("entity", "relation", "logic", "effect").agg(F.count("*").alias("k"))
     hit = written(hit, "relations-hit")
     met = hit.join(sized(total), ["relation", "logic", "effect"]).select("entity", "relation", "effect", gate(F.col("logic"), F.col("n"), F.col("k")).alias("holds"))
-    none = in_blocks(findings.select("entity").distinct(), total.where(F.col("logic").isin(*ABSENT) & gate(F.col("logic"), F.col("n"), F.lit(0))))
+    bare = F.coalesce(gate(F.col("logic"), F.col("n"), F.lit(0)), F.lit(False))
+    none = in_blocks(findings.select("entity").distinct(), total.withColumn("bare", bare).where(F.lit(every) | F.col("logic").isin(*ABSENT) & F.col("bare")))
     rest = none.join(hit.select("entity", "relation", "logic", "effect").hint("shuffle_merge"), ["entity", "relation", "logic", "effect"], "left_anti")
-    return met.unionByName(rest.select("entity", "relation", "effect", F.lit(True).alias("holds")))
+    return met.unionByName(rest.select("entity", "relation", "effect", F.col("bare").alias("holds")))

@@ -83,7 +83,7 @@ RULES_SQL = "(VALUES " + ", ".join(str(r) for r in RULES) + ") AS c(relation, ca
 
 @query("r03_evaluate_gates", f"""
 WITH f AS (SELECT user_id AS entity, event_type AS cause, max(value) > 120 AS flag FROM events GROUP BY ALL), k AS (SELECT e.entity, c.relation, any_value(c.logic) AS logic, any_value(c.effect) AS effect, count(*) AS n, count(*) FILTER (WHERE f.flag) AS k FROM (SELECT DISTINCT entity FROM f) e CROSS JOIN {RULES_SQL} LEFT JOIN f ON f.entity = e.entity AND f.cause = c.cause GROUP BY ALL)
-SELECT entity, relation, effect, CASE logic WHEN '-' THEN k = 1 WHEN 'NOT' THEN k = 0 WHEN 'AND' THEN k = n WHEN 'OR' THEN k >= 1 WHEN 'XOR' THEN k = 1 WHEN 'NAND' THEN k < n WHEN 'NOR' THEN k = 0 ELSE k = 0 OR k = n END AS holds FROM k WHERE k > 0 OR logic IN ('NOT', 'NAND', 'NOR', 'NXOR')""")
+SELECT entity, relation, effect, CASE logic WHEN '-' THEN k = 1 WHEN 'NOT' THEN k = 0 WHEN 'AND' THEN k = n WHEN 'OR' THEN k >= 1 WHEN 'XOR' THEN k = 1 WHEN 'NAND' THEN k < n WHEN 'NOR' THEN k = 0 ELSE k = 0 OR k = n END AS holds FROM k""")
 def r03(spark, sf_dir):
     f = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("entity"), F.col("event_type").alias("cause")).agg((F.max("value") > 120).alias("flag"))
-    return I.evaluate_gates(rows(spark, "relation string, cause string, logic string, effect string", *RULES), f)
+    return I.evaluate_gates(rows(spark, "relation string, cause string, logic string, effect string", *RULES), f, every=True)
