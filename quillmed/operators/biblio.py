@@ -93,10 +93,12 @@ def doi_of(link: Column) -> Column:
     return F.when(F.rlike(link, F.lit(r"^https?://[^/]*doi\.org/")), F.nullif(F.regexp_extract(link, r"^https?://[^/]*doi\.org/+(.*)$", 1), F.lit("")))
 
 
-def link_outcome(df: DataFrame, link: str) -> DataFrame:
-    """(status, n): how many links were found, and how many are missing."""
+def link_outcome(df: DataFrame, key: str, link: str, sample: int = 20) -> DataFrame:
+    """(status, n, sample): how many links were found, how many are missing, and the least keys without one; unresolved() gives them all."""
     status = F.when(F.col(link).isNotNull(), "found").otherwise("missing")
-    return df.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    s = df.select(status.alias("status"), key)
+    least = s.where("status = 'missing'").orderBy(key).limit(sample).groupBy("status").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").alias("sample"))
+    return s.groupBy("status").agg(F.count("*").alias("n")).join(F.broadcast(least), "status", "left")
 
 
 def unresolved(df: DataFrame, key: str, link: str) -> DataFrame:

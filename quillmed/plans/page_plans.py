@@ -87,9 +87,10 @@ def _links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.first_link(F.col("html"), F.col("url"), "an").alias("link"))
 
 
-@query("p11_link_outcome", f"SELECT CASE WHEN {HIT} IS NULL THEN 'missing' ELSE 'found' END AS status, count(*) AS n FROM pages GROUP BY status")
+@query("p11_link_outcome", f"""
+WITH s AS (SELECT page_id, CASE WHEN {HIT} IS NULL THEN 'missing' ELSE 'found' END AS status FROM pages) SELECT status, count(*) AS n, CASE WHEN status = 'missing' THEN (SELECT string_agg(page_id, ',' ORDER BY page_id) FROM (SELECT page_id FROM s WHERE status = 'missing' ORDER BY page_id LIMIT 20)) END AS sample FROM s GROUP BY status""")
 def p11(spark, sf_dir):
-    return P.link_outcome(_links(spark, sf_dir), "link")
+    return P.link_outcome(_links(spark, sf_dir), "page_id", "link")
 
 
 @query("p11_unresolved", f"SELECT page_id FROM pages GROUP BY page_id HAVING count({HIT}) = 0")
