@@ -55,3 +55,16 @@ def test_link_outcome_shows_the_least_keys_without_a_link(spark):
     d = spark.createDataFrame([(k, "u" if k % 3 == 0 else None) for k in range(90)], "id long, link string")
     got = {r["status"]: (r["n"], r["sample"]) for r in biblio.link_outcome(d, "id", "link", 4).collect()}
     assert got == {"found": (30, None), "missing": (60, "1,2,4,5")}
+
+
+def test_pairs_of_roles_whose_names_read_alike(spark):
+    from collections import Counter
+
+    from quillmed.operators import graph
+
+    facts = {1: ("p", [("a", "x"), ("b", "y"), ("b", "z"), ("c", None)]), 2: ("p", [("b", "y"), ("a", "x")]), 3: ("p]:x:[b", [("a", "x"), ("c", "y")]), 4: ("x", [("a", "x"), ("b]:p]:x:[b", "y")]), 5: ("p", [("a]:p", "x"), ("b", "y"), ("a", "x")])}
+    r = spark.createDataFrame([(1, str(k), p, role, x) for k, (p, rs) in facts.items() for role, x in rs], "doc long, fact_id string, predicate string, role string, entity string").withColumns({"literal": F.lit(None).cast("string"), "datatype": F.lit(None).cast("string")})
+    want = Counter((x, f"[{a}]:{p}:[{b}]", y) for p, rs in facts.values() for a, x in rs for b, y in rs if a != b)
+    got = graph.role_pairs(r)
+    assert Counter({(t["s"], t["p"], t["o"]): t["n"] for t in got.collect()}) == want and got.count() == len(want)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2  # facts, then pairs, once
