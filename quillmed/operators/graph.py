@@ -171,15 +171,15 @@ def role_pairs(roles: DataFrame) -> DataFrame:
 def _pair_up(r: DataFrame) -> DataFrame:
     """Pairs are shuffled once, and a pair and its reverse as one row, which both are read off after counting. Names with brackets could read alike when put
     together, so pairs of those go both ways and by the name they make; they never read like the others, which have no more brackets than are put in."""
-    both = r.groupBy("doc", "fact_id", "predicate").agg(F.collect_list(F.struct("role", "label")).alias("r"))
     odd = lambda c: F.rlike(c, F.lit(r"[\[\]]"))
-    plain = ~F.coalesce(odd(F.col("predicate")) | F.exists("r", lambda x: odd(x["role"])), F.lit(True))
+    both = r.where("role is not null").groupBy("doc", "fact_id", "predicate").agg(F.collect_list(F.struct("role", "label", odd("role").alias("odd"))).alias("r"))
+    plain = lambda x, y: ~(F.coalesce(odd("predicate"), F.lit(True)) | x["odd"] | y["odd"])
     name = lambda role, predicate, role2: F.format_string("[%s]:%s:[%s]", role, predicate, role2)
-    pair = lambda x, y: F.when(F.col("_plain"), F.struct(x["label"].alias("s"), F.col("predicate").alias("p"), x["role"].alias("x"), y["role"].alias("y"), y["label"].alias("o"))).otherwise(
+    pair = lambda x, y: F.when(plain(x, y), F.struct(x["label"].alias("s"), F.col("predicate").alias("p"), x["role"].alias("x"), y["role"].alias("y"), y["label"].alias("o"))).otherwise(
         F.struct(x["label"].alias("s"), name(x["role"], F.col("predicate"), y["role"]).alias("p"), F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y"), y["label"].alias("o")))
-    wanted = lambda x, y: F.when(F.col("_plain"), x["role"] < y["role"]).otherwise(x["role"] != y["role"])
+    wanted = lambda x, y: F.when(plain(x, y), x["role"] < y["role"]).otherwise(x["role"] != y["role"])
     pairs = F.flatten(F.transform("r", lambda x: F.transform(F.filter("r", lambda y: wanted(x, y)), lambda y: pair(x, y))))
-    a = both.withColumn("_plain", plain).select(F.explode_outer(pairs).alias("t")).where("t is not null")  # a plain explode would make the pairs twice
+    a = both.select(F.explode_outer(pairs).alias("t")).where("t is not null")  # a plain explode would make the pairs twice
     n = a.groupBy("t.s", "t.p", "t.x", "t.y", "t.o").agg(F.count("*").alias("n"))
     triple = lambda s, p, o: F.struct(F.col(s).alias("s"), p.alias("p"), F.col(o).alias("o"), F.col("n"))
     ways = F.when(F.col("x").isNull(), F.array(triple("s", F.col("p"), "o"))).otherwise(F.array(triple("s", name(F.col("x"), F.col("p"), F.col("y")), "o"), triple("o", name(F.col("y"), F.col("p"), F.col("x")), "s")))
