@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of their word shingles: SimHash fingerprints and MinHash bands find candidates, whole shingle sets verify them."""
+"""Near copies by the Jaccard similarity of their word shingles: SimHash fingerprints and MinHash bands find most groups, prefixes
+of the shingle sets every pair between groups that these missed; whole shingle sets verify all."""
 
 from __future__ import annotations
 
@@ -14,6 +15,13 @@ BANDS, ROWS = 24, 5
 SEED = 42
 #: Up to so many members all pairs are candidates; beyond, each member meets two centres.
 SMALL = 4
+#: Distinct texts whose shingles are counted to order prefixes; shingles that LEAST_COMMON of them or more hold come last, the commonest at the very end.
+#: Any order finds all pairs; this one keeps common shingles out of prefixes. At most MOST_COMMON of them are handed to the tasks.
+SAMPLE, LEAST_COMMON, MOST_COMMON = 20_000, 3, 200_000
+#: Members of a shingle that are paired in one row; those of a commoner one are paired block by block.
+BLOCK = 256
+#: Rows of whole texts or sets that a Python task takes at a time.
+BATCH_ROWS = 500
 #: Counted first; more candidates than this are joined by a shuffle.
 MOST_BROADCAST = 300_000
 
@@ -110,7 +118,7 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                n = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
+                n = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9 else 0
                 keep.append(n >= similarity * (len(a) + len(b) - n) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
@@ -131,31 +139,123 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("set", "text").mapInArrow(run, "set long, s binary")
 
 
+def common_shingles(docs: DataFrame, words: int, sample: int = SAMPLE):
+    """Hashes of the shingles that are common among some `sample` distinct texts of docs(th, text), in ascending order of hash, and their ranks from 1, the rarest first."""
+    import numpy as np
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(t.as_py(), words, xxhash.xxh64_intdigest, np).view(np.int64))], names=["h"])
+
+    share = max(1, docs.agg(F.approx_count_distinct("th")).first()[0] // sample)
+    texts = docs.where(F.pmod(F.xxhash64("th"), F.lit(share)) == 0).dropDuplicates(["th"]).select("text")
+    counts = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COMMON)
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    h = np.array([r["h"] for r in reversed(found)], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], order + 1
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float, common) -> DataFrame:
+    """docs(set, text) -> (set, size, keys): of a text's n shingles the first n - ceil(similarity * n) + 1 in one order of all shingles: rare ones by hash, then common ones.
+    Two sets of this similarity share at least ceil(similarity * n) shingles, so one at least of each one's prefix is in the other's."""
+    def run(batches):
+        import math
+
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        h, rank = common
+        for batch in batches:
+            sizes, keys = [], []
+            for t in batch.column(1):
+                s = _shingles(t.as_py(), words, xxhash.xxh64_intdigest, np)
+                if len(h):
+                    at = np.minimum(np.searchsorted(h, s), len(h) - 1)
+                    s = s[np.argsort(np.where(h[at] == s, rank[at], 0), kind="stable")]
+                sizes.append(len(s))
+                keys.append(s[:len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["set", "size", "keys"])
+
+    return docs.select("set", "text").mapInArrow(run, "set long, size int, keys array<long>")
+
+
+def prefix_candidates(sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """sets(set, size, keys, root) -> (u, v): all pairs of different roots that share a shingle of their prefixes and may have the similarity by their
+    sizes and by what follows the shingle in both. Members of a shingle are dealt over blocks, and each two blocks meet in a row of their own."""
+    keyed = sets.select("set", "size", "root", F.posexplode("keys").alias("at", "key"))
+    many = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    many = written(many.where("least < most").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "near-keys")
+    part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
+    dealt = keyed.join(many.hint("shuffle_merge"), "key").withColumn("part", part)
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = dealt.withColumn("other", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.struct("set", "size", "root", "at", "part").alias("m"))
+    rows = cells.groupBy("key", "i", "j").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, j, ms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s, size, root, at, part = (c.to_numpy(zero_copy_only=False) for c in ms.values.flatten())
+                a, b = np.nonzero(part == i)[0], np.nonzero(part == j)[0]
+                size, at = size.astype(np.float64), at.astype(np.float64)
+                rest = size - at  # the shingle itself, and those after it
+                need = similarity / (1 + similarity) * (size[a][:, None] + size[b][None, :]) - 1e-6
+                fits = (root[a][:, None] != root[b][None, :]) & (np.minimum(rest[a][:, None], rest[b][None, :]) >= need)
+                x, y = np.nonzero(fits & (np.minimum(size[a][:, None], size[b][None, :]) >= similarity * np.maximum(size[a][:, None], size[b][None, :]) - 1e-6))
+                x, y = s[a[x]], s[b[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+
+    return rows.select("i", "j", "ms").mapInArrow(run, "u long, v long").distinct()
+
+
 def _at(docs: DataFrame, owners: DataFrame, how: str = "inner") -> DataFrame:
     """docs with th, joined with owners by (doc_id, th); a missing doc_id equals a missing one."""
     o = owners.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
     return docs.join(o, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), how).drop("_d", "_t")
 
 
+def _verified(pairs: DataFrame, classes: DataFrame, hashed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the written pairs(u, v) whose whole shingle sets have the similarity."""
+    nodes = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()
+    owners = written(classes.join(nodes.hint("shuffle_merge"), "set", "left_semi").select("set", "own.doc_id", "own.th"), "near-owners")
+    owners = F.broadcast(owners) if owners.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else owners.hint("shuffle_merge")
+    texts = _at(hashed.select("doc_id", "th", "text"), owners)
+    sets = written(shingle_sets(texts, words).groupBy("set").agg(F.first("s").alias("s")), "near-sets", BATCH_ROWS)
+    left = pairs.join(sets.select(F.col("set").alias("u"), F.col("s").alias("a")).hint("shuffle_merge"), "u")
+    met = left.join(sets.select(F.col("set").alias("v"), F.col("s").alias("b")).hint("shuffle_merge"), "v")
+    return written(_similar(met, similarity), "near-links", BATCH_ROWS)
+
+
 def representatives(docs: DataFrame, hashed: DataFrame, words: int, similarity: float) -> DataFrame:
     """docs with one row of each group that texts of this similarity of word shingles connect: that of the least
     (doc_id, text hash), missing doc_ids last. Texts without words are one group. hashed: docs with th."""
-    prints = written(signatures(hashed.select("doc_id", "th", "text"), words), "near-prints")
+    prints = written(signatures(hashed.select("doc_id", "th", "text"), words), "near-prints", BATCH_ROWS)
     rows = prints.groupBy("set", "doc_id", "th").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     own = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th", "n")).alias("own")
     classes = written(rows.groupBy("set").agg(own, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-class")
     pairs = written(band_candidates(classes.select("set", "bands")).unionAll(print_candidates(classes.select("set", "fp"))).distinct(), "near-pairs")
-    nodes = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()
-    owners = written(classes.join(nodes.hint("shuffle_merge"), "set", "left_semi").select("set", "own.doc_id", "own.th"), "near-owners")
-    owners = F.broadcast(owners) if owners.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else owners.hint("shuffle_merge")
-    texts = _at(hashed.select("doc_id", "th", "text"), owners)
-    sets = written(shingle_sets(texts, words).groupBy("set").agg(F.first("s").alias("s")), "near-sets")
-    left = pairs.join(sets.select(F.col("set").alias("u"), F.col("s").alias("a")).hint("shuffle_merge"), "u")
-    met = left.join(sets.select(F.col("set").alias("v"), F.col("s").alias("b")).hint("shuffle_merge"), "v")
-    edges = written(_similar(met, similarity), "near-links")
-    roots = connected_components(edges).withColumnRenamed("node", "set")
-    grouped = classes.select("set", "own").join(roots.hint("shuffle_merge"), "set", "left")
-    kept = written(grouped.groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("own").alias("own")).select("own.doc_id", "own.th", "own.n"), "near-kept")
+    roots = written(connected_components(_verified(pairs, classes, hashed, words, similarity)).withColumnRenamed("node", "set"), "near-roots")
+    grouped = classes.select("set", "own").join(roots.hint("shuffle_merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    # each distinct text once, its prefix from the text of its owner
+    texts = _at(hashed.select("doc_id", "th", "text"), grouped.select("set", "own.doc_id", "own.th").hint("shuffle_merge"))
+    first = prefixes(texts, words, similarity, common_shingles(hashed.select("th", "text"), words)).dropDuplicates(["set"])
+    first = written(first.join(grouped.select("set", "root").hint("shuffle_merge"), "set"), "near-prefixes", BATCH_ROWS)
+    pairs = written(prefix_candidates(first, similarity), "near-rest", BATCH_ROWS)
+    missed = _verified(pairs, classes, hashed, words, similarity)
+    if not missed.isEmpty():
+        every = missed.unionAll(roots.select(F.col("set").alias("u"), F.col("root").alias("v")))
+        roots = connected_components(every).withColumnRenamed("node", "set")
+        grouped = classes.select("set", "own").join(roots.hint("shuffle_merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    kept = written(grouped.groupBy("root").agg(F.min("own").alias("own")).select("own.doc_id", "own.th", "own.n"), "near-kept")
     stay = _at(hashed, kept.where("n = 1").select("doc_id", "th").hint("shuffle_merge"), "left_semi")
     again = kept.where("n > 1").select("doc_id", "th")
     if again.limit(1).count():

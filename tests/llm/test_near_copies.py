@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as cp
-from quillmed.llm import simhash
+from quillmed.llm import near_copies, simhash
 
 
 def shingles(t):
@@ -62,3 +62,32 @@ def test_representatives_are_rows_not_ids(spark):
     want = sorted([(1, a), (1, b), (2, c), (7, " "), (-1, d)])
     for found in (cp.one_of_each_group(spark, docs, None), simhash.representatives(docs)):
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in found.collect()) == want
+
+
+def templates():
+    """Texts of one template, all just below the similarity, and 60 pairs just above it among them."""
+    base = [f"t{k}" for k in range(200)]
+    return [" ".join(base + [f"o{k}.{i}" for i in range(9)] + [f"e{k}.{far}.{i}" for i in range(21)]) for k in range(60) for far in (0, 1)]
+
+
+def test_no_pair_of_texts_alike_is_left_out(spark):
+    texts = templates()
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r["doc_id"] for r in cp.one_of_each_group(spark, docs, None).collect()]
+    assert sorted(kept) == sorted(set(brute_groups(texts)))
+
+
+def test_prefixes_find_all_pairs_in_blocks_of_any_size(spark):
+    import numpy as np
+    import xxhash
+
+    texts = list(dict.fromkeys(edited_copies()[4:] + templates()))
+    sets = [near_copies._shingles(t, 5, xxhash.xxh64_intdigest, np) for t in texts]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(c := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(c)) - 1e-9}
+    docs = spark.createDataFrame(list(enumerate(texts)), "set long, text string")
+    common = near_copies.common_shingles(docs.selectExpr("set as th", "text"), 5)
+    assert len(common[0])
+    for order in (common, (np.array([], np.uint64), np.array([], np.int64))):
+        first = near_copies.prefixes(docs, 5, 0.8, order).selectExpr("*", "set as root")
+        for block in (7, 1000):
+            assert alike <= {(r["u"], r["v"]) for r in near_copies.prefix_candidates(first, 0.8, block).collect()}
