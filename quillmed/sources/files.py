@@ -80,12 +80,22 @@ def tsv_lines(tokens: DataFrame) -> DataFrame:
 DOCUMENTS = 500
 
 
+def tsv_block(sent_id: Column, sentence: Column, tokens: Column, tags: Column) -> Column:
+    """S8 inside a row: the lines of a sentence with its arrays of tokens (token, start, end) and tags, as one text."""
+    body = F.zip_with(F.transform(tokens, lambda t, k: F.struct(t.alias("t"), k.alias("k"))), tags, lambda t, tag: F.concat_ws("\t", F.concat_ws("-", sent_id + 1, t["k"] + 1), F.concat_ws("-", t["t"]["start"], t["t"]["end"]), t["t"]["token"], tag))
+    return F.array_join(F.concat(F.array(F.concat(F.lit("#Text="), sentence)), body, F.array(F.lit(""))), "\n")
+
+
 def write_tsv(tokens: DataFrame, path: str, documents: int = DOCUMENTS) -> None:
     """Files of some `documents` documents, in order; a document lies in one file, under a line '#Doc=' with its id."""
-    names = tokens.select("doc_id").distinct().select("doc_id", F.lit(-1).alias("sent_id"), F.lit(0).alias("k"), F.concat(F.lit("#Doc="), F.col("doc_id").cast("string")).alias("line"))
-    lines = tsv_lines(tokens).unionByName(names)
-    files = max(1, -(-tokens.select(F.approx_count_distinct("doc_id")).first()[0] // documents))
-    lines.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "sent_id", "k").select("line").write.mode("overwrite").text(path)
+    write_tsv_lines(tsv_lines(tokens), path, documents)
+
+
+def write_tsv_lines(lines: DataFrame, path: str, documents: int = DOCUMENTS) -> None:
+    """S8 of lines (doc_id, sent_id, k, line); a line may be a whole sentence's block."""
+    names = lines.select("doc_id").distinct().select("doc_id", F.lit(-1).alias("sent_id"), F.lit(0).alias("k"), F.concat(F.lit("#Doc="), F.col("doc_id").cast("string")).alias("line"))
+    files = max(1, -(-lines.select(F.approx_count_distinct("doc_id")).first()[0] // documents))
+    lines.unionByName(names).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "sent_id", "k").select("line").write.mode("overwrite").text(path)
 
 
 def child_key(*cols: Column) -> Column:
