@@ -3,12 +3,12 @@ of the shingle sets every pair between groups that these missed; whole shingle s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash import links
-from .store import written
+from .store import done, made, written
 
 #: A pair of similarity 0.8 shares no band in 1 of 14,000 cases ((1 - 0.8 ** ROWS) ** BANDS).
 BANDS, ROWS = 24, 5
@@ -20,6 +20,8 @@ SMALL = 4
 SAMPLE, LEAST_COMMON, MOST_COMMON = 20_000, 3, 200_000
 #: Members of a shingle that are paired in one row; those of a commoner one are paired block by block.
 BLOCK = 256
+#: Least cells of a sketch, and the count at which a cell stays.
+CELLS, FULL = 64, 255
 #: Rows of whole texts or sets that a Python task takes at a time.
 BATCH_ROWS = 500
 #: Counted first; more candidates than this are joined by a shuffle.
@@ -161,8 +163,22 @@ def common_shingles(docs: DataFrame, words: int, sample: int = SAMPLE):
     return h[order], order + 1
 
 
+def sketch(s, np) -> bytes:
+    """Counts of the hashes of a set in cells by their lowest bits, half to as many cells as hashes. The least counts of two sets, summed over the cells, are no fewer than what they share."""
+    cells = max(CELLS, 1 << (len(s) // 2).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells), FULL).astype(np.uint8).tobytes()
+
+
+def may_share(x: bytes, y: bytes, np) -> int:
+    """The most hashes that sets of these sketches may share."""
+    a, b = (np.frombuffer(z, np.uint8).astype(np.int64) for z in sorted((x, y), key=len))
+    if (a == FULL).any() or (b == FULL).any():  # counts that were cut don't tell
+        return 1 << 60
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum())
+
+
 def prefixes(docs: DataFrame, words: int, similarity: float, common) -> DataFrame:
-    """docs(set, text) -> (set, size, keys): of a text's n shingles the first n - ceil(similarity * n) + 1 in one order of all shingles: rare ones by hash, then common ones.
+    """docs(set, text) -> (set, size, keys, sketch): of a text's n shingles the first n - ceil(similarity * n) + 1 in one order of all shingles: rare ones by hash, then common ones.
     Two sets of this similarity share at least ceil(similarity * n) shingles, so one at least of each one's prefix is in the other's."""
     def run(batches):
         import math
@@ -173,30 +189,48 @@ def prefixes(docs: DataFrame, words: int, similarity: float, common) -> DataFram
 
         h, rank = common
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, sketches = [], [], []
             for t in batch.column(1):
                 s = _shingles(t.as_py(), words, xxhash.xxh64_intdigest, np)
+                sketches.append(sketch(s, np))
                 if len(h):
                     at = np.minimum(np.searchsorted(h, s), len(h) - 1)
                     s = s[np.argsort(np.where(h[at] == s, rank[at], 0), kind="stable")]
                 sizes.append(len(s))
                 keys.append(s[:len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["set", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["set", "size", "keys", "sketch"])
+
+    return docs.select("set", "text").mapInArrow(run, "set long, size int, keys array<long>, sketch binary")
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(u, v) whose sketches leave room for the similarity. sets(set, size, sketch)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    return docs.select("set", "text").mapInArrow(run, "set long, size int, keys array<long>")
+        for batch in batches:
+            keep = [may_share(x, y, np) >= similarity / (1 + similarity) * (n + m) - 1e-6 for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")))]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c, n, x: sets.select(F.col("set").alias(c), F.col("size").alias(n), F.col("sketch").alias(x)).hint("shuffle_merge")
+    met = pairs.join(side("u", "n", "x"), "u").join(side("v", "m", "y"), "v")
+    return met.select("u", "v", "n", "m", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def prefix_candidates(sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """sets(set, size, keys, root) -> (u, v): all pairs of different roots that share a shingle of their prefixes and may have the similarity by their
+    """sets(set, size, keys, root, ..) -> (u, v): all pairs of different roots that share a shingle of their prefixes and may have the similarity by their
     sizes and by what follows the shingle in both. Members of a shingle are dealt over blocks, and each two blocks meet in a row of their own."""
-    keyed = sets.select("set", "size", "root", F.posexplode("keys").alias("at", "key"))
-    many = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    many = written(many.where("least < most").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "near-keys")
-    part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
-    dealt = keyed.join(many.hint("shuffle_merge"), "key").withColumn("part", part)
+    keyed = sets.select("set", "size", "root", F.posexplode("keys").alias("at", "key")).repartition("key")
+    alike = Window.partitionBy("key")
+    counted = keyed.withColumns({"n": F.count("*").over(alike), "least": F.min("root").over(alike), "most": F.max("root").over(alike)}).where("least < most")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    dealt = written(counted.select("key", "set", "size", "root", "at", parts.alias("parts"), F.pmod(F.xxhash64("set"), parts).cast("int").alias("part")), "near-members")
+    member = F.struct("set", "size", "root", "at", "part").alias("m")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = dealt.withColumn("other", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.struct("set", "size", "root", "at", "part").alias("m"))
-    rows = cells.groupBy("key", "i", "j").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1)
+    few = dealt.where("parts = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), member)
+    many = dealt.where("parts > 1").withColumn("other", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), member)
+    rows = few.unionAll(many).groupBy("key", "i", "j").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1)
 
     def run(batches):
         import numpy as np
@@ -235,21 +269,32 @@ def _verified(pairs: DataFrame, classes: DataFrame, hashed: DataFrame, words: in
     return written(_similar(met, similarity), "near-links", BATCH_ROWS)
 
 
+#: Tables that nothing reads once the pairs verified are connected.
+VERIFIED = ("near-pairs", "near-owners", "near-sets", "near-links")
+
+
 def representatives(docs: DataFrame, hashed: DataFrame, words: int, similarity: float) -> DataFrame:
     """docs with one row of each group that texts of this similarity of word shingles connect: that of the least
     (doc_id, text hash), missing doc_ids last. Texts without words are one group. hashed: docs with th."""
+    spark, start = docs.sparkSession, len(made)
     prints = written(signatures(hashed.select("doc_id", "th", "text"), words), "near-prints", BATCH_ROWS)
     rows = prints.groupBy("set", "doc_id", "th").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     own = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th", "n")).alias("own")
     classes = written(rows.groupBy("set").agg(own, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-class")
+    done(spark, start, "near-prints")
     pairs = written(band_candidates(classes.select("set", "bands")).unionAll(print_candidates(classes.select("set", "fp"))).distinct(), "near-pairs")
+    done(spark, start, "near-parts", "near-prints-least")
     roots = written(connected_components(_verified(pairs, classes, hashed, words, similarity)).withColumnRenamed("node", "set"), "near-roots")
+    done(spark, start, *VERIFIED)
     grouped = classes.select("set", "own").join(roots.hint("shuffle_merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     # each distinct text once, its prefix from the text of its owner
     texts = _at(hashed.select("doc_id", "th", "text"), grouped.select("set", "own.doc_id", "own.th").hint("shuffle_merge"))
     first = prefixes(texts, words, similarity, common_shingles(hashed.select("th", "text"), words)).dropDuplicates(["set"])
     first = written(first.join(grouped.select("set", "root").hint("shuffle_merge"), "set"), "near-prefixes", BATCH_ROWS)
     pairs = written(prefix_candidates(first, similarity), "near-rest", BATCH_ROWS)
+    done(spark, start, "near-members")
+    pairs = written(_sketched(pairs, first, similarity), "near-pairs", BATCH_ROWS)
+    done(spark, start, "near-rest", "near-prefixes")
     missed = _verified(pairs, classes, hashed, words, similarity)
     if not missed.isEmpty():
         every = missed.unionAll(roots.select(F.col("set").alias("u"), F.col("root").alias("v")))

@@ -1,7 +1,10 @@
 """What the reports of round 3 found: repeated rows, files of documents, near copies, sizes."""
 
+import numpy as np
+
 import duckdb
 import pytest
+from quillmed.llm import near_copies
 
 from test_round3 import agrees
 
@@ -10,3 +13,16 @@ from test_round3 import agrees
 def test_runs_do_not_hang_on_how_repeated_rows_are_sorted(spark, small, tmp_path, name):
     duckdb.sql(f"COPY (SELECT e.* FROM '{small.replace('0.001', '0.01')}/events.parquet' e, range(6)) TO '{tmp_path}/events.parquet'")
     agrees(spark, tmp_path, name)
+
+
+def test_sketches_leave_out_no_pair_and_keep_few_others():
+    rng, similarity = np.random.default_rng(3), 0.8
+    for n in (1, 5, 64, 300, 2000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for part in (1.0, 0.9, 0.8, 0.5, 0.0):
+            b = np.unique(np.concatenate((a[:int(part * n)], rng.integers(0, 1 << 63, n - int(part * n), np.uint64))))
+            shared, most = len(np.intersect1d(a, b)), near_copies.may_share(near_copies.sketch(a, np), near_copies.sketch(b, np), np)
+            assert shared <= most
+            assert n < 64 or part > 0.5 or most < similarity / (1 + similarity) * 2 * n
+    many = np.arange(1 << 16, dtype=np.uint64) << np.uint64(40)  # all in one cell
+    assert near_copies.may_share(near_copies.sketch(many, np), near_copies.sketch(many[:60000], np), np) >= 60000
