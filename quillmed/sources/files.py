@@ -35,6 +35,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """docs(path, text) as files of many documents, each a line of JSON with its path, as S4 reads bundles: a file for each document costs far more than its text."""
+    docs.select("path", "text").write.mode("overwrite").json(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """S4 of bundled documents: (path, text), one row per document, whatever bytes its text holds; a null text stays null."""
+    return spark.read.schema("path STRING, text STRING").json(path)
+
+
 def parse_tsv(lines: DataFrame, key: list[str], order: str) -> DataFrame:
     """Annotation lines (key, order, line) to sentences and tokens: key, sent_no, sentence,
     pos, span (offsets), token, tag. A '#Text=' line opens a sentence, other '#' lines and lines of fewer than four cells are skipped, trailing tabs dropped."""

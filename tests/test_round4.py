@@ -1,10 +1,14 @@
 """What the reports of round 3 found: repeated rows, files of documents, near copies, sizes."""
 
-import numpy as np
+import os
 
 import duckdb
+import numpy as np
 import pytest
+
 from quillmed.llm import near_copies
+from quillmed.plans import registry
+from quillmed.sources import files
 
 from test_round3 import agrees
 
@@ -26,3 +30,19 @@ def test_sketches_leave_out_no_pair_and_keep_few_others():
             assert n < 64 or part > 0.5 or most < similarity / (1 + similarity) * 2 * n
     many = np.arange(1 << 16, dtype=np.uint64) << np.uint64(40)  # all in one cell
     assert near_copies.may_share(near_copies.sketch(many, np), near_copies.sketch(many[:60000], np), np) >= 60000
+
+
+def test_documents_come_back_whole_from_a_few_files(spark, tmp_path):
+    texts = ["a\nb\r\nc", "", " ", None, "nul\x00 end\x00", '{"path": "x"} ퟿\U0001f600', "\n"]
+    docs = spark.createDataFrame([(f"d/{k}", t) for k, t in enumerate(texts * 50)], "path string, text string")
+    files.write_documents(docs.coalesce(2), str(tmp_path / "texts"))
+    assert len([f for f in (tmp_path / "texts").iterdir() if f.name.startswith("part-")]) == 2
+    assert sorted(map(str, files.read_bundles(spark, str(tmp_path / "texts")).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_s04_writes_no_file_for_each_document(spark, small):
+    place = spark.conf.get("spark.checkpoint.dir")
+    count = lambda: sum(len(f) for _, _, f in os.walk(place))
+    before = count()
+    n = registry.queries()["s04_documents"](spark, small).count()
+    assert n >= 200 and count() - before < n / 4
