@@ -11,7 +11,7 @@ from quillmed.functions.scalars import label_stem
 
 from .reach import dependency_levels, reach  # noqa: F401  K32 is one of them
 from .scan import LONG, bound, carried, over_ranges, quantiles
-from .store import written
+from .store import spread, written
 from .translation import rank_tails, translation_score, true_ranks  # noqa: F401  K35, K36
 
 
@@ -107,9 +107,9 @@ def rewrite_roles(roles: DataFrame, local: DataFrame, merged: DataFrame) -> Data
     return roles.join(ids.hint("shuffle_merge"), ["doc", "sent", "entity"], "left").withColumn("entity", F.coalesce("_to", "entity")).drop("_to")
 
 
-def rewrite_args(args: DataFrame, ids: DataFrame) -> DataFrame:
-    """Arguments (doc, sent, fact_id, pos, arg) through ids (doc, sent, id, new_id); unknown ones stay."""
-    m = ids.select("doc", "sent", F.col("id").alias("arg"), "new_id")
+def rewrite_args(args: DataFrame, ids: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Arguments (doc, sent, fact_id, pos, arg) through ids (doc, sent, id, new_id); unknown ones stay. tasks: of its shuffles, if Spark's number is too small."""
+    args, m = (spread(d, tasks, "doc", "sent", "arg") for d in (args, ids.select("doc", "sent", F.col("id").alias("arg"), "new_id")))
     return args.join(m.hint("shuffle_merge"), ["doc", "sent", "arg"], "left").withColumn("arg", F.coalesce("new_id", "arg")).drop("new_id")
 
 
@@ -129,18 +129,19 @@ def document_metadata(fragments: DataFrame) -> DataFrame:
     return s.groupBy("doc").agg(ids.alias("sentences"), F.count("*").alias("fragments"), listed("source_id").alias("sources"), listed("year").alias("years"))
 
 
-def merge_links(links: DataFrame, order: list[str]) -> DataFrame:
+def merge_links(links: DataFrame, order: list[str], tasks: int | None = None) -> DataFrame:
     """Links (doc, sent, id and the fields of a link: type, predicate, arguments, truth value,
     attributes ..) after node rewriting: rows equal in every field but the id get one canonical id
-    L1..; returns doc, id, canonical and first (True for the row that stays). Attributes are a map or an array of its entries, in any order."""
+    L1..; returns doc, id, canonical and first (True for the row that stays). Attributes are a map or an array of its entries, in any order.
+    All windows are of a document, so one exchange serves them. tasks: of it, if Spark's number is too small."""
     kinds = dict(links.dtypes)
     entries = lambda c: F.array_sort(F.map_entries(c) if kinds[c].startswith("map") else c)
     fields = [entries(c).alias(c) if c == "attributes" else F.col(c) for c in sorted(links.columns) if c not in ("doc", "sent", "id")]
     key = F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
-    w = Window.partitionBy("doc", "_key").orderBy(*order)
-    m = links.withColumn("_key", key).withColumn("_n", F.row_number().over(w))
-    first = m.where("_n = 1").withColumn("canonical", F.concat(F.lit("L"), F.row_number().over(Window.partitionBy("doc").orderBy(*order)).cast("string"))).select("doc", "_key", "canonical")
-    return m.join(first.hint("shuffle_merge"), ["doc", "_key"]).withColumn("first", F.col("_n") == 1).drop("_key", "_n")
+    same = Window.partitionBy("doc", "_key")
+    m = spread(links.withColumn("_key", key), tasks, "doc").withColumn("_n", F.row_number().over(same.orderBy(*order))).withColumn("_first", F.min(F.struct(*order)).over(same))
+    number = F.dense_rank().over(Window.partitionBy("doc").orderBy("_first", "_key"))
+    return m.withColumn("canonical", F.concat(F.lit("L"), number.cast("string"))).withColumn("first", F.col("_n") == 1).drop("_key", "_n", "_first")
 
 
 # ---- recursion
@@ -211,13 +212,13 @@ def nested_role_pairs(roles: DataFrame, facts: DataFrame, args: DataFrame) -> Da
     return _pair_up(nested_roles(roles, facts, args))
 
 
-def argument_pairs(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links (doc, id, predicate, suffix, arguments) -> ordered pairs of different labelled arguments under predicate and suffix."""
+def argument_pairs(links: DataFrame, labels: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Links (doc, id, predicate, suffix, arguments) -> ordered pairs of different labelled arguments under predicate and suffix. tasks: of its shuffles, if Spark's number is too small."""
     e = links.select("doc", "id", F.concat("predicate", F.coalesce("suffix", F.lit(""))).alias("p"), F.posexplode("arguments").alias("pos", "node"))
-    named = e.join(labels.select("doc", F.col("id").alias("node"), "label").hint("shuffle_merge"), ["doc", "node"])
-    both = named.groupBy("doc", "id", "p").agg(F.collect_list(F.struct("node", "label")).alias("r"))
+    named = spread(e, tasks, "doc", "node").join(spread(labels.select("doc", F.col("id").alias("node"), "label"), tasks, "doc", "node").hint("shuffle_merge"), ["doc", "node"])
+    both = spread(named, tasks, "doc", "id").groupBy("doc", "id", "p").agg(F.collect_list(F.struct("node", "label")).alias("r"))
     a = both.select("p", "r", F.explode("r").alias("x")).select("p", "x", F.explode("r").alias("y")).where("x.node <> y.node")
-    return a.groupBy(F.col("x.label").alias("s"), "p", F.col("y.label").alias("o")).agg(F.count("*").alias("n"))
+    return spread(a.select(F.col("x.label").alias("s"), "p", F.col("y.label").alias("o")), tasks, "s", "p", "o").groupBy("s", "p", "o").agg(F.count("*").alias("n"))
 
 
 def provenance(facts: DataFrame) -> DataFrame:
@@ -317,13 +318,14 @@ def clean_sentence_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("type", F.when(at > 0, "SentenceNode").otherwise(F.col("type"))).withColumn("name", F.when(at > 0, F.substring(F.col("name"), at, F.length("name"))).otherwise(F.col("name")))
 
 
-def link_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Link -> argument and link -> predicate edges to vertices that exist, without the document's first timestamp node."""
+def link_edges(links: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Link -> argument and link -> predicate edges to vertices that exist, without the document's first timestamp node. tasks: of its shuffles, if Spark's number is too small."""
     first = nodes.where("type = 'TimestampNode'").groupBy("doc").agg(F.min("id").alias("dst"))
     ends = nodes.select("doc", F.col("id").alias("dst")).unionByName(links.select("doc", F.col("id").alias("dst")))
     args = links.select("doc", F.col("id").alias("src"), F.explode("arguments").alias("dst"), F.lit("argument").alias("label"))
     preds = links.where("predicate is not null").select("doc", F.col("id").alias("src"), F.col("predicate").alias("dst"), F.lit("predicate").alias("label"))
-    return args.unionByName(preds).join(ends.hint("shuffle_merge"), ["doc", "dst"], "left_semi").join(first.hint("shuffle_merge"), ["doc", "dst"], "left_anti")
+    edges, ends, first = (spread(d, tasks, "doc", "dst") for d in (args.unionByName(preds), ends, first))
+    return edges.join(ends.hint("shuffle_merge"), ["doc", "dst"], "left_semi").join(first.hint("shuffle_merge"), ["doc", "dst"], "left_anti")
 
 
 def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quillmed.functions.scalars import kebab, md5_bucket
 from quillmed.operators import graph as K
+from quillmed.operators.store import spread
 from quillmed.sources import files
 
-from .base import query, table
+from .base import query, table, tasks
 
 FACTS = """SELECT o_custkey AS doc, l_orderkey AS sent, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER), l_returnflag) AS fact_id, l_returnflag AS predicate, l_partkey, l_suppkey, l_quantity, l_linenumber, l_linestatus,
  l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
@@ -20,7 +21,9 @@ ENTS = f"""SELECT doc, sent, 'P' || l_partkey AS id, p_brand AS name, CASE WHEN
 
 def facts(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    f = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    li = table(spark, sf_dir, "lineitem")
+    n = tasks(li)
+    f = spread(li, n, "l_orderkey").join(spread(o, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return f.select(F.col("o_custkey").alias("doc"), F.col("l_orderkey").alias("sent"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag").alias("fact_id"),
                     F.col("l_returnflag").alias("predicate"), "l_partkey", "l_suppkey", "l_quantity", "l_linenumber", "l_linestatus", "l_shipdate")
 
@@ -149,27 +152,33 @@ LINKS = f"SELECT DISTINCT doc, sent, fact_id AS id, 'EvaluationLink' AS link_typ
 FIELDS = "doc, predicate, a, b, tv, line"
 
 
+def _tasks(spark, sf_dir):
+    return tasks(table(spark, sf_dir, "lineitem"))
+
+
 def links(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return f.select("doc", "sent", F.col("fact_id").alias("id"), F.lit("EvaluationLink").alias("link_type"), "predicate", F.array(F.concat(F.lit("S"), F.col("l_suppkey")), F.concat(F.lit("Q"), F.col("l_quantity").cast("int"))).alias("arguments"),
-                    F.array(F.when(F.col("l_linenumber") % 2 == 0, 0.9).otherwise(0.5)).alias("truth_value"), F.array(F.struct(F.lit("line").alias("key"), F.col("l_linestatus").alias("value"))).alias("attributes")).distinct()
+    """Distinct links; they are told apart by what they are made of, which is far shorter."""
+    own = facts(spark, sf_dir).select("doc", "sent", F.col("fact_id").alias("id"), "predicate", F.concat(F.lit("S"), F.col("l_suppkey")).alias("a"), F.concat(F.lit("Q"), F.col("l_quantity").cast("int")).alias("b"), F.when(F.col("l_linenumber") % 2 == 0, 0.9).otherwise(0.5).alias("tv"), F.col("l_linestatus").alias("line"))
+    own = spread(own, _tasks(spark, sf_dir), "doc").distinct()
+    return own.select("doc", "sent", "id", F.lit("EvaluationLink").alias("link_type"), "predicate", F.array("a", "b").alias("arguments"), F.array("tv").alias("truth_value"), F.array(F.struct(F.lit("line").alias("key"), F.col("line").alias("value"))).alias("attributes"))
 
 
 @query("k11_merge_links", f"""
 SELECT l.doc, l.id, 'L' || m.n AS canonical, l.id = m.id AS first FROM ({LINKS}) l JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY id) AS n FROM (SELECT * FROM ({LINKS}) QUALIFY row_number() OVER (PARTITION BY {FIELDS} ORDER BY id) = 1)) m
  ON l.doc = m.doc AND l.predicate = m.predicate AND l.a = m.a AND l.b = m.b AND l.tv = m.tv AND l.line = m.line""")
 def k11(spark, sf_dir):
-    return K.merge_links(links(spark, sf_dir), ["id"]).select("doc", "id", "canonical", "first")
+    return K.merge_links(links(spark, sf_dir), ["id"], _tasks(spark, sf_dir)).select("doc", "id", "canonical", "first")
 
 
 @query("k12_rewrite_link_arguments", f"""
 WITH m AS (SELECT l.doc, l.sent, l.id, 'L' || k.n AS new_id FROM ({LINKS}) l JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY id) AS n FROM (SELECT * FROM ({LINKS}) QUALIFY row_number() OVER (PARTITION BY {FIELDS} ORDER BY id) = 1)) k ON l.doc = k.doc AND l.predicate = k.predicate AND l.a = k.a AND l.b = k.b AND l.tv = k.tv AND l.line = k.line)
 SELECT doc, id AS fact_id, new_id AS arg FROM m UNION ALL SELECT doc, id, 'missing' FROM m""")
 def k12(spark, sf_dir):
-    m = K.merge_links(links(spark, sf_dir), ["id"])
+    n = _tasks(spark, sf_dir)
+    m = K.merge_links(links(spark, sf_dir), ["id"], n)
     given = F.concat(F.lit('["'), F.col("id"), F.lit('", 7, {"arguments": []}, "missing", null, ["x"], true]'))
     a = m.select("doc", "sent", F.col("id").alias("fact_id"), F.posexplode(K.string_arguments(given)).alias("pos", "arg"))
-    return K.rewrite_args(a, m.select("doc", "sent", "id", F.col("canonical").alias("new_id"))).select("doc", "fact_id", "arg")
+    return K.rewrite_args(a, m.select("doc", "sent", "id", F.col("canonical").alias("new_id")), n).select("doc", "fact_id", "arg")
 
 
 #: Orders refer to the order of their key without its last digit. Two cycles, 3 and 30, and 5 and 52, of which the second refers to the first; 4 refers to 31, and 7 to 15.
@@ -231,7 +240,7 @@ WITH p AS (SELECT doc, id, predicate || '#' AS p, a AS s, b AS o FROM ({LINKS})
 def k16(spark, sf_dir):
     ls = links(spark, sf_dir)
     labels = ls.select("doc", F.explode("arguments").alias("id")).distinct().withColumn("label", F.col("id"))
-    return K.argument_pairs(ls.withColumn("suffix", F.lit("#")), labels)
+    return K.argument_pairs(ls.withColumn("suffix", F.lit("#")), labels, _tasks(spark, sf_dir))
 
 
 PROV = "SELECT predicate AS s, '{p}' AS p, ({c})::VARCHAR AS o, count(*) AS n FROM ({f}) GROUP BY ALL"
@@ -312,8 +321,10 @@ def k22(spark, sf_dir):
 WITH f AS (SELECT doc, min(a) AS t FROM ({LINKS}) GROUP BY doc) SELECT l.doc, dst, id AS src, label FROM (SELECT doc, id, a AS dst, 'argument' AS label FROM ({LINKS}) UNION ALL SELECT doc, id, predicate, 'predicate' FROM ({LINKS}) WHERE predicate <> 'N') l JOIN f ON l.doc = f.doc WHERE dst <> t""")
 def k23(spark, sf_dir):
     ls = links(spark, sf_dir)
-    nodes = ls.select("doc", F.get("arguments", F.lit(0)).alias("id"), F.lit("TimestampNode").alias("type")).unionByName(ls.where("predicate <> 'N'").select("doc", F.col("predicate").alias("id"), F.lit("PredicateNode").alias("type"))).distinct()
-    return K.link_edges(ls, nodes)
+    node = lambda i, kind: F.struct(i.alias("id"), F.lit(kind).alias("type"))
+    two = F.array(node(F.get("arguments", F.lit(0)), "TimestampNode"), node(F.when(F.col("predicate") != "N", F.col("predicate")), "PredicateNode"))
+    nodes = ls.select("doc", F.explode(two).alias("n")).select("doc", "n.*").where("type = 'TimestampNode' or id is not null").distinct()
+    return K.link_edges(ls, nodes, _tasks(spark, sf_dir))
 
 
 VERT = "SELECT 'D' || c_custkey AS id, 'Document' AS class FROM customer UNION ALL SELECT 'S' || o_orderkey, 'Sentence' FROM orders"

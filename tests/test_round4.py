@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quillmed.llm import near_copies
-from quillmed.plans import registry
+from quillmed.plans import base, registry
 from quillmed.sources import files
 
 from test_round3 import agrees
@@ -46,3 +46,12 @@ def test_s04_writes_no_file_for_each_document(spark, small):
     before = count()
     n = registry.queries()["s04_documents"](spark, small).count()
     assert n >= 200 and count() - before < n / 4
+
+
+def test_links_of_large_tables_are_dealt_by_their_rows(spark, small, monkeypatch):
+    """With few rows for a task, shuffles get more tasks than Spark's own number, and the queries still agree with their SQL."""
+    monkeypatch.setattr(base, "TASK_ROWS", 500)
+    for name in ("k11_merge_links", "k12_rewrite_link_arguments", "k16_argument_pairs", "k23_link_edges", "s09_export_links"):
+        df = registry.queries()[name](spark, small)
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+        agrees(spark, small, name)
