@@ -448,11 +448,13 @@ def attribute_kinds(attrs: DataFrame) -> DataFrame:
     return g.select("owner", "key", F.get(F.array(*map(F.lit, KINDS)), rank).alias("kind"))
 
 
-def relation_parts(edges: DataFrame, ids: DataFrame) -> DataFrame:
+def relation_parts(edges: DataFrame, ids: DataFrame, tasks: int | None = None) -> DataFrame:
     """edges(edge, relation, key, value) -> the same with part and type: a value that is a known id of ids(id, type) makes its key a role, played
-    by that id's type; subject and object always are roles ('Unknown' if the id isn't known); any other key is an attribute. Null values go."""
+    by that id's type; subject and object always are roles ('Unknown' if the id isn't known); any other key is an attribute. Null values go.
+    tasks: of the join, if Spark's number is too small."""
     known = ids.groupBy(F.col("id").alias("value")).agg(F.min("type").alias("_type"), F.lit(True).alias("_known"))
-    m = edges.where("value is not null").select("edge", "relation", "key", "value").join(known.hint("shuffle_merge"), "value", "left")
+    given = edges.where("value is not null").select("edge", "relation", "key", "value")
+    m = spread(given, tasks, "value").join(spread(known, tasks, "value").hint("shuffle_merge"), "value", "left")
     role = F.coalesce("_known", F.lit(False)) | F.col("key").isin("subject", "object")
     return m.select("edge", "relation", "key", "value", F.when(role, "role").otherwise("attribute").alias("part"), F.when(role, F.coalesce("_type", F.lit("Unknown"))).alias("type"))
 
@@ -467,9 +469,11 @@ def relation_schema(parts: DataFrame) -> DataFrame:
             .unionByName(kinds.select(F.col("owner").alias("relation"), "key", F.lit("attribute").alias("part"), F.lit(None).cast("array<string>").alias("types"), "kind", "n")))
 
 
-def relation_instances(parts: DataFrame) -> DataFrame:
-    """One row for each edge: (edge, relation, roles, attributes), maps of a key to its sorted values; empty without any."""
-    each = parts.groupBy("edge", "relation", "part", "key").agg(F.array_sort(F.collect_set("value")).alias("values"))
+def relation_instances(parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row for each edge: (edge, relation, roles, attributes), maps of a key to its sorted values; empty without any. Parts are
+    dealt by edge, so that both groupings take one exchange. tasks: of it, if Spark's number is too small."""
+    dealt = parts.repartition("edge", "relation") if tasks is None else spread(parts, tasks, "edge", "relation")
+    each = dealt.groupBy("edge", "relation", "part", "key").agg(F.array_sort(F.collect_set("value")).alias("values"))
     entry = lambda p: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("part") == p, F.struct("key", "values")))))
     return each.groupBy("edge", "relation").agg(entry("role").alias("roles"), entry("attribute").alias("attributes"))
 

@@ -413,7 +413,7 @@ def relation_parts(spark, sf_dir):
     kv = F.map_from_arrays(F.array(*map(F.lit, ("subject", "tag", "note"))), F.array(F.concat(F.lit("P"), F.col("l_partkey")), F.concat(F.lit("S"), F.col("l_suppkey")), note))
     e = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("edge"), F.col("l_returnflag").alias("relation"), F.explode(kv).alias("key", "value"))
     ids = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("id"), F.lit("Supplier").alias("type"))
-    return K.relation_parts(e, ids.unionAll(table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.concat(F.lit("P"), F.col("p_partkey")), F.lit("Part"))))
+    return K.relation_parts(e, ids.unionAll(table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.concat(F.lit("P"), F.col("p_partkey")), F.lit("Part"))), _tasks(spark, sf_dir))
 
 
 @query("k31_relation_parts", PARTS31)
@@ -433,7 +433,7 @@ SELECT edge, relation, coalesce(string_agg(key || '=' || v, ';' ORDER BY key) FI
 FROM (SELECT edge, relation, part, key, string_agg(DISTINCT value, ',' ORDER BY value) AS v FROM ({PARTS31}) GROUP BY ALL) GROUP BY edge, relation""")
 def k31(spark, sf_dir):
     shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], ","))), ";").alias(c)
-    return K.relation_instances(relation_parts(spark, sf_dir)).select("edge", "relation", shown("roles"), shown("attributes"))
+    return K.relation_instances(relation_parts(spark, sf_dir), _tasks(spark, sf_dir)).select("edge", "relation", shown("roles"), shown("attributes"))
 
 
 @query("k32_dependency_levels", f"""

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quillmed.llm import near_copies
+from quillmed.operators import graph
 from quillmed.plans import base, registry
 from quillmed.sources import files
 
@@ -55,3 +56,10 @@ def test_links_of_large_tables_are_dealt_by_their_rows(spark, small, monkeypatch
         df = registry.queries()[name](spark, small)
         assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
         agrees(spark, small, name)
+
+
+def test_instances_of_relations_take_one_exchange(spark):
+    parts = spark.createDataFrame([("e", "r", "k", "v", "role", "T"), ("e", "r", "k", "w", "role", "T"), ("e", "r", "a", "x", "attribute", None)], "edge string, relation string, key string, value string, part string, type string")
+    found = graph.relation_instances(parts)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r["roles"], r["attributes"]) for r in found.collect()] == [({"k": ["v", "w"]}, {"a": ["x"]})]
