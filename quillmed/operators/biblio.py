@@ -26,6 +26,16 @@ def work_metadata(df: DataFrame) -> DataFrame:
                      F.when(F.col("doi").isNotNull(), F.concat(F.lit("https://doi.org/"), F.regexp_replace("doi", "^https?://doi.org/", ""))).alias("link"))
 
 
+def inverted_index(words: Column) -> Column:
+    """word -> positions, ascending, of an array of words without nulls: words are sorted with their positions, and each run of one word is an entry. All inside the row."""
+    with_ = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  value is made once, though f uses it for every element
+    run = lambda s, a, b: F.struct(F.get(s, a)["w"].alias("w"), F.transform(F.slice(s, a + 1, b - a), lambda y: y["p"]).alias("at"))
+    entries = lambda s, starts: F.transform(starts, lambda a, k: run(s, a, F.coalesce(F.get(starts, k + 1), F.size(s))))
+    first = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["w"] != x["w"]), i)), lambda i: i.isNotNull())
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    return F.map_from_entries(with_(placed, lambda s: with_(first(s), lambda starts: entries(s, starts))))
+
+
 def abstract_text(index: Column, ordered: bool = True) -> Column:
     """Text from word -> positions; in order of positions, or (ordered=False) each word as often as it occurs."""
     entries = F.map_entries(index)

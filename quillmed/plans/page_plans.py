@@ -39,8 +39,8 @@ def p03(spark, sf_dir):
 
 @query("p04_abstract_text", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\S+'), ' ') AS ordered, len(regexp_extract_all(text, '\S+'))::INTEGER AS n_repeated FROM documents WHERE len(regexp_extract_all(text, '\S+')) > 0")
 def p04(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\f\r]+"), 0)).alias("pos", "w"))
-    index = w.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("pos")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
+    words = F.regexp_extract_all("text", F.lit(r"[^ \t\n\f\r]+"), 0)
+    index = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).where(F.size("words") > 0).select("doc_id", P.inverted_index(F.col("words")).alias("index"))
     return index.select("doc_id", P.abstract_text(F.col("index")).alias("ordered"), F.size(F.split(P.abstract_text(F.col("index"), False), " ")).alias("n_repeated"))
 
 

@@ -4,6 +4,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmed.llm.store import written
+from quillmed.operators import biblio
+from quillmed.plans import registry
+
+from test_round3 import agrees
 
 
 def test_rows_that_are_all_long_reach_python_in_small_batches(spark):
@@ -16,3 +20,13 @@ def test_rows_that_are_all_long_reach_python_in_small_batches(spark):
     got = [r["n"] for r in written(long.mapInArrow(sizes, "n long"), "batches", 500).collect()]
     assert sum(got) >= 48 << 20 and max(got) < 12 << 20
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_an_index_of_words_is_made_inside_the_row(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "b a  b\nc\tb A"), (2, ""), (3, None), (4, "x" ), (4, "y y"), (None, "ä ß ä"), (5, "w " * 20000)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    agrees(spark, tmp_path, "p04_abstract_text")
+    df = registry.queries()["p04_abstract_text"](spark, str(tmp_path))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    index = spark.createDataFrame([(["b", "a", "b"],), ([],)], "w array<string>").select(biblio.inverted_index(F.col("w")).alias("i"))
+    assert [r["i"] for r in index.collect()] == [{"a": [1], "b": [0, 2]}, {}]
