@@ -19,13 +19,24 @@ ROLES = f"""SELECT doc, sent, fact_id, predicate, 'part' AS role, 'P' || l_partk
 ENTS = f"""SELECT doc, sent, 'P' || l_partkey AS id, p_brand AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'Product' ELSE 'Item' END AS type, fact_id FROM ({FACTS}) JOIN part ON l_partkey = p_partkey"""
 
 
-def facts(spark, sf_dir):
+def _fact_id():
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag")
+
+
+def _joined(spark, sf_dir):
+    """Lines with their order's customer, and how many tasks these need."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf_dir, "lineitem")
     n = tasks(li)
     f = spread(li, n, "l_orderkey").join(spread(o, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return f.select(F.col("o_custkey").alias("doc"), F.col("l_orderkey").alias("sent"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag").alias("fact_id"),
-                    F.col("l_returnflag").alias("predicate"), "l_partkey", "l_suppkey", "l_quantity", "l_linenumber", "l_linestatus", "l_shipdate")
+    return f, n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def facts(spark, sf_dir, by_doc=True):
+    """Facts, dealt by document before their long ids are made: so whatever is grouped by document and more needs no further shuffle."""
+    f, n = _joined(spark, sf_dir)
+    return (f.repartition(n, "o_custkey") if by_doc else f).select(F.col("o_custkey").alias("doc"), F.col("l_orderkey").alias("sent"), _fact_id().alias("fact_id"), F.col("l_returnflag").alias("predicate"),
+                                                                   "l_partkey", "l_suppkey", "l_quantity", "l_linenumber", "l_linestatus", "l_shipdate")
 
 
 def roles(spark, sf_dir):
@@ -38,8 +49,9 @@ def roles(spark, sf_dir):
 
 def entities(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    f = facts(spark, sf_dir).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    return f.select("doc", "sent", F.concat(F.lit("P"), F.col("l_partkey")).alias("id"), F.col("p_brand").alias("name"), F.when(F.col("l_linenumber") % 2 == 0, "Product").otherwise("Item").alias("type"), "fact_id")
+    f, n = _joined(spark, sf_dir)
+    named = f.join(p, F.col("l_partkey") == F.col("p_partkey")).repartition(n, "o_custkey")
+    return named.select(F.col("o_custkey").alias("doc"), F.col("l_orderkey").alias("sent"), F.concat(F.lit("P"), F.col("l_partkey")).alias("id"), F.col("p_brand").alias("name"), F.when(F.col("l_linenumber") % 2 == 0, "Product").otherwise("Item").alias("type"), _fact_id().alias("fact_id"))
 
 
 RESP = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '{"k": 1,}' || chr(10) || '```' WHEN 1 THEN 'x ' || props || ' y' WHEN 2 THEN 'none' WHEN 3 THEN '{"k": }' ELSE '{"k": [1, 2,], }' END AS text, props FROM events"""
@@ -159,7 +171,7 @@ def _tasks(spark, sf_dir):
 def links(spark, sf_dir):
     """Distinct links; they are told apart by what they are made of, which is far shorter."""
     own = facts(spark, sf_dir).select("doc", "sent", F.col("fact_id").alias("id"), "predicate", F.concat(F.lit("S"), F.col("l_suppkey")).alias("a"), F.concat(F.lit("Q"), F.col("l_quantity").cast("int")).alias("b"), F.when(F.col("l_linenumber") % 2 == 0, 0.9).otherwise(0.5).alias("tv"), F.col("l_linestatus").alias("line"))
-    own = spread(own, _tasks(spark, sf_dir), "doc").distinct()
+    own = own.distinct()
     return own.select("doc", "sent", "id", F.lit("EvaluationLink").alias("link_type"), "predicate", F.array("a", "b").alias("arguments"), F.array("tv").alias("truth_value"), F.array(F.struct(F.lit("line").alias("key"), F.col("line").alias("value"))).alias("attributes"))
 
 
@@ -167,18 +179,17 @@ def links(spark, sf_dir):
 SELECT l.doc, l.id, 'L' || m.n AS canonical, l.id = m.id AS first FROM ({LINKS}) l JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY id) AS n FROM (SELECT * FROM ({LINKS}) QUALIFY row_number() OVER (PARTITION BY {FIELDS} ORDER BY id) = 1)) m
  ON l.doc = m.doc AND l.predicate = m.predicate AND l.a = m.a AND l.b = m.b AND l.tv = m.tv AND l.line = m.line""")
 def k11(spark, sf_dir):
-    return K.merge_links(links(spark, sf_dir), ["id"], _tasks(spark, sf_dir)).select("doc", "id", "canonical", "first")
+    return K.merge_links(links(spark, sf_dir), ["id"]).select("doc", "id", "canonical", "first")
 
 
 @query("k12_rewrite_link_arguments", f"""
 WITH m AS (SELECT l.doc, l.sent, l.id, 'L' || k.n AS new_id FROM ({LINKS}) l JOIN (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY id) AS n FROM (SELECT * FROM ({LINKS}) QUALIFY row_number() OVER (PARTITION BY {FIELDS} ORDER BY id) = 1)) k ON l.doc = k.doc AND l.predicate = k.predicate AND l.a = k.a AND l.b = k.b AND l.tv = k.tv AND l.line = k.line)
 SELECT doc, id AS fact_id, new_id AS arg FROM m UNION ALL SELECT doc, id, 'missing' FROM m""")
 def k12(spark, sf_dir):
-    n = _tasks(spark, sf_dir)
-    m = K.merge_links(links(spark, sf_dir), ["id"], n)
+    m = K.merge_links(links(spark, sf_dir), ["id"])
     given = F.concat(F.lit('["'), F.col("id"), F.lit('", 7, {"arguments": []}, "missing", null, ["x"], true]'))
     a = m.select("doc", "sent", F.col("id").alias("fact_id"), F.posexplode(K.string_arguments(given)).alias("pos", "arg"))
-    return K.rewrite_args(a, m.select("doc", "sent", "id", F.col("canonical").alias("new_id")), n).select("doc", "fact_id", "arg")
+    return K.rewrite_args(a, m.select("doc", "sent", "id", F.col("canonical").alias("new_id"))).select("doc", "fact_id", "arg")
 
 
 #: Orders refer to the order of their key without its last digit. Two cycles, 3 and 30, and 5 and 52, of which the second refers to the first; 4 refers to 31, and 7 to 15.
@@ -202,7 +213,7 @@ SELECT DISTINCT 'P' || p_partkey AS id, CASE WHEN p_size = 1 THEN 'P' || p_partk
 UNION SELECT DISTINCT lit, lit, 'literal' FROM (SELECT CASE WHEN datatype IS NOT NULL THEN literal || '/' || datatype ELSE literal END AS lit FROM ({ROLES}) WHERE literal IS NOT NULL)""")
 def k14(spark, sf_dir):
     n = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("id"), F.when(F.col("p_size") == 1, " ").otherwise(F.col("p_brand")).alias("name"))
-    return K.lookup(n, facts(spark, sf_dir), roles(spark, sf_dir))
+    return K.lookup(n, facts(spark, sf_dir, by_doc=False), roles(spark, sf_dir))
 
 
 LABEL = "coalesce({t}.entity, CASE WHEN {t}.datatype IS NOT NULL THEN {t}.literal || '/' || {t}.datatype ELSE {t}.literal END)"
@@ -249,7 +260,7 @@ PROV = "SELECT predicate AS s, '{p}' AS p, ({c})::VARCHAR AS o, count(*) AS n FR
 @query("k17_provenance", " UNION ALL ".join(PROV.format(p=p, c=c, f=FACTS) for p, c in (("has_timestamp", "strftime(l_shipdate, '%Y-%m')"), ("has_sentence", "sent"), ("has_truth_value", "l_linenumber")))
        + " UNION ALL SELECT o_orderstatus, 'has_context', strftime(o_orderdate, '%Y-%m'), count(*) FROM orders GROUP BY ALL")
 def k17(spark, sf_dir):
-    own = K.provenance(facts(spark, sf_dir).select("predicate", F.date_format("l_shipdate", "yyyy-MM").alias("day"), "sent", F.col("l_linenumber").alias("truth")))
+    own = K.provenance(facts(spark, sf_dir, by_doc=False).select("predicate", F.date_format("l_shipdate", "yyyy-MM").alias("day"), "sent", F.col("l_linenumber").alias("truth")))
     o = table(spark, sf_dir, "orders")
     evaluations = o.select(F.col("o_custkey").alias("doc"), F.concat(F.lit("V"), "o_orderkey").alias("id"), F.col("o_orderstatus").alias("predicate"))
     labels = o.select(F.col("o_custkey").alias("doc"), F.concat(F.lit("T"), "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM").alias("label"))  # sentences have none here
