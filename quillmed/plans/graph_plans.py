@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmed.functions.scalars import kebab, md5_bucket
 from quillmed.operators import graph as K
-from quillmed.operators.store import spread
+from quillmed.operators.store import spread, written
 from quillmed.sources import files
 
 from .base import query, table, tasks
@@ -132,7 +132,8 @@ def k07(spark, sf_dir):
     f = K.rekey_facts(facts(spark, sf_dir).select("doc", "sent", "fact_id").distinct(), ["sent", "fact_id"])
     local = entities(spark, sf_dir).select("doc", "sent", "id", "name").distinct()
     r = K.rewrite_roles(roles(spark, sf_dir), local, merged(spark, sf_dir))
-    return r.join(f.select("doc", "fact_id", "new_id").hint("shuffle_merge"), ["doc", "fact_id"]).groupBy("doc", "new_id").agg(F.sum(F.startswith("entity", F.lit("E")).cast("long")).alias("renamed"), F.min("entity").alias("least"))
+    out = r.join(f.select("doc", "fact_id", "new_id").hint("shuffle_merge"), ["doc", "fact_id"]).groupBy("doc", "new_id").agg(F.sum(F.startswith("entity", F.lit("E")).cast("long")).alias("renamed"), F.min("entity").alias("least"))
+    return written(out, "rekeyed", as_dealt=True)
 
 
 @query("k08_rewrite_arguments", f"""
