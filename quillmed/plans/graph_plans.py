@@ -82,7 +82,7 @@ def k02(spark, sf_dir):
     kept = K.clean_facts(own, r, r.limit(0), fragments)
     c = K.clean_roles(r).join(kept.select("doc", "fact_id").distinct(), ["doc", "fact_id"], "left_semi")
     counts = c.groupBy("doc").agg(F.count("*").alias("n"), F.sum((F.col("literal") == "unknown").cast("long")).alias("placeholders"), F.count("datatype").alias("typed"))
-    return counts.join(kept.groupBy("doc").agg(F.sum("sent").alias("sentences")), "doc")
+    return written(counts.join(kept.groupBy("doc").agg(F.sum("sent").alias("sentences")), "doc"), "clean-roles", as_dealt=True)
 
 
 @query("k03_default_truth", "SELECT l_returnflag AS predicate, l_linestatus, CASE WHEN l_linenumber = 1 THEN 0.1 WHEN l_returnflag = 'A' THEN 0.9 WHEN l_returnflag = 'R' THEN 0.7 ELSE 0.5 END::DOUBLE AS truth, count(*) AS n FROM lineitem GROUP BY ALL")
