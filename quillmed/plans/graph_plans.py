@@ -309,7 +309,7 @@ def hub(spark, sf_dir):
 
 @query("k20_hub_edges", f"SELECT label, src, count(*) AS n, min(dst) AS least FROM ({HUB}) GROUP BY label, src")
 def k20(spark, sf_dir):
-    return hub(spark, sf_dir).groupBy("label", "src").agg(F.count("*").alias("n"), F.min("dst").alias("least"))
+    return written(hub(spark, sf_dir).groupBy("label", "src").agg(F.count("*").alias("n"), F.min("dst").alias("least")), "hub", as_dealt=True)
 
 
 NAMES21 = "SELECT doc_id, w[i] AS name FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS w FROM documents), unnest(range(1, len(w) + 1)) r(i)"
