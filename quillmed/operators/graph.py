@@ -164,52 +164,89 @@ def literal_label() -> Column:
     return F.when(F.col("datatype").isNotNull(), F.concat_ws("/", "literal", "datatype")).otherwise(F.col("literal"))
 
 
-def role_pairs(roles: DataFrame) -> DataFrame:
-    """Per fact every ordered pair of different roles as a triple (s, '[r1]:pred:[r2]', o), with counts. The pairing is within a fact's few roles."""
-    return _pair_up(roles.select("doc", "fact_id", "predicate", "role", F.coalesce("entity", literal_label()).alias("label")))
-
-
-def _pair_up(r: DataFrame) -> DataFrame:
-    """Pairs are shuffled once, and a pair and its reverse as one row, which both are read off after counting. Names with brackets could read alike when put
-    together, so pairs of those go both ways and by the name they make; they never read like the others, which have no more brackets than are put in."""
-    odd = lambda c: F.rlike(c, F.lit(r"[\[\]]"))
-    both = r.where("role is not null").groupBy("doc", "fact_id", "predicate").agg(F.collect_list(F.struct("role", "label", odd("role").alias("odd"))).alias("r"))
-    plain = lambda x, y: ~(F.coalesce(odd("predicate"), F.lit(True)) | x["odd"] | y["odd"])
-    name = lambda role, predicate, role2: F.format_string("[%s]:%s:[%s]", role, predicate, role2)
-    pair = lambda x, y: F.when(plain(x, y), F.struct(x["label"].alias("s"), F.col("predicate").alias("p"), x["role"].alias("x"), y["role"].alias("y"), y["label"].alias("o"))).otherwise(
-        F.struct(x["label"].alias("s"), name(x["role"], F.col("predicate"), y["role"]).alias("p"), F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y"), y["label"].alias("o")))
-    wanted = lambda x, y: F.when(plain(x, y), x["role"] < y["role"]).otherwise(x["role"] != y["role"])
-    pairs = F.flatten(F.transform("r", lambda x: F.transform(F.filter("r", lambda y: wanted(x, y)), lambda y: pair(x, y))))
-    a = both.select(F.explode_outer(pairs).alias("t")).where("t is not null")  # a plain explode would make the pairs twice
-    n = a.groupBy("t.s", "t.p", "t.x", "t.y", "t.o").agg(F.count("*").alias("n"))
+#: Names of roles and predicates that pairs are counted under as numbers; pairs of other names carry them spelled out.
+CODED = 200
+
+
+def role_pairs(roles: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Per fact every ordered pair of different roles as a triple (s, '[r1]:pred:[r2]', o), with counts. The pairing is within a fact's few roles.
+    names: roles and predicates (one column) that are worth a number; else those of the table."""
+    r = roles.select("doc", "fact_id", "predicate", "role", F.coalesce("entity", literal_label()).alias("label"))
+    known = _coded(r.select("role").unionAll(r.select("predicate")) if names is None else names)
+    return _pair_up(r.where("role is not null").groupBy("doc", "fact_id", "predicate").agg(F.collect_list(F.struct("role", "label")).alias("r")), known)
+
+
+def _coded(names: DataFrame, depth: int = 0) -> list[str]:
+    """Up to CODED names without brackets; with depth also as they read below so many nested facts."""
+    few = names.toDF("name").where(~F.rlike("name", F.lit(r"[\[\]]"))).distinct().limit(CODED).collect()  # bounded
+    own = [*sorted(r["name"] for r in few), "fact_arg"]
+    return list(dict.fromkeys("fact_arg->" * k + n for k in range(depth + 1) for n in own))[:CODED]
+
+
+def _pair_up(facts: DataFrame, names: list[str]) -> DataFrame:
+    """Pairs of facts(predicate, r: array of role, label) are shuffled once, and a pair and its reverse as one row, which both are read off after counting; the row has
+    a number for predicate and roles, where all three are among names. Other pairs go both ways and by the name they make: names with brackets
+    could read alike when put together, but never like those among names, which have no more brackets than are put in."""
+    known, base = F.array(*map(F.lit, names)).cast("array<string>"), len(names) + 1
+    code = lambda c: F.coalesce(F.array_position(known, c), F.lit(0)).cast("int")
+    coded = facts.select("predicate", code(F.col("predicate")).alias("k"), F.transform("r", lambda x: F.struct(code(x["role"]).alias("k"), x["role"].alias("role"), x["label"].alias("label"))).alias("r"))
+    both = coded.select("predicate", "k", "r", F.explode_outer("r").alias("x")).select("predicate", "k", "x", F.explode_outer("r").alias("y"))  # a plain explode would make the roles twice
+    plain = (F.col("k") > 0) & (F.col("x.k") > 0) & (F.col("y.k") > 0)
+    spelled = F.format_string("[%s]:%s:[%s]", "x.role", "predicate", "y.role")
+    a = both.where(F.when(plain, F.col("x.k") < F.col("y.k")).otherwise(F.col("x.role") != F.col("y.role"))).select(
+        F.col("x.label").alias("s"), F.col("y.label").alias("o"), F.when(plain, (F.col("k") * base + F.col("x.k")) * base + F.col("y.k")).alias("c"), F.when(~plain, spelled).alias("p"))
+    n = a.groupBy("s", "o", "c", "p").agg(F.count("*").alias("n"))
+    at = lambda number: F.get(known, F.expr(number) - 1)
+    x, p, y = at(f"c div {base} % {base}"), at(f"c div {base * base}"), at(f"c % {base}")
     triple = lambda s, p, o: F.struct(F.col(s).alias("s"), p.alias("p"), F.col(o).alias("o"), F.col("n"))
-    ways = F.when(F.col("x").isNull(), F.array(triple("s", F.col("p"), "o"))).otherwise(F.array(triple("s", name(F.col("x"), F.col("p"), F.col("y")), "o"), triple("o", name(F.col("y"), F.col("p"), F.col("x")), "s")))
-    return n.select(F.explode(ways).alias("t")).select("t.*")
+    name = lambda one, two: F.concat(F.lit("["), one, F.lit("]:"), p, F.lit(":["), two, F.lit("]"))
+    ways = F.when(F.col("c").isNull(), F.array(triple("s", F.col("p"), "o"))).otherwise(F.array(triple("s", name(x, y), "o"), triple("o", name(y, x), "s")))
+    return n.select(F.explode_outer(ways).alias("t")).select("t.*")
 
 
-def nested_roles(roles: DataFrame, facts: DataFrame, args: DataFrame) -> DataFrame:
-    """Roles (doc, fact_id, predicate, role, label) of facts(doc, fact_id, predicate): their own ones; `fact_arg`
-    for each argument that is a known fact; and of an argument that holds the fact itself (nested), its
-    roles under the prefix `fact_arg->`, to any depth along a path (a written frontier, cycles cut). args(doc, fact_id, arg, nested)."""
-    known = facts.select("doc", F.col("fact_id").alias("arg"), F.col("predicate").alias("label")).distinct()
-    named = args.join(known.hint("shuffle_merge"), ["doc", "arg"]).select("doc", "fact_id", F.lit("fact_arg").alias("role"), "label")
-    own = written(roles.select("doc", "fact_id", "role", F.coalesce("entity", literal_label()).alias("label")).unionByName(named).where("label is not null"), "fact-roles")
+def _with_roles(roles: DataFrame, facts: DataFrame, args: DataFrame, tasks: int | None = None) -> tuple[DataFrame, int]:
+    """(doc, fact_id, predicate, r: array of role, label) with all of nested_roles, and how deep facts are nested. Only what facts ask of the facts they hold is shuffled: each fact
+    hands on its roles or its predicate to those that asked, inside its document. So roles and facts that are dealt by document over `tasks` tasks (None: Spark's number) stay where they are."""
+    args = written(args.select("doc", "fact_id", "arg", "nested"), "fact-args", as_dealt=True)
     down = written(args.where("nested").select("doc", F.col("fact_id").alias("node"), F.col("arg").alias("child")).distinct(), "fact-nested")
     level = down.select("doc", F.col("node").alias("root"), F.col("child").alias("node"), F.lit("fact_arg->").alias("prefix"), F.array("node", "child").alias("path"))
-    out = own
+    levels = []
     while not level.isEmpty():
-        level = written(level, "fact-level")
-        mine = own.withColumnRenamed("fact_id", "node")
-        out = out.unionByName(level.join(mine.hint("shuffle_merge"), ["doc", "node"]).select("doc", F.col("root").alias("fact_id"), F.concat("prefix", "role").alias("role"), "label"))
+        levels.append(level.select("doc", "root", "node", "prefix"))
         nxt = level.join(down.hint("shuffle_merge"), ["doc", "node"]).where(~F.array_contains("path", F.col("child")))
-        level = nxt.select("doc", "root", F.col("child").alias("node"), F.concat("prefix", F.lit("fact_arg->")).alias("prefix"), F.array_append("path", F.col("child")).alias("path"))
-    names = facts.select("doc", "fact_id", "predicate").distinct()
-    return out.join(names.hint("shuffle_merge"), ["doc", "fact_id"])
+        level = written(nxt.select("doc", "root", F.col("child").alias("node"), F.concat("prefix", F.lit("fact_arg->")).alias("prefix"), F.array_append("path", F.col("child")).alias("path")), "fact-level")
+    ask = lambda root, name, whole: F.struct(F.col(root).alias("root"), name.alias("name"), F.lit(whole).alias("whole")).alias("ask")
+    asks = [args.select("doc", F.col("arg").alias("fact_id"), ask("fact_id", F.lit("fact_arg"), False))]
+    if levels:
+        paths = reduce(DataFrame.unionByName, levels)
+        held = args.select("doc", F.col("fact_id").alias("node"), "arg")
+        asks += [paths.select("doc", F.col("node").alias("fact_id"), ask("root", F.col("prefix"), True)),
+                 paths.join(held.hint("shuffle_merge"), ["doc", "node"]).select("doc", F.col("arg").alias("fact_id"), ask("root", F.concat("prefix", F.lit("fact_arg")), False))]
+    asks = reduce(DataFrame.unionByName, asks).repartition(tasks or int(args.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
+    role = F.struct("role", F.coalesce("entity", literal_label()).alias("label")).alias("r")
+    parts = [roles.select("doc", "fact_id", role).where("r.label is not null"), facts.select("doc", "fact_id", F.struct("predicate").alias("p")), asks]
+    own = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy("doc", "fact_id").agg(F.collect_list("r").alias("r"), F.collect_set("p").alias("p"), F.collect_list("ask").alias("asks"))
+    below = lambda a: F.transform("r", lambda x: F.struct(F.concat(a["name"], x["role"]).alias("role"), x["label"].alias("label")))
+    argument = lambda a: F.transform(F.filter("p", lambda x: x["predicate"].isNotNull()), lambda x: F.struct(a["name"].alias("role"), x["predicate"].alias("label")))
+    none = F.slice("p", 1, 0)
+    given = F.transform("asks", lambda a: F.struct(a["root"].alias("fact_id"), F.when(a["whole"], below(a)).otherwise(argument(a)).alias("r"), none.alias("p")))
+    handed = own.where("doc is not null and fact_id is not null").select("doc", F.explode_outer(F.concat(F.array(F.struct("fact_id", "r", "p")), given)).alias("g")).select("doc", "g.*")
+    out = handed.groupBy("doc", "fact_id").agg(F.flatten(F.collect_list("r")).alias("r"), F.flatten(F.collect_list("p")).alias("p"))
+    return out.select("doc", "fact_id", "r", F.explode("p").alias("p")).select("doc", "fact_id", F.col("p.predicate").alias("predicate"), "r"), len(levels)
+
+
+def nested_roles(roles: DataFrame, facts: DataFrame, args: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Roles (doc, fact_id, predicate, role, label) of facts(doc, fact_id, predicate): their own ones; `fact_arg`
+    for each argument that is a known fact; and of an argument that holds the fact itself (nested), its
+    roles under the prefix `fact_arg->`, to any depth along a path (a written frontier, cycles cut). args(doc, fact_id, arg, nested)."""
+    held, _ = _with_roles(roles, facts, args, tasks)
+    return held.select("doc", "fact_id", "predicate", F.explode_outer("r").alias("x")).where("x is not null").select("doc", "fact_id", "predicate", "x.*")
 
 
-def nested_role_pairs(roles: DataFrame, facts: DataFrame, args: DataFrame) -> DataFrame:
-    """K15 over nested facts: pairs of nested_roles, with counts."""
-    return _pair_up(nested_roles(roles, facts, args))
+def nested_role_pairs(roles: DataFrame, facts: DataFrame, args: DataFrame, tasks: int | None = None, names: DataFrame | None = None) -> DataFrame:
+    """K15 over nested facts: pairs of nested_roles, with counts. tasks: over which roles and facts are dealt by document, if not Spark's number; names: as in role_pairs."""
+    held, depth = _with_roles(roles, facts, args, tasks)
+    return _pair_up(held, _coded(roles.select("role").unionAll(facts.select("predicate")) if names is None else names, depth))
 
 
 def argument_pairs(links: DataFrame, labels: DataFrame, tasks: int | None = None) -> DataFrame:

@@ -217,13 +217,18 @@ def k14(spark, sf_dir):
     return K.lookup(n, facts(spark, sf_dir, by_doc=False), roles(spark, sf_dir))
 
 
+def role_names(spark, sf_dir):
+    """Roles and predicates, read off the lines: no facts are joined for them."""
+    return table(spark, sf_dir, "lineitem").select(F.explode(F.array(F.lit("part"), F.lit("supplier"), F.lit("quantity"), "l_returnflag"))).distinct()
+
+
 LABEL = "coalesce({t}.entity, CASE WHEN {t}.datatype IS NOT NULL THEN {t}.literal || '/' || {t}.datatype ELSE {t}.literal END)"
 
 
 @query("k15_role_pairs", f"""
 SELECT {LABEL.format(t='a')} AS s, '[' || a.role || ']:' || a.predicate || ':[' || b.role || ']' AS p, {LABEL.format(t='b')} AS o, count(*) AS n FROM ({ROLES}) a JOIN ({ROLES}) b ON a.doc = b.doc AND a.fact_id = b.fact_id AND a.role <> b.role GROUP BY ALL""")
 def k15(spark, sf_dir):
-    return K.role_pairs(roles(spark, sf_dir))
+    return K.role_pairs(roles(spark, sf_dir), role_names(spark, sf_dir))
 
 
 #: Arguments: facts 2 and 4 of a sentence refer to the next one, facts 4 and 5 hold the next one itself.
@@ -244,7 +249,7 @@ def fact_args(f):
 @query("k15_nested_facts", NESTED)
 def k15_nested(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return K.nested_role_pairs(roles(spark, sf_dir), f, fact_args(f))
+    return K.nested_role_pairs(roles(spark, sf_dir), f, fact_args(f), _tasks(spark, sf_dir), role_names(spark, sf_dir))
 
 
 @query("k16_argument_pairs", f"""
