@@ -57,13 +57,27 @@ def parse_tsv(lines: DataFrame, key: list[str], order: str) -> DataFrame:
     return cells.select(*key, "sent_no", "sentence", pos.alias("pos"), F.col("c")[1].alias("span"), F.col("c")[2].alias("token"), F.col("c")[3].alias("tag"))
 
 
+def read_tsv_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """S5 over files, a row for each sentence: path, doc (of the '#Doc=' line above, null without one), sent_no, sentence and tokens, an array of (span, token, tag). Lines are parse_tsv's, but
+    a file is cut into documents, sentences and lines inside its row, where they stand in order: nothing is shuffled or sorted. Sentences of a document that a file names twice are numbered on."""
+    first = lambda c: F.regexp_replace(F.substring_index(c, "\n", 1), r"\r\z", "")
+    sections = F.transform(F.split(F.concat(F.lit("\n"), "text"), "\r?\n#Doc="), lambda s, k: F.struct(F.when(k > 0, first(s)).alias("doc"), F.split(s, "\r?\n#Text=").alias("sentences")))
+    docs = read_documents(spark, path).select("path", sections.alias("s"))
+    names = F.transform("s", lambda x: x["doc"])
+    above = F.transform("s", lambda x, k: F.aggregate(F.slice("s", F.lit(1), k), F.lit(0), lambda n, y: n + F.when(y["doc"] == x["doc"], F.size(y["sentences"]) - 1).otherwise(0)))
+    docs = docs.withColumn("above", F.when(F.size(F.array_distinct(names)) < F.size("s"), above))
+    one = docs.select("path", F.posexplode_outer("s").alias("k", "s"), "above").select("path", "s.doc", F.coalesce(F.get("above", F.col("k")), F.lit(0)).alias("above"), F.posexplode_outer("s.sentences").alias("i", "text"))
+    lines = one.where("i > 0").select("path", "doc", (F.col("above") + F.col("i")).alias("sent_no"), F.split("text", "\r?\n").alias("lines"))
+    full = lambda x: F.when(F.endswith(x, F.lit("\t")), F.regexp_replace(x, r"\t+$", "")).otherwise(x)
+    cells = F.filter(F.transform(F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda x: ~F.startswith(x, F.lit("#"))), lambda x: F.split(full(x), "\t")), lambda c: F.size(c) >= 4)
+    return lines.select("path", "doc", "sent_no", F.get("lines", F.lit(0)).alias("sentence"),
+                        F.explode_outer(F.array(F.transform(cells, lambda c: F.struct(c[1].alias("span"), c[2].alias("token"), c[3].alias("tag"))))).alias("tokens"))  # made once, though filters look at its size
+
+
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """S5 over files: path, doc (of the '#Doc=' line above, null without one) and the columns of parse_tsv. Whole files are split into numbered lines, so order never rests on how a file is read."""
-    files = read_documents(spark, path)
-    lines = files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
-    named = F.when(F.startswith(F.col("line"), F.lit("#Doc=")), F.substring("line", 6, 1 << 30))
-    lines = lines.withColumn("doc", F.last(named, ignorenulls=True).over(Window.partitionBy("path").orderBy("n")))
-    return parse_tsv(lines, ["path", "doc"], "n")
+    """S5 over files: path, doc and the columns of parse_tsv, a row for each token."""
+    s = read_tsv_sentences(spark, path).select("path", "doc", "sent_no", "sentence", F.posexplode_outer("tokens").alias("pos", "t")).where("t is not null")
+    return s.select("path", "doc", "sent_no", "sentence", "pos", "t.span", "t.token", "t.tag")
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
@@ -108,6 +122,48 @@ def write_tsv_lines(lines: DataFrame, path: str, documents: int = DOCUMENTS) ->
     lines.unionByName(names).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "sent_id", "k").select("line").write.mode("overwrite").text(path)
 
 
+#: A Python task is handed so many bytes of sentences at a time.
+BATCH_BYTES, MOST_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def _blocks(batches):
+    """Texts of sentences: a line with the sentence (under one with the document, for its first), one for each token, a blank one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    shown = lambda numbers: pa.array(numbers).cast(pa.string())
+    for b in batches:
+        pieces, starts = b.column("pieces").flatten(), b.column("pieces").offsets.to_numpy()
+        starts = starts - starts[0]
+        of = np.repeat(np.arange(len(b)), np.diff(starts))
+        n = pc.utf8_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(n)
+        before = np.concatenate(([0], ends))[starts[:-1]]
+        at = ends - n - before[of] + b.column("base").to_numpy(zero_copy_only=False)[of]
+        token = ~pc.is_in(pc.utf8_slice_codeunits(pieces, 0, 1), value_set=pa.array(list(" \t\n\x0b\f\r"))).to_numpy(zero_copy_only=False)
+        count = np.concatenate(([0], np.cumsum(token)))
+        kept = count[starts]
+        pos, of, keep = count[1:][token] - kept[of[token]], of[token], pa.array(token)
+        number = b.column("sent_id").to_numpy(zero_copy_only=False)[of] + 1
+        lines = pc.binary_join_element_wise(shown(number), "-", shown(pos), "\t", shown(at[token]), "-", shown((at + n)[token]), "\t", pieces.filter(keep), "\t", b.column("tags").flatten().filter(keep), "\n", "")
+        body = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept, pa.int32()), lines), "")
+        doc = pc.binary_join_element_wise("#Doc=", pc.fill_null(b.column("doc_id").cast(pa.string()), ""), "\n", "")
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pc.if_else(pc.equal(b.column("sent_id"), 0), doc, ""), "#Text=", b.column("sentence"), "\n", body, "")], names=["line"])
+
+
+def write_tsv_sentences(sents: DataFrame, path: str) -> None:
+    """S8 of whole documents: sents (doc_id, sent_id, sentence, base, pieces, tags) dealt by document, pieces being what makes a sentence up, tokens and blanks, with a tag for each, and base the place of the sentence in its
+    document. A task writes a file of its documents under a line '#Doc=' each, every sentence (numbered from 0) with a line for each token."""
+    spark = sents.sparkSession
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(MOST_BATCH_BYTES))
+    try:
+        sents.select("doc_id", "sent_id", "sentence", "base", "pieces", "tags").sortWithinPartitions("doc_id", "sent_id").mapInArrow(_blocks, "line string").write.mode("overwrite").text(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def child_key(*cols: Column) -> Column:
     """A stable id for an unnamed node or link: a hash of its content."""
     return F.concat(F.lit("anon_"), F.substring(F.md5(F.concat_ws("|", *cols)), 1, 12))

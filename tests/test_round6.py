@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillmed.operators import graph
 from quillmed.plans import base, registry
+from quillmed.sources import files
 
 from test_round3 import agrees
 
@@ -29,3 +30,25 @@ def test_paths_that_meet_lend_their_roles_twice(spark):
     got = sorted((r["doc"], r["fact_id"], r["role"], r["label"]) for r in graph.nested_roles(roles, facts, args).where("role is not null and predicate is not null").collect())
     two = [(1, "f", "fact_arg", "p"), (1, "f", "fact_arg->fact_arg", "p"), (1, "f", "fact_arg->fact_arg->who", "A")]
     assert got == sorted([*two, *two, (1, "a", "fact_arg", "p"), (1, "a", "fact_arg->who", "A"), (1, "b", "fact_arg", "p"), (1, "b", "fact_arg->who", "A"), (1, "x", "who", "A"), (2, "x", "who", "C"), (2, "x", "fact_arg", "z")])
+
+
+def test_annotation_files_are_read_as_their_lines_say_without_a_shuffle(spark, tmp_path):
+    texts = ["#FORMAT=x\n\n#Text=before any\n1-1\t0-1\tA\t_\n#Doc=7\n0-0\t0-1\tlost\t_\n#Text=a\r\n1-1\t0-1\ta\tX[1]\t\t\n# skipped\n1-2\t2-3\tb\t_\textra\nshort\tline\n\n#Text=empty\n\n#Doc=9\r\n#Text=c\n1-1\t0-1\tc\t_\n#Doc=7\n#Text=again\n1-1\t0-5\tagain\tY\n",
+             "#Doc=1\n#Text=#Doc=2\n1-1\t0-1\t#\t_", "", "#Doc=3"]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.tsv").write_bytes(text.encode())
+    raw = files.read_documents(spark, str(tmp_path)).select("path", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
+    named = F.when(F.startswith("line", F.lit("#Doc=")), F.substring("line", 6, 1 << 30))
+    lines = raw.withColumn("doc", F.last(named, ignorenulls=True).over(graph.Window.partitionBy("path").orderBy("n")))
+    want = files.parse_tsv(lines, ["path", "doc"], "n")
+    got = files.read_tsv(spark, str(tmp_path))
+    key = lambda df: sorted(map(str, (tuple(r) for r in df.select(*want.columns).collect())))
+    assert len(key(want)) == 6 and key(got) == key(want) and not exchanges(got)
+
+
+def test_the_round_trip_shuffles_only_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "DOCUMENTS", 2)
+    rows = [(1, "ab  1x, 😀é\t.\n\n  \n q#Doc=4"), (2, None), (3, ""), (4, "the internationalisation\r\nde la #Text=x\r\n"), (5, "x" * 5 + " y" * 3000 + "\n#"), (-6, "\x0b\f   a b"), (7, "a\n" * 50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    agrees(spark, tmp_path, "s05_s08_annotation_round_trip")
+    assert not exchanges(registry.queries()["s05_s08_annotation_round_trip"](spark, str(tmp_path)))
