@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillmed.operators import graph
+from quillmed.operators import graph, translation
 from quillmed.plans import base, registry
 from quillmed.sources import files
 
@@ -52,3 +52,27 @@ def test_the_round_trip_shuffles_only_documents(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     agrees(spark, tmp_path, "s05_s08_annotation_round_trip")
     assert not exchanges(registry.queries()["s05_s08_annotation_round_trip"](spark, str(tmp_path)))
+
+
+@pytest.mark.parametrize("digits", [0, 2, 9])
+def test_ranks_at_the_limits_of_rounding_are_exact(spark, monkeypatch, digits):
+    monkeypatch.setattr(translation, "BLOCK", 40)
+    monkeypatch.setattr(translation, "LIST", 3)
+    steps = [0.5, 1.5, 2.5, 0.005, 0.015, 1.005, 5e-10, 1.0000000005, 0.0, 3.0]
+    v = [[float(s)] for s in steps for _ in range(30)] + [[s + e] for s in steps for e in (1e-9, -1e-9, 4e-10, 1e-12)]
+    e = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "id long, v array<double>")
+    q = spark.createDataFrame([(k, "tail", [0.0], [0.0], k) for k in range(0, len(v), 30)], "query long, side string, h array<double>, r array<double>, true_id long")
+    score = F.round(F.round(graph.translation_score(F.col("h"), F.col("r"), F.col("v")), 9), digits)
+    every = q.crossJoin(e).withColumn("s", score)
+    own = every.where("id = true_id").select("query", F.col("s").alias("own"))
+    want = {r["query"]: (r["n"], r["a"] + 1, r["a"] + r["t"]) for r in every.join(own, "query").groupBy("query").agg(F.count("*").alias("n"), F.count_if(F.col("s") > F.col("own")).alias("a"), F.count_if(F.col("s") == F.col("own")).alias("t")).collect()}
+    assert {r["query"]: (r["n"], r["optimistic"], r["pessimistic"]) for r in graph.true_ranks(q, e, digits).collect()} == want
+
+
+def test_few_pairs_leave_the_tasks_that_bound_them(spark):
+    e = spark.createDataFrame([(k, [float(k % 50), 1.0]) for k in range(2000)], "id long, v array<double>")  # every vector forty times
+    q = spark.createDataFrame([(k, [float(k), 0.0], [0.25, 0.0]) for k in range(20)], "query long, h array<double>, r array<double>")
+    placed, pivots, stats = translation._cells(e)
+    asked = translation._asked(q, pivots, stats, 5)
+    assert translation._pairs(asked, placed, stats, [], translation._nearest(5), 5).count() <= 20 * 5 * 2 * len(stats) < translation._pairs(asked, placed, stats, []).count() * 20
+    assert [(r["id"], r["rank"]) for r in graph.rank_tails(q, e, 5).where("query = 7").orderBy("rank").collect()] == [(7, 1), (57, 2), (107, 3), (157, 4), (207, 5)]
