@@ -249,6 +249,11 @@ def nested_role_pairs(roles: DataFrame, facts: DataFrame, args: DataFrame, tasks
     return _pair_up(held, _coded(roles.select("role").unionAll(facts.select("predicate")) if names is None else names, depth))
 
 
+def _same(key: str):
+    """All rows of a document that share a key. Rows dealt by document stay where they are; a join by document and key would deal them again."""
+    return Window.partitionBy("doc").orderBy(key).rangeBetween(Window.currentRow, Window.currentRow)
+
+
 def argument_pairs(links: DataFrame, labels: DataFrame, tasks: int | None = None) -> DataFrame:
     """Links (doc, id, predicate, suffix, arguments) -> ordered pairs of different labelled arguments under predicate and suffix. tasks: of its shuffles, if Spark's number is too small."""
     e = links.select("doc", "id", F.concat("predicate", F.coalesce("suffix", F.lit(""))).alias("p"), F.posexplode("arguments").alias("pos", "node"))
@@ -355,14 +360,16 @@ def clean_sentence_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("type", F.when(at > 0, "SentenceNode").otherwise(F.col("type"))).withColumn("name", F.when(at > 0, F.substring(F.col("name"), at, F.length("name"))).otherwise(F.col("name")))
 
 
-def link_edges(links: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Link -> argument and link -> predicate edges to vertices that exist, without the document's first timestamp node. tasks: of its shuffles, if Spark's number is too small."""
-    first = nodes.where("type = 'TimestampNode'").groupBy("doc").agg(F.min("id").alias("dst"))
-    ends = nodes.select("doc", F.col("id").alias("dst")).unionByName(links.select("doc", F.col("id").alias("dst")))
-    args = links.select("doc", F.col("id").alias("src"), F.explode("arguments").alias("dst"), F.lit("argument").alias("label"))
-    preds = links.where("predicate is not null").select("doc", F.col("id").alias("src"), F.col("predicate").alias("dst"), F.lit("predicate").alias("label"))
-    edges, ends, first = (spread(d, tasks, "doc", "dst") for d in (args.unionByName(preds), ends, first))
-    return edges.join(ends.hint("shuffle_merge"), ["doc", "dst"], "left_semi").join(first.hint("shuffle_merge"), ["doc", "dst"], "left_anti")
+def link_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Link -> argument and link -> predicate edges (doc, src, dst, label) to vertices that exist, without the document's first timestamp node. Links and nodes dealt by document stay where they are."""
+    end = lambda c, label: F.struct(c.alias("dst"), F.lit(label).alias("label"))
+    ends = F.concat(F.transform("arguments", lambda x: end(x, "argument")), F.array(end(F.col("predicate"), "predicate"), end(F.col("id"), None)))
+    e = links.select("doc", F.col("id").alias("src"), F.explode_outer(ends).alias("e")).select("doc", "src", "e.dst", "e.label")  # a vertex has no label
+    every = e.unionByName(nodes.select("doc", F.col("id").alias("dst"), "type"), allowMissingColumns=True)
+    there = F.max(F.col("label").isNull() & F.col("doc").isNotNull() & F.col("dst").isNotNull()).over(_same("dst"))
+    first = F.min(F.when(F.col("type") == "TimestampNode", F.col("dst"))).over(Window.partitionBy("doc").orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = every.withColumns({"_there": there, "_first": first})
+    return met.where(F.col("_there") & F.col("label").isNotNull() & ~F.col("dst").eqNullSafe(F.col("_first"))).select("doc", "dst", "src", "label")
 
 
 def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -76,3 +76,11 @@ def test_few_pairs_leave_the_tasks_that_bound_them(spark):
     asked = translation._asked(q, pivots, stats, 5)
     assert translation._pairs(asked, placed, stats, [], translation._nearest(5), 5).count() <= 20 * 5 * 2 * len(stats) < translation._pairs(asked, placed, stats, []).count() * 20
     assert [(r["id"], r["rank"]) for r in graph.rank_tails(q, e, 5).where("query = 7").orderBy("rank").collect()] == [(7, 1), (57, 2), (107, 3), (157, 4), (207, 5)]
+
+
+@pytest.mark.parametrize("name, shuffled", [("k23_link_edges", 0)])
+def test_links_and_facts_stay_dealt_by_document(spark, small, monkeypatch, name, shuffled):
+    monkeypatch.setattr(base, "TASK_ROWS", 300)
+    agrees(spark, small, name)
+    dealt = [x for x in exchanges(registry.queries()[name](spark, small)) if "hashpartitioning" in x and "custkey" not in x and "orderkey" not in x]
+    assert len(dealt) == shuffled
