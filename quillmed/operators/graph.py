@@ -254,6 +254,13 @@ def _same(key: str):
     return Window.partitionBy("doc").orderBy(key).rangeBetween(Window.currentRow, Window.currentRow)
 
 
+def _known(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose document and key are among keys(doc, key); neither may be null."""
+    every = rows.withColumn("_is", F.lit(False)).unionByName(keys.select("doc", key, F.lit(True).alias("_is")), allowMissingColumns=True)
+    there = F.max(F.col("_is") & F.col("doc").isNotNull() & F.col(key).isNotNull()).over(_same(key))
+    return every.withColumn("_there", there).where("_there and not _is").drop("_is", "_there")
+
+
 def argument_pairs(links: DataFrame, labels: DataFrame, tasks: int | None = None) -> DataFrame:
     """Links (doc, id, predicate, suffix, arguments) -> ordered pairs of different labelled arguments under predicate and suffix. tasks: of its shuffles, if Spark's number is too small."""
     e = links.select("doc", "id", F.concat("predicate", F.coalesce("suffix", F.lit(""))).alias("p"), F.posexplode("arguments").alias("pos", "node"))
@@ -300,15 +307,14 @@ def truth_scalar(truth: Column, pick: str = "second") -> Column:
 
 # ---- graphs
 def hub_edges(docs: DataFrame, facts: DataFrame, roles: DataFrame, args: DataFrame) -> DataFrame:
-    """Doc -> sentence -> fact -> entity (role) and fact -> fact edges, only to vertices that exist."""
+    """Doc -> sentence -> fact -> entity (role) and fact -> fact edges (doc, src, dst, label), only to vertices that exist. Tables dealt by document stay so."""
     f = facts.select("doc", "sent", "fact_id")
-    edge = lambda d, s, t, label: d.select(s.alias("src"), t.alias("dst"), label.alias("label"))
+    edge = lambda d, s, t, label: d.select("doc", s.alias("src"), t.alias("dst"), label.alias("label"))
     v = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    known = f.select(F.col("doc"), F.col("fact_id").alias("arg"))
-    parts = [edge(f.select("doc", "sent").distinct(), v("D", "doc"), v("S", "sent"), F.lit("has_sentence")), edge(f, v("S", "sent"), v("F", "fact_id"), F.lit("has_fact")),
-             edge(roles.where("entity is not null").join(f.hint("shuffle_merge"), ["doc", "fact_id"], "left_semi"), v("F", "fact_id"), v("E", "entity"), F.col("role")),
-             edge(args.join(known.hint("shuffle_merge"), ["doc", "arg"], "left_semi"), v("F", "fact_id"), v("F", "arg"), F.lit("argument"))]
-    return reduce(DataFrame.unionByName, parts)
+    role = edge(roles.where("entity is not null"), v("F", "fact_id"), v("E", "entity"), F.col("role")).withColumn("_v", F.col("src"))
+    arg = edge(args, v("F", "fact_id"), v("F", "arg"), F.lit("argument")).withColumn("_v", F.col("dst"))
+    met = _known(role.unionByName(arg), f.select("doc", v("F", "fact_id").alias("_v")), "_v").drop("_v")
+    return reduce(DataFrame.unionByName, [edge(f.select("doc", "sent").distinct(), v("D", "doc"), v("S", "sent"), F.lit("has_sentence")), edge(f, v("S", "sent"), v("F", "fact_id"), F.lit("has_fact")), met])
 
 
 #: Sentences of a document, and names of a document, that one automaton meets at most, by expectation.
