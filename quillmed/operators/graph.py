@@ -262,12 +262,17 @@ def _known(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def argument_pairs(links: DataFrame, labels: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Links (doc, id, predicate, suffix, arguments) -> ordered pairs of different labelled arguments under predicate and suffix. tasks: of its shuffles, if Spark's number is too small."""
-    e = links.select("doc", "id", F.concat("predicate", F.coalesce("suffix", F.lit(""))).alias("p"), F.posexplode("arguments").alias("pos", "node"))
-    named = spread(e, tasks, "doc", "node").join(spread(labels.select("doc", F.col("id").alias("node"), "label"), tasks, "doc", "node").hint("shuffle_merge"), ["doc", "node"])
-    both = spread(named, tasks, "doc", "id").groupBy("doc", "id", "p").agg(F.collect_list(F.struct("node", "label")).alias("r"))
-    a = both.select("p", "r", F.explode("r").alias("x")).select("p", "x", F.explode("r").alias("y")).where("x.node <> y.node")
-    return spread(a.select(F.col("x.label").alias("s"), "p", F.col("y.label").alias("o")), tasks, "s", "p", "o").groupBy("s", "p", "o").agg(F.count("*").alias("n"))
+    """Links (doc, id, predicate, suffix, arguments) -> ordered pairs of different labelled arguments under predicate and suffix. Labels are found inside the document; only pairs are shuffled, a pair and its
+    reverse as one row. tasks: of that shuffle, if Spark's number is too small."""
+    e = links.select("doc", "id", F.concat("predicate", F.coalesce("suffix", F.lit(""))).alias("p"), F.explode("arguments").alias("node"), F.lit(False).alias("named"))
+    every = e.unionByName(labels.select("doc", F.col("id").alias("node"), F.lit(True).alias("named"), F.struct("label").alias("l")), allowMissingColumns=True)
+    own = every.withColumn("l", F.collect_list("l").over(_same("node"))).withColumn("named", F.col("named") | F.col("doc").isNull() | F.col("node").isNull()).where("not named")
+    both = own.select("doc", "id", "p", "node", F.explode_outer("l").alias("l")).where("l is not null").groupBy("doc", "id", "p").agg(F.collect_list(F.struct("node", F.col("l.label").alias("label"))).alias("r"))
+    a = both.select("p", "r", F.explode("r").alias("x")).select("p", "x", F.explode("r").alias("y")).where("x.node < y.node").select("p", F.array_sort(F.array("x.label", "y.label")).alias("l"))
+    n = spread(a.select(F.col("l")[0].alias("s"), "p", F.col("l")[1].alias("o")), tasks, "s", "p", "o").groupBy("s", "p", "o").agg(F.count("*").alias("n"))
+    way = lambda s, o, n: F.struct(F.col(s).alias("s"), F.col("p"), F.col(o).alias("o"), n.alias("n"))
+    ways = F.when(F.col("s").eqNullSafe(F.col("o")), F.array(way("s", "o", F.col("n") * 2))).otherwise(F.array(way("s", "o", F.col("n")), way("o", "s", F.col("n"))))
+    return n.select(F.explode_outer(ways).alias("t")).select("t.*")
 
 
 def provenance(facts: DataFrame) -> DataFrame:

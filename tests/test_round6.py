@@ -78,7 +78,7 @@ def test_few_pairs_leave_the_tasks_that_bound_them(spark):
     assert [(r["id"], r["rank"]) for r in graph.rank_tails(q, e, 5).where("query = 7").orderBy("rank").collect()] == [(7, 1), (57, 2), (107, 3), (157, 4), (207, 5)]
 
 
-@pytest.mark.parametrize("name, shuffled", [("k23_link_edges", 0), ("k20_hub_edges", 1)])
+@pytest.mark.parametrize("name, shuffled", [("k23_link_edges", 0), ("k16_argument_pairs", 1), ("k20_hub_edges", 1)])
 def test_links_and_facts_stay_dealt_by_document(spark, small, monkeypatch, name, shuffled):
     monkeypatch.setattr(base, "TASK_ROWS", 300)
     agrees(spark, small, name)
@@ -86,6 +86,16 @@ def test_links_and_facts_stay_dealt_by_document(spark, small, monkeypatch, name,
     assert len(dealt) == shuffled
 
 
+def test_links_with_nulls_and_equal_labels(spark):
+    links = spark.createDataFrame([(1, "l1", "p", ["a", "b", "a", None]), (1, "l2", None, ["l1", "c"]), (None, "l3", "p", ["a", "b"]), (2, "l1", "q", ["a"])], "doc int, id string, predicate string, arguments array<string>")
+    nodes = spark.createDataFrame([(1, "b", "TimestampNode"), (1, "a", "TimestampNode"), (1, "p", "PredicateNode"), (1, None, "TimestampNode"), (None, "b", "x"), (2, "a", "x"), (3, "q", "x")], "doc int, id string, type string")
+    got = sorted((r["doc"], r["src"], r["dst"], r["label"]) for r in graph.link_edges(links, nodes).collect())
+    assert got == [(1, "l1", "b", "argument"), (1, "l1", "p", "predicate"), (1, "l2", "l1", "argument"), (2, "l1", "a", "argument")]
+    labels = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (1, "b", None), (1, "l1", "y"), (1, "c", "z"), (None, "a", "w"), (2, "b", "v")], "doc int, id string, label string")
+    pairs = {(r["s"], r["p"], r["o"]): r["n"] for r in graph.argument_pairs(links.withColumn("suffix", F.lit("#")).where("predicate is not null").unionByName(links.where("id = 'l2'").withColumns({"predicate": F.lit("q"), "suffix": F.lit(None).cast("string")})), labels).collect()}
+    assert pairs == {("x", "p#", "x"): 4, ("x", "p#", None): 2, (None, "p#", "x"): 2, ("y", "q", "z"): 1, ("z", "q", "y"): 1}
+
+
 def test_a_vertex_of_two_documents_is_counted_once(spark, small, tmp_path):
     for t in ("lineitem", "orders", "part", "customer", "supplier"):
         d = spark.read.parquet(f"{small}/{t}.parquet")
