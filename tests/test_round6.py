@@ -101,3 +101,12 @@ def test_a_vertex_of_two_documents_is_counted_once(spark, small, tmp_path):
         d = spark.read.parquet(f"{small}/{t}.parquet")
         (d.unionAll(d.withColumn("o_custkey", F.col("o_custkey") + 1)) if t == "orders" else d).write.parquet(str(tmp_path / f"{t}.parquet"))
     agrees(spark, tmp_path, "k20_hub_edges")
+
+
+def test_pairs_that_cannot_tie_are_only_counted(spark):
+    e = spark.createDataFrame([(k, [float(k % 50) / 7, 1.0]) for k in range(2000)], "id long, v array<double>")
+    q = spark.createDataFrame([(k, "tail", [k / 3, 0.0], [0.25, 0.0], -k / 5, k / 5 - 0.02, k / 5 + 0.02) for k in range(1, 20)], "query long, side string, h array<double>, r array<double>, own double, low double, limit double")
+    placed, pivots, stats = translation._cells(e)
+    asked = translation._asked(q, pivots, stats, None)
+    got = translation._pairs(asked, placed, stats, ["side", "own"], translation._against(2), 1)
+    assert got.where("id is not null").count() == 0 and got.count() <= 19 * len(stats)
